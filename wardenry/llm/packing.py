@@ -39,8 +39,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, length: int = SEQUENCE, end_i
         tokens, end = token_bytes(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, copy, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = tokens.of(text or "") + end
+            for doc, copy, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens.of_all(batch.column(2).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 first = n % length or length
                 for k, start in enumerate([0, *range(first, n, length)]):
