@@ -10,6 +10,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +56,11 @@ def as_type(df: DataFrame, **kinds: str) -> DataFrame:
 
 
 #: What the quick cut can't tell apart: blanks in a row, and the cut's own sign.
-_ODD = re.compile("\\s\\s|\0")
-#: A word and one mark after it.
-_MARKED = re.compile("(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,])", re.DOTALL)
+_ODD = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}|\\x00"
+#: Characters that are encoded at a time.
+_SLICE = 8 << 20
+#: A mark that ends a word, before a cut.
+_MARK = "([A-Za-z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}])([.,])\\x00"
 _BLANK = re.compile("\\s")
 
 
@@ -68,7 +72,7 @@ class TokenBytes(dict):
     (tested against whole texts). Texts are encoded many at a time, so the library is asked once for all that is new.
     """
 
-    LIMIT = 700_000
+    LIMIT = 500_000
 
     def __init__(self, path: str, dtype: str = "<u4"):
         from tokenizers import Tokenizer
@@ -77,14 +81,10 @@ class TokenBytes(dict):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.dtype = dtype
+        self.old: dict[str, bytes] = {}
         (self.newline,) = self.encoder.encode("\n", add_special_tokens=False).ids
         self.slow = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 
-    def chunks(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return self.slow.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
     def learn(self, chunks: list[str], together: int = 500) -> None:
         """Encodes chunks without blanks inside in runs, one newline after each: those ids tell them apart."""
         runs = [chunks[i : i + together] for i in range(0, len(chunks), together)]
@@ -96,24 +96,60 @@ class TokenBytes(dict):
                 flat, stops = ids.tobytes(), (ends * size).tolist()
                 self.update((w, flat[a:b]) for w, a, b in zip(run, [0, *(x + size for x in stops)], stops, strict=False))
 
-    def of_all(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.chunks(x) if x else [] for x in texts]
-        new = list(set().union(*cut) - self.keys())
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(set().union(*cut))
-        marked = [m.groups() for m in map(_MARKED.fullmatch, new) if m]
-        plain = [w for w in {*new, *chain.from_iterable(marked)} - {a + b for a, b in marked} - self.keys() if not _BLANK.search(w, 1)]
+    def remember(self, chunks: list[str]) -> None:
+        """Encodes those that are new. Of the chunks known, those not met since the last change of generation go first."""
+        new = []
+        for w in chunks:
+            if w not in self:
+                if (ids := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self[w] = ids
+        plain = [w for w in new if not _BLANK.search(w, 1)]
         for i in range(0, len(plain), 20_000):
             self.learn(plain[i : i + 20_000])
-        self.update((a + b, self[a] + self[b]) for a, b in marked if a in self and b in self)
         odd = [w for w in new if w not in self]
         self.update((w, np.array(x.ids, self.dtype).tobytes()) for w, x in zip(odd, self.encoder.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        out = [b"".join([self[w] for w in c]) for c in cut]
-        for w in new:
+
+    def of_lists(self, chunks: pa.ListArray) -> list[bytes]:
+        """The ids of each list of chunks; each distinct chunk is looked up once, and numpy strings the ids together."""
+        coded, ends = chunks.flatten().dictionary_encode(), chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        names = coded.dictionary.to_pylist()
+        self.remember(names)
+        parts = [self[w] for w in names]
+        flat, size = np.frombuffer(b"".join(parts), self.dtype), np.dtype(self.dtype).itemsize
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // size
+        at, own = coded.indices.to_numpy(), np.cumsum(lengths) - lengths
+        spans = lengths[at]
+        before = np.concatenate([[0], np.cumsum(spans)])
+        ids = flat[np.repeat(own[at] - before[:-1], spans) + np.arange(before[-1])].tobytes()
+        stops = (before[ends] * size).tolist()
+        for w in names:
             if len(w) > 64:
                 del self[w]
-        return out
+        if len(self) > self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+        return [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+
+    def of_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        quick = texts.filter(pc.invert(odd))
+        for a, b in ((" ", "\0 "), ("\n", "\0\n\0")):
+            quick = pc.replace_substring(quick, a, b)
+        quick = pc.replace_substring_regex(quick, _MARK, "\\1\0\\2\0")
+        out: list[bytes] = []
+        sizes = np.cumsum(pc.binary_length(quick).to_numpy(zero_copy_only=False)) // _SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(quick)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                out += self.of_lists(pc.split_pattern(quick[a:b], "\0"))
+        if len(out) == len(texts):
+            return out
+        slow, rest = iter(self.of_lists(pa.array([self.slow.split(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string())))), iter(out)
+        return [next(slow if x else rest) for x in odd.to_pylist()]
 
 
 @lru_cache(maxsize=4)

@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, length: int = SEQUENCE, end_i
         tokens, end = token_bytes(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, copy, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens.of_all(batch.column(2).to_pylist()), strict=True):
+            for doc, copy, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens.of_all(batch.column(2)), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = n % length or length

@@ -123,7 +123,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         keys, ids, size, number, base = [], [], 0, 0, 0
         close = lambda: pa.record_batch([pa.array([v], k) for v, k in zip(_shard(part, number, base, keys, ids, width), kinds, strict=True)], names=names)
         for batch in batches:
-            for key, own in zip(batch.column(0).to_pylist(), tokens.of_all(batch.column(1).to_pylist()), strict=True):
+            for key, own in zip(batch.column(0).to_pylist(), tokens.of_all(batch.column(1)), strict=True):
                 keys.append(key)
                 ids.append(own + end)
                 size += len(ids[-1])
