@@ -188,6 +188,33 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return full.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
 
 
+def sharing_rare(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of open_ (id, component) that share one of their rarest shingles.
+
+    Of two sets that are near enough, each holds all but a fifth of the other; so with all shingles in one order, rarest first, they
+    share one among the first fifth and one of each. Passages that many documents share come last in that order and pair nobody.
+    """
+    every = sets.join(open_.select("id"), "id", "left_semi")
+
+    def spread(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()]
+            yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), [len(x) for x in own]), pa.int64()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["id", "shingle"])
+
+    shingles = written(every.select("id", "own").mapInArrow(spread, "id long, shingle long"), "open-shingles")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    # Shingles of one document only stand first and pair nobody; they just take up places. A document's own shingles are as bounded as its text.
+    ranked = shingles.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    places = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1 - (n_shingles - size(own))").cast("int")
+    first = ranked.join(classes.select("id", "n_shingles"), "id").join(open_, "id").where(places > 0).select("id", "component", "n_shingles", F.explode(F.slice("own", F.lit(1), places)).alias("s"))
+    keys = written(first.select(F.col("s.shingle").alias("shingle"), "id", "component", "n_shingles"), "rare")
+    groups = keys.select("shingle", "component").distinct()
+    met = groups.alias("x").join(groups.alias("y"), F.expr("x.shingle = y.shingle AND x.component < y.component")).select(F.col("x.shingle").alias("shingle"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
+    mine = met.join(keys.select("shingle", "component", F.col("id").alias("a"), F.col("n_shingles").alias("n_a")), ["shingle", "component"])
+    both = mine.join(keys.select("shingle", F.col("component").alias("other"), F.col("id").alias("b"), F.col("n_shingles").alias("n_b")), ["shingle", "other"])
+    return both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+
+
 def connected(edges: DataFrame, name: str = "links") -> DataFrame:
     """id, component (smallest id) of every end of the edges (a, b): large-star and small-star in turns until nothing changes."""
     spark = edges.sparkSession
@@ -247,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     alias = named.select("doc_id", "print").join(classes.select("print", "id"), "print").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     doubled = named.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q").select(F.col("doc_id").alias("a"))
     links = links.unionByName(alias.join(doubled, "a", "left_semi"))
-    components, turn = connected(links), 0
+    components, turn, before = connected(links), 0, 0.0
     while True:
         open_ = labelled(members, components)
         mixed_bands = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
@@ -257,12 +284,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         total, pairs_left = per_band.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2), F.lit(0.0))).first()
         if not total:
             break
-        last = turn > 0 and pairs_left <= MANY * total
+        # A turn that settles less than half of the pairs met groups that are no copies; then each pair is looked at.
+        last = turn > 0 and (pairs_left <= MANY * total or 2 * pairs_left > before)
+        before = pairs_left
         if last:
-            groups = counts.select("band", "component")
-            met = groups.alias("x").join(groups.alias("y"), F.expr("x.band = y.band AND x.component < y.component")).select(F.col("x.band").alias("band"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
-            mine = met.join(open_.select("band", "component", F.col("id").alias("a")), ["band", "component"])
-            pairs = mine.join(open_.select("band", F.col("component").alias("other"), F.col("id").alias("b")), ["band", "other"]).select("a", "b")
+            pairs = sharing_rare(open_.select("id", "component").distinct(), classes, sets, percent)
         else:
             rank = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component")) if turn else F.struct(F.lit(0).cast("long"), F.col("id"), F.col("component"))
             anchors = open_.groupBy("band").agg(F.min(rank).alias("x")).select("band", F.col("x.id").alias("a"), F.col("x.component").alias("own"))
