@@ -1,0 +1,71 @@
+"""Queries against their SQL on the smallest tables, and small cases by hand."""
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from wardenry.operators import dependencies, detect, findings, taint
+from wardenry.plans import registry
+from wardenry.sources import corpus
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_query_equals_its_sql(spark, duck, name):
+    got, want = registry.QUERIES[name](spark, SF), duck.sql(registry.ORACLE[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda rs, names: Counter(tuple(str(r[names.index(c)]) for c in columns) for r in rs)
+    assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_entry_has_rows(spark):
+    assert __spark_entry__.entry(spark).count() == 200
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def code(spark, *lines, language="python"):
+    return spark.createDataFrame([(1, i, language, x) for i, x in enumerate(lines, 1)], "file_id long, line_no long, language string, line string")
+
+
+def test_taint_follows_assignments_and_keeps_old_taint(spark):
+    lines = code(spark, "a = request.args.get('q')", "b = a", "a = 1", "c = 2", "requests.get(b)")
+    assert taint.tainted_variables(lines).first().variables == ["a", "b"]
+    assert [r.line_no for r in taint.with_taint(lines).where("tainted").orderBy("line_no").collect()] == [1, 2, 3, 5]
+
+
+def test_orm_hit_ends_the_line(spark):
+    rows = detect.web_findings(taint.with_taint(code(spark, "cursor.execute('select ' + sql)", "cursor.execute('SELECT a WHERE b = %s', (c,))"))).collect()
+    assert [(r.line_no, r.detector) for r in rows] == [(1, "python_orm")]
+
+
+def test_files(spark, tmp_path):
+    for path, data in {"a.py": b"x = 1\n", "pkg/node_modules/b.js": b"x", "node_modules/c.js": b"x", "d.png": b"x", "e.txt": b"", "f.txt": b"\0x", "g.txt": b"\xff\xfe"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(data)
+    got = {r.relative_path: r.skip_reason for r in corpus.files(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": None, "pkg/node_modules/b.js": "excluded", "node_modules/c.js": None, "d.png": "binary", "e.txt": "empty", "f.txt": "binary", "g.txt": "binary"}
+
+
+def test_lock_file(spark):
+    text = '{"packages": {"": {"version": "1"}, "node_modules/express": {"version": "4"}, "node_modules/a/node_modules/lodash": {"version": "3"}}}'
+    files = spark.createDataFrame([(1, text), (2, "{")], "file_id long, content string")
+    assert sorted((r.package, r.version, r.scope) for r in dependencies.package_lock(files).collect()) == [("express", "4", "direct"), ("lodash", "3", "transitive")]
+
+
+def test_last_of_a_key_wins_at_the_first_place(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "id string, seq long, v string")
+    assert sorted(map(tuple, findings.last_wins(rows).collect())) == [("a", 1, "z"), ("b", 2, "y")]

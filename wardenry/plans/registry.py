@@ -1,18 +1,269 @@
-"""All queries of the engine by name, with the SQL that says what they return."""
+"""All queries of the engine by name, with the SQL that says what they return.
+
+Corpora: `documents` as text files; `orders` as synthetic lines of code (see sources.corpus.TEMPLATES); `events` as synthetic
+findings, with `supplier` and `customer` as baseline, suppressions and overrides; `part` as paths and manifests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.markers import has_any, sql_has_any
+from ..operators import classify, dependencies, detect, findings, secrets_scan, taint
+from ..sources.corpus import CODE_SQL, code_lines, normalised, table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 FLAGSHIP = "document_summary"
 
 
-def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.selectExpr("doc_id", "char_length(coalesce(text, '')) AS char_count")
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+
+
+_TEXT = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
+_HITS = f"""t AS (SELECT doc_id, {_TEXT} AS x FROM documents),
+h AS (SELECT doc_id, regexp_extract_all(x, '{secrets_scan.PATTERNS[0].replace("'", "''")}') AS m, string_split_regex(x, '{secrets_scan.PATTERNS[0].replace("'", "''")}') AS g FROM t),
+e AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM h),
+hits AS (SELECT doc_id, i - 1 AS hit, 1 + length(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], '')) - length(replace(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], ''), chr(10), '')) AS line_no, split_part(m[i], chr(10), 1) AS l FROM e),
+shown AS (SELECT doc_id, hit, line_no, CASE WHEN v = '' THEN '***' ELSE v[1:2] || '***' || v[-2:] END AS evidence FROM (SELECT *, regexp_extract(l, '{secrets_scan.VALUE.replace("'", "''")}', 1) AS v FROM hits WHERE NOT {sql_has_any("l", "dummy_secret")}))"""
+
+
+@query(f"WITH {_HITS} SELECT * FROM shown")
+def secret_hits(spark, d):
+    return secrets_scan.secret_hits(docs(spark, d))
+
+
+@query(f"WITH {_HITS} SELECT lang, count(*) AS n_hits, count(DISTINCT shown.doc_id) AS n_docs FROM shown JOIN documents USING (doc_id) GROUP BY lang")
+def secrets_by_language(spark, d):
+    return secrets_scan.secret_hits(docs(spark, d)).join(docs(spark, d).select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n_hits"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {_HITS} SELECT doc_id, CAST(CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, chr(10), '')) + 1 END AS BIGINT) AS line_count, length(x) AS char_count, coalesce(n, 0) AS n_secrets, CASE WHEN coalesce(n, 0) > 0 THEN 'blocked' ELSE 'allowed' END AS decision FROM t LEFT JOIN (SELECT doc_id, count(*) AS n FROM shown GROUP BY 1) USING (doc_id)")
+def document_summary(spark, d):
+    n = secrets_scan.secret_hits(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    text = normalised(F.col("text"))
+    lines = F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
+    n_secrets = F.coalesce("n", F.lit(0)).cast("long")
+    return docs(spark, d).join(n, "doc_id", "left").select("doc_id", lines.cast("long").alias("line_count"), F.length(text).cast("long").alias("char_count"), n_secrets.alias("n_secrets"), F.when(n_secrets > 0, "blocked").otherwise("allowed").alias("decision"))
+
+
+# Code lines
+
+
+def code(spark, d):
+    return code_lines(table(spark, d, "orders"))
+
+
+def _detector(name):
+    def run(spark, d):
+        return detect.detect(code(spark, d).withColumn("tainted", F.lit(False)), name)
+
+    query(f"WITH {CODE_SQL} {detect.sql_of(name)}", name)(run)
+
+
+for _name in detect.DETECTORS:
+    _detector(_name)
+
+_ASSIGN = taint.ASSIGNMENT.replace("'", "''")
+_DIRECT = "CASE " + " ".join(f"WHEN {sql_has_any('x', k)} THEN '{k}'" for k in ("query", "body", "cookie", "headers", "auth_context", "request_input")) + " END"
+_TAINT = f"""{CODE_SQL},
+a AS (SELECT file_id, line_no, ltrim(lower(regexp_extract(line, '{_ASSIGN}', 1)), '$') AS target, regexp_extract(line, '{_ASSIGN}', 2) AS x FROM code WHERE regexp_matches(line, '{_ASSIGN}') AND NOT regexp_matches(line, '{taint.KEYWORDS}')),
+k AS (SELECT *, {_DIRECT} AS kind, list_distinct(regexp_extract_all(lower(x), '[a-z_][a-z0-9_]*')) AS tokens FROM a),
+t AS (SELECT file_id, line_no, target FROM k WHERE kind IS NOT NULL UNION SELECT k.file_id, k.line_no, k.target FROM t JOIN k ON k.file_id = t.file_id AND k.line_no > t.line_no AND list_contains(k.tokens, t.target)),
+v AS (SELECT DISTINCT file_id, target FROM t)"""
+
+
+@query(f"WITH RECURSIVE {_TAINT} SELECT file_id, string_agg(target, ',' ORDER BY target) AS variables FROM v GROUP BY file_id")
+def taint_variables(spark, d):
+    return taint.tainted_variables(code(spark, d)).select("file_id", F.array_join(F.array_sort("variables"), ",").alias("variables"))
+
+
+@query(f"WITH RECURSIVE {_TAINT} SELECT DISTINCT code.file_id, line_no, line FROM code JOIN v ON v.file_id = code.file_id AND list_contains(regexp_extract_all(lower(line), '[a-z_][a-z0-9_]*'), target)")
+def taint_lines(spark, d):
+    return taint.with_taint(code(spark, d)).where("tainted").select("file_id", "line_no", "line")
+
+
+@query(f"WITH {CODE_SQL}, a AS (SELECT file_id, line_no, line, regexp_extract(line, '{_ASSIGN}', 2) AS x FROM code WHERE regexp_matches(line, '{_ASSIGN}') AND NOT regexp_matches(line, '{taint.KEYWORDS}')) SELECT * FROM (SELECT file_id, line_no, {_DIRECT} AS kind FROM a) WHERE kind IS NOT NULL")
+def taint_sources(spark, d):
+    return taint.assignments(code(spark, d)).where("kind IS NOT NULL").select("file_id", "line_no", "kind")
+
+
+@query()
+def web_findings(spark, d):
+    return detect.web_findings(taint.with_taint(code(spark, d)))
+
+
+_ANY = lambda f: f"bool_or({sql_has_any('line', f)})"
+
+
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no, 'WEB-AUTH-001' AS rule_id FROM (SELECT file_id, min(line_no) FILTER ({sql_has_any('line', 'missing_auth_route')}) AS line_no, {_ANY('missing_auth_request')} AS asks, {_ANY('auth_guard')} OR {_ANY('role_guard')} OR {_ANY('auth_context')} AS guarded FROM code WHERE language IN ('python', 'javascript') GROUP BY 1) WHERE line_no IS NOT NULL AND asks AND NOT guarded")
+def auth_missing(spark, d):
+    return detect.missing_auth(code(spark, d))
+
+
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no, CASE WHEN {sql_has_any('line', 'role_guard')} THEN 'role' ELSE 'login' END AS model FROM code WHERE {sql_has_any('line', 'auth_guard')} OR {sql_has_any('line', 'role_guard')}")
+def auth_guard(spark, d):
+    line = F.col("line")
+    return code(spark, d).where(has_any(line, "auth_guard") | has_any(line, "role_guard")).select("file_id", "line_no", F.when(has_any(line, "role_guard"), "role").otherwise("login").alias("model"))
+
+
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no FROM code WHERE language = 'javascript' AND (contains(lower(line), 'innerhtml') OR contains(lower(line), 'dangerouslysetinnerhtml') OR contains(lower(line), 'document.write'))")
+def js_xss(spark, d):
+    return code(spark, d).where("language = 'javascript'").where(F.lower("line").rlike("innerhtml|dangerouslysetinnerhtml|document[.]write")).select("file_id", "line_no")
+
+
+def _context(before, after):
+    return lambda spark, d: detect.context(code(spark, d).where("language IN ('php', 'java')"), before, after).select("file_id", "line_no", "context")
+
+
+for _n, _b, _a in (("context_spring", 5, 0), ("context_laravel", 5, 1), ("context_preferences", 2, 2)):
+    query(f"WITH {CODE_SQL} SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN {_b} PRECEDING AND {_a} FOLLOWING) AS context FROM code WHERE language IN ('php', 'java')", _n)(_context(_b, _a))
+
+
+@query(f"WITH {CODE_SQL}, c AS (SELECT *, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM code WHERE language = 'java') SELECT file_id, line_no, 'MOBILE-ANDROID-004' AS rule_id, 'sensitive_value_in_plaintext' AS storage_risk FROM c WHERE contains(x, 'sharedpreferences') AND NOT contains(x, 'encryptedsharedpreferences') AND contains(lower(line), 'putstring(') AND {sql_has_any('line', 'prefs_key')}")
+def shared_preferences(spark, d):
+    return detect.shared_preferences(code(spark, d))
+
+
+# Findings
+
+_FINDINGS = """SELECT event_id AS seq, concat('R-', CAST(user_id % 17 AS STRING)) AS rule_id, concat('src/app', CAST(user_id % 23 AS STRING), '.py') AS path, CAST(event_id % 13 + 1 AS INT) AS start_line,
+CASE event_type WHEN 'click' THEN 'info' WHEN 'view' THEN 'low' WHEN 'signup' THEN 'medium' WHEN 'purchase' THEN 'high' ELSE 'critical' END AS severity,
+CASE event_id % 4 WHEN 0 THEN 'reachable' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'unknown' ELSE NULL END AS reachability, event_type AS title FROM events"""
+_F = "f AS (" + _FINDINGS.replace("AS STRING", "AS VARCHAR") + "), i AS (SELECT *, concat_ws(':', rule_id, path, CAST(start_line AS VARCHAR)) AS id FROM f)"
+_RANK = "list_position(['info', 'low', 'medium', 'high', 'critical'], severity)"
+_REACH = "CASE WHEN reachability IS NULL OR reachability = 'reachable' THEN 0 WHEN reachability = 'unreachable' THEN 2 ELSE 1 END"
+
+
+def found(spark, d):
+    events = table(spark, d, "events")
+    return spark.sql(_FINDINGS.replace("FROM events", "FROM {events}"), events=events).withColumn("id", findings.finding_id(F.col("rule_id"), F.col("path"), F.col("start_line")))
+
+
+@query(f"WITH {_F} SELECT seq, sha256(rule_id || '::' || path || '::' || start_line || '::' || title) AS fingerprint FROM i")
+def finding_fingerprint(spark, d):
+    return found(spark, d).select("seq", findings.fingerprint(F.col("rule_id"), F.col("path"), F.col("start_line"), F.col("title")).alias("fingerprint"))
+
+
+@query(f"WITH {_F} SELECT id, min(seq) AS seq, arg_max(severity, seq) AS severity, arg_max(title, seq) AS title FROM i GROUP BY id")
+def finding_dedupe(spark, d):
+    return findings.last_wins(found(spark, d).select("id", "seq", "severity", "title"))
+
+
+@query(f"WITH {_F} SELECT severity, place, seq FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY path, start_line, rule_id, seq) AS place FROM i) WHERE place <= 5")
+def severity_top5(spark, d):
+    return findings.top_per_severity(found(spark, d)).select("severity", F.col("place").cast("long").alias("place"), "seq")
+
+
+@query(f"WITH {_F} SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY {_RANK} DESC, {_REACH}, path, start_line, rule_id, seq) AS place FROM i")
+def finding_order(spark, d):
+    return found(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(*findings.sort_key())).cast("long")).select("path", "seq", "place")
+
+
+@query(f"WITH {_F} SELECT path, bool_or({_RANK} >= 4) AS blocked, count(*) AS n, CASE WHEN bool_or({_RANK} >= 4) THEN 'blocked' ELSE 'allowed' END AS decision FROM i GROUP BY path")
+def policy_gate(spark, d):
+    over = F.bool_or(findings.rank(F.col("severity")) >= 4)
+    return found(spark, d).groupBy("path").agg(over.alias("blocked"), F.count("*").alias("n")).withColumn("decision", F.when(F.col("blocked"), "blocked").otherwise("allowed"))
+
+
+@query(f"WITH {_F} SELECT severity, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM i GROUP BY ALL")
+def sarif_levels(spark, d):
+    return found(spark, d).groupBy("severity", findings.sarif_level(F.col("severity")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_F} SELECT seq FROM i WHERE severity IN ('high', 'critical') AND (contains(lower(title), 'app1') OR contains(lower(rule_id), 'app1') OR contains(lower(path), 'app1') OR contains(lower(severity), 'app1'))")
+def findings_search(spark, d):
+    any_of = F.lit(False)
+    for c in ("title", "rule_id", "path", "severity"):
+        any_of |= F.contains(F.lower(c), F.lit("app1"))
+    return found(spark, d).where(any_of & F.col("severity").isin("high", "critical")).select("seq")
+
+
+_ENTRIES = {
+    "baseline": "SELECT s_suppkey AS seq, concat('R-', CAST(s_suppkey % 17 AS STRING)) AS rule_id, concat('./app', CAST(s_suppkey % 23 AS STRING), '.py') AS path, CAST(s_nationkey % 13 + 1 AS INT) AS start_line FROM supplier",
+    "suppressions": "SELECT c_custkey AS seq, concat('R-', CAST(c_custkey % 17 AS STRING)) AS rule_id, concat('app', CAST(c_custkey % 23 AS STRING), '.py') AS path, CAST(c_nationkey % 13 + 1 AS INT) AS start_line, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01T00:00:00' WHEN c_custkey % 3 = 1 THEN '2026-01-01T00:00:00' ELSE NULL END AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 'pending' ELSE 'approved' END AS review_status FROM customer",
+    "overrides": "SELECT p_partkey AS seq, concat('R-', CAST(p_partkey % 17 AS STRING)) AS rule_id, concat('src/app', CAST(p_partkey % 23 AS STRING), '.py') AS path, CAST(p_size % 13 + 1 AS INT) AS start_line, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-01T00:00:00' ELSE NULL END AS expires_at, CASE WHEN p_partkey % 2 = 0 THEN 'suppressed' ELSE 'active' END AS decision FROM part",
+}
+_NOW = "2025-01-01 00:00:00"
+
+
+def entries(spark, d, kind):
+    source = {"baseline": "supplier", "suppressions": "customer", "overrides": "part"}[kind]
+    return spark.sql(_ENTRIES[kind].replace(f"FROM {source}", "FROM {rows}"), rows=table(spark, d, source))
+
+
+def triage(spark, d):
+    return findings.triaged(found(spark, d), *(entries(spark, d, k) for k in ("baseline", "suppressions", "overrides")), F.lit(_NOW).cast("timestamp"))
+
+
+def _match(k, where="true"):
+    return f"(SELECT i.seq, arg_min(e, e.seq) AS e FROM i JOIN (SELECT * FROM {k} WHERE {where}) e ON e.rule_id = i.rule_id AND e.start_line = i.start_line AND ends_with(ltrim(i.path, './'), ltrim(e.path, './')) GROUP BY i.seq)"
+
+
+_VALID = f"expires_at IS NULL OR CAST(expires_at AS TIMESTAMP) > TIMESTAMP '{_NOW}'"
+_TRIAGE = f"WITH {_F}, " + ", ".join(f"{k} AS ({v.replace('AS STRING', 'AS VARCHAR')})" for k, v in _ENTRIES.items()) + f""", b AS (SELECT i.*, o.e.decision AS decision, CASE WHEN o.e.decision = 'suppressed' THEN 'suppressed' WHEN o.e.decision IS NOT NULL THEN 'active' WHEN l.e.seq IS NOT NULL THEN 'baselined' WHEN s.e.seq IS NOT NULL THEN 'suppressed' ELSE 'active' END AS bucket, l.e.seq AS baseline_seq, s.e.seq AS suppression_seq, o.e.seq AS override_seq
+FROM i LEFT JOIN {_match("overrides", _VALID)} o ON o.seq = i.seq LEFT JOIN {_match("baseline")} l ON l.seq = i.seq LEFT JOIN {_match("suppressions", f"review_status = 'approved' AND ({_VALID})")} s ON s.seq = i.seq)"""
+
+
+@query(f"{_TRIAGE} SELECT seq, bucket, baseline_seq, suppression_seq, override_seq FROM b")
+def triage_buckets(spark, d):
+    return triage(spark, d).select("seq", "bucket", "baseline_seq", "suppression_seq", "override_seq")
+
+
+@query(f"{_TRIAGE} SELECT bucket, severity, count(*) AS n FROM b GROUP BY ALL")
+def triage_counts(spark, d):
+    return triage(spark, d).groupBy("bucket", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{_TRIAGE} SELECT seq FROM b WHERE bucket = 'active'")
+def triage_active(spark, d):
+    return triage(spark, d).where("bucket = 'active'").select("seq")
+
+
+# Paths and manifests
+
+_EXT = ["py", "js", "ts", "java", "kt", "php", "json", "toml", "xml", "txt", "bin", "TSX"]
+_PATHS = f"SELECT p_partkey AS file_id, concat('src/', p_brand, '/', CAST(p_partkey AS STRING), '.', CASE p_partkey % {len(_EXT)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_EXT)) + " END) AS path FROM part"
+
+
+@query(f"SELECT file_id, path, {classify.language_sql('path')} AS language FROM ({_PATHS.replace('AS STRING', 'AS VARCHAR')})")
+def classify_language(spark, d):
+    return spark.sql(_PATHS.replace("FROM part", "FROM {rows}"), rows=table(spark, d, "part")).withColumn("language", classify.language(F.col("path")))
+
+
+@query(f"SELECT language, count(*) AS n FROM (SELECT {classify.language_sql('path')} AS language FROM ({_PATHS.replace('AS STRING', 'AS VARCHAR')})) GROUP BY 1")
+def language_counts(spark, d):
+    return classify_language(spark, d).groupBy("language").agg(F.count("*").alias("n"))
+
+
+_REQ = "SELECT p_partkey AS file_id, concat('# pins', chr(10), CASE WHEN p_partkey % 3 = 0 THEN 'Flask' ELSE 'numpy' END, '==', CAST(p_size AS STRING), '.0', chr(10), 'requests==2.', CAST(p_partkey % 9 AS STRING), chr(10), 'click>=8') AS content FROM part"
+_ADV = "(VALUES " + ", ".join(map(str, findings.ADVISORIES)) + ") v(name, advisory_id, severity)"
+
+
+@query(f"WITH l AS (SELECT file_id, content, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM ({_REQ.replace('AS STRING', 'AS VARCHAR')})), d AS (SELECT file_id, line, string_split(content, chr(10))[line] AS x FROM l), p AS (SELECT file_id, line, split_part(x, '==', 1) AS package, split_part(x, '==', 2) AS version FROM d WHERE contains(x, '==') AND x NOT LIKE '#%') SELECT file_id, line, package, version, advisory_id, severity FROM p JOIN {_ADV} ON lower(package) = name")
+def sca_requirements(spark, d):
+    files = spark.sql(_REQ.replace("FROM part", "FROM {rows}"), rows=table(spark, d, "part"))
+    return dependencies.vulnerable(dependencies.requirements(files)).select("file_id", "line", "package", "version", "advisory_id", "severity")
+
+
+_NPM = """SELECT p_partkey AS file_id, concat('{"dependencies": {"express": "', CAST(p_size AS STRING), '", "left-pad": "1"}, "devDependencies": {"', CASE WHEN p_partkey % 2 = 0 THEN 'lodash' ELSE 'jest' END, '": "4"}}') AS content FROM part"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"document_summary": document_summary}
-ORACLE: dict[str, str] = {"document_summary": "SELECT doc_id, length(coalesce(text, '')) AS char_count FROM documents"}
+@query(f"WITH f AS ({_NPM.replace('AS STRING', 'AS VARCHAR')}), k AS (SELECT file_id, content, s, unnest(json_keys(content, '$.' || s)) AS package FROM f, (VALUES ('dependencies'), ('devDependencies')) t(s)), p AS (SELECT file_id, CAST(1 AS BIGINT) AS line, package, json_extract_string(content, '$.' || s || '.\"' || package || '\"') AS version FROM k) SELECT file_id, line, package, version, advisory_id, severity FROM p JOIN {_ADV} ON lower(package) = name")
+def sca_package_json(spark, d):
+    files = table(spark, d, "part").selectExpr("p_partkey AS file_id", _NPM.split("file_id, ", 1)[1].rsplit(" FROM", 1)[0])
+    return dependencies.vulnerable(dependencies.package_json(files)).select("file_id", "line", "package", "version", "advisory_id", "severity")
