@@ -11,7 +11,8 @@ Work on pairs stays in proportion to the rows, however large a group of copies i
  2. In each band bucket, every class is compared with one anchor only; confirmed pairs link, and components of
     the links are found. Members that are in the anchor's component by now need no further comparison.
  3. Where members of several components still meet in buckets, other anchors take turns, as long as pairs to be
-    compared outnumber the members by MANY; then all pairs of different components are compared. So each two
+    compared outnumber the members by MANY and turns settle half of them; then buckets with few pairs are compared
+    pair by pair, and members of the others where they share a rare shingle, which near enough sets must. So each two
     classes that share a bucket are compared or are linked through others: nothing is capped.
 Pairs first pass an estimate from their registers, corrected for registers that agree by chance and kept with a margin of
 five standard errors; what is left is confirmed on full sets.
@@ -160,8 +161,20 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(split, "band long, id long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that pass the estimate and then the exact test."""
+def sets_of(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """id, own (the full set) of some documents, from their texts: nothing is stored for the others."""
+    few = ids.count() <= BROADCAST_IDS
+
+    def collect(batches):
+        words = WordIds()
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, words, shingle).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "own"])
+
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(collect, "id long, own binary")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), those that pass the estimate and then the exact test on full sets."""
     n = classes.select("id", "n_shingles", "registers")
     both = pairs.join(n.toDF("a", "n_a", "regs_a"), "a").join(n.toDF("b", "n_b", "regs_b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
@@ -183,36 +196,40 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = both.mapInArrow(likely, "a long, b long")
+    near = written(both.mapInArrow(likely, "a long, b long"), "likely")
+    ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "likely-ids")
+    sets = written(sets_of(ids, texts, shingle), "sets")
     full = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return full.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
 
 
-def sharing_rare(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def sharing_rare(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components of open_ (id, component) that share one of their rarest shingles.
 
-    Of two sets that are near enough, each holds all but a fifth of the other; so with all shingles in one order, rarest first, they
-    share one among the first fifth and one of each. Passages that many documents share come last in that order and pair nobody.
+    With all shingles in one order, rarest first, and the first shared one at places i and j (from 0), two sets share at most
+    min(n_a - i, n_b - j); near enough ones share `least`. So one of each pair's shared shingles passes the join's condition.
+    Passages that many documents share come last in that order and pair nobody.
     """
-    every = sets.join(open_.select("id"), "id", "left_semi")
-
     def spread(batches):
         for batch in batches:
             own = [np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()]
             yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), [len(x) for x in own]), pa.int64()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["id", "shingle"])
 
-    shingles = written(every.select("id", "own").mapInArrow(spread, "id long, shingle long"), "open-shingles")
+    ids = written(open_.select("id"), "open-ids")
+    shingles = written(sets_of(ids, texts, shingle).mapInArrow(spread, "id long, shingle long"), "open-shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     # Shingles of one document only stand first and pair nobody; they just take up places. A document's own shingles are as bounded as its text.
     ranked = shingles.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
-    places = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1 - (n_shingles - size(own))").cast("int")
-    first = ranked.join(classes.select("id", "n_shingles"), "id").join(open_, "id").where(places > 0).select("id", "component", "n_shingles", F.explode(F.slice("own", F.lit(1), places)).alias("s"))
-    keys = written(first.select(F.col("s.shingle").alias("shingle"), "id", "component", "n_shingles"), "rare")
-    groups = keys.select("shingle", "component").distinct()
-    met = groups.alias("x").join(groups.alias("y"), F.expr("x.shingle = y.shingle AND x.component < y.component")).select(F.col("x.shingle").alias("shingle"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
-    mine = met.join(keys.select("shingle", "component", F.col("id").alias("a"), F.col("n_shingles").alias("n_a")), ["shingle", "component"])
-    both = mine.join(keys.select("shingle", F.col("component").alias("other"), F.col("id").alias("b"), F.col("n_shingles").alias("n_b")), ["shingle", "other"])
-    return both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    sized = ranked.join(classes.select("id", F.col("n_shingles").alias("n")), "id").join(open_, "id").withColumn("alone", F.expr("n - size(own)"))
+    places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone").cast("int")
+    first = sized.where(places > 0).select("id", "component", "n", "alone", F.posexplode(F.slice("own", F.lit(1), places)).alias("k", "s"))
+    keys = written(first.select(F.col("s.shingle").alias("shingle"), "id", "component", "n", (F.col("alone") + F.col("k")).alias("place")), "rare")
+    both = 100 + percent
+    # The smaller of two sets must have the shared shingle among fewer places.
+    smaller = keys.where(f"place <= n - ({2 * percent} * n + {both - 1}) div {both}").alias("x")
+    least = f"(({percent} * (x.n + y.n) + {both - 1}) div {both})"
+    on = f"x.shingle = y.shingle AND x.component <> y.component AND (x.n < y.n OR x.n = y.n AND x.id < y.id) AND 100 * x.n >= {percent} * y.n AND x.n - x.place >= {least} AND y.n - y.place >= {least}"
+    return smaller.join(keys.alias("y"), F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def connected(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -259,16 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bands = banded(classes.where(F.col("n_shingles") >= least))
     crowded = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
     members = written(bands.join(crowded, "band", "left_semi"), "members")
-    some = written(members.select("id").distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    few = some.count() <= BROADCAST_IDS
-
-    def collect(batches):
-        words = WordIds()
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, words, shingle).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "own"])
-
-    sets = written(texts.join(F.broadcast(some) if few else some, "id", "left_semi").mapInArrow(collect, "id long, own binary"), "sets")
     links = spark.createDataFrame([], "a long, b long")
     # A doc_id that came with several texts links their classes.
     alias = named.select("doc_id", "print").join(classes.select("print", "id"), "print").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -280,21 +288,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         mixed_bands = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
         open_ = written(open_.join(mixed_bands, "band", "left_semi"), "open")
         counts = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
-        per_band = counts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-        total, pairs_left = per_band.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2), F.lit(0.0))).first()
+        per_band = counts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")).select("band", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs"))
+        total, pairs_left = per_band.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if not total:
             break
-        # A turn that settles less than half of the pairs met groups that are no copies; then each pair is looked at.
+        # A turn that settles less than half of the pairs met groups that are no copies.
         last = turn > 0 and (pairs_left <= MANY * total or 2 * pairs_left > before)
         before = pairs_left
         if last:
-            pairs = sharing_rare(open_.select("id", "component").distinct(), classes, sets, percent)
+            # Small buckets are compared pair by pair; members of large ones by what is rare among them.
+            crowd = written(per_band.where(F.col("pairs") > MANY * F.col("n")).select("band"), "crowd")
+            quiet = open_.join(crowd, "band", "left_anti").alias("x")
+            pairs = quiet.join(quiet.alias("y"), F.expr("x.band = y.band AND x.component <> y.component AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            if crowd.first():
+                pairs = pairs.unionByName(sharing_rare(open_.join(crowd, "band", "left_semi").select("id", "component").distinct(), classes, texts, shingle, percent))
         else:
             rank = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component")) if turn else F.struct(F.lit(0).cast("long"), F.col("id"), F.col("component"))
             anchors = open_.groupBy("band").agg(F.min(rank).alias("x")).select("band", F.col("x.id").alias("a"), F.col("x.component").alias("own"))
             pairs = open_.join(anchors, "band").where("component <> own").select("a", F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(confirmed(pairs, classes, sets, percent), "found")
+        found = written(confirmed(pairs, classes, texts, shingle, percent), "found")
         links = links.unionByName(found)
         components = connected(links)
         turn += 1
