@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from wardenry.operators import dependencies, detect, findings, taint
+from wardenry.operators import dependencies, detect, findings, frameworks, manifest, taint
 from wardenry.plans import registry
 from wardenry.sources import corpus
 
@@ -70,3 +70,16 @@ def test_lock_file(spark):
 def test_last_of_a_key_wins_at_the_first_place(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "id string, seq long, v string")
     assert sorted(map(tuple, findings.last_wins(rows).collect())) == [("a", 1, "z"), ("b", 2, "y")]
+
+
+def test_manifests_that_are_broken_or_bare_give_nothing(spark):
+    ns = 'xmlns:android="http://schemas.android.com/apk/res/android"'
+    files = spark.createDataFrame([(1, "<manifest"), (2, None), (3, ""), (4, f'<manifest {ns}/>'), (5, f'<manifest {ns} package="p"><application><activity android:exported="true"/><service android:exported="true"/></application></manifest>')], "file_id long, content string")
+    assert [tuple(r) for r in manifest.findings(files).collect()] == [(5, "MOBILE-ANDROID-001", "<unknown>", "p")]
+
+
+def test_frameworks_are_tried_in_order(spark):
+    rows = [("python", "a.py", "import flask\nfastapi"), ("python", "urls.py", None), ("php", "routes/web.php", ""), ("php", "x.php", "redirect("), ("kotlin", "src/main/kotlin/a.kt", "x"), ("go", "a.go", "django")]
+    df = spark.createDataFrame(rows, "language string, path string, content string")
+    k = frameworks.framework(*(df[c] for c in df.columns))
+    assert [r[0] and tuple(r[0]) for r in df.select(k).collect()] == [("flask", "high", "python:flask"), ("django", "high", "python:django"), ("laravel", "medium", "php:laravel-path"), (None, "low", None), ("spring", "low", "java:spring-path"), (None, "low", None)]

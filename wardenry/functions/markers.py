@@ -45,6 +45,20 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "spring_deserial": ("gson.fromjson(", "xmlmapper.readvalue(", "jsonmapper.readvalue(", "new objectinputstream(", "serializationutils.deserialize(", "kryo.readobject(", "kryo.readclassandobject(", "yaml.load(", "yaml().load(", "snakeyaml.load(", "snakeyaml.loadas("),
     "missing_auth_route": ("@app.route", "@bp.route", "@blueprint.route", "app.get(", "app.post(", "router.get(", "router.post("),
     "missing_auth_request": ("request.args", "request.form", "request.values", "request.json", "request.get_json", "request.user", "req.query", "req.body", "req.user"),
+    "route_param": ("req.params", "request.params"),
+    "spring_request_param": ("@requestparam", "requestparam("),
+    "spring_path_variable": ("@pathvariable", "pathvariable("),
+    "spring_cookie": ("@cookievalue", "getcookies(", "getcookie("),
+    "spring_header": ("@requestheader", "requestheader("),
+    "spring_get_parameter": ("getparameter(", "getparameterstring(", "getparameternames("),
+    "spring_get_header": ("getheader(",),
+    "spring_reader": ("getreader(", "getinputstream("),
+    "spring_controller": ("@restcontroller", "@controller", "@requestmapping", "@getmapping", "@postmapping", "@putmapping", "@deletemapping", "@patchmapping"),
+    "spring_repository": ("@repository", "jdbctemplate", "entitymanager", "springdata", "jpacrepository"),
+    "spring_servlet": ("@webservlet", "extends httpservlet", "doget(", "dopost(", "doput(", "dodelete(", "service("),
+    "process_shell": ("shell_exec(", "exec(", "system(", "passthru(", "pcntl_exec("),
+    "process_spawn": ("proc_open(", "popen("),
+    "process_object": ("symfony\\component\\process\\process", "process->"),
     "prefs": ("sharedpreferences", "getsharedpreferences(", "android.content.sharedpreferences"),
     "prefs_key": ("token", "secret", "password", "passwd", "passphrase", "api_key", "apikey", "auth", "session", "jwt", "credential", "refresh"),
 }
@@ -62,3 +76,15 @@ def has_any(line: Column, family: str) -> Column:
 def sql_has_any(line: str, family: str) -> str:
     """The same for DuckDB."""
     return f"regexp_matches(lower({line}), '{alternation(family).replace(chr(39), chr(39) * 2)}')"
+
+
+def first_of(text: Column, cases: tuple[tuple[str, str], ...], default: str | None = None) -> Column:
+    """The value of the first (value, family) whose family is met."""
+    out = F.lit(default).cast("string")
+    for value, family in reversed(cases):
+        out = F.when(has_any(text, family), value).otherwise(out)
+    return out
+
+
+def sql_first_of(text: str, cases: tuple[tuple[str, str], ...], default: str | None = None) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_has_any(text, f)} THEN '{v}'" for v, f in cases) + (f" ELSE '{default}'" if default else "") + " END"

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.markers import has_any, sql_has_any
-from ..operators import classify, dependencies, detect, findings, secrets_scan, taint
+from ..functions.markers import has_any, sql_first_of, sql_has_any
+from ..operators import classify, dependencies, detect, findings, flows, frameworks, manifest, reports, secrets_scan, taint
 from ..sources.corpus import CODE_SQL, code_lines, normalised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,3 +267,107 @@ _NPM = """SELECT p_partkey AS file_id, concat('{"dependencies": {"express": "',
 def sca_package_json(spark, d):
     files = table(spark, d, "part").selectExpr("p_partkey AS file_id", _NPM.split("file_id, ", 1)[1].rsplit(" FROM", 1)[0])
     return dependencies.vulnerable(dependencies.package_json(files)).select("file_id", "line", "package", "version", "advisory_id", "severity")
+
+
+# Flows by framework
+
+
+def _flow(framework):
+    return lambda spark, d: flows.line_flows(code(spark, d), framework)
+
+
+for _f in ("express", "nextjs", "django"):
+    query(f"WITH {CODE_SQL} SELECT * FROM (SELECT file_id, line_no, {sql_first_of('line', flows.SOURCES[_f])} AS source_kind FROM code WHERE language = '{flows.LANGUAGES[_f]}') WHERE source_kind IS NOT NULL", f"flow_{_f}")(_flow(_f))
+
+
+@query(f"WITH {CODE_SQL}, c AS (SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM code WHERE language = 'java') SELECT * FROM (SELECT file_id, line_no, {sql_first_of('x', flows.SOURCES['spring'])} AS source_kind, {sql_first_of('x', flows.HANDLERS)} AS handler_kind, {sql_first_of('x', flows.ENTRIES)} AS entry_kind FROM c) WHERE coalesce(source_kind, handler_kind, entry_kind) IS NOT NULL")
+def flow_spring(spark, d):
+    return flows.spring_flows(code(spark, d))
+
+
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no, {sql_first_of('line', flows.PROCESSES, 'shell_command')} AS process_kind FROM code WHERE language = 'php' AND {sql_has_any('line', 'php_process')}")
+def process_kinds(spark, d):
+    return flows.process_kinds(detect.detect(code(spark, d).withColumn("tainted", F.lit(False)), "php_process"))
+
+
+# Frameworks
+
+_FILES = f"WITH {CODE_SQL}, f AS (SELECT file_id, language, concat('src/', CAST(file_id AS VARCHAR), CASE file_id % 5 WHEN 0 THEN '/settings.py' WHEN 1 THEN '/pages/x' WHEN 2 THEN '/src/main/java/x' ELSE '/x' END) AS path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM code GROUP BY file_id, language)"
+_FRAMEWORK = ", ".join(f"{frameworks.framework_sql(x)} AS {x}" for x in ("framework", "confidence", "signal"))
+
+
+def code_files(spark, d):
+    """file_id, language, path, content: the synthetic lines as files. A file is one customer's orders, so a group stays small."""
+    lines = code(spark, d).groupBy("file_id", "language").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    tail = F.when(F.col("file_id") % 5 == 0, "/settings.py").when(F.col("file_id") % 5 == 1, "/pages/x").when(F.col("file_id") % 5 == 2, "/src/main/java/x").otherwise("/x")
+    return lines.select("file_id", "language", F.concat(F.lit("src/"), F.col("file_id").cast("string"), tail).alias("path"), F.array_join("l.line", "\n").alias("content"))
+
+
+@query(f"{_FILES} SELECT file_id, {_FRAMEWORK} FROM f")
+def classify_framework(spark, d):
+    return code_files(spark, d).select("file_id", frameworks.framework(F.col("language"), F.col("path"), F.col("content")).alias("k")).select("file_id", "k.*")
+
+
+@query(f"{_FILES}, k AS (SELECT {_FRAMEWORK} FROM f) SELECT framework, count(*) AS n FROM k WHERE framework IS NOT NULL GROUP BY framework")
+def framework_counts(spark, d):
+    return classify_framework(spark, d).where("framework IS NOT NULL").groupBy("framework").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH f AS (SELECT p_partkey AS file_id, 'json' AS language, 'a/package.json' AS path, concat('{{\"name\": \"x\", \"dependencies\": {{\"', CASE p_partkey % 5 WHEN 0 THEN 'next' WHEN 1 THEN 'express' WHEN 2 THEN 'react' WHEN 3 THEN 'react-native' ELSE 'vue' END, '\": \"1\"}}}}') AS content FROM part) SELECT file_id, {_FRAMEWORK} FROM f")
+def classify_package_json(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ("next", "express", "react", "react-native", "vue"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    content = F.concat(F.lit('{"name": "x", "dependencies": {"'), name, F.lit('": "1"}}'))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), frameworks.framework(F.lit("json"), F.lit("a/package.json"), content).alias("k")).select("file_id", "k.*")
+
+
+# Android manifests
+
+_XML = """concat('<manifest xmlns:android="http://schemas.android.com/apk/res/android" package="p', CAST(p_partkey AS STRING), '"><uses-permission android:name="android.permission.', CASE WHEN p_partkey % 2 = 0 THEN 'CAMERA' ELSE 'INTERNET' END, '"/><application><activity android:name=".A', CAST(p_size AS STRING), '" android:exported="', CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END, '"/><receiver android:name=".R" android:exported="', CASE WHEN p_partkey % 5 = 0 THEN 'true' ELSE 'false' END, '"/></application></manifest>')"""
+
+
+@query("""SELECT p_partkey AS file_id, 'MOBILE-ANDROID-003' AS rule_id, 'CAMERA' AS evidence, 'p' || p_partkey AS package FROM part WHERE p_partkey % 2 = 0 UNION ALL
+SELECT p_partkey, 'MOBILE-ANDROID-001', '.A' || p_size, 'p' || p_partkey FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'MOBILE-ANDROID-002', '.R', 'p' || p_partkey FROM part WHERE p_partkey % 5 = 0""")
+def android_manifests(spark, d):
+    return manifest.findings(table(spark, d, "part").selectExpr("p_partkey AS file_id", f"{_XML} AS content"))
+
+
+# Reports and counts
+
+
+@query(f"WITH {_F} SELECT seq, concat('[', upper(severity), '] ', rule_id, ' ', path, ':', start_line, ' ', title) AS summary FROM i")
+def report_text(spark, d):
+    return found(spark, d).select("seq", reports.summary().alias("summary"))
+
+
+@query(f"WITH {_F} SELECT seq, CAST(to_json({{'id': id, 'path': path, 'rule_id': rule_id, 'severity': severity, 'start_line': start_line, 'title': title}}) AS VARCHAR) AS json FROM i")
+def report_json(spark, d):
+    return reports.json_rows(found(spark, d))
+
+
+_LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
+
+
+@query(f"WITH {_F} SELECT rule_id, arg_min({_LEVEL}, seq) AS level FROM i GROUP BY rule_id")
+def sarif_rules(spark, d):
+    return reports.sarif_rules(found(spark, d))
+
+
+@query(f"{_TRIAGE} SELECT seq, rule_id, {_LEVEL} AS level, path AS uri, start_line FROM b WHERE bucket = 'active'")
+def sarif_results(spark, d):
+    return reports.sarif_results(triage(spark, d).where("bucket = 'active'"))
+
+
+@query(f"{_TRIAGE} SELECT decision, count(*) AS n FROM b WHERE override_seq IS NOT NULL GROUP BY decision".replace("decision, count", "CASE WHEN bucket = 'suppressed' THEN 'suppressed' ELSE 'active' END AS decision, count").replace("GROUP BY decision", "GROUP BY 1"))
+def override_counts(spark, d):
+    return triage(spark, d).where("override_seq IS NOT NULL").groupBy(F.when(F.col("bucket") == "suppressed", "suppressed").otherwise("active").alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS n_valid FROM events GROUP BY event_type")
+def json_validity(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("n_valid"))
+
+
+@query("SELECT event_id, '$.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def json_leaves(spark, d):
+    leaves = F.explode(F.from_json("props", "map<string,string>")).alias("k", "value")
+    return table(spark, d, "events").select("event_id", leaves).select("event_id", F.concat(F.lit("$."), F.col("k")).alias("path"), "value")
