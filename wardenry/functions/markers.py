@@ -45,6 +45,12 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "spring_deserial": ("gson.fromjson(", "xmlmapper.readvalue(", "jsonmapper.readvalue(", "new objectinputstream(", "serializationutils.deserialize(", "kryo.readobject(", "kryo.readclassandobject(", "yaml.load(", "yaml().load(", "snakeyaml.load(", "snakeyaml.loadas("),
     "missing_auth_route": ("@app.route", "@bp.route", "@blueprint.route", "app.get(", "app.post(", "router.get(", "router.post("),
     "missing_auth_request": ("request.args", "request.form", "request.values", "request.json", "request.get_json", "request.user", "req.query", "req.body", "req.user"),
+    "orm_django": ("django.db", "objects.raw(", "objects.extra(", "connection.cursor(", "cursor.execute(", "from django"),
+    "orm_sqlalchemy": ("sqlalchemy", "session.execute(", "db.session.execute(", "engine.execute(", "connection.execute(", "text("),
+    "orm_raw": ("objects.raw(", ".raw(", "text(", "execute(", "executemany(", "from_statement("),
+    "file_open": ("open(", "os.open(", "read_text(", "read_bytes(", "file_response(", "fileresponse("),
+    "file_send": ("send_file(", "send_from_directory("),
+    "file_copy": ("copy(", "copyfile(", "move("),
     "route_param": ("req.params", "request.params"),
     "spring_request_param": ("@requestparam", "requestparam("),
     "spring_path_variable": ("@pathvariable", "pathvariable("),

@@ -21,6 +21,8 @@ SOURCES: dict[str, tuple[tuple[str, str], ...]] = {
 HANDLERS = (("controller_method", "spring_controller"), ("repository_method", "spring_repository"), ("servlet_method", "spring_servlet"))
 ENTRIES = (("servlet", "spring_servlet"), ("controller", "spring_controller"), ("repository", "spring_repository"))
 PROCESSES = (("shell", "process_shell"), ("spawn", "process_spawn"), ("process_object", "process_object"))
+ORMS = (("django_orm", "orm_django"), ("sqlalchemy", "orm_sqlalchemy"))
+FILE_OPERATIONS = (("open", "file_open"), ("send", "file_send"), ("copy_or_move", "file_copy"))
 LANGUAGES = {"express": "javascript", "nextjs": "javascript", "django": "python", "spring": "java"}
 
 
@@ -40,3 +42,13 @@ def spring_flows(lines: DataFrame) -> DataFrame:
 def process_kinds(hits: DataFrame) -> DataFrame:
     """file_id, line_no, process_kind of lines that start a process."""
     return hits.select("file_id", "line_no", first_of(F.col("line"), PROCESSES, "shell_command").alias("process_kind"))
+
+
+def orm_kinds(hits: DataFrame) -> DataFrame:
+    """file_id, line_no, orm_model, query_kind (raw_sql or null) of ORM findings; told by the line alone."""
+    return hits.select("file_id", "line_no", first_of(F.col("line"), ORMS, "generic_orm").alias("orm_model"), first_of(F.col("line"), (("raw_sql", "orm_raw"),)).alias("query_kind"))
+
+
+def file_operations(hits: DataFrame) -> DataFrame:
+    """file_id, line_no, file_operation (or null) of file findings."""
+    return hits.select("file_id", "line_no", first_of(F.col("line"), FILE_OPERATIONS).alias("file_operation"))

@@ -290,6 +290,20 @@ def process_kinds(spark, d):
     return flows.process_kinds(detect.detect(code(spark, d).withColumn("tainted", F.lit(False)), "php_process"))
 
 
+def _plain(spark, d, name):
+    return detect.detect(code(spark, d).withColumn("tainted", F.lit(False)), name)
+
+
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no, {sql_first_of('line', flows.ORMS, 'generic_orm')} AS orm_model, {sql_first_of('line', (('raw_sql', 'orm_raw'),))} AS query_kind FROM ({detect.sql_of('python_orm')})")
+def orm_kinds(spark, d):
+    return flows.orm_kinds(_plain(spark, d, "python_orm"))
+
+
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no, {sql_first_of('line', flows.FILE_OPERATIONS)} AS file_operation FROM ({detect.sql_of('python_file')})")
+def file_operations(spark, d):
+    return flows.file_operations(_plain(spark, d, "python_file"))
+
+
 # Frameworks
 
 _FILES = f"WITH {CODE_SQL}, f AS (SELECT file_id, language, concat('src/', CAST(file_id AS VARCHAR), CASE file_id % 5 WHEN 0 THEN '/settings.py' WHEN 1 THEN '/pages/x' WHEN 2 THEN '/src/main/java/x' ELSE '/x' END) AS path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM code GROUP BY file_id, language)"
@@ -371,3 +385,8 @@ def json_validity(spark, d):
 def json_leaves(spark, d):
     leaves = F.explode(F.from_json("props", "map<string,string>")).alias("k", "value")
     return table(spark, d, "events").select("event_id", leaves).select("event_id", F.concat(F.lit("$."), F.col("k")).alias("path"), "value")
+
+
+@query(f"WITH {_F} SELECT severity, count(*) AS n_total, count(*) FILTER (contains(lower(path), 'app1')) AS n_visible FROM i GROUP BY severity")
+def filter_summary(spark, d):
+    return found(spark, d).groupBy("severity").agg(F.count("*").alias("n_total"), F.count_if(F.contains(F.lower("path"), F.lit("app1"))).alias("n_visible"))
