@@ -60,13 +60,32 @@ def test_rare_shingles_lose_no_pair(spark):
     rows = [(i, " ".join(w if rng.random() > 0.03 else f"y{rng.randrange(5)}" for w in base)) for i in range(25)]
     sets = [(i, near_dedup.shingle_set(t, near_dedup.WordIds(), 2)) for i, t in rows]
     classes = spark.createDataFrame([(i, len(s)) for i, s in sets], "id long, n_shingles long")
-    own = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets], "id long, own binary")
+    texts = spark.createDataFrame(rows, "id long, text string")
     open_ = spark.createDataFrame([(i, i) for i, _ in sets], "id long, component long")
-    got = {(r.a, r.b) for r in near_dedup.sharing_rare(open_, classes, own, 80).collect()}
+    got = {(r.a, r.b) for r in near_dedup.sharing_rare(open_, classes, texts, 2, 80).collect()}
     want = {(i, j) for i, a in sets for j, b in sets if i < j and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
     assert want and want <= got
 
 
+@pytest.mark.parametrize("per_task", [40, 1_000_000])
+def test_components_in_one_share_and_in_many(spark, per_task):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1090)] + [(5000, i) for i in range(4000, 4050)] + [(7, 7)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    got = near_dedup.connected(spark.createDataFrame(edges, "a long, b long").repartition(8), per_task=per_task).collect()
+    assert len(got) == len(root) and {r.id: r.component for r in got} == {x: find(x) for x in root}
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 

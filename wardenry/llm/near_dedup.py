@@ -39,6 +39,8 @@ MANTISSA = 10
 MANY = 4
 #: Ids of candidates are broadcast up to this number (16 MB), and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
+#: Edges that a task holds at once when it looks for components (16 bytes each).
+EDGES_PER_TASK = 1_000_000
 EMPTY = np.uint16(0xFFFF)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -115,23 +117,21 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def chance_agreement(n: int, m: int) -> float:
+def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that a register of two unrelated sets of n and m shingles agrees, for minima of the size that such sets have.
 
     A minimum of k values is near 1 / k, and its neighbours that share zeros and mantissa span about 2^-MANTISSA of it; the product
     of the two densities over that span is below 2^-MANTISSA * n m / (n + m)^2, up to a factor near 1.
     """
-    return 2.0**-MANTISSA * n * m / max(1, n + m) ** 2
+    return 2.0**-MANTISSA * n * m / np.maximum(1, n + m) ** 2
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, float]:
-    """Jaccard similarity from registers, corrected for chance, and its standard error near the threshold."""
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarities from registers (the last axis), corrected for chance, and their standard errors near the threshold."""
     used = (a != EMPTY) | (b != EMPTY)
-    k = int(used.sum())
-    if not k:
-        return 0.0, 1.0
-    agree, chance = int((used & (a == b)).sum()) / k, chance_agreement(n, m)
-    return max(0.0, (agree - chance) / (1 - chance)), (0.16 / k) ** 0.5 + 1.0 / k
+    k = np.maximum(used.sum(axis=-1), 1)
+    agree, chance = (used & (a == b)).sum(axis=-1) / k, chance_agreement(n, m)
+    return np.maximum(0.0, (agree - chance) / (1 - chance)), np.sqrt(0.16 / k) + 1.0 / k
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -180,11 +180,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
 
     def likely(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("regs_a", "regs_b", "n_a", "n_b")), strict=True)
-            keep = []
-            for x, y, n_x, n_y in rows:
-                value, error = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n_x, n_y)
-                keep.append(value >= percent / 100 - 5 * error)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
+            value, error = estimate(x, y, *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
+            keep = value >= percent / 100 - 5 * error
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches):
@@ -232,17 +230,53 @@ def sharing_rare(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle
     return smaller.join(keys.alias("y"), F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def connected(edges: DataFrame, name: str = "links") -> DataFrame:
-    """id, component (smallest id) of every end of the edges (a, b): large-star and small-star in turns until nothing changes."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each end of the edges but the smallest of its component, with that smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        near = low.copy()
+        np.minimum.at(near, low[x], low[y])
+        np.minimum.at(near, low[y], low[x])
+        while not np.array_equal(near, jumped := near[near]):
+            near = jumped
+        near = near[low]
+        if np.array_equal(near, low):
+            return ids[low != np.arange(len(ids))], ids[low[low != np.arange(len(ids))]]
+        low = near
+
+
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b), a > b, that connect what the given ones do, at most one for each end in each of the parts."""
+    def local(batches):
+        tables = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if tables:
+            a, b = stars(*(np.concatenate(x) for x in zip(*tables, strict=True)))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return edges.select("a", "b").coalesce(parts).mapInArrow(local, "a long, b long")
+
+
+def connected(edges: DataFrame, name: str = "links", per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """id, component (smallest id) of every end of the edges (a, b).
+
+    Every task replaces its share of the edges, per_task at most or so, by stars. Where there are several shares, large-star and
+    small-star take turns until nothing changes.
+    """
     spark = edges.sparkSession
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def digest(e):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = digest(now)
-    while last[0]:
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+    parts = -(-now.count() // per_task)
+    if not parts:
+        return spark.createDataFrame([], "id long, component long")
+    now = written(contracted(now, parts), name)
+    last = digest(now) if parts > 1 else None
+    while parts > 1:
         # Large star: greater neighbours go to the smallest of the neighbourhood.
         near = both(now)
         low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -256,8 +290,8 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
         if new == last:
             break
         last = new
-    roots = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    return roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(roots.select("id"), "id", "left_anti")) if last[0] else spark.createDataFrame([], "id long, component long")
+    roots = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")) if parts > 1 else now.toDF("id", "component")
+    return roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 def labelled(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -281,7 +315,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # A doc_id that came with several texts links their classes.
     alias = named.select("doc_id", "print").join(classes.select("print", "id"), "print").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     doubled = named.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q").select(F.col("doc_id").alias("a"))
-    links = links.unionByName(alias.join(doubled, "a", "left_semi"))
+    links = links.unionByName(written(alias.join(doubled, "a", "left_semi"), "doubled"))
     components, turn, before = connected(links), 0, 0.0
     while True:
         open_ = labelled(members, components)
