@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         turn += 1
         if last:
             break
-    of_print = labelled(classes.select("print", "id"), components).groupBy("print").agg(F.min("component").alias("component"))
+    # A row for each print; without an aggregate beside the join, Spark can split the rows of a common one.
+    of_print = labelled(classes.select("print", "id"), components).select("print", "component")
     out = signed.join(of_print, "print", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
