@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markers import has_any
@@ -23,12 +23,19 @@ def masked(line: Column) -> Column:
     return F.when(value != "", F.concat(F.substring(value, 1, 2), F.lit("***"), F.substring(value, -2, 2))).otherwise("***")
 
 
-def secret_hits(docs: DataFrame, pattern: int = 0) -> DataFrame:
-    """doc_id, hit (number within the text), line_no, evidence: of every match whose line hints at no dummy."""
-    text = normalised(F.col("text"))
-    own = docs.where(text.rlike(PATTERNS[pattern])).select("doc_id", F.regexp_extract_all(text, F.lit(PATTERNS[pattern]), F.lit(0)).alias("hits"), F.split(text, PATTERNS[pattern], -1).alias("gaps"))
+def secret_hits(docs: DataFrame) -> DataFrame:
+    """doc_id, hit (number within the text, pattern by pattern), line_no, evidence: of every match of any pattern whose line hints at no dummy. What an earlier pattern found with the same line and evidence counts for that one alone; matches of one pattern are all kept."""
+    text, seen = normalised(F.col("text")), F.lit(0)
+    some, found = F.lit(False), []
+    for k, pattern in enumerate(PATTERNS):
+        some |= text.rlike(pattern)
+        found.append(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"), seen.alias("before"), F.lit(k).alias("pattern")))
+        seen = seen + F.regexp_count(text, F.lit(pattern))
+    own = docs.where(some).select("doc_id", F.explode(F.array(*found)).alias("f")).select("doc_id", "f.*")
     newlines = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"))))
-    each = own.select("doc_id", "hits", "gaps", F.posexplode("hits").alias("hit", "match"))
-    line_no = 1 + newlines(F.slice("gaps", F.lit(1), F.col("hit") + 1)) + newlines(F.slice("hits", F.lit(1), F.col("hit")))
+    each = own.select("doc_id", "hits", "gaps", "before", "pattern", F.posexplode("hits").alias("nth", "match"))
+    line_no = 1 + newlines(F.slice("gaps", F.lit(1), F.col("nth") + 1)) + newlines(F.slice("hits", F.lit(1), F.col("nth")))
     first = F.split(F.col("match"), "\n", -1)[0]
-    return each.where(~has_any(first, "dummy_secret")).select("doc_id", F.col("hit").cast("long").alias("hit"), line_no.cast("long").alias("line_no"), masked(first).alias("evidence"))
+    same = Window.partitionBy("doc_id", "line_no", "evidence")
+    real = each.where(~has_any(first, "dummy_secret")).select("doc_id", (F.col("before") + F.col("nth")).cast("long").alias("hit"), line_no.cast("long").alias("line_no"), masked(first).alias("evidence"), "pattern")
+    return real.withColumn("earliest", F.min("pattern").over(same)).where("pattern = earliest").select("doc_id", "hit", "line_no", "evidence")
