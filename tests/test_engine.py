@@ -95,3 +95,14 @@ def test_summary_blocks_a_private_key(spark, tmp_path):
     spark.createDataFrame([(1, "-----BEGIN PRIVATE KEY-----", "en", "a"), (2, "x", "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = registry.QUERIES["document_summary"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.n_secrets, r.decision) for r in rows) == [(1, 1, "blocked"), (2, 0, "allowed")]
+
+
+def test_taint_alone_makes_findings(spark, tmp_path):
+    lines = ["name = request.args.get('name')", "query = \"SELECT * FROM users WHERE id = \" + name", "cursor.execute(query)"]
+    web = detect.web_findings(taint.with_taint(code(spark, *lines))).collect()
+    assert [(r.line_no, r.detector) for r in web] == [(2, "python_sqli"), (3, "python_orm")]
+    # A customer with orders that stand for these lines, and one who only executes.
+    orders = spark.createDataFrame([(4, 0), (4, 4), (4, 8), (8, 8)], "o_custkey long, o_orderkey long")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = {n: sorted((r.file_id, r.line_no) for r in registry.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("python_orm", "python_orm_with_taint", "orm_kinds_with_taint")}
+    assert found == {"python_orm": [], "python_orm_with_taint": [(4, 3)], "orm_kinds_with_taint": [(4, 3)]}

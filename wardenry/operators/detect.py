@@ -79,12 +79,13 @@ def web_findings(lines: DataFrame) -> DataFrame:
     return lines.select("file_id", "line_no", "line", F.explode(F.array_compact(F.array(*found))).alias("f")).select("file_id", "line_no", "line", "f.ordinal", "f.detector", "f.rule_id")
 
 
-def sql_of(name: str) -> str:
-    """The detector over `code` (file_id, line_no, language, line) without taint, for DuckDB."""
+def sql_of(name: str, tainted: str = "") -> str:
+    """The detector over `code` (file_id, line_no, language, line) for DuckDB; without taint, unless a condition for tainted lines is given."""
     rule, languages, sink, source, lifted = DETECTORS[name]
     out = sql_has_any("line", sink)
     if source:
         more = " OR contains(line, '+') OR regexp_matches(line, 'f[\"'']') OR contains(lower(line), '.format(')" if name in ("python_orm", "python_sqli") else ""
+        more += f" OR {tainted}" if tainted else ""
         out += f" AND ({sql_has_any('line', source)}{more})"
     if name == "spring_deserial":
         out = f"({out} OR contains(lower(line), 'objectinputstream') AND regexp_matches(lower(line), 'readobject\\(|readunshared\\(') OR contains(lower(line), 'objectmapper') AND contains(lower(line), 'readvalue('))"

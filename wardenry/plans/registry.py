@@ -102,6 +102,24 @@ def taint_sources(spark, d):
     return taint.assignments(code(spark, d)).where("kind IS NOT NULL").select("file_id", "line_no", "kind")
 
 
+# The queries above and orm_kinds and file_operations below look at a line alone, as their SQL says; *_with_taint are the whole detectors.
+_TAINTED = f"WITH RECURSIVE {_TAINT}, u AS (SELECT DISTINCT code.file_id, line_no FROM code JOIN v ON v.file_id = code.file_id AND list_contains(regexp_extract_all(lower(line), '[a-z_][a-z0-9_]*'), target))"
+_IS_TAINTED = "(file_id, line_no) IN (SELECT file_id, line_no FROM u)"
+
+
+def _tainted(spark, d, name):
+    return detect.detect(taint.with_taint(code(spark, d)), name)
+
+
+def _detector_with_taint(name):
+    query(f"{_TAINTED} {detect.sql_of(name, _IS_TAINTED)}", f"{name}_with_taint")(lambda spark, d: _tainted(spark, d, name))
+
+
+for _name in detect.DETECTORS:
+    if detect.DETECTORS[_name][3]:
+        _detector_with_taint(_name)
+
+
 @query()
 def web_findings(spark, d):
     return detect.web_findings(taint.with_taint(code(spark, d)))
@@ -299,11 +317,21 @@ def orm_kinds(spark, d):
     return flows.orm_kinds(_plain(spark, d, "python_orm"))
 
 
+@query(f"{_TAINTED} SELECT file_id, line_no, {sql_first_of('line', flows.ORMS, 'generic_orm')} AS orm_model, {sql_first_of('line', (('raw_sql', 'orm_raw'),))} AS query_kind FROM ({detect.sql_of('python_orm', _IS_TAINTED)})")
+def orm_kinds_with_taint(spark, d):
+    return flows.orm_kinds(_tainted(spark, d, "python_orm"))
+
+
 @query(f"WITH {CODE_SQL} SELECT file_id, line_no, {sql_first_of('line', flows.FILE_OPERATIONS)} AS file_operation FROM ({detect.sql_of('python_file')})")
 def file_operations(spark, d):
     return flows.file_operations(_plain(spark, d, "python_file"))
 
 
+@query(f"{_TAINTED} SELECT file_id, line_no, {sql_first_of('line', flows.FILE_OPERATIONS)} AS file_operation FROM ({detect.sql_of('python_file', _IS_TAINTED)})")
+def file_operations_with_taint(spark, d):
+    return flows.file_operations(_tainted(spark, d, "python_file"))
+
+
 # Frameworks
 
 _FILES = f"WITH {CODE_SQL}, f AS (SELECT file_id, language, concat('src/', CAST(file_id AS VARCHAR), CASE file_id % 5 WHEN 0 THEN '/settings.py' WHEN 1 THEN '/pages/x' WHEN 2 THEN '/src/main/java/x' ELSE '/x' END) AS path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM code GROUP BY file_id, language)"
