@@ -106,3 +106,14 @@ def test_taint_alone_makes_findings(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     found = {n: sorted((r.file_id, r.line_no) for r in registry.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("python_orm", "python_orm_with_taint", "orm_kinds_with_taint")}
     assert found == {"python_orm": [], "python_orm_with_taint": [(4, 3)], "orm_kinds_with_taint": [(4, 3)]}
+
+
+def test_web_findings_have_templates_dom_writes_and_guards(spark):
+    of = lambda *lines, **k: sorted((r.line_no, r.ordinal, r.detector, r.rule_id) for r in detect.web_findings(taint.with_taint(code(spark, *lines, **k))).collect())
+    names = lambda rows: [(r[0], r[2], r[3]) for r in rows]
+    python = of("@login_required", "return render_template('a', x)", "html.escape(get_template(url))", "requests.get(url); render_template(x)")
+    assert names(python) == [(1, "auth_guard", "WEB-AUTH-001"), (2, "python_template", "WEB-TEMPLATE-001"), (4, "python_template", "WEB-TEMPLATE-001"), (4, "ssrf", "WEB-SSRF-001")]
+    script = of("res.render(view)", "a.innerHTML = b", "dangerouslySetInnerHTML = b", "app.use(requireAuth(x))", "escapeHtml(document.write(fetch(url)));", "fetch(url)", language="javascript")
+    assert names(script) == [(1, "js_template", "WEB-TEMPLATE-001"), (2, "js_xss", "WEB-XSS-001"), (3, "js_template", "WEB-TEMPLATE-001"), (3, "js_xss", "WEB-XSS-001"), (4, "auth_guard", "WEB-AUTH-001"), (6, "ssrf", "WEB-SSRF-001")]
+    open_route = of("x = 1", "router.get('/x', h)", "router.post('/y', h)", "res.json(req.query.a)", language="javascript")
+    assert names(open_route) == [(2, "auth_missing", "WEB-AUTH-001")]

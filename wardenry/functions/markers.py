@@ -30,6 +30,9 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "file_source": ("request.args", "request.form", "request.values", "request.get", "request.post", "request.cookies", "request.meta", "req.cookies", "req.query", "req.body", "user_input", "filename", "path", "file"),
     "redirect_sink": ("redirect(", "httpresponseredirect(", "res.redirect(", "response.redirect("),
     "redirect_source": ("request.args.get(\"next\")", "request.args.get('next')", "request.get.get(\"next\")", "request.get.get('next')", "request.get.get(\"redirect\")", "request.get.get('redirect')", "request.post.get(\"next\")", "request.post.get('next')", "request.post.get(\"redirect\")", "request.post.get('redirect')", "request.cookies.get(\"next\")", "request.cookies.get('next')", "request.cookies.get(\"redirect\")", "request.cookies.get('redirect')", "request.user", "req.user", "authentication", "principal", "auth()->user(", "auth::user(", "req.query.next", "req.body.next", "req.cookies.next", "req.cookies.redirect", "next_url", "redirect_url", "url", "request.get.get(\"uri\")", "request.get.get('uri')"),
+    "python_template": ("render_template(", "render_to_string(", "get_template(", "template.render(", "jinja2.template", "template("),
+    "js_template": ("render(", "res.render(", "response.render(", "template.render(", "render_to_string(", "dangerouslysetinnerhtml"),
+    "js_xss": ("dangerouslysetinnerhtml", "innerhtml", "document.write"),
     "php_ssrf": ("http::get(", "http::post(", "http::put(", "http::delete(", "guzzlehttp\\client(", "client->get(", "client->post(", "client->request(", "file_get_contents(", "curl_exec("),
     "php_redirect": ("redirect(", "redirect()->to(", "redirect()->away(", "response()->redirectto("),
     "php_path": ("file_get_contents(", "storage::get(", "storage::download(", "storage::put(", "readfile(", "fopen(", "fread(", "scandir(", "glob("),

@@ -19,13 +19,16 @@ PARAMETERISED = "|".join((
     r"\b(?:entitymanager|session)\.create(?:native)?query\(\s*[\"'][^\"']*:[a-z_]\w*[^\"']*[\"']\s*\)\.setparameter\(",
 ))
 ALLOWLIST = r"(?:is_allowed_url|isallowedurl|is_safe_url|issafeurl|url_is_allowed|urlisallowed|allowed_url|allowlisted_url|is_trusted_url|istrustedurl)\(.+\)|[a-z_$][\w$.]*\s+in\s+(?:allowed|trusted|safe|allowlisted)_[a-z_]"
+ESCAPED = r"(?i)^\s*(?:(?:html|markupsafe|cgi|flask|django\.utils\.html)\.escape|escapehtml|escape_html|lodash\.escape|_\.escape|he\.encode)\(.+\);*\s*$"
 BUILT = r"[+]|f[\"']|\.format\("
 
-#: name: (rule, languages, sink family, source family or None, what lifts it: bound, allowed or None). Order is the order within a line.
+#: name: (rule, languages, sink family, source family or None, what lifts it: bound, allowed, escaped or None). Order is the order within a line.
 DETECTORS: dict[str, tuple] = {
     "python_file": ("WEB-FILE-001", ("python",), "file_sink", "file_source", None),
     "python_orm": ("WEB-ORM-001", ("python",), "orm_sink", "orm_source", "bound"),
     "python_sqli": ("WEB-SQLI-001", ("python",), "sql_verb", "sql_call", "bound"),
+    "python_template": ("WEB-TEMPLATE-001", ("python",), "python_template", None, "escaped"),
+    "js_template": ("WEB-TEMPLATE-001", ("javascript",), "js_template", None, "escaped"),
     "ssrf": ("WEB-SSRF-001", ("python", "javascript"), "ssrf_sink", "ssrf_source", "allowed"),
     "path_traversal": ("WEB-PATH-001", ("python", "javascript"), "path_sink", "path_source", None),
     "open_redirect": ("WEB-REDIRECT-001", ("python", "javascript"), "redirect_sink", "redirect_source", "allowed"),
@@ -59,7 +62,7 @@ def hits(name: str, line: Column, tainted: Column) -> Column:
     if name == "spring_deserial":
         low = F.lower(line)
         out |= low.contains("objectinputstream") & (low.contains("readobject(") | low.contains("readunshared(")) | low.contains("objectmapper") & low.contains("readvalue(")
-    return out & {"bound": ~parameterised(line), "allowed": ~F.lower(line).rlike(ALLOWLIST), None: F.lit(True)}[lifted]
+    return out & {"bound": ~parameterised(line), "allowed": ~F.lower(line).rlike(ALLOWLIST), "escaped": ~line.rlike(ESCAPED), None: F.lit(True)}[lifted]
 
 
 def detect(lines: DataFrame, name: str) -> DataFrame:
@@ -69,14 +72,29 @@ def detect(lines: DataFrame, name: str) -> DataFrame:
 
 
 def web_findings(lines: DataFrame) -> DataFrame:
-    """All detectors in one pass over the lines, without a shuffle: flags become an array that is exploded. An ORM hit ends a Python line after file access."""
-    line, tainted = F.col("line"), F.col("tainted")
-    orm = hits("python_orm", line, tainted)
-    found = []
-    for i, (name, (rule, languages, *_)) in enumerate(DETECTORS.items()):
-        stop = F.lit(False) if name in ("python_file", "python_orm") else F.col("language").eqNullSafe("python") & orm
-        found.append(F.when(F.col("language").isin(*languages) & hits(name, line, tainted) & ~stop, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"))))
-    return lines.select("file_id", "line_no", "line", F.explode(F.array_compact(F.array(*found))).alias("f")).select("file_id", "line_no", "line", "f.ordinal", "f.detector", "f.rule_id")
+    """All detectors in one pass over the lines: flags become an array that is exploded. Routes of files without authentication come from one aggregate and a join.
+
+    An ORM hit ends a Python line after file access, an escaped template or DOM write ends a line before its network, path and redirect sinks.
+    A guard's middleware is the same finding as the guard.
+    """
+    line, tainted, language = F.col("line"), F.col("tainted"), F.col("language")
+    python, script = language.eqNullSafe("python"), language.eqNullSafe("javascript")
+    orm, xss = hits("python_orm", line, tainted), script & has_any(line, "js_xss")
+    escaped = line.rlike(ESCAPED) & (python & has_any(line, "python_template") | script & has_any(line, "js_template") | xss)
+    flags = {
+        "auth_missing": ("WEB-AUTH-001", F.col("unguarded")),
+        "auth_guard": ("WEB-AUTH-001", (python | script) & (has_any(line, "auth_guard") | has_any(line, "role_guard"))),
+    }
+    for name, (rule, languages, *_) in DETECTORS.items():
+        stop = F.lit(False) if name in ("python_file", "python_orm") else python & orm
+        if name in ("ssrf", "path_traversal", "open_redirect"):
+            stop |= escaped
+        flags[name] = (rule, language.isin(*languages) & hits(name, line, tainted) & ~stop)
+        if name == "js_template":
+            flags["js_xss"] = ("WEB-XSS-001", xss & ~escaped)
+    found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"))) for i, (name, (rule, flag)) in enumerate(flags.items())]
+    routes = missing_auth(lines).select("file_id", "line_no", F.lit(True).alias("unguarded"))
+    return lines.join(routes, ["file_id", "line_no"], "left").select("file_id", "line_no", "line", F.explode(F.array_compact(F.array(*found))).alias("f")).select("file_id", "line_no", "line", "f.ordinal", "f.detector", "f.rule_id")
 
 
 def sql_of(name: str, tainted: str = "") -> str:
@@ -94,6 +112,8 @@ def sql_of(name: str, tainted: str = "") -> str:
         out += f" AND (contains(line, '+') OR regexp_matches(line, 'f[\"'']') OR contains(lower(line), '.format(') OR NOT regexp_matches(lower(line), '{quoted}'))"
     if lifted == "allowed":
         out += f" AND NOT regexp_matches(lower(line), '{ALLOWLIST}')"
+    if lifted == "escaped":
+        out += f" AND NOT regexp_matches(line, '{ESCAPED}')"
     return f"SELECT file_id, line_no, '{rule}' AS rule_id, line FROM code WHERE language IN ({', '.join(repr(x) for x in languages)}) AND {out}"
 
 
