@@ -123,6 +123,23 @@ def test_chat(spark):
     assert chat.chat_messages(frame.limit(0)).count() == 0
 
 
+def test_chat_replies_of_derived_quotes(spark):
+    long = [(7, t, "user", f"message number {t}\nits second line {t}") for t in range(40)]
+    frame = spark.createDataFrame([*long, (8, 0, "user", "the first message"), (8, 0, "user", "zzz another one"), (8, 1, None, None), (8, 3, "user", "alone here"), (None, 1, "user", "x"), (9, None, "user", "x")], "conv_id long, turn long, role string, text string")
+    derived = chat.quoting(frame)
+    assert derived.count() == frame.count()
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in chat.reply_depths(chat.link_quotes(derived)).collect()}
+    assert got == {(7, t): (t - 1, t - t % 4, t % 4) for t in range(40) if t % 4} | {(8, 1): (0, 0, 1)}
+    paths = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in chat.chat_messages(derived).where("depth > 0").collect()}
+    assert paths == got
+
+
+def test_chat_depths_of_a_chain(spark):
+    links = spark.range(1, 3000).selectExpr("1L AS conv_id", "id AS turn", "id - 1 AS parent_turn")
+    rows = chat.reply_depths(links)
+    assert rows.count() == 2999 and rows.where("root_turn <> 0 OR depth <> turn OR parent_turn <> turn - 1").count() == 0
+
+
 def test_url_list(spark):
     day = lambda n: datetime.date(2024, 1, n)
     entries = spark.createDataFrame([("domain", "b.com", "block", day(5)), ("domain", "b.com", "remove", day(10)), ("host", "a.b.com", "allow", day(7)), ("url", "http://x.org/1", "block", day(1)), ("domain", "b.com", "block", day(5)), ("host", None, "block", day(1))], "kind string, value string, action string, since date")

@@ -102,6 +102,37 @@ def in_reply_order(messages: DataFrame) -> DataFrame:
     return chat_messages(messages).orderBy("conv_id", "reply_path")
 
 
+def reply_depths(links: DataFrame) -> DataFrame:
+    """conv_id, turn, parent_turn, root_turn, depth of every linked message; each round doubles how far a message sees, and a row stays of one size."""
+    now = links.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth"))
+    while True:
+        now = written(now, "reply-depths")
+        up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
+        if not now.join(up, ["conv_id", "root_turn"], "left_semi").take(1):
+            return now
+        now = now.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", "parent_turn", F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text: messages that begin with a quote of an earlier one, for the table has none.
+
+    By turn % 4: 0 quotes nothing; 1 the whole text of the turn before, with one mark; 2 the same with two marks; 3 the last line of the turn before, with one mark.
+    A turn that several rows share is quoted by its least text; without the turn before, or with a null text there, a message stays as it is.
+    """
+    own = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = own.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min(F.regexp_replace("text", "\r\n?", "\n")).alias("said"))
+    kind = F.pmod("turn", F.lit(4))
+    quoted = F.when(kind == 3, F.element_at(F.split("said", "\n", -1), -1)).when(kind > 0, F.col("said"))
+    marked = F.regexp_replace(quoted, r"(?m)^", F.when(kind == 2, ">> ").otherwise("> "))
+    text = F.coalesce(F.concat(marked, F.lit("\n"), F.coalesce("text", F.lit(""))), "text")
+    return own.join(said, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", text.alias("text"))
+
+
+def op3_chat_replies(spark, sf_dir: str) -> DataFrame:
+    """conv_id, turn, parent_turn, root_turn, depth of every message of quoting() that replies to another."""
+    return reply_depths(link_quotes(written(quoting(table(spark, sf_dir, "conversations")), "quoting")))
+
+
 def op3_chat_quotes(spark, sf_dir: str) -> DataFrame:
     return chat_messages(table(spark, sf_dir, "conversations"))
 
@@ -127,4 +158,4 @@ SELECT m.conv_id, m.turn, m.role, b.body, b.n_quoted, b.levels, paths.parent AS
 FROM m JOIN b USING (r) LEFT JOIN paths ON paths.conv_id IS NOT DISTINCT FROM m.conv_id AND paths.turn IS NOT DISTINCT FROM m.turn
 """
 }
-QUERIES = {"op3_chat_quotes": op3_chat_quotes}
+QUERIES = {"op3_chat_quotes": op3_chat_quotes, "op3_chat_replies": op3_chat_replies}
