@@ -231,7 +231,7 @@ def test_resize_and_forms():
 
 
 def test_forward_sums_all_segmentations():
-    pieces = {"▁a": 0, "b": 1, "ab": 2, "▁": 3, "a": 4, "▁ab": 5}
+    pieces = language_id.Pieces(["▁a", "b", "ab", "▁", "a", "▁ab"])
     chances = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.12], [1e-7]])
     by_hand = 0.1 * 0.2 + 0.15 * 0.3 + 0.15 * 0.05 * 0.2 + 0.12
     assert math.isclose(math.exp(language_id.forward("ab", pieces, chances)[0]), by_hand)

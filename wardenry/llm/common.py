@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -15,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a Python task holds at once; texts can be long, so far fewer than Spark's 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a Python task works on at once. Spark itself bounds what it sends by bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs on this machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -43,11 +47,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds; smaller settings of the session stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def in_slices(batches, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
+    """The batches in slices of bounded rows and bytes (one row at least); what is free at the end of the task goes back to the system."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Workers outlive their tasks; memory that a task freed should not count against the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    own = {c.lower() for c in df.columns}
+    while name.lower() in own:
+        name = "_" + name
+    return name
 
 
 def as_type(df: DataFrame, **kinds: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import in_slices, table
 
 WINDOW = 13
 #: Of one automaton; it takes about 1 KB for each character in the longest case.
@@ -77,7 +77,6 @@ def automaton(items: list[tuple[str, str]], size: int = WINDOW):
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
     """docs with n_words, runs (array of start, end: hit words, by number), items (sorted), and spans (the runs' code points in the text)."""
-    small_batches(docs.sparkSession)
     made = ("n_words", "runs", "items", "spans")
     docs = docs.drop(*made)
     own = [f.name for f in docs.schema]
@@ -91,7 +90,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         def scan(batches, shared=shared, first=k == 0):
             machine = automaton(shared.value, window)
-            for batch in batches:
+            for batch in in_slices(batches):
                 texts = batch.column(at).to_pylist()
                 before = [None] * len(texts) if first else list(zip(*(batch.column(len(own) + i).to_pylist() for i in range(3)), strict=True))
                 rows = [scanned(text, machine, old) for text, old in zip(texts, before, strict=True)]

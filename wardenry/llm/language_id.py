@@ -5,101 +5,131 @@ probability in a language is the sum, over every way to cut it into pieces, of t
 their probabilities; a forward pass over the word's positions gives that sum without listing the cuts. A
 text's score adds its words' logarithms, and the softmax over languages is the score returned.
 
-Training takes at most sample_docs rows of each language (those with the smallest hash of their
-doc_id), for which piece probabilities are re-estimated by expectation maximisation: each
+Training takes about sample_docs distinct rows of each language (those whose hash falls below the share that this is of the
+language's rows; all of them where there are fewer), for which piece probabilities are re-estimated by expectation maximisation: each
 step runs on Spark over word counts and sends back one number per language and piece. Prediction
 reads whole texts and nothing but texts.
 
 A text that is null or has no letter gets `und` and score 0; so does every text where nothing
 could be learned. Ties go to the language that sorts first. Rows with null or no letters, null language or null doc_id
-teach nothing. Rows that repeat are predicted as often as they come. An empty table gives no rows.
+teach nothing. Rows that repeat are predicted as often as they come, and teach once. Texts and words may be of any length; long words are rescaled
+as they are summed. Other columns stay; columns named like a result are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import public_vocabulary, small_batches, table, written
+from .common import in_slices, public_vocabulary, table, written
 
-#: Bounds of the training sample: rows per language, and the count of characters of a row's words that are counted.
+#: The training sample: about so many rows of each language.
 SAMPLE_DOCS = 400
 STEPS = 2
 SMOOTHING = 0.05
-LONGEST = 8
 #: A letter that no piece covers, in any language.
 UNKNOWN = 1e-7
 WORDS = r"\p{L}+"
+#: Longer words are summed with rescaling, in logarithms where counts are expected; products of so many chances can't vanish.
+PLAIN = 40
+
+
+class Pieces(dict):
+    """Every beginning of a piece, with the piece's number or -1. count: the number of pieces; longest: letters of the longest."""
+
+    def __init__(self, pieces):
+        super().__init__()
+        self.count = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        for n, piece in enumerate(pieces):
+            for k in range(1, len(piece)):
+                self.setdefault(piece[:k], -1)
+            self[piece] = n
 
 
 @lru_cache(maxsize=2)
-def pieces_of(path: str) -> dict[str, int]:
+def pieces_of(path: str) -> Pieces:
     """The vocabulary's pieces of lower-case letters, word starts marked by ▁, numbered."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    fit = (x for x in own if x.lstrip("▁").isalpha() and x == x.lower() and len(x) <= LONGEST)
-    return {x: i for i, x in enumerate(dict.fromkeys(fit))}
+    return Pieces(list(dict.fromkeys(x for x in own if x.lstrip("▁").isalpha() and x == x.lower())))
 
 
-def spans(word: str, pieces: dict[str, int]) -> list[tuple[int, int, int]]:
+def spans(word: str, pieces: Pieces) -> list[tuple[int, int, int]]:
     """(start, end, piece) of every piece in ▁word by start; -1 for a letter that is no piece."""
-    marked, n, get, out = "▁" + word, len(word) + 1, pieces.get, []
+    marked, get, out = "▁" + word, pieces.get, []
+    n = len(marked)
     for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            if (piece := get(marked[i:j], -1)) >= 0 or j == i + 1:
+        piece = get(marked[i], -1)
+        out.append((i, i + 1, piece))
+        for j in range(i + 2, n + 1):
+            if (piece := get(marked[i:j])) is None:
+                break
+            if piece >= 0:
                 out.append((i, j, piece))
     return out
 
 
-def forward(word: str, pieces: dict[str, int], chances: np.ndarray) -> np.ndarray:
+def forward(word: str, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """Log probability of the word in each language; chances: a row per piece, the last for unknown letters. Long words are rescaled as they go."""
-    n = len(word) + 1
+    n, near = len(word) + 1, pieces.longest
     sums, scale = np.zeros((n + 1, chances.shape[1])), np.zeros(chances.shape[1])
     sums[0] = 1
     for i, j, piece in spans(word, pieces):
         if i and j == i + 1 and i % 16 == 0:  # all that ends at i or before is summed
-            top = sums[i : i + LONGEST].max(axis=0)
-            sums[i : i + LONGEST] /= top
+            top = sums[i : i + near].max(axis=0)
+            sums[i : i + near] /= top
             scale += np.log(top)
         sums[j] += sums[i] * chances[piece]
     return np.log(sums[n]) + scale
 
 
-def forward_many(words: list[str], pieces: dict[str, int], chances: np.ndarray) -> np.ndarray:
-    """forward() for words of one length under 16, step by step for all at once."""
-    n, many = len(words[0]) + 1, len(words)
-    sums = np.zeros((n + 1, many, chances.shape[1]))
+def forward_many(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+    """forward() for words of one length, PLAIN at most, position by position for all at once."""
+    n = len(words[0]) + 1
+    sums = np.zeros((n + 1, len(words), chances.shape[1]))
     sums[0] = 1
-    marked, get, zero = ["▁" + w for w in words], pieces.get, len(chances)
-    known = np.concatenate([chances, np.zeros((1, chances.shape[1]))])
-    for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            at = np.array([get(m[i:j], -2 if j == i + 1 else -1) for m in marked])
-            if (at != -1).any():
-                sums[j] += sums[i] * known[np.where(at == -2, zero - 1, at)]
+    edges: list[list[int]] = [[] for _ in range(n)]
+    for k, word in enumerate(words):
+        for i, j, piece in spans(word, pieces):
+            edges[i] += (j, k, piece)
+    for i, own in enumerate(edges):
+        j, k, piece = np.array(own).reshape(-1, 3).T
+        sums[j, k] += sums[i, k] * chances[piece]  # no (j, k) comes twice
     return np.log(sums[n])
 
 
-def expected_counts(word: str, pieces: dict[str, int], chances: np.ndarray) -> dict[int, float]:
+def expected_counts(word: str, pieces: Pieces, chances: list[float]) -> dict[int, float]:
     """How often each piece is used over all segmentations of the word, each by its probability, in one language."""
     own, n = spans(word, pieces), len(word) + 1
+    out: dict[int, float] = {}
+    if n > PLAIN:
+        add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+        logs, ahead, behind = [math.log(chances[p]) for _, _, p in own], [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for (i, j, _), x in zip(own, logs, strict=True):
+            ahead[j] = add(ahead[j], ahead[i] + x)
+        for (i, j, _), x in zip(reversed(own), reversed(logs), strict=True):
+            behind[i] = add(behind[i], behind[j] + x)
+        for (i, j, p), x in zip(own, logs, strict=True):
+            if p >= 0:
+                out[p] = out.get(p, 0.0) + math.exp(ahead[i] + x + behind[j] - ahead[n])
+        return out
     ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
     for i, j, p in own:
         ahead[j] += ahead[i] * chances[p]
     for i, j, p in reversed(own):
         behind[i] += behind[j] * chances[p]
-    out: dict[int, float] = {}
-    if ahead[n] > 0:
-        for i, j, p in own:
-            if p >= 0:
-                out[p] = out.get(p, 0.0) + ahead[i] * chances[p] * behind[j] / ahead[n]
+    for i, j, p in own:
+        if p >= 0:
+            out[p] = out.get(p, 0.0) + ahead[i] * chances[p] * behind[j] / ahead[n]
     return out
 
 
@@ -113,59 +143,67 @@ class LanguageModel:
 def train(labelled: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> LanguageModel:
     """Learns from columns doc_id, text, lang. What reaches the driver is bounded by languages times pieces."""
     spark, vocabulary = labelled.sparkSession, vocabulary or public_vocabulary("piece_bpe_32k.model")
-    small_batches(spark)
     pieces = pieces_of(vocabulary)
     usable = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The limit by rank is applied in each task before the shuffle, and only ids are ranked.
-    chosen = usable.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
-    sample = usable.join(F.broadcast(chosen) if sample_docs <= 10_000 else chosen, "doc_id", "left_semi")
+    # A row is taken or left by its own hash, so no language meets in one place; rows that repeat become one before the shuffle. A row a language is broadcast: far less than the model.
+    share = usable.groupBy("lang").agg((sample_docs / F.count("*")).alias("share"))
+    taken = usable.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.col("share") * (1 << 32))
+    sample = taken.groupBy("lang", "doc_id", F.xxhash64("text").alias("print")).agg(F.min("text").alias("text"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORDS})"))).alias("word"))
-    counts = written(words.where(F.length("word") <= 40).groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+    counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    chances = np.full((len(pieces) + 1, len(languages)), 1.0 / max(1, len(pieces)))
+    chances = np.full((pieces.count + 1, len(languages)), 1.0 / max(1, pieces.count))
     chances[-1] = UNKNOWN
     for _ in range(steps):
         now = spark.sparkContext.broadcast({x: chances[:, i].tolist() for i, x in enumerate(languages)})
 
         def expect(batches, now=now):
             own, sums = pieces_of(vocabulary), Counter()
-            for batch in batches:
+            for batch in in_slices(batches):
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for piece, share in expected_counts(word, own, now.value[lang]).items():
-                        sums[lang, piece] += n * share
+                    for piece, part in expected_counts(word, own, now.value[lang]).items():
+                        sums[lang, piece] += n * part
             yield pa.record_batch([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array(sums.values(), pa.float64())], names=["lang", "piece", "n"])
 
         sums = counts.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-        new = np.full((len(pieces), len(languages)), SMOOTHING)
+        new = np.full((pieces.count, len(languages)), SMOOTHING)
         for lang, piece, n in sums.collect():
             new[piece, languages.index(lang)] += n
         chances = np.concatenate([new / np.maximum(new.sum(axis=0), 1e-300), np.full((1, len(languages)), UNKNOWN)])
     return LanguageModel(languages, chances, vocabulary)
 
 
-class WordScores(dict):
-    """Word -> its log probability in each language, for one task."""
+class WordScores:
+    """The log probability of words in each language, remembered within a task."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, model: LanguageModel):
         self.pieces, self.chances = pieces_of(model.vocabulary), model.chances
+        self.at: dict[str, int] = {}
+        self.rows = np.empty((0, len(model.languages)))
 
     def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.LIMIT:
-            self.clear()
+        """Makes all these words known; if there are too many, those that are not among them go."""
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        for n, own in by_length.items():
-            scores = forward_many(own, self.pieces, self.chances) if n < 16 else [forward(w, self.pieces, self.chances) for w in own]
-            self.update(zip(own, scores, strict=True))
+            if w not in self.at:
+                by_length.setdefault(len(w), []).append(w)
+        new = [w for own in by_length.values() for w in own]
+        if len(self.at) + len(new) > self.LIMIT:
+            kept = [w for w in words if w in self.at]
+            self.rows, self.at = self.rows[[self.at[w] for w in kept]], {w: i for i, w in enumerate(kept)}
+        self.at.update((w, len(self.rows) + i) for i, w in enumerate(new))
+        parts = [forward_many(own, self.pieces, self.chances) if n < PLAIN else np.array([forward(w, self.pieces, self.chances) for w in own]) for n, own in by_length.items()]
+        self.rows = np.concatenate([self.rows, *parts])
+
+    def of(self, bag: Counter) -> np.ndarray:
+        at = np.fromiter((self.at[w] for w in bag), np.int64, len(bag))
+        return np.fromiter(bag.values(), np.float64, len(bag)) @ self.rows[at]
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score; all other columns stay."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in docs.schema]
     at = names.index("text")
@@ -177,17 +215,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         model, words_of = shared.value, regex.compile(WORDS)
         scores, none = WordScores(model), not model.languages
-        for batch in batches:
+        for batch in in_slices(batches):
             bags = [Counter(words_of.findall(x.lower())) if x else Counter() for x in batch.column(at).to_pylist()]
-            if new := set().union(*bags).difference(scores) if bags and not none else None:
-                scores.learn(new)
+            if not none:
+                scores.learn(set().union(*bags))
             languages, best = [], []
             for bag in bags:
                 if none or not bag:
                     languages.append("und")
                     best.append(0.0)
                     continue
-                total = np.fromiter(bag.values(), np.float64, len(bag)) @ np.array([scores[w] for w in bag])
+                total = scores.of(bag)
                 top = int(total.argmax())
                 languages.append(model.languages[top])
                 best.append(1.0 / float(np.exp(np.clip(total - total[top], -700, 0)).sum()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import in_slices, table, written
 
 WIDTH = 64
 TILE = 32
@@ -138,11 +138,10 @@ def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
 
 def to_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """doc_id, n_bytes and media, the stored image of each text. form: pgm or bmp."""
-    small_batches(docs.sparkSession)
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 
     def images(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             media = [encode(np.frombuffer(x + bytes(max(1, -(-len(x) // WIDTH)) * WIDTH - len(x)), np.uint8).reshape(-1, WIDTH)) for x in texts]
             yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -152,12 +151,11 @@ def to_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
 
 def media_features(media: DataFrame, with_tiles: bool = True) -> DataFrame:
     """Features of stored images (columns doc_id, n_bytes, media): digests, difference hash as feature, and the NPY tile."""
-    small_batches(media.sparkSession)
     sha = lambda x: hashlib.sha256(x).hexdigest()
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tile binary" * with_tiles
 
     def features(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             stored = batch.column(2).to_pylist()
             rows = []
             for x in stored:

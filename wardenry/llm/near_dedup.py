@@ -19,8 +19,12 @@ five standard errors; what is left is confirmed on full sets.
 
 A pair of similarity 0.8 is missed by all bands with a probability of 0.672^32, about 3 in a million.
 
+Bands or shingles that hold more than one row in HOT of a table are at most HOT; their rows meet what they are joined with by broadcast, so a key with a
+third of all rows is dealt like any others.
+
 Null or empty texts have empty sets and are linked with nothing. A null doc_id stands for no document that could be named: its row is
-kept, alone, with a null component. Rows that repeat a doc_id are one document. Other columns are ignored. An empty table gives no rows.
+kept, alone, with a null component. Rows that repeat a doc_id are one document, linked with what any of their texts is near. Texts may be of any length. Ties don't arise: the smallest doc_id
+names a component. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import in_slices, table, written
 
 REGISTERS, ROWS = 160, 5
 MANTISSA = 10
 MANY = 4
+#: Keys with more than one row in HOT, and more than HOT_ROWS, are hot.
+HOT, HOT_ROWS = 10_000, 1000
 #: Ids of candidates are broadcast up to this number (16 MB), and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 #: Edges that a task holds at once when it looks for components (16 bytes each).
@@ -55,7 +61,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word -> 64-bit hash, remembered within a task."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -136,13 +142,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, print (of the set), registers."""
-    small_batches(docs.sparkSession)
-
     def sign(batches):
         import xxhash
 
         words = WordIds()
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingle_set(x, words, shingle) for x in batch.column(1).to_pylist()]
             prints = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.record_batch([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.string()), pa.array([registers_of(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "print", "registers"])
@@ -152,7 +156,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 def banded(classes: DataFrame) -> DataFrame:
     def split(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, registers = batch.column("id").to_numpy(), batch.column("registers").to_pylist()
             bands = [band_hashes(np.frombuffer(x, np.uint16)) for x in registers]
             n = REGISTERS // ROWS
@@ -161,13 +165,28 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(split, "band long, id long")
 
 
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """Of counts (key, n), the keys with over HOT_ROWS rows that hold more than one row in HOT: fewer than HOT. None without any."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)).select(key).collect()
+    return counts.sparkSession.createDataFrame(rows, counts.select(key).schema) if rows else None
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how). Rows of hot keys meet those of right, a few a key, by broadcast, and the others by a shuffle."""
+    if hot is None:
+        return left.join(right, key, how)
+    some = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return left.join(F.broadcast(hot), key, "left_anti").join(right, key, how).unionByName(some)
+
+
 def sets_of(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """id, own (the full set) of some documents, from their texts: nothing is stored for the others."""
     few = ids.count() <= BROADCAST_IDS
 
     def collect(batches):
         words = WordIds()
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, words, shingle).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "own"])
 
     return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(collect, "id long, own binary")
@@ -179,14 +198,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
     both = pairs.join(n.toDF("a", "n_a", "regs_a"), "a").join(n.toDF("b", "n_b", "regs_b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def likely(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
             value, error = estimate(x, y, *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
             keep = value >= percent / 100 - 5 * error
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -209,15 +228,15 @@ def sharing_rare(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle
     Passages that many documents share come last in that order and pair nobody.
     """
     def spread(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             own = [np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()]
             yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), [len(x) for x in own]), pa.int64()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["id", "shingle"])
 
     ids = written(open_.select("id"), "open-ids")
     shingles = written(sets_of(ids, texts, shingle).mapInArrow(spread, "id long, shingle long"), "open-shingles")
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = written(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "open-counts")
     # Shingles of one document only stand first and pair nobody; they just take up places. A document's own shingles are as bounded as its text.
-    ranked = shingles.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    ranked = join_hot(shingles, common, "shingle", hot_keys(common, "shingle")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     sized = ranked.join(classes.select("id", F.col("n_shingles").alias("n")), "id").join(open_, "id").withColumn("alone", F.expr("n - size(own)"))
     places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone").cast("int")
     first = sized.where(places > 0).select("id", "component", "n", "alone", F.posexplode(F.slice("own", F.lit(1), places)).alias("k", "s"))
@@ -308,8 +327,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # Sets of other sizes can't be that near and different.
     least = -(-percent // max(1, 100 - percent))
     bands = banded(classes.where(F.col("n_shingles") >= least))
-    crowded = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
-    members = written(bands.join(crowded, "band", "left_semi"), "members")
+    crowded = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    members = written(join_hot(bands, crowded.select("band"), "band", hot_keys(crowded, "band"), "left_semi"), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     links = spark.createDataFrame([], "a long, b long")
     # A doc_id that came with several texts links their classes.
@@ -318,28 +337,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = links.unionByName(written(alias.join(doubled, "a", "left_semi"), "doubled"))
     components, turn, before = connected(links), 0, 0.0
     while True:
-        open_ = labelled(members, components)
-        mixed_bands = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_ = written(open_.join(mixed_bands, "band", "left_semi"), "open")
-        counts = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
-        per_band = counts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")).select("band", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs"))
+        found = labelled(members, components)
+        counts = found.groupBy("band", "component").agg(F.count("*").alias("n"))
+        squares = F.sum(F.col("n").cast("double") * F.col("n"))
+        per_band = counts.groupBy("band").agg(F.sum("n").alias("n"), squares.alias("squares"), F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
+        per_band = written(per_band.select("band", "n", "top", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "bands")
         total, pairs_left = per_band.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if not total:
             break
+        hot = hot_keys(per_band, "band")
+        open_ = written(join_hot(found, per_band.select("band", "top", (F.col("pairs") > MANY * F.col("n")).alias("crowd")), "band", hot), "open")
         # A turn that settles less than half of the pairs met groups that are no copies.
         last = turn > 0 and (pairs_left <= MANY * total or 2 * pairs_left > before)
         before = pairs_left
         if last:
             # Small buckets are compared pair by pair; members of large ones by what is rare among them.
-            crowd = written(per_band.where(F.col("pairs") > MANY * F.col("n")).select("band"), "crowd")
-            quiet = open_.join(crowd, "band", "left_anti").alias("x")
-            pairs = quiet.join(quiet.alias("y"), F.expr("x.band = y.band AND x.component <> y.component AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            quiet, crowd = open_.where("NOT crowd"), open_.where("crowd")
+            # One of two components is not the bucket's largest. Such members are few where the bucket is large, or its pairs would be many.
+            few = quiet.where("component <> top").select("band", F.col("id").alias("few"), F.col("component").alias("own"))
+            pairs = join_hot(quiet, few, "band", hot).where("component <> own AND (component = top OR few < id)").select(F.col("few").alias("a"), F.col("id").alias("b"))
             if crowd.first():
-                pairs = pairs.unionByName(sharing_rare(open_.join(crowd, "band", "left_semi").select("id", "component").distinct(), classes, texts, shingle, percent))
+                pairs = pairs.unionByName(sharing_rare(crowd.select("id", "component").distinct(), classes, texts, shingle, percent))
         else:
             rank = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component")) if turn else F.struct(F.lit(0).cast("long"), F.col("id"), F.col("component"))
             anchors = open_.groupBy("band").agg(F.min(rank).alias("x")).select("band", F.col("x.id").alias("a"), F.col("x.component").alias("own"))
-            pairs = open_.join(anchors, "band").where("component <> own").select("a", F.col("id").alias("b"))
+            pairs = join_hot(open_, anchors, "band", hot).where("component <> own").select("a", F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(confirmed(pairs, classes, texts, shingle, percent), "found")
         links = links.unionByName(found)
@@ -355,11 +377,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id, once. Rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    named, unnamed = rest.where("doc_id IS NOT NULL"), rest.where("doc_id IS NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    """One row of each group of near-duplicates: that of the smallest doc_id, and of several rows with that doc_id the one with the least text (nulls last), then the least other columns. Rows without a doc_id stay."""
+    gone = written(near_duplicates(docs, shingle, percent).where("NOT kept").select("doc_id").distinct(), "gone")
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    # Only rows that share a doc_id meet, and all but one go before the shuffle.
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if not again.first():
+        return rest
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant")) and "map<" not in t]
+    order = F.struct(F.col("text").isNull(), F.col("text"), *(F.col(c) for c in plain if c != "text"))
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

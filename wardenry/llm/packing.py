@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import public_vocabulary, small_batches, table, token_bytes, written
+from .common import public_vocabulary, in_slices, table, token_bytes, written
 
 SEQUENCE = 1024
 END_ID = 2
@@ -32,12 +32,11 @@ GROUP_ROWS = 100_000
 
 def token_pieces(docs: DataFrame, vocabulary: str, length: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Each document's pieces: doc_id, copy, piece, start, length, ids_crc32, and ids (bytes) if asked."""
-    small_batches(docs.sparkSession)
     schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def pieces(batches):
         tokens, end = token_bytes(vocabulary), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for doc, copy, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens.of_all(batch.column(2)), strict=True):
                 ids += end
@@ -104,7 +103,7 @@ def packed_sequences(docs: DataFrame, vocabulary: str | None = None, length: int
     pieces = written(token_pieces(docs, vocabulary or public_vocabulary("byte_bpe_50k.json"), length, end_id, with_ids=True), "pieces")
 
     def joined(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             parts = batch.column("parts").to_pylist()
             ids = [np.frombuffer(b"".join(p["ids"] for p in x), "<u4").astype("i4") for x in parts]
             yield pa.record_batch(

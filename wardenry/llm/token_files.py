@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_vocabulary, scratch, small_batches, table, token_bytes
+from .common import public_vocabulary, scratch, in_slices, table, token_bytes
 
 END_ID = 0
 SHARD_BYTES = 8 << 20
@@ -111,7 +111,6 @@ def _shard(part: int, number: int, base: int, keys: list, ids: list[bytes], widt
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, dtype: str = "<u2") -> None:
     """Writes the shards. dtype: <u2 where every id is below 65,536, else <u4."""
-    small_batches(docs.sparkSession)
     vocabulary, width = vocabulary or public_vocabulary("byte_bpe_50k.json"), np.dtype(dtype).itemsize
     names = [x.split()[0] for x in SHARD.split(", ")]
     kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in SHARD.split(", ")]
@@ -122,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         tokens, end, part = token_bytes(vocabulary, dtype), np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId()
         keys, ids, size, number, base = [], [], 0, 0, 0
         close = lambda: pa.record_batch([pa.array([v], k) for v, k in zip(_shard(part, number, base, keys, ids, width), kinds, strict=True)], names=names)
-        for batch in batches:
+        for batch in in_slices(batches):
             for key, own in zip(batch.column(0).to_pylist(), tokens.of_all(batch.column(1)), strict=True):
                 keys.append(key)
                 ids.append(own + end)
@@ -162,7 +161,7 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", with_id
     schema = "part int, doc_id long, own_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def documents(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shard, keys = Shard(row, dtype), np.frombuffer(row["keys"], "<i8")
