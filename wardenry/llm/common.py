@@ -93,7 +93,7 @@ class TokenBytes(dict):
     (tested against whole texts). Texts are encoded many at a time, so the library is asked once for all that is new.
     """
 
-    LIMIT = 500_000
+    LIMIT = 120_000
 
     def __init__(self, path: str, dtype: str = "<u4"):
         from tokenizers import Tokenizer

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,10 @@ PLAIN = 40
 
 
 class Pieces(dict):
-    """Every beginning of a piece, with the piece's number or -1. count: the number of pieces; longest: letters of the longest."""
+    """Every beginning of a piece, with the piece's number or -1. count: the number of pieces; longest: letters of the longest.
+
+    The same as a tree in arrays, for many words at once: edges (a state and a letter, sorted), where each leads, and each state's piece or -1.
+    """
 
     def __init__(self, pieces):
         super().__init__()
@@ -51,6 +55,18 @@ class Pieces(dict):
             for k in range(1, len(piece)):
                 self.setdefault(piece[:k], -1)
             self[piece] = n
+        states = {"": 0} | {x: i for i, x in enumerate(self, 1)}
+        keys = np.array([(states[x[:-1]] << 21) + ord(x[-1]) for x in self] or [-1], np.int64)
+        order = np.argsort(keys)
+        self.edges, self.targets = keys[order], (order + 1)
+        self.pieces = np.array([-1, *self.values()], np.int64)
+
+    def steps(self, states: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states have an edge of the letter, and where those lead."""
+        keys = (states << 21) + letters
+        at = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+        there = self.edges[at] == keys
+        return there, self.targets[at[there]]
 
 
 @lru_cache(maxsize=2)
@@ -94,16 +110,24 @@ def forward(word: str, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
 
 def forward_many(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """forward() for words of one length, PLAIN at most, position by position for all at once."""
-    n = len(words[0]) + 1
-    sums = np.zeros((n + 1, len(words), chances.shape[1]))
+    n, many = len(words[0]) + 1, len(words)
+    letters = np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le"), np.uint32).reshape(many, n).T.astype(np.int64)
+    sums = np.zeros((n + 1, many, chances.shape[1]))
     sums[0] = 1
-    edges: list[list[int]] = [[] for _ in range(n)]
-    for k, word in enumerate(words):
-        for i, j, piece in spans(word, pieces):
-            edges[i] += (j, k, piece)
-    for i, own in enumerate(edges):
-        j, k, piece = np.array(own).reshape(-1, 3).T
-        sums[j, k] += sums[i, k] * chances[piece]  # no (j, k) comes twice
+    for i in range(n):
+        alive, states = np.arange(many), np.zeros(many, np.int64)
+        for j in range(i + 1, min(n, i + pieces.longest) + 1):
+            there, states = pieces.steps(states, letters[j - 1, alive])
+            alive, own = alive[there], pieces.pieces[states]
+            if j == i + 1:  # every letter counts, known or not
+                one = np.full(many, -1)
+                one[alive] = own
+                sums[j] += sums[i] * chances[one]
+            else:
+                ends = own >= 0
+                sums[j, alive[ends]] += sums[i, alive[ends]] * chances[own[ends]]
+            if not len(alive):
+                break
     return np.log(sums[n])
 
 
@@ -183,8 +207,8 @@ class WordScores:
         self.at: dict[str, int] = {}
         self.rows = np.empty((0, len(model.languages)))
 
-    def learn(self, words: set[str]) -> None:
-        """Makes all these words known; if there are too many, those that are not among them go."""
+    def learn(self, words: list[str]) -> None:
+        """Makes all these words, none twice, known; if there are too many, those that are not among them go."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             if w not in self.at:
@@ -197,9 +221,14 @@ class WordScores:
         parts = [forward_many(own, self.pieces, self.chances) if n < PLAIN else np.array([forward(w, self.pieces, self.chances) for w in own]) for n, own in by_length.items()]
         self.rows = np.concatenate([self.rows, *parts])
 
-    def of(self, bag: Counter) -> np.ndarray:
-        at = np.fromiter((self.at[w] for w in bag), np.int64, len(bag))
-        return np.fromiter(bag.values(), np.float64, len(bag)) @ self.rows[at]
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """The sum of the words' log probabilities of each text that has words, in order."""
+        flat = pa.array(chain.from_iterable(texts), pa.large_string()).dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        self.learn(names)
+        each = self.rows[np.fromiter((self.at[w] for w in names), np.int64, len(names))]
+        lengths = np.fromiter((len(x) for x in texts if x), np.int64)
+        return np.add.reduceat(each[flat.indices.to_numpy()], np.cumsum(lengths) - lengths) if len(lengths) else np.empty((0, each.shape[1]))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -216,19 +245,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         model, words_of = shared.value, regex.compile(WORDS)
         scores, none = WordScores(model), not model.languages
         for batch in in_slices(batches):
-            bags = [Counter(words_of.findall(x.lower())) if x else Counter() for x in batch.column(at).to_pylist()]
-            if not none:
-                scores.learn(set().union(*bags))
-            languages, best = [], []
-            for bag in bags:
-                if none or not bag:
-                    languages.append("und")
-                    best.append(0.0)
-                    continue
-                total = scores.of(bag)
-                top = int(total.argmax())
-                languages.append(model.languages[top])
-                best.append(1.0 / float(np.exp(np.clip(total - total[top], -700, 0)).sum()))
+            texts = [[] if none or not x else words_of.findall(x.lower()) for x in batch.column(at).to_pylist()]
+            totals = scores.of(texts)
+            tops = totals.argmax(axis=1) if len(totals) else []
+            odds = 1.0 / np.exp(np.clip(totals - totals.max(axis=1, keepdims=True), -700, 0)).sum(axis=1) if len(totals) else []
+            told = zip(tops, odds, strict=True)
+            rows = [next(told) if x else (-1, 0.0) for x in texts]
+            languages, best = ["und" if t < 0 else model.languages[t] for t, _ in rows], [float(x) for _, x in rows]
             columns = [c for c, name in zip(batch.columns, names, strict=True) if name not in ("lang_pred", "score")]
             yield pa.record_batch([*columns, pa.array(languages, pa.string()), pa.array(best, pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
 
