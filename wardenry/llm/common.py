@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python task works on at once. Spark itself bounds what it sends by bytes.
@@ -71,6 +71,37 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys with more than one row in HOT, and more than HOT_ROWS, are hot.
+HOT, HOT_ROWS = 10_000, 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Of counts (the keys, n), the keys with over HOT_ROWS rows that hold more than one row in HOT: fewer than HOT. None without any."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)).select(*keys).collect()
+    return counts.sparkSession.createDataFrame(rows, counts.select(*keys).schema) if rows else None
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how). Rows of hot keys meet those of right, a few a key, by broadcast, and the others by a shuffle."""
+    if hot is None:
+        return left.join(right, keys, how)
+    some = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how).unionByName(some)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with position: 0 .. n-1 along the order, sorted over range partitions and written once. The order should tell rows apart, or a partition holds all that are equal."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own, part_name, before_name = (free_name(df, x) for x in ("id", "part", "before"))
+    run = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id()), name)
+    part = F.shiftright(own, 33)
+    # One row a partition of the sort.
+    parts = run.groupBy(part.alias(part_name)).agg(F.count("*").alias(own))
+    before = parts.select(part_name, (F.sum(own).over(Window.orderBy(part_name)) - F.col(own)).alias(before_name))
+    return run.withColumn(part_name, part).join(F.broadcast(before), part_name).withColumn("position", F.col(before_name) + F.col(own).bitwiseAND((1 << 33) - 1)).drop(own, part_name, before_name)
+
+
 def as_type(df: DataFrame, **kinds: str) -> DataFrame:
     """df with exactly these columns, cast to these types."""
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()))

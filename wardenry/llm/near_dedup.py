@@ -36,13 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, table, written
+from .common import hot_keys, in_slices, join_hot, table, written
 
 REGISTERS, ROWS = 160, 5
 MANTISSA = 10
 MANY = 4
-#: Keys with more than one row in HOT, and more than HOT_ROWS, are hot.
-HOT, HOT_ROWS = 10_000, 1000
 #: Ids of candidates are broadcast up to this number (16 MB), and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 #: Edges that a task holds at once when it looks for components (16 bytes each).
@@ -165,21 +163,6 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(split, "band long, id long")
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
-    """Of counts (key, n), the keys with over HOT_ROWS rows that hold more than one row in HOT: fewer than HOT. None without any."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)).select(key).collect()
-    return counts.sparkSession.createDataFrame(rows, counts.select(key).schema) if rows else None
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """left.join(right, key, how). Rows of hot keys meet those of right, a few a key, by broadcast, and the others by a shuffle."""
-    if hot is None:
-        return left.join(right, key, how)
-    some = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how)
-    return left.join(F.broadcast(hot), key, "left_anti").join(right, key, how).unionByName(some)
-
-
 def sets_of(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """id, own (the full set) of some documents, from their texts: nothing is stored for the others."""
     few = ids.count() <= BROADCAST_IDS
@@ -236,7 +219,7 @@ def sharing_rare(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle
     shingles = written(sets_of(ids, texts, shingle).mapInArrow(spread, "id long, shingle long"), "open-shingles")
     common = written(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "open-counts")
     # Shingles of one document only stand first and pair nobody; they just take up places. A document's own shingles are as bounded as its text.
-    ranked = join_hot(shingles, common, "shingle", hot_keys(common, "shingle")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    ranked = join_hot(shingles, common, ["shingle"], hot_keys(common, ["shingle"])).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     sized = ranked.join(classes.select("id", F.col("n_shingles").alias("n")), "id").join(open_, "id").withColumn("alone", F.expr("n - size(own)"))
     places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone").cast("int")
     first = sized.where(places > 0).select("id", "component", "n", "alone", F.posexplode(F.slice("own", F.lit(1), places)).alias("k", "s"))
@@ -328,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     least = -(-percent // max(1, 100 - percent))
     bands = banded(classes.where(F.col("n_shingles") >= least))
     crowded = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
-    members = written(join_hot(bands, crowded.select("band"), "band", hot_keys(crowded, "band"), "left_semi"), "members")
+    members = written(join_hot(bands, crowded.select("band"), ["band"], hot_keys(crowded, ["band"]), "left_semi"), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     links = spark.createDataFrame([], "a long, b long")
     # A doc_id that came with several texts links their classes.
@@ -345,8 +328,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         total, pairs_left = per_band.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if not total:
             break
-        hot = hot_keys(per_band, "band")
-        open_ = written(join_hot(found, per_band.select("band", "top", (F.col("pairs") > MANY * F.col("n")).alias("crowd")), "band", hot), "open")
+        hot = hot_keys(per_band, ["band"])
+        open_ = written(join_hot(found, per_band.select("band", "top", (F.col("pairs") > MANY * F.col("n")).alias("crowd")), ["band"], hot), "open")
         # A turn that settles less than half of the pairs met groups that are no copies.
         last = turn > 0 and (pairs_left <= MANY * total or 2 * pairs_left > before)
         before = pairs_left
@@ -355,13 +338,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             quiet, crowd = open_.where("NOT crowd"), open_.where("crowd")
             # One of two components is not the bucket's largest. Such members are few where the bucket is large, or its pairs would be many.
             few = quiet.where("component <> top").select("band", F.col("id").alias("few"), F.col("component").alias("own"))
-            pairs = join_hot(quiet, few, "band", hot).where("component <> own AND (component = top OR few < id)").select(F.col("few").alias("a"), F.col("id").alias("b"))
+            pairs = join_hot(quiet, few, ["band"], hot).where("component <> own AND (component = top OR few < id)").select(F.col("few").alias("a"), F.col("id").alias("b"))
             if crowd.first():
                 pairs = pairs.unionByName(sharing_rare(crowd.select("id", "component").distinct(), classes, texts, shingle, percent))
         else:
             rank = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component")) if turn else F.struct(F.lit(0).cast("long"), F.col("id"), F.col("component"))
             anchors = open_.groupBy("band").agg(F.min(rank).alias("x")).select("band", F.col("x.id").alias("a"), F.col("x.component").alias("own"))
-            pairs = join_hot(open_, anchors, "band", hot).where("component <> own").select("a", F.col("id").alias("b"))
+            pairs = join_hot(open_, anchors, ["band"], hot).where("component <> own").select("a", F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(confirmed(pairs, classes, texts, shingle, percent), "found")
         links = links.unionByName(found)
