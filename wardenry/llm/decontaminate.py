@@ -1,130 +1,152 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton.
 
 Questions and answers are normalised to words (A-Z lowered; runs of digits, letters a-z and
-everything beyond ASCII), and their windows of 13 words, or whole short items, go into one
-automaton. A document is normalised the same way and scanned once, by the automaton's C code; each hit is a run
-of words, and a document that has any gets the runs' places in its original text.
+everything beyond ASCII), numbered by a vocabulary of the benchmark's own. Any window of 13 words of an item holds a whole one of the item's blocks of 7
+words (from its word 0, 7, 14 ..), so those blocks, and short items as a whole, go into one automaton: about a node for each word of the benchmark.
+A document is normalised the same way and scanned once, by the automaton's C code; where a block is met, the match is followed to both sides, and a
+run of 13 words or more is one that windows cover. A document that has any gets the runs' places in its original text.
 
-The automaton is sent to every task, so its size is bounded: benchmark items are dealt into
-parts of at most part_chars characters by running size, and a document passes the automata one after the
-other within the same task, without a shuffle. An ordinary benchmark is one part.
+One task builds the automaton from the benchmark and writes it to the shared folder; each executor fetches that file, and a worker reads it once. Nothing of it
+passes through the driver. Documents are neither shuffled nor scanned again.
 
-Null texts have no words. Items without words, and null items, have no window. Rows that repeat
-give repeated rows; an item_id that occurs twice counts once. Either table may be empty. Other columns of docs
-stay, those named like a result are replaced.
+Null texts have no words. Items without words, and null items, have no window. Texts and items may be of any length. Rows that repeat
+give repeated rows; an item_id that occurs twice counts once. Runs that overlap or touch are one. Either table may be empty. Other columns of docs
+stay, whatever their names; those named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+import os
+import pickle
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, table
+from .common import in_slices, scratch, table
 
 WINDOW = 13
-#: Of one automaton; it takes about 1 KB for each character in the longest case.
-PART_CHARS = 400_000
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: A-Z to a-z, other ASCII but digits and a-z to blank.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def plain_words(text: str | None) -> str:
-    """Words, each after one blank, and a last blank."""
-    words = (text or "").encode().translate(_PLAIN).split()
-    return (b" " + b" ".join(words) + b" ").decode() if words else ""
-
-
-def windows(text: str | None, size: int = WINDOW) -> list[tuple[str, int]]:
-    words = plain_words(text).split(" ")[1:-1]
-    n = min(size, len(words))
-    return [(" " + " ".join(words[i : i + n]) + " ", n) for i in range(len(words) - n + 1)] if n else []
-
-
-def benchmark_parts(benchmark: DataFrame, part_chars: int = PART_CHARS) -> list[list[tuple[str, str]]]:
-    """(item, text) rows in parts of bounded size. Rows come one partition at a time."""
-    parts, size = [[]], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
-    for item, text in rows.toLocalIterator():
-        if size and size + len(text) > part_chars:
-            parts, size = [*parts, []], 0
-        parts[-1].append((item, text))
-        size += len(text)
-    return parts
-
-
-def automaton(items: list[tuple[str, str]], size: int = WINDOW):
-    """Windows to (number of words, items that have it). None without windows."""
-    import ahocorasick
-
-    owners: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for window, n in windows(text, size):
-            owners.setdefault(window, (n, set()))[1].add(item)
-    out = ahocorasick.Automaton()
-    for window, (n, own) in owners.items():
-        out.add_word(window, (n, tuple(own)))
-    if owners:
-        out.make_automaton()
-    return out if owners else None
-
-
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_PLAIN).split()
+
+
+class Windows:
+    """The benchmark's windows of `size` words, told by an automaton over blocks."""
+
+    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+        import ahocorasick
+
+        self.size, self.numbers = size, {}
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            if own := tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)):
+                owners.setdefault(own, set()).add(item)
+        self.texts, self.owners = list(owners), list(owners.values())
+        block = (size + 1) // 2
+        # Pattern: short texts that are it, and places (text, word) of texts that hold it as a block.
+        patterns: dict[tuple[int, ...], tuple[list[int], list[tuple[int, int]]]] = {}
+        for k, text in enumerate(self.texts):
+            if len(text) < size:
+                patterns.setdefault(text, ([], []))[0].append(k)
+            else:
+                for at in range(0, len(text) - block + 1, block):
+                    patterns.setdefault(text[at : at + block], ([], []))[1].append((k, at))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pattern, (whole, places) in patterns.items():
+            self.machine.add_word(pattern, (len(pattern), whole, places))
+        if patterns:
+            self.machine.make_automaton()
+        self.any = bool(patterns)
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+        """Runs (start, end) of the words that windows cover, apart and in order, and the items whose windows they are, sorted."""
+        if not self.any or not words:
+            return [], []
+        get = self.numbers.get
+        own = tuple([get(w, 0) for w in words])
+        runs, met, done = [], set(), {}
+        for last, (n, whole, places) in self.machine.iter(own):
+            end = last + 1
+            if whole:
+                runs.append((end - n, end))
+                met.update(whole)
+            for k, at in places:
+                shift = end - n - at
+                if done.get((k, shift), -1) >= end:  # within the last run along this text
+                    continue
+                text, low, high = self.texts[k], at, at + n
+                while low and low + shift and text[low - 1] == own[low + shift - 1]:
+                    low -= 1
+                while high < len(text) and high + shift < len(own) and text[high] == own[high + shift]:
+                    high += 1
+                done[k, shift] = high + shift
+                if high - low >= self.size:
+                    runs.append((low + shift, high + shift))
+                    met.add(k)
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted(runs):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+        return joined, sorted(set().union(*(self.owners[k] for k in met)))
+
+
+def windows_file(benchmark: DataFrame, size: int = WINDOW) -> str:
+    """Builds the automaton in one task, as a table of one row, and has every executor fetch it. Returns the name that read_windows() takes."""
+    def build(batches):
+        items = [(item, text) for batch in batches for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.record_batch([pa.array([pickle.dumps(Windows(items, size))], pa.large_binary())], names=["windows"])
+
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    path = scratch(spark, "windows")
+    rows.repartition(1).mapInArrow(build, "windows binary").write.parquet(path)
+    spark.sparkContext.addFile(path, recursive=True)
+    return os.path.basename(path)
+
+
+@lru_cache(maxsize=1)
+def read_windows(name: str) -> Windows:
+    import pyarrow.parquet as pq
+    from pyspark import SparkFiles
+
+    rows = pq.read_table(SparkFiles.get(name)).column("windows").to_pylist()
+    return pickle.loads(rows[0]) if rows else Windows([])
+
+
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, runs (array of start, end: hit words, by number), items (sorted), and spans (the runs' code points in the text)."""
     made = ("n_words", "runs", "items", "spans")
     docs = docs.drop(*made)
     own = [f.name for f in docs.schema]
     at, pair = own.index("text"), "array<struct<start:int,end:int>>"
     schema = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("runs", F.lit(None).cast(pair)).withColumn("items", F.lit(None).cast("array<string>")).withColumn("spans", F.lit(None).cast(pair)).schema
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    out = docs
-    for k, part in enumerate(benchmark_parts(benchmark, part_chars)):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def scan(batches, shared=shared, first=k == 0):
-            machine = automaton(shared.value, window)
-            for batch in in_slices(batches):
-                texts = batch.column(at).to_pylist()
-                before = [None] * len(texts) if first else list(zip(*(batch.column(len(own) + i).to_pylist() for i in range(3)), strict=True))
-                rows = [scanned(text, machine, old) for text, old in zip(texts, before, strict=True)]
-                n_words, runs, items, spans_ = zip(*rows, strict=True) if rows else ((),) * 4
-                yield pa.record_batch([*batch.columns[: len(own)], pa.array(n_words, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string())), pa.array(spans_, kind)], names=[*own, *made])
-
-        out = out.mapInArrow(scan, schema)
-    return out
-
-
-def scanned(text: str | None, machine, old: tuple | None) -> tuple:
-    """n_words, runs, items, spans of one text; old: the first three, as a former automaton left them."""
-    plain = plain_words(text)
-    if not plain:
-        return 0, [], [], []
-    found = list(machine.iter(plain)) if machine else []
-    n_words, runs, items = old or (plain.count(" ") - 1, [], [])
-    if not found and not runs:
-        return n_words, [], [], []
-    blanks = np.flatnonzero(np.array([plain]).view("<u4") == 32)
-    hit = np.zeros(n_words + 1, np.int32)
-    for run in runs:
-        hit[run["start"]] += 1
-        hit[run["end"]] -= 1
-    all_items = set(items)
-    ends = np.searchsorted(blanks, [e for e, _ in found])
-    for end, (_, (n, own)) in zip(ends, found, strict=True):
-        hit[end - n] += 1
-        hit[end] -= 1
-        all_items.update(own)
-    edges = np.diff(np.r_[0, (np.cumsum(hit[:-1]) > 0).astype(np.int8), 0])
-    pairs = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
-    places = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
-    return n_words, [{"start": a, "end": b} for a, b in pairs], sorted(all_items), [{"start": places[a][0], "end": places[b - 1][1]} for a, b in pairs]
+    name, kind = windows_file(benchmark, window), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def scan(batches):
+        windows = read_windows(name)
+        for batch in in_slices(batches):
+            rows = []
+            for text in batch.column(at).to_pylist():
+                words = words_of(text)
+                runs, items = windows.find(words)
+                places = [m.span() for m in WORD.finditer(text.translate(_LOWER))] if runs else []
+                pairs = [[{"start": a, "end": b} for a, b in x] for x in (runs, [(places[a][0], places[b - 1][1]) for a, b in runs])]
+                rows.append((len(words), pairs[0], items, pairs[1]))
+            n_words, runs, items, spans = zip(*rows, strict=True)
+            yield pa.record_batch([*batch.columns, pa.array(n_words, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)], names=[*own, *made])
+
+    return docs.mapInArrow(scan, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
@@ -137,15 +159,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
 
 
+def joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", joined("spans").alias("spans"))
 
 
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLE = {
     "op4_decontaminate": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), {_ABC}) AS t, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g
        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
@@ -153,11 +179,16 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT dw.r, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
-h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+hp AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM m),
+h AS (SELECT r, count(*) AS n_hit FROM hp GROUP BY r),
+hr AS (SELECT r, min(p) AS a, max(p) AS b FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS run FROM hp) GROUP BY r, run),
+hw AS (SELECT r, w, string_split_regex(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS g FROM d WHERE r IN (SELECT r FROM h)),
+sp AS (SELECT hr.r, string_agg(list_sum(list_transform(g[1:a], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x))), 0)::BIGINT || ':' ||
+       (list_sum(list_transform(g[1:b], lambda x: length(x)))::BIGINT + list_sum(list_transform(w[1:b], lambda x: length(x)))::BIGINT), ',' ORDER BY a) AS spans FROM hr JOIN hw USING (r) GROUP BY hr.r),
 it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN it ON d.r = it.r
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(sp.spans, '') AS spans
+FROM d LEFT JOIN sp ON d.r = sp.r LEFT JOIN h ON d.r = h.r LEFT JOIN it ON d.r = it.r
 """
 }
 QUERIES = {"op4_decontaminate": op4_decontaminate}
