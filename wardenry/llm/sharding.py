@@ -4,27 +4,25 @@ Language, source, length and doc_id are quantised to BITS bits each, and rows ar
 place on the Hilbert curve through that grid, so a shard holds neighbours in all four and its minima and maxima let
 readers skip it. The order is cut into runs whose numbers of rows differ by one at most (law `rows`).
 
-Numbers are quantised by quantiles over all rows; strings by rank while there are few distinct ones, by hash beyond that. The sort
+Numbers are quantised by quantiles over all rows, strings by quantiles over their distinct values in order. The sort
 is by range over partitions, ties broken by doc_id, text and the rest, so a language or source with a third of all rows is
 split like any other run. A row's global position is its place in its partition plus what lies before: one number a partition.
 
-Null metadata is a value of its own (0). Null text has no bytes. Rows that repeat are placed one after the other.
-Columns named like a result are replaced. An empty table gives no rows.
+Null metadata is a value of its own (0). Null text has no bytes; texts may be of any length. Rows that repeat are placed one after the other, each once.
+write_shards() keeps all columns, whatever their names; the others return the columns they name. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, numbered, table
 
 SHARDS = 40
 BITS = 5
-#: The number of distinct strings up to which they are ranked.
-RANKED = 10_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -50,8 +48,17 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _up_to(bounds: list[float], value: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)
+def _cell(bounds: list, value: Column) -> Column:
+    """How many of the bounds are at most the value; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)), F.lit(0)) if bounds else F.lit(0)
+
+
+def string_bounds(values: DataFrame, cells: int) -> list[str]:
+    """The first of each cell's strings, for cells of equal numbers of distinct strings. values: one column. What reaches the driver is a string a cell."""
+    name = values.columns[0]
+    ranked = numbered(values.where(F.col(f"`{name}`").isNotNull()).distinct().toDF("name"), "names", "name")
+    firsts = ranked.groupBy((F.col("position") * cells / F.lit(max(1, ranked.count()))).cast("int")).agg(F.min("name")).collect()
+    return sorted((r[1] for r in firsts), key=lambda x: x.encode())
 
 
 def quantised(df: DataFrame, bits: int, **dims: Column) -> dict[str, Column]:
@@ -61,18 +68,9 @@ def quantised(df: DataFrame, bits: int, **dims: Column) -> dict[str, Column]:
     numbers = [k for k in dims if k not in strings]
     cuts = df.agg(*(F.percentile_approx(dims[k].cast("double"), [i / (cells - 1) for i in range(1, cells - 1)], 1000).alias(k) for k in numbers)).first() if numbers else {}
     for k in numbers:
-        bounds = sorted(set(cuts[k] or []))
-        # The number of bounds at or below the value.
-        rank = F.size(_up_to(bounds, dims[k])) if bounds else F.lit(0)
-        out[k] = F.when(dims[k].isNull(), 0).otherwise(1 + rank)
+        out[k] = F.when(dims[k].isNull(), 0).otherwise(1 + _cell(sorted(set(cuts[k] or [])), dims[k]))
     for k in strings:
-        names = sorted(r[0] for r in kinds.where(F.col(k).isNotNull()).groupBy(k).count().limit(RANKED + 1).select(k).collect())
-        if len(names) <= RANKED:
-            codes = {n: 1 + i * (cells - 1) // max(1, len(names)) for i, n in enumerate(names)}
-            own = F.element_at(F.create_map(*(F.lit(x) for p in codes.items() for x in p)), dims[k]) if codes else F.lit(0)
-        else:
-            own = 1 + F.pmod(F.xxhash64(dims[k]), F.lit(cells - 1)).cast("int")
-        out[k] = F.coalesce(own, F.lit(0))
+        out[k] = F.when(dims[k].isNull(), 0).otherwise(_cell(string_bounds(kinds.select(k), cells - 1), dims[k]))
     return out
 
 
@@ -85,14 +83,7 @@ def along_curve(df: DataFrame, bits: int, dims: dict[str, Column], ties: list[st
         return pd.Series(hilbert_index(cols.to_numpy(), bits))
 
     keyed = df.withColumn("curve", place(F.struct(*(c.cast("int").alias(k) for k, c in cells.items()))))
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    run = keyed.repartitionByRange(n, "curve", *ties).sortWithinPartitions("curve", *ties).withColumn("_id", F.monotonically_increasing_id())
-    run = written(run, "curve")
-    part = F.shiftright("_id", 33)
-    # One row a partition of the sort.
-    parts = run.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    before = parts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    return run.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    return numbered(keyed, "curve", "curve", *ties)
 
 
 def cut_runs(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -105,24 +96,36 @@ def cut_runs(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", at - first)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, lang, source, curve, shard, slot, of every row; the text itself is not shuffled."""
+DIMENSIONS = ("lang", "source", "size", "doc_id")
+
+
+def described(docs: DataFrame) -> list[Column]:
+    """doc_id, size, text_crc32, lang, source."""
     text = F.col("text").cast("string")
-    rows = docs.select(
+    return [
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-    )
-    dims = {k: F.col(k) for k in ("lang", "source", "size", "doc_id")}
-    return cut_runs(along_curve(rows, bits, dims, ["doc_id", "size", "text_crc32"]), shards).drop("position")
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Writes whole rows in a folder for each shard, in the curve's order, and returns the manifest: shard, rows and the range of each dimension. Needs unique doc_ids."""
-    where = shard_documents(docs, shards).select("doc_id", "shard", "slot")
-    whole = docs.join(where, "doc_id").repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot")
-    whole.write.partitionBy("shard").parquet(path)
-    back = docs.sparkSession.read.parquet(path)
-    return back.groupBy("shard").agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in ("lang", "source", "n_chars", "doc_id") for n, f in (("min", F.min), ("max", F.max))))
+    ]
+
+
+def in_order(rows: DataFrame, shards: int, bits: int) -> DataFrame:
+    """Rows that hold described() with curve, shard and slot."""
+    # Rows that are equal in all that is named are told apart by where they were read, so that no partition gathers them.
+    own = free_name(rows, "read")
+    return cut_runs(along_curve(rows.withColumn(own, F.monotonically_increasing_id()), bits, {k: F.col(k) for k in DIMENSIONS}, ["doc_id", "size", "text_crc32", own]), shards).drop("position", own)
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """doc_id, size, text_crc32, lang, source, curve, shard, slot, of every row; the text itself is not shuffled."""
+    return in_order(docs.select(*described(docs)), shards, bits)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """Writes whole rows, each once, in a folder for each shard, in the curve's order, and returns the manifest: shard, rows and the least and greatest lang, source, size and doc_id. The folders' column is shard, with underscores before it where docs have one of that name."""
+    name = free_name(docs, "shard")
+    placed = in_order(docs.select(*described(docs), F.struct(*docs.columns).alias("row")), shards, bits)
+    placed.sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))))
 
 
 def op8_hilbert_shards(spark, sf_dir: str) -> DataFrame:
