@@ -4,14 +4,14 @@ Documents are sorted by doc_id over range partitions; each task encodes its run
 shard whenever it has gathered SHARD_BYTES of ids, so a task holds one shard and one document. A shard is one
 record of a Parquet table in the shared folder (Spark commits it, so a lost executor leaves no
 half file): the raw ids of its documents end to end, and an index that maps a key to its place
-without storing keys. Level by level, keys hash into a bit array; those alone at their bit stay,
+without the keys (they are stored beside it, so that all documents can be listed). Level by level, keys hash into a bit array; those alone at their bit stay,
 the others go to the next level, and a key's slot is the rank of its bit. The slot holds a
 fingerprint (a key that was never written is refused but for one in 2^32), the offset and the
-number of ids. A lookup touches a few bits and one slot, whatever the shard's size.
+number of ids. A lookup touches a few bits and one slot, whatever the shard's size; look_up() sends each key to the shards whose range holds it.
 
-Null text counts as empty (the end id alone). A null doc_id is a key of its own and sorts first.
-Rows that repeat a doc_id are all written; a lookup takes the number of the copy within the shard,
-from 0. Columns beyond doc_id and text are ignored. An empty table gives no shards and no rows.
+Null text counts as empty (the end id alone); texts may be of any length. A null doc_id is a key of its own and sorts first.
+Rows that repeat a doc_id are all written, by hash and length of the text and then as they were read, so a doc_id of very many rows is dealt over tasks; look_up() returns them all.
+Columns beyond doc_id and text are ignored, whatever their names. An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import public_vocabulary, scratch, in_slices, table, token_bytes
+from .common import in_slices, public_vocabulary, scratch, table, token_bytes
 
 END_ID = 0
 SHARD_BYTES = 8 << 20
 LEVELS, SPREAD = 24, 2
 #: One record a shard.
-SHARD = "part int, number int, base long, n_docs long, n_ids long, first_key long, last_key long, payload binary, keys binary, bits binary, sizes binary, rest binary, fingerprints binary, places binary, lengths binary"
+SHARD = "part int, number int, base long, n_docs long, n_ids long, n_null long, first_key long, last_key long, payload binary, keys binary, bits binary, sizes binary, rest binary, fingerprints binary, places binary, lengths binary"
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -41,9 +41,12 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hashed_keys(keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
+def hashed_keys(keys: np.ndarray, copies: np.ndarray, nulls: int = 0) -> np.ndarray:
+    """A hash of each key and its copy's number; the first `nulls` keys are null."""
     with np.errstate(over="ignore"):
-        return _mix(keys.astype(np.int64).view(np.uint64), 101) + _mix(copies.astype(np.uint64), 102)
+        out = _mix(keys.astype(np.int64).view(np.uint64), 101)
+        out[:nulls] = np.uint64(0x5851F42D4C957F2D)
+        return out + _mix(copies.astype(np.uint64), 102)
 
 
 class PerfectHash:
@@ -85,28 +88,28 @@ class PerfectHash:
         return out
 
 
-def copy_numbers(keys: np.ndarray) -> np.ndarray:
-    """How often the same key came before, in a sorted run."""
+def copy_numbers(keys: np.ndarray, nulls: int = 0) -> np.ndarray:
+    """How often the same key came before, in a sorted run whose first `nulls` keys are null."""
     if not len(keys):
         return np.zeros(0, np.int64)
-    at = np.arange(len(keys))
-    return at - np.maximum.accumulate(np.where(np.r_[True, keys[1:] != keys[:-1]], at, 0))
-
-
-NULL_KEY = np.iinfo(np.int64).min
+    at, first = np.arange(len(keys)), np.r_[True, keys[1:] != keys[:-1]]
+    first[1:nulls] = False
+    first[nulls : nulls + 1] = True
+    return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
 def _shard(part: int, number: int, base: int, keys: list, ids: list[bytes], width: int) -> tuple:
-    own = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
+    nulls = sum(k is None for k in keys)
+    own = np.array([0 if k is None else k for k in keys], np.int64)
     lengths = np.array([len(x) // width for x in ids], np.int64)
-    hashes = hashed_keys(own, copy_numbers(own))
+    hashes = hashed_keys(own, copy_numbers(own, nulls), nulls)
     index = PerfectHash.build(hashes)
     slots = PerfectHash(*index).slots(hashes)
     fingerprints, places, counts = (np.empty(len(own), t) for t in ("<u4", "<u8", "<u4"))
     fingerprints[slots] = _mix(hashes, 103) >> np.uint64(32)
     places[slots] = np.cumsum(lengths) - lengths
     counts[slots] = lengths
-    return (part, number, base, len(own), int(lengths.sum()), int(own[0]), int(own[-1]), b"".join(ids), own.astype("<i8").tobytes(), *index, fingerprints.tobytes(), places.tobytes(), counts.tobytes())
+    return (part, number, base, len(own), int(lengths.sum()), nulls, keys[nulls] if nulls < len(keys) else None, keys[-1], b"".join(ids), own.astype("<i8").tobytes(), *index, fingerprints.tobytes(), places.tobytes(), counts.tobytes())
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, dtype: str = "<u2") -> None:
@@ -133,7 +136,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             yield close()
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    run = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col("text").cast("string")
+    order = ("doc_id", "hash", "n", "read")
+    run = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.length(text).alias("n"), F.monotonically_increasing_id().alias("read")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     run.mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(path)
 
 
@@ -145,15 +150,71 @@ class Shard:
         self.fingerprints, self.places, self.lengths = (np.frombuffer(row[k], t) for k, t in (("fingerprints", "<u4"), ("places", "<u8"), ("lengths", "<u4")))
         self.ids = np.frombuffer(row["payload"], dtype)
 
-    def find(self, keys: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each key; -1 where the shard lacks it."""
-        hashes = hashed_keys(keys, copies)
+    def find(self, keys: np.ndarray, copies: np.ndarray, nulls: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each key (the first `nulls` are null); -1 where the shard lacks it."""
+        hashes = hashed_keys(keys, copies, nulls)
         slots = self.index.slots(hashes)
         there = slots >= 0
         there[there] = self.fingerprints[slots[there]] == (_mix(hashes[there], 103) >> np.uint64(32)).astype(np.uint32)
         slots = np.where(there, slots, 0)
         return tuple(np.where(there, x[slots].astype(np.int64), -1) if len(x) else np.full(len(keys), -1) for x in (self.places, self.lengths))
 
+    def all_of(self, key: int | None) -> list[tuple[int, int]]:
+        """Place and number of ids of every copy of the key."""
+        out = []
+        while True:
+            (place,), (n,) = self.find(np.array([key or 0]), np.array([len(out)]), int(key is None))
+            if place < 0:
+                return out
+            out.append((int(place), int(n)))
+
+
+def ids_before(shards: DataFrame) -> DataFrame:
+    """part, before: the ids of all parts before. One row per range partition, so this window and its broadcast hold as many rows as the writer had tasks."""
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    return parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+
+
+#: Shards whose ranges look_up() broadcasts (5 numbers each); beyond that, 8 TB of ids, write several tables.
+MOST_SHARDS = 1_000_000
+
+
+def look_up(keys: DataFrame, path: str, dtype: str = "<u2") -> DataFrame:
+    """doc_id, start, n_tokens, ids of every document written under one of the keys (column doc_id); a key that was never written gives no row (but for one in 2^32 and shard)."""
+    spark = keys.sparkSession
+    shards = spark.read.schema(SHARD).parquet(path)
+    ranges = shards.select("part", "number", "n_null", "first_key", "last_key").collect()
+    if len(ranges) > MOST_SHARDS:
+        raise ValueError(f"{len(ranges)} shards; look_up() takes {MOST_SHARDS}")
+    with_nulls = F.array(*(F.struct(F.lit(r.part).alias("part"), F.lit(r.number).alias("number")) for r in ranges if r.n_null)).cast("array<struct<part:int,number:int>>")
+    filled = sorted((r for r in ranges if r.first_key is not None), key=lambda r: (r.first_key, r.part, r.number))
+    bounds = spark.sparkContext.broadcast(tuple(np.array([r[k] for r in filled], np.int64) for k in ("first_key", "last_key", "part", "number")))
+
+    def deal(batches):
+        first, last, part, number = bounds.value
+        for batch in in_slices(batches):
+            own = batch.column(0).to_numpy()
+            low, high = np.searchsorted(last, own, "left"), np.searchsorted(first, own, "right")
+            n = np.maximum(0, high - low)
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            yield pa.record_batch([pa.array(np.repeat(own, n)), pa.array(part[at].astype(np.int32)), pa.array(number[at].astype(np.int32))], names=["doc_id", "part", "number"])
+
+    def find(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                shard = Shard(row, dtype)
+                met = [(key, *x) for key in row["asked"] for x in shard.all_of(key)] + [(None, *x) for x in (shard.all_of(None) if row["asks_null"] else [])]
+                yield pa.record_batch([pa.array([row["part"]] * len(met), pa.int32()), pa.array([m[0] for m in met], pa.int64()), pa.array([m[1] + row["base"] for m in met], pa.int64()), pa.array([m[2] for m in met], pa.int64()), pa.array([shard.ids[p : p + n].astype("i4") for _, p, n in met], pa.list_(pa.int32()))], names=["part", "doc_id", "own_start", "n_tokens", "ids"])
+
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    dealt = asked.where("doc_id IS NOT NULL").mapInArrow(deal, "doc_id long, part int, number int")
+    nulls = asked.where("doc_id IS NULL").select("doc_id", F.explode(with_nulls).alias("s")).select("doc_id", "s.part", "s.number")
+    # The keys asked of a shard are no more than the documents it holds, or few that it lacks.
+    by_shard = dealt.unionByName(nulls).groupBy("part", "number").agg(F.collect_list("doc_id").alias("asked"), F.bool_or(F.col("doc_id").isNull()).alias("asks_null"))
+    found = shards.join(by_shard, ["part", "number"]).mapInArrow(find, "part int, doc_id long, own_start long, n_tokens long, ids array<int>")
+    return found.join(F.broadcast(ids_before(shards)), "part").select("doc_id", (F.col("own_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+
 
 def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", with_ids: bool = False) -> DataFrame:
     """Every document of the shards, each found through its index: doc_id, start, n_tokens, ids_crc32, and ids if asked."""
@@ -161,25 +222,20 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", with_id
     schema = "part int, doc_id long, own_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def documents(batches):
-        for batch in in_slices(batches):
+        for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                shard, keys = Shard(row, dtype), np.frombuffer(row["keys"], "<i8")
-                places, lengths = shard.find(keys, copy_numbers(keys))
+                shard, keys, nulls = Shard(row, dtype), np.frombuffer(row["keys"], "<i8"), row["n_null"]
+                places, lengths = shard.find(keys, copy_numbers(keys, nulls), nulls)
                 ids = [shard.ids[p : p + n].astype("<u4") for p, n in zip(places, lengths, strict=True)]
-                columns = [pa.array(np.full(len(keys), row["part"], np.int32)), pa.array(keys, mask=keys == NULL_KEY), pa.array(places + row["base"]), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
+                columns = [pa.array(np.full(len(keys), row["part"], np.int32)), pa.array(keys, mask=np.arange(len(keys)) < nulls), pa.array(places + row["base"]), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                 names = ["part", "doc_id", "own_start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns, names = [*columns, pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.record_batch(columns, names=names)
 
-    # One row per range partition, so this window and its broadcast hold as many rows as the writer had tasks.
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    from pyspark.sql import Window
-
-    before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
     # Few shards fit a batch: a shard is megabytes.
-    return shards.mapInArrow(documents, schema).join(F.broadcast(before), "part").select("doc_id", (F.col("own_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return shards.mapInArrow(documents, schema).join(F.broadcast(ids_before(shards)), "part").select("doc_id", (F.col("own_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
