@@ -6,8 +6,9 @@ back, decoded to a numpy array, and resized by areas from its integral image: th
 cell with fractional edges is a difference of four interpolated corners. Both sums run over strips, so
 a long text needs a few bytes a sample. The tile is kept as NPY, the hash compares neighbours in a 9 x 8 resize.
 
-Null text counts as empty (64 zeros). Equal texts give equal values; rows that repeat stay.
-Columns beyond doc_id and text are ignored. An empty table gives no rows.
+Null text counts as empty (64 zeros); texts may be of any length. Equal texts give equal values; rows that repeat stay. Cells that are equally dark count as not darker.
+Columns beyond doc_id and text are ignored, whatever their names. Media that are null or can't be decoded keep their row: what the stored bytes tell (media_bytes, media_sha256; null for null) stands, the features are null.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ def encode_bmp(image: np.ndarray) -> bytes:
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6, to (height, width) or (height, width, 3); comments may stand in the header."""
     kind, words, at = data[:2], [], 2
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError("no Netpbm image")
     need = 2 if kind in (b"P1", b"P4") else 3
     while len(words) < need:
         found = re.compile(rb"\s*(?:#[^\n]*\n\s*)*(\d+)").match(data, at)
@@ -75,7 +78,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed 8 bits with a palette, 24 or 32 bits; grey palettes give (height, width)."""
     (at,), (head, width, height, _, bits, squeezed) = struct.unpack_from("<I", data, 10), struct.unpack_from("<IiiHHI", data, 14)
-    if bits not in (8, 24, 32) or squeezed not in (0, 3):
+    if bits not in (8, 24, 32) or squeezed not in (0, 3) or width < 1:
         raise ValueError(f"a BMP of {bits} bits, compression {squeezed}, is not read")
     step = -(-width * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, step * abs(height), at).reshape(abs(height), step)
@@ -89,8 +92,13 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1])
 
 
-def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+def decode(data: bytes) -> np.ndarray | None:
+    """The image, or None where the bytes are no image of these forms, or one without samples."""
+    try:
+        image = decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (ValueError, TypeError, IndexError, OverflowError, struct.error):
+        return None
+    return image if image.size else None
 
 
 def _corners(length: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,9 +167,12 @@ def media_features(media: DataFrame, with_tiles: bool = True) -> DataFrame:
             stored = batch.column(2).to_pylist()
             rows = []
             for x in stored:
-                image = decode(x)
+                own = (None, None) if x is None else (len(x), sha(x))
+                if x is None or (image := decode(x)) is None:
+                    rows.append((None, None, None, *own, None, *[None] * with_tiles))
+                    continue
                 payload, plain = image.tobytes(), grey(image)
-                rows.append((len(payload), sha(payload), zlib.crc32(payload[-64:]), len(x), sha(x), difference_hash(plain), *[npy_tile(plain)] * with_tiles))
+                rows.append((len(payload), sha(payload), zlib.crc32(payload[-64:]), *own, difference_hash(plain), *[npy_tile(plain)] * with_tiles))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 6 + with_tiles]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
