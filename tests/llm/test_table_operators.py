@@ -3,12 +3,16 @@
 import datetime
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+from pyspark.sql import functions as F
+from test_text_operators import brute_contamination, brute_redacted
 
 import corpus_pipeline
-from wardenry.llm import chat, near_dedup, sharding, url_filter
+from wardenry.llm import chat, language_id, near_dedup, sharding, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string"
@@ -110,34 +114,69 @@ MESSAGES = [
 ]
 
 
+def brute_places(links):
+    """(conv, turn): parent, root, depth, place, by walking down from the roots."""
+    below, out = {}, {}
+    for conv, turn, parent in links:
+        below.setdefault((conv, parent), []).append(turn)
+    for conv, root in {(c, p) for c, _, p in links} - {(c, t) for c, t, _ in links}:
+        stack, place = [(root, None, 0)], 0
+        while stack:
+            turn, parent, depth = stack.pop()
+            out[conv, turn] = (parent, root, depth, place)
+            place += 1
+            stack += [(t, turn, depth + 1) for t in sorted(below.get((conv, turn), []), reverse=True)]
+    return out
+
+
 def test_chat(spark):
     frame = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string, body int")
     rows = chat.chat_messages(frame).collect()
     assert len(rows) == len(MESSAGES)
     got = {r.turn: r for r in rows if r.conv_id == 1}
     assert [got[t].parent_turn for t in range(5)] == [None, None, 0, 2, None]
-    assert [got[t].depth for t in range(5)] == [0, 0, 1, 2, 0] and got[3].root_turn == 0
+    assert [(got[t].depth, got[t].reply_place) for t in range(5)] == [(0, 0), (0, 0), (1, 1), (2, 2), (0, 0)] and got[3].root_turn == 0
     assert got[2].body == "Thanks, and its length?" and got[3].chat == "<|assistant|>\nTwo hundred miles." and got[3].levels == 2 and got[3].n_quoted == 2
     assert [r.turn for r in chat.in_reply_order(frame).collect() if r.conv_id == 1] == [0, 2, 3, 1, 4]
     assert {r.parent_turn for r in rows if r.conv_id != 1} == {None}
     assert chat.chat_messages(frame.limit(0)).count() == 0
 
 
+def test_reply_order(spark):
+    rng = random.Random(8)
+    big = 2**62
+    links = [(c, t, rng.choice([None, None, *range(t)])) for c in range(5) for t in range(1, 60)] + [(7, big + t, big + t - 1) for t in range(300)] + [(8, t, -5) for t in range(-4, 200)]
+    links = [x for x in links if x[2] is not None]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.reply_place) for r in chat.reply_order(spark.createDataFrame(links, "conv_id long, turn long, parent_turn long")).collect()}
+    assert got == brute_places(links)
+
+
+def test_short_quotes_belong_to_the_message_before(spark):
+    rows = [(1, 10000000001, "user", "Why not?"), (1, 10000000002, "user", "Why not?"), (1, 10000000003, "user", "> Why not?\nSo."), (1, 10000000005, "user", "> So.\n> why NOT?"), (1, 10000000006, "user", "> !?\n> ...")]
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 10000000003, 10000000002)]
+
+
 def test_chat_replies_of_derived_quotes(spark):
     long = [(7, t, "user", f"message number {t}\nits second line {t}") for t in range(40)]
     frame = spark.createDataFrame([*long, (8, 0, "user", "the first message"), (8, 0, "user", "zzz another one"), (8, 1, None, None), (8, 3, "user", "alone here"), (None, 1, "user", "x"), (9, None, "user", "x")], "conv_id long, turn long, role string, text string")
     derived = chat.quoting(frame)
     assert derived.count() == frame.count()
-    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in chat.reply_depths(chat.link_quotes(derived)).collect()}
-    assert got == {(7, t): (t - 1, t - t % 4, t % 4) for t in range(40) if t % 4} | {(8, 1): (0, 0, 1)}
-    paths = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in chat.chat_messages(derived).where("depth > 0").collect()}
-    assert paths == got
+    texts = {(r.conv_id, r.turn): r.text for r in derived.collect()}
+    assert texts[7, 2] == ">> message number 0\n>> its second line 0\n> message number 1\n> its second line 1\nmessage number 2\nits second line 2" and texts[7, 3].startswith(">> its second line 2\nmessage") and texts[7, 4] == long[4][3]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.reply_place) for r in chat.reply_order(chat.link_quotes(derived)).collect()}
+    links = [(7, t, t - 1) for t in range(40) if t % 4] + [(8, 1, 0)]
+    assert got == brute_places(links)
+    shown = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.reply_place) for r in chat.chat_messages(derived).collect() if (r.conv_id, r.turn) in got}
+    assert shown == got
 
 
-def test_chat_depths_of_a_chain(spark):
-    links = spark.range(1, 3000).selectExpr("1L AS conv_id", "id AS turn", "id - 1 AS parent_turn")
-    rows = chat.reply_depths(links)
-    assert rows.count() == 2999 and rows.where("root_turn <> 0 OR depth <> turn OR parent_turn <> turn - 1").count() == 0
+def test_quotes_of_very_many_lines(spark):
+    """Lines of nothing but marks, and messages of very many lines, cost in proportion."""
+    lines = [f"line number {i}" for i in range(30_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join(f"> {x}" if i % 2 else x for i, x in enumerate(lines))), (1, 2, "user", ">" * 100_000 + " x\n" + "> " * 50_000)]
+    got = {r.turn: r for r in chat.chat_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].parent_turn, got[1].n_quoted, got[2].levels, got[2].parent_turn) == (0, 15_000, 100_000, None)
 
 
 def test_url_list(spark):
@@ -151,6 +190,14 @@ def test_url_list(spark):
     assert {r.verdict for r in url_filter.judge(captures, entries.limit(0)).collect()} == {"none"} and url_filter.judge(captures.limit(0), entries).count() == 0
 
 
+def test_url_columns_that_clash(spark):
+    entries = spark.createDataFrame([("url", "http://x.org/1", "block", datetime.date(2024, 1, 1))], "kind string, value string, action string, since date")
+    captures = spark.createDataFrame([("http://x.org/1", datetime.date(2024, 1, 2), 1, 2, 3, 4)], "url string, fetched date, of_host int, of_url int, _e int, n int")
+    row = url_filter.judge(captures, entries).first()
+    assert (row.verdict, row.of_host, row.of_url, row["_e"], row.n) == ("block", 1, 2, 3, 4)
+    assert url_filter.keep_allowed(captures, entries).columns == captures.columns
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     place = sharding.hilbert_index(cells, 3)
@@ -173,6 +220,85 @@ def test_shards(spark):
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)] and sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_shards_follow_the_curve_and_prune(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(10**6), "x" * rng.randrange(4000), rng.choice("abcdef"), f"s{rng.randrange(500)}", 1, "x") for _ in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS).repartition(6)).collect()
+    want = sorted(got, key=lambda r: (r.curve, r.doc_id, r.size, r.text_crc32))
+    assert [(r.shard, r.slot) for r in want] == [(i // 75, i % 75) for i in range(3000)]
+    boxes = {}
+    for r in got:
+        boxes.setdefault(r.shard, []).append((r.size, r.doc_id, r.lang))
+    read = sum(min(x[0] for x in b) <= 500 and min(x[1] for x in b) <= 200_000 and min(x[2] for x in b) <= "a" for b in boxes.values())
+    assert read <= 12  # of 40: most shards need not be opened for small documents of low ids in one language
+
+
+@pytest.mark.parametrize("names", [20, 12_000])
+def test_names_are_quantised_alike_at_every_number(spark, names):
+    values = spark.range(names).selectExpr("concat('n', lpad(id, 6, '0')) AS name")
+    bounds = sharding.string_bounds(values, 31)
+    cells = [sum(b <= f"n{i:06d}" for b in bounds) for i in range(names)]
+    ranks = sorted({i * 31 // names for i in range(names)})
+    assert cells == [1 + ranks.index(i * 31 // names) for i in range(names)]
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(5, "a", "en", "s", 1, "x"), (5, "b", "en", "s", 1, "y"), (5, "a", "en", "s", 1, "x"), (None, None, None, None, None, None), (7, "long text", "de", "t", 9, "z")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("shard", F.lit("mine")).withColumn("curve", F.lit(1))
+    manifest = {r.shard: r for r in sharding.write_shards(docs, str(tmp_path / "a"), 3).collect()}
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(repr, back.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    assert {r[0]: r[1] for r in back.groupBy("_shard").count().collect()} == {k: r.rows for k, r in manifest.items()} == {0: 2, 1: 2, 2: 1}
+    assert sharding.write_shards(docs.limit(0), str(tmp_path / "b"), 3).count() == 0
+
+
+def test_one_of_several_texts_under_one_id_is_kept(spark):
+    rows = [(1, "b c d e f g", "en", "s", 1, "x"), (1, "a c d", "en", "s", 1, "x"), (1, None, "en", "s", 1, "x"), (2, "z", "en", "s", 1, "x"), (2, "z", "en", "s", 1, "w"), (None, "z", "en", "s", 1, "x")]
+    got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([rows[1], rows[4], rows[5]], key=repr) or sorted((r.doc_id or 0, r.text) for r in got) == [(0, "z"), (1, "a c d"), (2, "z")]
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on what the one before it kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = language_id.train(docs.where(~language_id.held_out()))
+    pieces, kept = language_id.pieces_of(model.vocabulary), set()
+    for r in rows.values():
+        words = regex.findall(language_id.WORDS, (r.text or "").lower())
+        if words and model.languages:
+            total = sum(n * language_id.forward(w, pieces, model.chances) for w, n in Counter(words).items())
+            if 1 / np.exp(np.clip(total - total.max(), -700, 0)).sum() >= 0.5:
+                kept.add(r.doc_id)
+    now = corpus_pipeline.language(spark, docs, SF)
+    assert now.columns == docs.columns and {r.doc_id for r in now.collect()} == kept
+    label = brute_components([(d, rows[d].text) for d in kept], 5, 80)
+    kept = set(label.values())
+    now = corpus_pipeline.near_duplicates(spark, now, SF)
+    assert now.columns == docs.columns and sorted(r.doc_id for r in now.collect()) == sorted(kept)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = {d for d in kept if not brute_contamination(rows[d].text, items)[-1]}
+    now = corpus_pipeline.benchmark(spark, now, SF)
+    assert now.columns == docs.columns and sorted(r.doc_id for r in now.collect()) == sorted(kept)
+    now = corpus_pipeline.secret_scan(spark, now, SF)
+    clean = {r.doc_id: r for r in now.collect()}
+    assert now.columns == docs.columns and {d: r.text for d, r in clean.items()} == {d: brute_redacted(rows[d].text) for d in kept}
+    assert all((r.lang, r.source, r.n_chars) == (rows[d].lang, rows[d].source, rows[d].n_chars) for d, r in clean.items())
+    packed = corpus_pipeline.pack(spark, now, SF)
+    assert {r.doc_id for r in packed.collect()} == kept and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows; and nulls, empty texts, repeated rows and another column."""
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    odd = [(None, None, None, None, None, None), (1, "", "en", "s", 0, "x"), *[(2, "some words of english", "en", "s", 5, "x")] * 2, (None, "some words of english", "en", "s", 5, "x")]
+    for name, rows in (("none", []), ("odd", odd)):
+        benchmark.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert [r.doc_id for r in sorted(got, key=lambda r: r.doc_id or 0)] == ([None, 2] if rows else [])
+
+
 def test_pipeline_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = corpus_pipeline.language(spark, docs, SF)

@@ -69,14 +69,16 @@ def brute_spans(text):
     base = [(k, a, z) for a, _, k, z in sorted(out)]
     more = []
     for m in re.finditer(secrets.CANDIDATE, text):
-        v = m[0]
-        if not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or re.search(secrets.ALLOWED, v) or any(a < m.end() and m.start() < z for _, a, z in base):
-            continue
-        name, _, _, bound = next(c for c in secrets.CLASSES if re.fullmatch(c[1], v))
-        v = v.lower() if name == "hex" else v
-        best = max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in (v[i : i + 20] for i in range(len(v) - 19)))
-        if best >= bound:
-            more.append(("entropy", *m.span()))
+        at = m.start()
+        for v in re.split(secrets.ALLOWED.replace("(?i)", ""), m[0], flags=re.I):
+            at = text.index(v, at)
+            if len(v) < 20 or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or any(a < at + len(v) and at < z for _, a, z in base):
+                continue
+            name, _, _, bound = next(c for c in secrets.CLASSES if re.fullmatch(c[1], v))
+            w = v.lower() if name == "hex" else v
+            best = max(-sum(x.count(c) / 20 * math.log2(x.count(c) / 20) for c in set(x)) for x in (w[i : i + 20] for i in range(len(w) - 19)))
+            if best >= bound:
+                more.append(("entropy", at, at + len(v)))
     line = lambda s: ",".join(f"{k}:{a}:{z}" for k, a, z in s)
     return line(base), line(sorted(base + more, key=lambda s: (s[1], secrets.KINDS.index(s[0]))))
 
@@ -90,15 +92,32 @@ def test_secret_spans(docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def brute_redacted(text):
+    gone = set()
+    for span in filter(None, brute_spans(text)[1].split(",")):
+        _, a, z = span.split(":")
+        gone |= set(range(int(a), int(z)))
+    return "".join("[SECRET]" if i in gone and i - 1 not in gone else "" if i in gone else c for i, c in enumerate(text))
+
+
 def test_secrets_are_redacted(docs):
     for r in secrets.redact(docs).withColumnRenamed("text", "clean").join(docs, "doc_id").collect():
-        if not brute_spans(r.text)[1]:
-            assert r.clean == r.text
-        else:
-            assert "[SECRET]" in r.clean and brute_spans(r.clean)[0] == "" and r.clean.replace("[SECRET]", "") in "".join(r.text) or len(r.clean) < len(r.text)
+        assert r.clean == (None if r.text is None else brute_redacted(r.text)), r.text
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secrets_of_long_texts(spark):
+    """A candidate of a million characters, tens of thousands of matches, stretches over pages, and a column named like the operator's own."""
+    many = "é token=abcdef12 Zx9Qm2Lk8Vb4Nc7Tp1Rw5Yd" * 6000
+    path = "config/prod/aws/keys/Zk3v9QmT7xLr2WbY8nPd5sHc"
+    texts = ["a1" + "ab-" * 333_333 + "1", "z" * 1_000_000 + "1", many, path, "😀" * 9000 + path + "x" * 20_000]
+    rows = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, candidates string")
+    for r in secrets.find_secrets(rows).select("doc_id", "text", "candidates", secrets.joined("base").alias("b"), secrets.joined("spans").alias("s")).collect():
+        assert r.candidates == "mine" and (r.doc_id < 2 and (r.b, r.s) == ("", "") or (r.b, r.s) == brute_spans(r.text)), r.doc_id
+    for r in secrets.redact(rows).collect():
+        assert r.text == (texts[r.doc_id] if r.doc_id < 2 else brute_redacted(texts[r.doc_id]))
+
+
 def test_window_entropy_of_a_long_candidate(spark):
     value = "".join("abcdefghijklmnop"[i * i % 16] if i % 97 else "q7" for i in range(3000))
     got = spark.createDataFrame([(value,)], "v string").select(secrets.best_window(F.col("v"), secrets.CLASSES[2][2])).first()[0]
@@ -123,12 +142,9 @@ def brute_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("part_chars", [400_000, 20])
-def test_contamination(spark, docs, empty, part_chars, monkeypatch):
+def test_contamination(spark, docs, empty):
     items = [(1, "w7 W8, w9"), (2, "the same"), (3, None), (4, "!!"), (10, " ".join(f"w{i}" for i in range(100, 120))), (10, "text twice"), (5, "straße 日本語")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.benchmark_parts, "__defaults__", (part_chars,))
-    monkeypatch.setattr(decontaminate.contaminated_words, "__defaults__", (13, part_chars))
     got = decontaminate.decontaminate(docs, benchmark).collect()
     assert len(got) == len(TEXTS) + 2
     for r in got:
@@ -162,12 +178,48 @@ def test_packing(docs, empty, encoder):
     assert packing.pack_documents(empty).count() == 0
 
 
+def brute_sum_of_squares(lengths, size):
+    """Every open bin and a new one are tried; the least sum of squares of open bins per gap wins, bins before a new one, small gaps first."""
+    bins, total = [], lambda gaps: sum(gaps.count(g) ** 2 for g in set(gaps) if g)
+    for s in sorted(lengths, reverse=True):
+        gaps = [size - sum(b) for b in bins]
+        options = {}
+        for k, g in enumerate(gaps):
+            if g >= s:
+                options.setdefault((total([*gaps[:k], g - s, *gaps[k + 1 :]]), 0, g), k)
+        options[total([*gaps, size - s]), 1, 0] = None
+        best = options[min(options)]
+        if best is None:
+            bins.append([s])
+        else:
+            bins[best].append(s)
+    return sorted(size - sum(b) for b in bins)
+
+
+def test_bins_are_chosen_by_sums_of_squares():
+    rng = np.random.default_rng(4)
+    for size, n in ((16, 80), (7, 60), (64, 120)):
+        lengths = rng.integers(1, size + 1, n)
+        bins, offsets = packing.sum_of_squares(lengths, size)
+        sizes = np.bincount(bins, weights=lengths)
+        assert sorted(size - sizes) == brute_sum_of_squares(lengths.tolist(), size)
+        assert all(sorted(zip(offsets[bins == k], lengths[bins == k], strict=True))[0][0] == 0 for k in range(len(sizes)))
+
+
 def test_few_sequences(spark):
     got = packing.op7_best_fit_packing(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n"))
     bins, total = got.agg(F.count("*"), F.sum("n")).first()
     assert bins <= -(-total // 1024) * 1.01 + 1
 
 
+def test_few_sequences_in_several_groups(spark):
+    """Groups that share no bins need hardly more than one group does."""
+    rng = np.random.default_rng(6)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n)) for i, n in enumerate(rng.integers(1, 1025, 20_000))], "doc_id long, copy long, piece int, length long")
+    one, four = (packing.pack(pieces, 1024, n).select("sequence_id").distinct().count() for n in (20_000, 5000))
+    assert four <= 1.01 * one
+
+
 def test_packed_sequences(docs, encoder):
     got = packing.packed_sequences(docs, length=64).collect()
     ids = sorted(i for r in got for i in r.input_ids)
@@ -193,6 +245,23 @@ def test_token_files(spark, docs, empty, encoder, tmp_path, shard_bytes):
     assert token_files.read_token_files(spark, str(tmp_path / "b")).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [8 << 20, 300])
+def test_look_up(spark, docs, encoder, tmp_path, shard_bytes):
+    least = -(2**63)
+    more = spark.createDataFrame([(least, "smallest key", "en", "s", 1, "x"), (None, "no id either", None, None, None, None)], DOCS)
+    path = str(tmp_path / "a")
+    token_files.write_token_files(docs.union(more).union(docs.where("doc_id = 3")).repartition(4), path, shard_bytes=shard_bytes)
+    keys = spark.createDataFrame([(k, "x") for k in (3, 3, 5, 999, -7, least, None)], "doc_id long, text string")
+    got = {}
+    for r in token_files.look_up(keys, path).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.n_tokens, list(r.ids)))
+    want = {3: ["é"] * 4, 5: ["word"], least: ["smallest key"], None: ["no id", "no id either"]}
+    assert {k: sorted(x[2] for x in v) for k, v in got.items()} == {k: sorted([*encoder(t), 0] for t in v) for k, v in want.items()}
+    listed = token_files.read_token_files(spark, path, with_ids=True).collect()
+    assert sorted((r.start, list(r.ids)) for r in listed if r.doc_id in want) == sorted((x[0], x[2]) for v in got.values() for x in v)
+    assert sum(r.doc_id is None for r in listed) == 2 and token_files.look_up(keys.limit(0), path).count() == 0
+
+
 def test_perfect_hash():
     for n in (1, 2, 9, 5000):
         keys = token_files.hashed_keys(np.arange(n) * 7 - 3, np.zeros(n, np.int64))
@@ -202,6 +271,13 @@ def test_perfect_hash():
 # Media
 
 
+def exact_means(image, height, width):
+    """Means over cells as whole sums and the number of their parts: each sample becomes height x width."""
+    h, w = image.shape
+    fine = np.kron(image.astype(np.int64), np.ones((height, width), np.int64))
+    return fine.reshape(height, h, width, w).sum(axis=(1, 3)), h * w
+
+
 @pytest.mark.parametrize("form", ["pgm", "bmp"])
 def test_media(docs, empty, form):
     got = media.media_features(media.to_media(docs, form)).collect()
@@ -210,10 +286,26 @@ def test_media(docs, empty, form):
         raw = ("no id" if r.doc_id is None else TEXTS[r.doc_id] or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert np.load(__import__("io").BytesIO(bytes(r.tile))).shape == (32, 32)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        sums, _ = exact_means(image, 8, 9)
+        assert r.feature == np.packbits(sums[:, :-1] < sums[:, 1:]).tobytes().hex()
+        sums, n = exact_means(image, 32, 32)
+        tile = np.load(__import__("io").BytesIO(bytes(r.tile))).astype(np.int64)
+        assert tile.shape == (32, 32) and (tile == (2 * sums + n) // (2 * n)).all()
     assert media.media_features(media.to_media(empty)).count() == 0
 
 
+def test_media_that_are_no_images(spark):
+    good = media.encode_pgm(np.arange(128, dtype=np.uint8).reshape(2, 64))
+    bad = [None, b"", b"P5", b"P5\n64 2\n255\nshort", b"BM", b"BM" + bytes(60), b"P7\n1 1\n", b"P2\n2 2\n255\n1 x", b"P5\n0 0\n255\n", media.encode_bmp(np.zeros((3, 3), np.uint8))[:-5]]
+    rows = media.media_features(spark.createDataFrame([(i, 1, x) for i, x in enumerate([good, *bad])], "doc_id long, n_bytes long, media binary")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 11 and got[0].feature and got[0].payload_bytes == 128
+    for i, x in enumerate(bad, 1):
+        assert (got[i].payload_bytes, got[i].payload_sha256, got[i].feature, got[i].tile) == (None,) * 4
+        assert (got[i].media_bytes, got[i].media_sha256) == ((None, None) if x is None else (len(x), hashlib.sha256(x).hexdigest()))
+
+
 def test_resize_and_forms():
     image = np.random.default_rng(1).integers(0, 256, (9000, 64)).astype(np.uint8)
     assert np.allclose(media.area_resize(image, 9, 16), image.reshape(9, 1000, 16, 4).mean(axis=(1, 3)))
@@ -261,3 +353,59 @@ def test_languages_of_odd_rows(docs, empty):
     assert language_id.identify(empty, model).count() == 0
     nothing = language_id.train(empty)
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_expected_counts_of_short_and_long_words():
+    """By a list of all segmentations, and alike on both sides of where logarithms begin."""
+    pieces = language_id.Pieces(["▁a", "b", "ab", "▁", "a", "▁ab", "ba"])
+    chances = [0.1, 0.2, 0.3, 0.15, 0.05, 0.12, 0.07, 1e-7]
+
+    def cuts(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            if pieces.get(text[:n], -1) >= 0:
+                yield from ([pieces[text[:n]], *rest] for rest in cuts(text[n:]))
+
+    weights = [(math.prod(chances[p] for p in own), own) for own in cuts("▁abab")]
+    total = sum(w for w, _ in weights)
+    want = {p: sum(w * own.count(p) for w, own in weights) / total for p in range(7)}
+    got = language_id.expected_counts("abab", pieces, chances)
+    assert all(math.isclose(got.get(p, 0.0), want[p], abs_tol=1e-12) for p in range(7))
+    near = [language_id.expected_counts("ab" * n, pieces, chances) for n in (19, 20, 21)]
+    assert all(math.isclose(near[1][p] - near[0][p], near[2][p] - near[1][p], rel_tol=1e-6) for p in near[0] if near[0][p] > 1)
+    assert math.isfinite(sum(language_id.expected_counts("z" * 5000, pieces, chances).values()) + sum(language_id.expected_counts("ab" * 3000, pieces, chances).values()))
+
+
+def test_known_words_outlast_a_full_memory(monkeypatch):
+    monkeypatch.setattr(language_id.WordScores, "LIMIT", 5)
+    model = language_id.LanguageModel(["x", "y"], np.array([[0.1, 0.2]] * 22240), public_vocabulary("piece_bpe_32k.model"))
+    scores = language_id.WordScores(model)
+    texts = [["one", "two", "three"], ["four", "one", "five"], ["one", "six", "seven", "eight", "nine", "ten", "eleven"], ["one"]]
+    for own in texts:
+        want = sum(language_id.forward(w, scores.pieces, scores.chances) for w in own)
+        assert np.allclose(scores.of([own, []])[0], want)
+
+
+def test_result_names_of_other_columns(spark):
+    """Columns named like what operators make or use inside are replaced or kept, as their docstrings say."""
+    names = ["lang_pred", "score", "base", "spans", "n_words", "runs", "items", "copy", "piece", "length", "payload", "media", "candidates", "read", "id"]
+    docs = spark.createDataFrame([(1, "some words password=abcdef12", "en", *["mine"] * len(names))], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    benchmark = spark.createDataFrame([(1, "some words", "x")], "item_id long, text string, words string")
+    row = language_id.identify(docs, language_id.train(docs)).first()
+    assert (row.lang_pred, row.base) == ("en", "mine")
+    row = secrets.find_secrets(docs).first()
+    assert len(row.spans) == 1 and row.candidates == "mine"
+    row = decontaminate.decontaminate(docs, benchmark).first()
+    assert (row.n_words, row.n_hit, row.length) == (4, 2, "mine") and decontaminate.drop_contaminated(docs, benchmark).count() == 0
+    assert packing.pack_documents(docs).count() == 1 and media.media_features(media.to_media(docs)).count() == 1
+
+
+def test_decontamination_of_long_runs(spark):
+    """Long items, repeated blocks, runs at both ends and one short of a window."""
+    words = [f"w{i % 50}" for i in range(400)] + [f"v{i}" for i in range(300)]
+    items = [(1, " ".join(words)), (2, " ".join(words[390:420])), (3, " ".join(words[690:])), (4, "w1 w2 w3"), (5, " ".join(words[100:113]))]
+    texts = [" ".join(words), " ".join(words[395:407]), " ".join(words[395:408]), "x " + " ".join(words[5:300]) + " y " + " ".join(words[680:]), " ".join(words[650:662]) + " w1 w2 w3", " ".join(["w1"] * 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(r.text, items), r.doc_id
