@@ -111,8 +111,11 @@ def windows_file(benchmark: DataFrame, size: int = WINDOW) -> str:
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
     path = scratch(spark, "windows")
     rows.repartition(1).mapInArrow(build, "windows binary").write.parquet(path)
-    spark.sparkContext.addFile(path, recursive=True)
-    return os.path.basename(path)
+    # One partition is one file; a benchmark without rows may leave none.
+    for file in spark.read.parquet(path).inputFiles():
+        spark.sparkContext.addFile(file)
+        return os.path.basename(file)
+    return ""
 
 
 @lru_cache(maxsize=1)
@@ -120,7 +123,7 @@ def read_windows(name: str) -> Windows:
     import pyarrow.parquet as pq
     from pyspark import SparkFiles
 
-    rows = pq.read_table(SparkFiles.get(name)).column("windows").to_pylist()
+    rows = pq.read_table(SparkFiles.get(name)).column("windows").to_pylist() if name else []
     return pickle.loads(rows[0]) if rows else Windows([])
 
 
