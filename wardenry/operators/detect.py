@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markers import has_any, sql_has_any
+from ..functions.markers import first_of, has_any, sql_has_any
 
 # What shows that a query's values are bound, on the lower-case line.
 _BOUND = r"(?:%s|%\([a-z_]\w*\)s|\?|:[a-z_]\w*)"
@@ -22,28 +22,35 @@ ALLOWLIST = r"(?:is_allowed_url|isallowedurl|is_safe_url|issafeurl|url_is_allowe
 ESCAPED = r"(?i)^\s*(?:(?:html|markupsafe|cgi|flask|django\.utils\.html)\.escape|escapehtml|escape_html|lodash\.escape|_\.escape|he\.encode)\(.+\);*\s*$"
 BUILT = r"[+]|f[\"']|\.format\("
 
+#: Languages whose lines are looked at alike.
+SCRIPTS = ("javascript", "typescript", "json")
+JVM = ("java", "kotlin")
+#: Kinds of sources with their families, in the order in which an expression is told.
+SOURCE_FAMILIES = (("query", "query"), ("body", "body"), ("cookies", "cookie"), ("headers", "headers"), ("auth_context", "auth_context"), ("request_input", "request_input"))
+#: Kinds that a user can set, beside those that only frameworks name.
+USER_INPUT = ("query", "body", "headers", "cookies", "path", "form", "request_input", "search_params", "route_param")
 #: name: (rule, languages, sink family, source family or None, what lifts it: bound, allowed, escaped or None). Order is the order within a line.
 DETECTORS: dict[str, tuple] = {
     "python_file": ("WEB-FILE-001", ("python",), "file_sink", "file_source", None),
     "python_orm": ("WEB-ORM-001", ("python",), "orm_sink", "orm_source", "bound"),
     "python_sqli": ("WEB-SQLI-001", ("python",), "sql_verb", "sql_call", "bound"),
     "python_template": ("WEB-TEMPLATE-001", ("python",), "python_template", None, "escaped"),
-    "js_template": ("WEB-TEMPLATE-001", ("javascript",), "js_template", None, "escaped"),
-    "ssrf": ("WEB-SSRF-001", ("python", "javascript"), "ssrf_sink", "ssrf_source", "allowed"),
-    "path_traversal": ("WEB-PATH-001", ("python", "javascript"), "path_sink", "path_source", None),
-    "open_redirect": ("WEB-REDIRECT-001", ("python", "javascript"), "redirect_sink", "redirect_source", "allowed"),
-    "blade_template": ("WEB-TEMPLATE-001", ("php",), "blade_sink", "blade_source", None),
+    "js_template": ("WEB-TEMPLATE-001", SCRIPTS, "js_template", None, "escaped"),
+    "ssrf": ("WEB-SSRF-001", ("python", *SCRIPTS), "ssrf_sink", "ssrf_source", "allowed"),
+    "path_traversal": ("WEB-PATH-001", ("python", *SCRIPTS), "path_sink", "path_source", None),
+    "open_redirect": ("WEB-REDIRECT-001", ("python", *SCRIPTS), "redirect_sink", "redirect_source", "allowed"),
+    "blade_template": ("WEB-TEMPLATE-001", ("php",), "blade_sink", "blade_source", "escaped"),
     "php_process": ("WEB-PROC-001", ("php",), "php_process", None, None),
     "php_ssrf": ("WEB-SSRF-001", ("php",), "php_ssrf", None, None),
     "php_redirect": ("WEB-REDIRECT-001", ("php",), "php_redirect", None, None),
     "php_path": ("WEB-PATH-001", ("php",), "php_path", None, None),
     "php_file": ("WEB-FILE-001", ("php",), "php_file", None, None),
-    "spring_deserial": ("WEB-DESERIAL-001", ("java",), "spring_deserial", None, None),
-    "spring_sql": ("WEB-SQLI-001", ("java",), "spring_sql", None, "bound"),
-    "spring_ssrf": ("WEB-SSRF-001", ("java",), "spring_ssrf", None, None),
-    "spring_redirect": ("WEB-REDIRECT-001", ("java",), "spring_redirect", None, None),
-    "spring_path": ("WEB-PATH-001", ("java",), "spring_path", None, None),
-    "spring_file": ("WEB-FILE-001", ("java",), "spring_file", None, None),
+    "spring_deserial": ("WEB-DESERIAL-001", JVM, "spring_deserial", None, None),
+    "spring_sql": ("WEB-SQLI-001", JVM, "spring_sql", None, "bound"),
+    "spring_ssrf": ("WEB-SSRF-001", JVM, "spring_ssrf", None, None),
+    "spring_redirect": ("WEB-REDIRECT-001", JVM, "spring_redirect", None, None),
+    "spring_path": ("WEB-PATH-001", JVM, "spring_path", None, None),
+    "spring_file": ("WEB-FILE-001", JVM, "spring_file", None, None),
 }
 
 
@@ -52,7 +59,8 @@ def parameterised(line: Column) -> Column:
     return ~built & F.lower(line).rlike(PARAMETERISED)
 
 
-def hits(name: str, line: Column, tainted: Column) -> Column:
+def hits(name: str, line: Column, tainted: Column, sanitized: Column | None = None, guarded: Column | None = None) -> Column:
+    """Whether the detector's line test holds. sanitized, guarded: whether the line's tainted data was escaped, or its URL checked."""
     rule, languages, sink, source, lifted = DETECTORS[name]
     out = has_any(line, sink)
     if name in ("python_orm", "python_sqli"):
@@ -62,7 +70,10 @@ def hits(name: str, line: Column, tainted: Column) -> Column:
     if name == "spring_deserial":
         low = F.lower(line)
         out |= low.contains("objectinputstream") & (low.contains("readobject(") | low.contains("readunshared(")) | low.contains("objectmapper") & low.contains("readvalue(")
-    return out & {"bound": ~parameterised(line), "allowed": ~F.lower(line).rlike(ALLOWLIST), "escaped": ~line.rlike(ESCAPED), None: F.lit(True)}[lifted]
+    no = F.lit(False)
+    safe = line.rlike(ESCAPED) | (no if sanitized is None else sanitized)
+    listed = F.lower(line).rlike(ALLOWLIST) | (no if guarded is None else guarded)
+    return out & {"bound": ~parameterised(line), "allowed": ~listed, "escaped": ~safe, None: F.lit(True)}[lifted]
 
 
 def detect(lines: DataFrame, name: str) -> DataFrame:
@@ -71,30 +82,45 @@ def detect(lines: DataFrame, name: str) -> DataFrame:
     return found.select("file_id", "line_no", F.lit(DETECTORS[name][0]).alias("rule_id"), "line")
 
 
-def web_findings(lines: DataFrame) -> DataFrame:
-    """All detectors in one pass over the lines: flags become an array that is exploded. Routes of files without authentication come from one aggregate and a join.
+def guard_model(line: Column) -> Column:
+    """What kind of guard a line is, in the order of trial; null: none. `guard` without a closer kind."""
+    kinds = F.when(has_any(line, "auth_middleware"), "middleware").when(has_any(line, "auth_decorator"), "decorator").when(has_any(line, "auth_predicate"), "predicate").when(has_any(line, "role_guard"), "role_check").otherwise("guard")
+    return F.when(has_any(line, "auth_guard") | has_any(line, "role_guard"), kinds)
 
-    An ORM hit ends a Python line after file access, an escaped template or DOM write ends a line before its network, path and redirect sinks.
-    A guard's middleware is the same finding as the guard.
+
+def web_findings(lines: DataFrame, metadata=None) -> DataFrame:
+    """All detectors in one pass over the lines (file_id, line_no, language, line, tainted, and sanitized and guarded where they are known): flags become an array that is exploded.
+    Routes of files without authentication come from one aggregate and a join.
+
+    An ORM hit ends a Python line after file access; an escaped template or DOM write ends a line before what follows it.
+    A guard has severity info and confidence high. Its middleware is the same finding as the guard, and has the last word on what it is called.
+    metadata(detector): the column of a finding's metadata, if it is wanted.
     """
     line, tainted, language = F.col("line"), F.col("tainted"), F.col("language")
-    python, script = language.eqNullSafe("python"), language.eqNullSafe("javascript")
+    sanitized, guarded = (F.col(c) if c in lines.columns else F.lit(False) for c in ("sanitized", "guarded"))
+    python, script, php = language.eqNullSafe("python"), F.coalesce(language.isin(*SCRIPTS), F.lit(False)), language.eqNullSafe("php")
     orm, xss = hits("python_orm", line, tainted), script & has_any(line, "js_xss")
-    escaped = line.rlike(ESCAPED) & (python & has_any(line, "python_template") | script & has_any(line, "js_template") | xss)
+    sink = python & has_any(line, "python_template") | script & has_any(line, "js_template") | xss | php & has_any(line, "blade_sink") & (has_any(line, "blade_source") | tainted)
+    escaped = (line.rlike(ESCAPED) | sanitized) & sink
     flags = {
         "auth_missing": ("WEB-AUTH-001", F.col("unguarded")),
-        "auth_guard": ("WEB-AUTH-001", (python | script) & (has_any(line, "auth_guard") | has_any(line, "role_guard"))),
+        "auth_guard": ("WEB-AUTH-001", (python | script) & guard_model(line).isNotNull()),
     }
     for name, (rule, languages, *_) in DETECTORS.items():
         stop = F.lit(False) if name in ("python_file", "python_orm") else python & orm
-        if name in ("ssrf", "path_traversal", "open_redirect"):
+        # Within a Python line these come before the template.
+        if name not in ("python_file", "python_orm", "python_sqli"):
             stop |= escaped
-        flags[name] = (rule, language.isin(*languages) & hits(name, line, tainted) & ~stop)
+        flags[name] = (rule, language.isin(*languages) & hits(name, line, tainted, sanitized, guarded) & ~stop)
         if name == "js_template":
             flags["js_xss"] = ("WEB-XSS-001", xss & ~escaped)
-    found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"))) for i, (name, (rule, flag)) in enumerate(flags.items())]
+    of = lambda name: [metadata(name).alias("metadata")] if metadata else []
+    found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"), *of(name))) for i, (name, (rule, flag)) in enumerate(flags.items())]
     routes = missing_auth(lines).select("file_id", "line_no", F.lit(True).alias("unguarded"))
-    return lines.join(routes, ["file_id", "line_no"], "left").select("file_id", "line_no", "line", F.explode(F.array_compact(F.array(*found))).alias("f")).select("file_id", "line_no", "line", "f.ordinal", "f.detector", "f.rule_id")
+    more = [c for c in ("path", "language", "framework") if c in lines.columns]
+    each = lines.join(routes, ["file_id", "line_no"], "left").select("file_id", "line_no", "line", *more, F.explode(F.array_compact(F.array(*found))).alias("f"))
+    info = F.col("f.detector") == "auth_guard"
+    return each.select("file_id", "line_no", "line", "f.ordinal", "f.detector", "f.rule_id", F.when(info, "info").alias("severity"), F.when(info, "high").alias("confidence"), *more, *(["f.metadata"] if metadata else []))
 
 
 def sql_of(name: str, tainted: str = "") -> str:
@@ -118,17 +144,18 @@ def sql_of(name: str, tainted: str = "") -> str:
 
 
 def source_kind(expression: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for kind in ("request_input", "auth_context", "headers", "cookie", "body", "query"):
-        out = F.when(has_any(expression, kind), kind).otherwise(out)
-    return out
+    return first_of(expression, SOURCE_FAMILIES)
+
+
+def is_user_input(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*USER_INPUT), F.lit(False))
 
 
 def missing_auth(lines: DataFrame) -> DataFrame:
     """Files with a route and request data but no authentication anywhere: file_id and the first route's line."""
     flag = lambda family: F.bool_or(has_any(F.col("line"), family))
     first = F.min(F.when(has_any(F.col("line"), "missing_auth_route"), F.col("line_no")))
-    found = lines.where(F.col("language").isin("python", "javascript")).groupBy("file_id").agg(first.alias("line_no"), flag("missing_auth_request").alias("asks"), (flag("auth_guard") | flag("role_guard") | flag("auth_context")).alias("guarded"))
+    found = lines.where(F.col("language").isin("python", "javascript", "typescript")).groupBy("file_id").agg(first.alias("line_no"), flag("missing_auth_request").alias("asks"), (flag("auth_guard") | flag("role_guard") | flag("auth_context")).alias("guarded"))
     return found.where("line_no IS NOT NULL AND asks AND NOT guarded").select("file_id", "line_no", F.lit("WEB-AUTH-001").alias("rule_id"))
 
 
@@ -138,11 +165,17 @@ def context(lines: DataFrame, before: int, after: int) -> DataFrame:
     return lines.withColumn("context", F.lower(F.array_join(F.collect_list("line").over(frame), "\n")))
 
 
+#: The key under which a value is put.
+PREFERENCE_KEY = r"(?i)put(?:string|charsequence)\(\s*[\"']([^\"']+)[\"']"
+
+
 def shared_preferences(lines: DataFrame) -> DataFrame:
     """Plain storage of secrets on Android, told by two lines before and after."""
     low = F.lower("line")
     world = low.rlike("mode_world_readable|mode_world_writeable")
     plain = low.rlike(r"putstring\(|putcharsequence\(") & has_any(F.col("line"), "prefs_key")
-    near = context(lines.where(F.col("language").isin("java", "kotlin")), 2, 2).where(has_any(F.col("context"), "prefs") & ~F.col("context").contains("encryptedsharedpreferences"))
+    near = context(lines.where(F.col("language").isin(*JVM)), 2, 2).where(has_any(F.col("context"), "prefs") & ~F.col("context").contains("encryptedsharedpreferences"))
     risk = F.when(world, "world_accessible_mode").when(plain, "sensitive_value_in_plaintext")
-    return near.select("file_id", "line_no", F.lit("MOBILE-ANDROID-004").alias("rule_id"), risk.alias("storage_risk")).where("storage_risk IS NOT NULL")
+    mode = F.when(world, F.when(low.contains("mode_world_readable"), "world_readable").otherwise("world_writeable"))
+    key = F.when(~world & plain, F.nullif(F.regexp_extract("line", PREFERENCE_KEY, 1), F.lit("")))
+    return near.select("file_id", "line_no", F.lit("MOBILE-ANDROID-004").alias("rule_id"), risk.alias("storage_risk"), mode.alias("storage_mode"), key.alias("storage_key")).where("storage_risk IS NOT NULL")

@@ -9,7 +9,25 @@ from .findings import sarif_level
 
 
 def summary() -> Column:
-    return F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("rule_id"), F.lit(" "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit(" "), F.col("title"))
+    return F.concat(F.upper("severity"), F.lit(" "), F.col("title"), F.lit(" ("), F.col("rule_id"), F.lit(") at "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"))
+
+
+def audit_summary() -> Column:
+    """action subject_type:subject_id decision=... reason=...; what is null is left out."""
+    told = lambda c: F.concat(F.lit(f"{c}="), F.col(c))
+    return F.concat_ws(" ", "action", F.concat_ws(":", "subject_type", F.nullif("subject_id", F.lit(""))), told("decision"), told("reason"))
+
+
+def finding_json() -> Column:
+    """A finding as rules.emitted() gives it, with all its fields, nulls included."""
+    place = F.struct("path", "start_line", F.lit(1).alias("start_column"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("int").alias("end_column"))
+    seen = F.struct("snippet", "start_line", F.col("start_line").alias("end_line"))
+    none = F.lit(None).cast("string")
+    own = F.struct(
+        "id", "rule_id", "title", "message", "severity", "confidence", place.alias("location"), "category", "language", "framework", "owasp", "cwe", seen.alias("evidence"), "remediation", "status", "triage_status", none.alias("triage_reason"),
+        none.alias("triage_note"), "tags", F.array().cast("array<string>").alias("symbols"), "metadata",
+    )
+    return F.to_json(own, {"ignoreNullFields": "false"})
 
 
 def json_rows(findings: DataFrame) -> DataFrame:
@@ -22,6 +40,23 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.min_by(sarif_level(F.col("severity")), "seq").alias("level"))
 
 
+def sarif_rule_objects(findings: DataFrame) -> DataFrame:
+    """rule_id, json: each rule once, with what its first finding (by seq) says."""
+    text = lambda c: F.struct(c.alias("text"))
+    properties = F.struct("severity", "confidence", "category", "owasp", "cwe")
+    own = F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), text(F.col("message")).alias("shortDescription"), text(F.col("message")).alias("fullDescription"), text(F.coalesce("remediation", "message")).alias("help"), properties.alias("properties"))
+    return findings.groupBy("rule_id").agg(F.to_json(F.min_by(own, "seq")).alias("json"))
+
+
+def sarif_result_objects(findings: DataFrame) -> DataFrame:
+    """seq, json."""
+    region = F.struct(F.col("start_line").alias("startLine"), F.lit(1).alias("startColumn"))
+    where = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
+    properties = F.struct("id", "confidence", "status", "triage_status", "category")
+    own = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), where.alias("locations"), properties.alias("properties"))
+    return findings.select("seq", F.to_json(own).alias("json"))
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """seq, rule_id, level, uri, start_line."""
     return findings.select("seq", "rule_id", sarif_level(F.col("severity")).alias("level"), F.col("path").alias("uri"), "start_line")

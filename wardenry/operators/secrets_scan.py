@@ -17,14 +17,54 @@ PATTERNS = (
 VALUE = r"[:=]\s*['\"]?([^'\"]{8,})"
 
 
+#: Files whose secrets matter most.
+SENSITIVE = (".env", ".env.local", ".env.production", ".env.development")
+
+
+def sensitive_file(path: Column) -> Column:
+    return F.lower(path).rlike("(?:" + "|".join(x.replace(".", "[.]") for x in SENSITIVE) + ")$")
+
+
+def secret_findings(files: DataFrame) -> DataFrame:
+    """What secret_hits() finds in files (file_id, path, content), with the metadata that findings carry; hits of one line and evidence are one, told by the last pattern."""
+    hits = secret_hits(files.select(F.col("file_id").alias("doc_id"), F.col("content").alias("text")), every=True)
+    one = hits.groupBy("doc_id", "line_no", "evidence").agg(F.min("hit").alias("hit"), F.max("pattern").alias("pattern"))
+    high = sensitive_file(F.col("path"))
+    told = {"pattern": F.element_at(F.array(*map(F.lit, PATTERNS)), F.col("pattern") + 1), "masked": F.lit("true"), "cleartext_hint": F.lit("secret value masked in report"), "sensitive_file": F.when(high, "true"), "priority": F.when(high, "high")}
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items()))
+    own = one.join(files.select(F.col("file_id").alias("doc_id"), "path"), "doc_id")
+    return own.select(F.col("doc_id").alias("file_id"), "path", "line_no", "hit", F.lit("SEC-SECRET-001").alias("rule_id"), "evidence", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metadata"))
+
+
 def masked(line: Column) -> Column:
     """The first value of eight or more characters as its first and last two; lines without one are all stars."""
     value = F.regexp_extract(line, VALUE, 1)
     return F.when(value != "", F.concat(F.substring(value, 1, 2), F.lit("***"), F.substring(value, -2, 2))).otherwise("***")
 
 
-def secret_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, hit (number within the text, pattern by pattern), line_no, evidence: of every match of any pattern whose line hints at no dummy. What an earlier pattern found with the same line and evidence counts for that one alone; matches of one pattern are all kept."""
+def secret_count(text: Column) -> Column:
+    """How many hits secret_hits() has in one text, in the row itself."""
+    own, none = normalised(text), F.lit(0).cast("long")
+    real = lambda p: F.filter(F.regexp_extract_all(own, F.lit(p), F.lit(0)), lambda m: ~has_any(F.split(m, "\n", -1)[0], "dummy_secret"))
+    first = F.when(own.rlike(PATTERNS[0]), F.size(real(PATTERNS[0])).cast("long")).otherwise(none)
+    if_others = F.lit(False)
+    for pattern in PATTERNS[1:]:
+        if_others |= own.rlike(pattern)
+    # Hits of the later patterns count where no earlier one has their line and evidence.
+    lines = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"))))
+
+    def shown(k: int, pattern: str) -> Column:
+        gaps, hits = F.split(own, pattern, -1), F.regexp_extract_all(own, F.lit(pattern), F.lit(0))
+        found = F.transform(hits, lambda m, i: F.struct(F.lit(k).alias("k"), (lines(F.slice(gaps, F.lit(1), i + 1)) + lines(F.slice(hits, F.lit(1), i))).alias("line"), F.split(m, "\n", -1)[0].alias("first")))
+        return F.transform(F.filter(found, lambda m: ~has_any(m["first"], "dummy_secret")), lambda m: F.struct(m["k"].alias("k"), m["line"].alias("line"), masked(m["first"]).alias("evidence")))
+
+    placed = F.concat(*(shown(k, p) for k, p in enumerate(PATTERNS)))
+    every = F.filter(placed, lambda m: ~F.exists(placed, lambda o: (o["k"] < m["k"]) & (o["line"] == m["line"]) & (o["evidence"] == m["evidence"])))
+    return F.when(if_others, F.size(every).cast("long")).otherwise(first)
+
+
+def secret_hits(docs: DataFrame, every: bool = False) -> DataFrame:
+    """doc_id, hit (number within the text, pattern by pattern), line_no, evidence: of every match of any pattern whose line hints at no dummy. What an earlier pattern found with the same line and evidence counts for that one alone; matches of one pattern are all kept. every: keeps them all, with the number of the pattern."""
     text, seen = normalised(F.col("text")), F.lit(0)
     some, found = F.lit(False), []
     for k, pattern in enumerate(PATTERNS):
@@ -38,4 +78,6 @@ def secret_hits(docs: DataFrame) -> DataFrame:
     first = F.split(F.col("match"), "\n", -1)[0]
     same = Window.partitionBy("doc_id", "line_no", "evidence")
     real = each.where(~has_any(first, "dummy_secret")).select("doc_id", (F.col("before") + F.col("nth")).cast("long").alias("hit"), line_no.cast("long").alias("line_no"), masked(first).alias("evidence"), "pattern")
+    if every:
+        return real
     return real.withColumn("earliest", F.min("pattern").over(same)).where("pattern = earliest").select("doc_id", "hit", "line_no", "evidence")

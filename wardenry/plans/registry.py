@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markers import has_any, sql_first_of, sql_has_any
-from ..operators import classify, dependencies, detect, findings, flows, frameworks, manifest, reports, secrets_scan, taint
-from ..sources.corpus import CODE_SQL, code_lines, normalised, table
+from ..operators import classify, dependencies, detect, findings, flows, frameworks, leaves, manifest, reports, rules, secrets_scan, taint, taint_flow
+from ..sources.corpus import CODE_SQL, FLOW_SQL, code_lines, flow_lines, normalised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,11 +54,10 @@ def secrets_by_language(spark, d):
 
 @query(f"WITH {_HITS} SELECT doc_id, CAST(CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, chr(10), '')) + 1 END AS BIGINT) AS line_count, length(x) AS char_count, coalesce(n, 0) AS n_secrets, CASE WHEN coalesce(n, 0) > 0 THEN 'blocked' ELSE 'allowed' END AS decision FROM t LEFT JOIN (SELECT doc_id, count(*) AS n FROM shown GROUP BY 1) USING (doc_id)")
 def document_summary(spark, d):
-    n = secrets_scan.secret_hits(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
     text = normalised(F.col("text"))
     lines = F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
-    n_secrets = F.coalesce("n", F.lit(0)).cast("long")
-    return docs(spark, d).join(n, "doc_id", "left").select("doc_id", lines.cast("long").alias("line_count"), F.length(text).cast("long").alias("char_count"), n_secrets.alias("n_secrets"), F.when(n_secrets > 0, "blocked").otherwise("allowed").alias("decision"))
+    n_secrets = secrets_scan.secret_count(F.col("text"))
+    return docs(spark, d).select("doc_id", lines.cast("long").alias("line_count"), F.length(text).cast("long").alias("char_count"), n_secrets.alias("n_secrets"), F.when(n_secrets > 0, "blocked").otherwise("allowed").alias("decision"))
 
 
 # Code lines
@@ -79,7 +78,7 @@ for _name in detect.DETECTORS:
     _detector(_name)
 
 _ASSIGN = taint.ASSIGNMENT.replace("'", "''")
-_DIRECT = "CASE " + " ".join(f"WHEN {sql_has_any('x', k)} THEN '{k}'" for k in ("query", "body", "cookie", "headers", "auth_context", "request_input")) + " END"
+_DIRECT = sql_first_of("x", detect.SOURCE_FAMILIES)
 _TAINT = f"""{CODE_SQL},
 a AS (SELECT file_id, line_no, ltrim(lower(regexp_extract(line, '{_ASSIGN}', 1)), '$') AS target, regexp_extract(line, '{_ASSIGN}', 2) AS x FROM code WHERE regexp_matches(line, '{_ASSIGN}') AND NOT regexp_matches(line, '{taint.KEYWORDS}')),
 k AS (SELECT *, {_DIRECT} AS kind, list_distinct(regexp_extract_all(lower(x), '[a-z_][a-z0-9_]*')) AS tokens FROM a),
@@ -120,28 +119,95 @@ for _name in detect.DETECTORS:
         _detector_with_taint(_name)
 
 
+def whole_code(spark, d):
+    """The lines with path, framework, data flow and the lines around."""
+    files = code_files(spark, d).select("file_id", "path", frameworks.framework(F.col("language"), F.col("path"), F.col("content"))["framework"].alias("framework"))
+    return taint_flow.with_flow(flows.with_context(code(spark, d))).join(files, "file_id")
+
+
 @query()
 def web_findings(spark, d):
-    return detect.web_findings(taint.with_taint(code(spark, d)))
+    found = detect.web_findings(whole_code(spark, d), flows.metadata)
+    return found.withColumn("metadata", F.to_json("metadata"))
+
+
+def run(spark, d):
+    """Findings of all detectors over code, manifests and dependencies, each id once: what the last says, where the first stood."""
+    web = detect.web_findings(whole_code(spark, d), flows.metadata).withColumns({"stage": F.lit(1), "start_line": F.col("line_no"), "evidence": F.trim("line"), "place": F.struct("file_id", F.lit(1).alias("stage"), "line_no", F.col("ordinal").cast("long").alias("k"))})
+    texts = code_files(spark, d)
+    secret = secrets_scan.secret_findings(texts).join(texts.select("file_id", "language"), "file_id").withColumns({"start_line": F.col("line_no"), "place": F.struct("file_id", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("line_no"), F.col("hit").alias("k"))})
+    prefs = detect.shared_preferences(code(spark, d)).join(code(spark, d).select("file_id", "line_no", "line", "language"), ["file_id", "line_no"]).join(texts.select("file_id", "path"), "file_id")
+    told = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("storage_kind", F.lit("shared_preferences")), ("storage_risk", F.col("storage_risk")), ("shared_preferences_mode", F.col("storage_mode")), ("shared_preferences_key", F.col("storage_key")))))
+    prefs = prefs.withColumns({"start_line": F.col("line_no"), "evidence": F.trim("line"), "metadata": F.map_from_entries(F.filter(told, lambda e: e["value"].isNotNull())), "place": F.struct("file_id", F.lit(3).alias("stage"), "line_no", F.lit(0).cast("long").alias("k"))})
+    xml = android_manifests(spark, d).withColumns({"path": F.concat(F.lit("app/"), F.col("file_id").cast("string"), F.lit("/AndroidManifest.xml")), "language": F.lit("xml"), "framework": F.lit("android"), "start_line": F.lit(1).cast("long"), "place": F.struct("file_id", F.lit(2).alias("stage"), F.lit(1).cast("long").alias("line_no"), F.xxhash64("rule_id", "evidence").alias("k"))}).drop("package")
+    pins = sca_requirements(spark, d).withColumns({"path": F.concat(F.lit("pins/"), F.col("file_id").cast("string"), F.lit("/requirements.txt")), "rule_id": F.lit("SCA-PACKAGE-001"), "start_line": F.col("line"), "evidence": F.concat("package", F.lit("=="), "version"), "metadata": F.create_map(F.lit("advisory_id"), F.col("advisory_id"), F.lit("ecosystem"), F.lit("pypi")), "place": F.struct("file_id", F.lit(4).alias("stage"), F.col("line").alias("line_no"), F.lit(0).cast("long").alias("k"))})
+    columns = {"rule_id": "string", "path": "string", "start_line": "long", "evidence": "string", "severity": "string", "confidence": "string", "package": "string", "version": "string", "language": "string", "framework": "string", "metadata": "map<string,string>"}
+    all_ = None
+    for part in (secret, web, xml, prefs, pins):
+        one = part.select(*((F.col(c) if c in part.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()), F.struct(F.col("place.stage").alias("stage"), "place").alias("seq"))
+        all_ = one if all_ is None else all_.unionByName(one)
+    return findings.last_wins(rules.emitted(all_))
+
+
+@query()
+def run_detectors(spark, d):
+    return run(spark, d).select("id", "rule_id", "path", "start_line", "severity", "confidence", "title", "category", "language", "framework", "snippet", F.to_json("metadata").alias("metadata"))
+
+
+@query()
+def report_findings(spark, d):
+    return run(spark, d).select("id", reports.finding_json().alias("json"))
+
+
+@query()
+def sarif_objects(spark, d):
+    found = run(spark, d)
+    return reports.sarif_rule_objects(found).select(F.lit("rule").alias("what"), F.col("rule_id").alias("id"), "json").unionByName(reports.sarif_result_objects(found.withColumn("seq", F.col("id"))).select(F.lit("result").alias("what"), F.col("seq").alias("id"), "json"))
+
+
+#: How many findings of each rule a scan of the events table's severities would start from: rules by hand.
+_CATALOG = """VALUES ('SEC-SECRET-001', 'high', 'secrets', 'pattern'), ('WEB-SQLI-001', 'high', 'injection', 'taint'), ('WEB-DESERIAL-001', 'high', 'deserialization', 'taint'), ('WEB-ORM-001', 'high', 'injection', 'taint'), ('WEB-XSS-001', 'high', 'xss', 'taint'), ('WEB-SSRF-001', 'high', 'ssrf', 'taint'),
+('WEB-PATH-001', 'high', 'path_traversal', 'taint'), ('WEB-FILE-001', 'high', 'file_access', 'taint'), ('WEB-PROC-001', 'high', 'process_execution', 'taint'), ('MOBILE-ANDROID-001', 'medium', 'mobile', 'metadata'), ('MOBILE-ANDROID-002', 'medium', 'mobile', 'metadata'), ('MOBILE-ANDROID-003', 'medium', 'mobile', 'metadata'),
+('MOBILE-ANDROID-004', 'medium', 'mobile', 'metadata'), ('WEB-REDIRECT-001', 'medium', 'open_redirect', 'taint'), ('WEB-AUTH-001', 'medium', 'authentication', 'taint'), ('WEB-TEMPLATE-001', 'high', 'template_injection', 'taint'), ('SCA-PACKAGE-001', 'high', 'sca', 'sca')"""
+
+
+@query(f"WITH {CODE_SQL}, r(rule_id, severity, category, strategy) AS ({_CATALOG}), f AS (" + " UNION ALL ".join(detect.sql_of(n) for n in detect.DETECTORS) + ") SELECT r.rule_id, r.severity, r.category, r.strategy, count(f.file_id) AS n FROM r LEFT JOIN f USING (rule_id) GROUP BY ALL")
+def rule_catalog(spark, d):
+    """The rules, and how many lines of the code each finds by its line tests alone."""
+    lines = code(spark, d).withColumn("tainted", F.lit(False))
+    found = None
+    for name in detect.DETECTORS:
+        one = detect.detect(lines, name).select("rule_id")
+        found = one if found is None else found.unionByName(one)
+    counts = found.groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rules.rules(spark).join(counts, "rule_id", "left").select("rule_id", "severity", "category", "strategy", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query(f"WITH {CODE_SQL}, r(rule_id, severity, category, strategy) AS ({_CATALOG}), f AS (" + " UNION ALL ".join(detect.sql_of(n) for n in detect.DETECTORS) + ") SELECT category, string_agg(rule_id, ',' ORDER BY severity = 'high' DESC, rule_id) AS rule_ids FROM r WHERE rule_id IN (SELECT rule_id FROM f) GROUP BY category")
+def rules_by_category(spark, d):
+    met = rule_catalog(spark, d).where("n > 0").select("rule_id")
+    return rules.by_category(rules.rules(spark).join(met, "rule_id", "left_semi")).select("category", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
 _ANY = lambda f: f"bool_or({sql_has_any('line', f)})"
 
 
-@query(f"WITH {CODE_SQL} SELECT file_id, line_no, 'WEB-AUTH-001' AS rule_id FROM (SELECT file_id, min(line_no) FILTER ({sql_has_any('line', 'missing_auth_route')}) AS line_no, {_ANY('missing_auth_request')} AS asks, {_ANY('auth_guard')} OR {_ANY('role_guard')} OR {_ANY('auth_context')} AS guarded FROM code WHERE language IN ('python', 'javascript') GROUP BY 1) WHERE line_no IS NOT NULL AND asks AND NOT guarded")
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no, 'WEB-AUTH-001' AS rule_id FROM (SELECT file_id, min(line_no) FILTER ({sql_has_any('line', 'missing_auth_route')}) AS line_no, {_ANY('missing_auth_request')} AS asks, {_ANY('auth_guard')} OR {_ANY('role_guard')} OR {_ANY('auth_context')} AS guarded FROM code WHERE language IN ('python', 'javascript', 'typescript') GROUP BY 1) WHERE line_no IS NOT NULL AND asks AND NOT guarded")
 def auth_missing(spark, d):
     return detect.missing_auth(code(spark, d))
 
 
-@query(f"WITH {CODE_SQL} SELECT file_id, line_no, CASE WHEN {sql_has_any('line', 'role_guard')} THEN 'role' ELSE 'login' END AS model FROM code WHERE {sql_has_any('line', 'auth_guard')} OR {sql_has_any('line', 'role_guard')}")
+@query(rf"""WITH {CODE_SQL} SELECT file_id, line_no, CASE WHEN regexp_matches(x, 'app\.use\(|router\.use\(|appmiddleware|routermiddleware|authmiddleware|middlewareauth|withauth|useauth\(|requireauth\(') THEN 'middleware'
+WHEN regexp_matches(x, 'login_required|permission_required') THEN 'decorator' WHEN regexp_matches(x, 'is_authenticated|auth\(\)->check\(|auth::check\(') THEN 'predicate'
+WHEN {sql_has_any("x", "role_guard")} THEN 'role_check' ELSE 'guard' END AS model FROM (SELECT *, lower(line) AS x FROM code) WHERE language IN ('python', 'javascript', 'typescript', 'json') AND ({sql_has_any("x", "auth_guard")} OR {sql_has_any("x", "role_guard")})""")
 def auth_guard(spark, d):
-    line = F.col("line")
-    return code(spark, d).where(has_any(line, "auth_guard") | has_any(line, "role_guard")).select("file_id", "line_no", F.when(has_any(line, "role_guard"), "role").otherwise("login").alias("model"))
+    lines = code(spark, d).where(F.col("language").isin("python", *detect.SCRIPTS))
+    return lines.select("file_id", "line_no", detect.guard_model(F.col("line")).alias("model")).where("model IS NOT NULL")
 
 
-@query(f"WITH {CODE_SQL} SELECT file_id, line_no FROM code WHERE language = 'javascript' AND (contains(lower(line), 'innerhtml') OR contains(lower(line), 'dangerouslysetinnerhtml') OR contains(lower(line), 'document.write'))")
+@query(f"WITH {CODE_SQL} SELECT file_id, line_no FROM code WHERE language IN ('javascript', 'typescript', 'json') AND (contains(lower(line), 'innerhtml') OR contains(lower(line), 'dangerouslysetinnerhtml') OR contains(lower(line), 'document.write'))")
 def js_xss(spark, d):
-    return code(spark, d).where("language = 'javascript'").where(F.lower("line").rlike("innerhtml|dangerouslysetinnerhtml|document[.]write")).select("file_id", "line_no")
+    return code(spark, d).where(F.col("language").isin(*detect.SCRIPTS) & has_any(F.col("line"), "js_xss")).select("file_id", "line_no")
 
 
 def _context(before, after):
@@ -152,11 +218,68 @@ for _n, _b, _a in (("context_spring", 5, 0), ("context_laravel", 5, 1), ("contex
     query(f"WITH {CODE_SQL} SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN {_b} PRECEDING AND {_a} FOLLOWING) AS context FROM code WHERE language IN ('php', 'java')", _n)(_context(_b, _a))
 
 
-@query(f"WITH {CODE_SQL}, c AS (SELECT *, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM code WHERE language = 'java') SELECT file_id, line_no, 'MOBILE-ANDROID-004' AS rule_id, 'sensitive_value_in_plaintext' AS storage_risk FROM c WHERE contains(x, 'sharedpreferences') AND NOT contains(x, 'encryptedsharedpreferences') AND contains(lower(line), 'putstring(') AND {sql_has_any('line', 'prefs_key')}")
+@query(rf"""WITH {CODE_SQL}, c AS (SELECT *, lower(line) AS x, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM code WHERE language IN ('java', 'kotlin'))
+SELECT file_id, line_no, 'MOBILE-ANDROID-004' AS rule_id, CASE WHEN w THEN 'world_accessible_mode' ELSE 'sensitive_value_in_plaintext' END AS storage_risk, CASE WHEN w AND contains(x, 'mode_world_readable') THEN 'world_readable' WHEN w THEN 'world_writeable' END AS storage_mode,
+CASE WHEN NOT w THEN nullif(regexp_extract(line, '(?i)put(?:string|charsequence)\(\s*["'']([^"'']+)["'']', 1), '') END AS storage_key
+FROM (SELECT *, regexp_matches(x, 'mode_world_readable|mode_world_writeable') AS w FROM c) WHERE contains(near, 'sharedpreferences') AND NOT contains(near, 'encryptedsharedpreferences')
+AND (w OR regexp_matches(x, 'putstring\(|putcharsequence\(') AND regexp_matches(x, 'token|secret|password|passwd|passphrase|api_key|apikey|auth|session|jwt|credential|refresh'))""")
 def shared_preferences(spark, d):
     return detect.shared_preferences(code(spark, d))
 
 
+# Data flow
+
+#: What each line of each snippet uses, by hand: language, snippet, part, variables, how it came, kind and part of the source, chain, escaped, guarded, reachability, part of the branch (0: none).
+_USES = """VALUES
+('python', 0, 1, 'a', 'assignment', 'query', 1, 'a', false, false, 'reachable', 0), ('python', 0, 2, 'b,a', 'assignment', 'query', 1, 'a,b', false, false, 'reachable', 0), ('python', 0, 3, 'b', 'assignment', 'query', 1, 'a,b', false, false, 'reachable', 0),
+('python', 1, 2, 'item', 'function_call', 'body', 4, 'c,item', false, false, 'reachable', 0), ('python', 1, 4, 'c', 'assignment', 'body', 4, 'c', false, false, 'reachable', 0),
+('python', 1, 5, 'd,load,c', 'return_value', 'body', 4, 'c,item,part,load,d', false, false, 'reachable', 0), ('python', 1, 6, 'd', 'return_value', 'body', 4, 'c,item,part,load,d', false, false, 'reachable', 0),
+('python', 2, 1, 'e', 'container', 'cookies', 2, 'e', false, false, 'reachable', 0), ('python', 2, 2, 'e', 'container', 'cookies', 2, 'e', false, false, 'reachable', 0),
+('python', 2, 3, 'f,e', 'container', 'cookies', 2, 'e,f', false, false, 'reachable', 0), ('python', 2, 4, 'f', 'container', 'cookies', 2, 'e,f', false, false, 'reachable', 0),
+('python', 3, 1, 'g', 'assignment', 'headers', 1, 'g', false, false, 'reachable', 0), ('python', 3, 2, 'obj.body,g', 'field', 'headers', 1, 'g,obj.body', false, false, 'reachable', 0),
+('python', 3, 3, 'obj.body,h', 'field', 'headers', 1, 'g,obj.body', false, false, 'reachable', 0), ('python', 3, 4, 'h', 'field', 'headers', 1, 'g,obj.body,h', false, false, 'reachable', 0),
+('python', 4, 1, 'u', 'assignment', 'query', 1, 'u', false, false, 'reachable', 0), ('python', 4, 2, 'u', 'assignment', 'query', 1, 'u', false, false, 'reachable', 0), ('python', 4, 3, 'v,u', 'assignment', 'query', 1, 'u,v', false, true, 'reachable', 2),
+('python', 4, 4, 'v', 'assignment', 'query', 1, 'u,v', false, true, 'reachable', 2), ('python', 4, 6, 'u', 'assignment', 'query', 1, 'u', false, false, 'reachable', 0),
+('python', 5, 1, 's', 'assignment', 'query', 1, 's', true, false, 'reachable', 0), ('python', 5, 2, 's', 'assignment', 'query', 1, 's', true, false, 'reachable', 0),
+('javascript', 0, 1, 'a', 'assignment', 'query', 1, 'a', false, false, 'reachable', 0), ('javascript', 0, 2, 'a', 'assignment', 'query', 1, 'a', false, false, 'reachable', 0),
+('javascript', 1, 2, 'x', 'function_call', 'body', 5, 'x', false, false, 'reachable', 0), ('javascript', 1, 5, 'z,wrap', 'return_value', 'body', 5, 'x,y,wrap,z', false, false, 'reachable', 0), ('javascript', 1, 6, 'z', 'return_value', 'body', 5, 'x,y,wrap,z', false, false, 'reachable', 0),
+('javascript', 2, 1, 'q', 'assignment', 'cookies', 1, 'q', false, false, 'reachable', 0), ('javascript', 2, 3, 'q', 'assignment', 'cookies', 1, 'q', false, false, 'reachable', 0), ('javascript', 2, 4, 'r,q', 'assignment', 'cookies', 1, 'q,r', false, false, 'unreachable', 2),
+('javascript', 3, 1, 'm', 'container', 'headers', 2, 'm', false, false, 'reachable', 0), ('javascript', 3, 2, 'm', 'container', 'headers', 2, 'm', false, false, 'reachable', 0), ('javascript', 3, 3, 'n,m', 'container', 'headers', 2, 'm,n', false, false, 'reachable', 0),
+('javascript', 3, 4, 'n', 'container', 'headers', 2, 'm,n', false, false, 'reachable', 0)"""
+_BRANCHES = "VALUES ('python', 4, 3, 'if', 2, false, true), ('python', 4, 4, 'if', 2, false, true), ('python', 4, 6, 'elif', 5, false, false), ('javascript', 2, 3, 'if', 2, true, false), ('javascript', 2, 4, 'if', 2, true, false), ('javascript', 2, 5, 'if', 2, true, false)"
+_FUNCTIONS = "VALUES ('python', 1, 'load', 'item', 2, 3), ('javascript', 1, 'wrap', 'x', 2, 4)"
+_KEYED = "array_to_string(list_transform(string_split({0}, ','), lambda v: CASE v WHEN 'obj.body' THEN 'obj_' || key || '.body' ELSE v || '_' || key END), ',')"
+
+
+def flow(spark, d):
+    return flow_lines(table(spark, d, "orders"))
+
+
+@query(f"""WITH {FLOW_SQL}, e(language, snippet, part, variables, propagation, source_kind, source_part, chain, sanitized, guarded, reachability, branch_part) AS ({_USES})
+SELECT file_id, line_no, {_KEYED.format('variables')} AS variables, propagation, source_kind, line_no - part + source_part AS source_line, {_KEYED.format('chain')} AS chain, sanitized, guarded, reachability, CASE WHEN branch_part > 0 THEN line_no - part + branch_part END AS branch_line FROM flow JOIN e USING (language, snippet, part)""")
+def taint_uses(spark, d):
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    told = taint_flow.line_uses(flow(spark, d))
+    return told.select("file_id", "line_no", listed("variables"), "propagation", "source_kind", "source_line", listed("chain"), F.col("sanitizer").isNotNull().alias("sanitized"), F.col("guard_call").isNotNull().alias("guarded"), "reachability", "branch_line")
+
+
+@query(f"""WITH {FLOW_SQL}, e(language, snippet, part, branch_kind, branch_part, dead, guarded) AS ({_BRANCHES}) SELECT file_id, line_no, branch_kind, line_no - part + branch_part AS branch_line, dead, guarded FROM flow JOIN e USING (language, snippet, part)""")
+def taint_branches(spark, d):
+    return taint_flow.branches(flow(spark, d)).select("file_id", "line_no", "branch_kind", "branch_line", "dead", F.col("guard_call").isNotNull().alias("guarded"))
+
+
+@query(f"""WITH {FLOW_SQL}, e(language, snippet, name, parameters, first_part, last_part) AS ({_FUNCTIONS}) SELECT file_id, name || '_' || key AS name, parameters || '_' || key AS parameters, line_no - part + first_part AS first, line_no - part + last_part AS last FROM flow JOIN e USING (language, snippet) WHERE part = 1""")
+def taint_functions(spark, d):
+    return taint_flow.shapes(flow(spark, d)).where("what = 'function'").select("file_id", F.col("kind").alias("name"), F.array_join("parameters", ",").alias("parameters"), "first", "last")
+
+
+@query(f"""WITH {FLOW_SQL}, e(language, snippet, part, kind) AS (VALUES ('python', 0, 1, 'variable'), ('python', 0, 2, 'variable'), ('python', 1, 4, 'variable'), ('python', 1, 5, 'variable'), ('python', 2, 2, 'variable'), ('python', 2, 3, 'variable'), ('python', 3, 1, 'variable'), ('python', 3, 2, 'field'), ('python', 3, 3, 'variable'),
+('python', 4, 1, 'variable'), ('python', 4, 3, 'variable'), ('python', 5, 1, 'variable'), ('javascript', 0, 1, 'variable'), ('javascript', 1, 5, 'variable'), ('javascript', 2, 1, 'variable'), ('javascript', 2, 4, 'variable'), ('javascript', 3, 2, 'variable'), ('javascript', 3, 3, 'variable'))
+SELECT file_id, kind AS scope, count(*) AS n FROM flow JOIN e USING (language, snippet, part) GROUP BY file_id, kind""")
+def taint_scopes(spark, d):
+    return taint_flow.followed(flow(spark, d)).where("scope <> 'lines'").groupBy("file_id", "scope").agg(F.count_distinct("variable").alias("n"))
+
+
 # Findings
 
 _FINDINGS = """SELECT event_id AS seq, concat('R-', CAST(user_id % 17 AS STRING)) AS rule_id, concat('src/app', CAST(user_id % 23 AS STRING), '.py') AS path, CAST(event_id % 13 + 1 AS INT) AS start_line,
@@ -187,9 +310,14 @@ def severity_top5(spark, d):
     return findings.top_per_severity(found(spark, d)).select("severity", F.col("place").cast("long").alias("place"), "seq")
 
 
-@query(f"WITH {_F} SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY {_RANK} DESC, {_REACH}, path, start_line, rule_id, seq) AS place FROM i")
+@query(f"WITH {_F} SELECT seq, row_number() OVER (ORDER BY {_RANK} DESC, {_REACH}, path, start_line, rule_id, seq) AS place FROM i")
 def finding_order(spark, d):
-    return found(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(*findings.sort_key())).cast("long")).select("path", "seq", "place")
+    return findings.in_order(found(spark, d)).select("seq", "place")
+
+
+@query(f"WITH {_F}, s(severity, place) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('info', 4)), o AS (SELECT severity, seq, row_number() OVER (PARTITION BY severity ORDER BY path, start_line, rule_id, seq) AS k FROM i WHERE severity <> 'info') SELECT place, s.severity, count(seq) AS total, coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5), '') AS shown, greatest(count(seq) - 5, 0) AS more FROM s LEFT JOIN o USING (severity) GROUP BY ALL")
+def severity_buckets(spark, d):
+    return findings.top_with_rest(found(spark, d).where("severity <> 'info'")).withColumn("shown", F.array_join(F.col("shown").cast("array<string>"), ","))
 
 
 @query(f"WITH {_F} SELECT path, bool_or({_RANK} >= 4) AS blocked, count(*) AS n, CASE WHEN bool_or({_RANK} >= 4) THEN 'blocked' ELSE 'allowed' END AS decision FROM i GROUP BY path")
@@ -212,29 +340,30 @@ def findings_search(spark, d):
 
 
 _ENTRIES = {
-    "baseline": "SELECT s_suppkey AS seq, concat('R-', CAST(s_suppkey % 17 AS STRING)) AS rule_id, concat('./app', CAST(s_suppkey % 23 AS STRING), '.py') AS path, CAST(s_nationkey % 13 + 1 AS INT) AS start_line FROM supplier",
-    "suppressions": "SELECT c_custkey AS seq, concat('R-', CAST(c_custkey % 17 AS STRING)) AS rule_id, concat('app', CAST(c_custkey % 23 AS STRING), '.py') AS path, CAST(c_nationkey % 13 + 1 AS INT) AS start_line, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01T00:00:00' WHEN c_custkey % 3 = 1 THEN '2026-01-01T00:00:00' ELSE NULL END AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 'pending' ELSE 'approved' END AS review_status FROM customer",
-    "overrides": "SELECT p_partkey AS seq, concat('R-', CAST(p_partkey % 17 AS STRING)) AS rule_id, concat('src/app', CAST(p_partkey % 23 AS STRING), '.py') AS path, CAST(p_size % 13 + 1 AS INT) AS start_line, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-01T00:00:00' ELSE NULL END AS expires_at, CASE WHEN p_partkey % 2 = 0 THEN 'suppressed' ELSE 'active' END AS decision FROM part",
+    "baseline": "SELECT s_suppkey AS seq, concat('R-', CAST(s_suppkey % 17 AS STRING)) AS rule_id, concat('./app', CAST(s_suppkey % 23 AS STRING), '.py') AS path, CAST(s_nationkey % 13 + 1 AS INT) AS start_line, CASE s_suppkey % 3 WHEN 0 THEN {sha}concat('R-', CAST(s_suppkey % 17 AS STRING), '::src/app', CAST(s_suppkey % 23 AS STRING), '.py::', CAST(s_nationkey % 13 + 1 AS STRING), '::click'){end} WHEN 1 THEN 'none' ELSE NULL END AS fingerprint, concat('known ', CAST(s_suppkey AS STRING)) AS reason FROM supplier",
+    "suppressions": "SELECT c_custkey AS seq, concat('R-', CAST(c_custkey % 17 AS STRING)) AS rule_id, concat('app', CAST(c_custkey % 23 AS STRING), '.py') AS path, CAST(c_nationkey % 13 + 1 AS INT) AS start_line, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01T00:00:00' WHEN c_custkey % 3 = 1 THEN '2026-01-01T00:00:00' ELSE NULL END AS expires_at, CASE WHEN c_custkey % 5 = 0 THEN 'pending' ELSE 'approved' END AS review_status, 'reviewed' AS reason FROM customer",
+    "overrides": "SELECT p_partkey AS seq, concat('R-', CAST(p_partkey % 17 AS STRING)) AS rule_id, concat('src/app', CAST(p_partkey % 23 AS STRING), '.py') AS path, CAST(p_size % 13 + 1 AS INT) AS start_line, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-01T00:00:00' ELSE NULL END AS expires_at, CASE WHEN p_partkey % 2 = 0 THEN 'suppressed' ELSE 'active' END AS decision, 'by hand' AS reason FROM part",
 }
 _NOW = "2025-01-01 00:00:00"
 
 
 def entries(spark, d, kind):
     source = {"baseline": "supplier", "suppressions": "customer", "overrides": "part"}[kind]
-    return spark.sql(_ENTRIES[kind].replace(f"FROM {source}", "FROM {rows}"), rows=table(spark, d, source))
+    return spark.sql(_ENTRIES[kind].replace("{sha}", "sha2(").replace("{end}", ", 256)").replace(f"FROM {source}", "FROM {rows}"), rows=table(spark, d, source))
 
 
 def triage(spark, d):
-    return findings.triaged(found(spark, d), *(entries(spark, d, k) for k in ("baseline", "suppressions", "overrides")), F.lit(_NOW).cast("timestamp"))
+    marked = found(spark, d).withColumn("fingerprint", findings.fingerprint(F.col("rule_id"), F.col("path"), F.col("start_line"), F.col("title")))
+    return findings.triaged(marked, *(entries(spark, d, k) for k in ("baseline", "suppressions", "overrides")), F.lit(_NOW).cast("timestamp"))
 
 
-def _match(k, where="true"):
-    return f"(SELECT i.seq, arg_min(e, e.seq) AS e FROM i JOIN (SELECT * FROM {k} WHERE {where}) e ON e.rule_id = i.rule_id AND e.start_line = i.start_line AND ends_with(ltrim(i.path, './'), ltrim(e.path, './')) GROUP BY i.seq)"
+def _match(k, where="true", more=""):
+    return f"(SELECT i.seq, arg_min(e, e.seq) AS e FROM i JOIN (SELECT * FROM {k} WHERE {where}) e ON e.rule_id = i.rule_id AND e.start_line = i.start_line AND ends_with(ltrim(i.path, './'), ltrim(e.path, './')){more} GROUP BY i.seq)"
 
 
 _VALID = f"expires_at IS NULL OR CAST(expires_at AS TIMESTAMP) > TIMESTAMP '{_NOW}'"
-_TRIAGE = f"WITH {_F}, " + ", ".join(f"{k} AS ({v.replace('AS STRING', 'AS VARCHAR')})" for k, v in _ENTRIES.items()) + f""", b AS (SELECT i.*, o.e.decision AS decision, CASE WHEN o.e.decision = 'suppressed' THEN 'suppressed' WHEN o.e.decision IS NOT NULL THEN 'active' WHEN l.e.seq IS NOT NULL THEN 'baselined' WHEN s.e.seq IS NOT NULL THEN 'suppressed' ELSE 'active' END AS bucket, l.e.seq AS baseline_seq, s.e.seq AS suppression_seq, o.e.seq AS override_seq
-FROM i LEFT JOIN {_match("overrides", _VALID)} o ON o.seq = i.seq LEFT JOIN {_match("baseline")} l ON l.seq = i.seq LEFT JOIN {_match("suppressions", f"review_status = 'approved' AND ({_VALID})")} s ON s.seq = i.seq)"""
+_TRIAGE = f"WITH {_F}, " + ", ".join(f"{k} AS ({v.replace('AS STRING', 'AS VARCHAR').replace('{sha}', 'sha256(').replace('{end}', ')')})" for k, v in _ENTRIES.items()) + f""", b AS (SELECT i.*, o.e.decision AS decision, CASE WHEN o.e.decision = 'suppressed' THEN 'suppressed' WHEN o.e.decision IS NOT NULL THEN 'active' WHEN l.e.seq IS NOT NULL THEN 'baselined' WHEN s.e.seq IS NOT NULL THEN 'suppressed' ELSE 'active' END AS bucket, l.e.seq AS baseline_seq, s.e.seq AS suppression_seq, o.e.seq AS override_seq, CASE WHEN o.e.seq IS NOT NULL THEN 'manual_override' WHEN l.e.seq IS NOT NULL THEN 'baseline' WHEN s.e.seq IS NOT NULL THEN 'suppression' END AS action, coalesce(o.e.reason, l.e.reason, s.e.reason) AS reason
+FROM i LEFT JOIN {_match("overrides", _VALID)} o ON o.seq = i.seq LEFT JOIN {_match("baseline", more=" AND (e.fingerprint IS NULL OR length(e.fingerprint) <> 64 OR e.fingerprint = sha256(i.rule_id || '::' || i.path || '::' || i.start_line || '::' || i.title))")} l ON l.seq = i.seq LEFT JOIN {_match("suppressions", f"review_status = 'approved' AND ({_VALID})")} s ON s.seq = i.seq)"""
 
 
 @query(f"{_TRIAGE} SELECT seq, bucket, baseline_seq, suppression_seq, override_seq FROM b")
@@ -252,6 +381,41 @@ def triage_active(spark, d):
     return triage(spark, d).where("bucket = 'active'").select("seq")
 
 
+@query(f"{_TRIAGE} SELECT seq, action, 'finding' AS subject_type, id AS subject_id, CASE action WHEN 'manual_override' THEN decision WHEN 'baseline' THEN 'baselined' ELSE 'suppressed' END AS decision, reason, concat(action, ' finding:', id, ' decision=', CASE action WHEN 'manual_override' THEN decision WHEN 'baseline' THEN 'baselined' ELSE 'suppressed' END, ' reason=', reason) AS summary FROM b WHERE action IS NOT NULL")
+def audit_rows(spark, d):
+    return findings.audit(triage(spark, d)).withColumn("summary", reports.audit_summary()).drop("metadata")
+
+
+@query(f"{_TRIAGE} SELECT seq, bucket, decision FROM b WHERE override_seq IS NOT NULL")
+def overridden_findings(spark, d):
+    return findings.overridden(triage(spark, d)).select("seq", "bucket", "decision")
+
+
+@query(f"{_TRIAGE} SELECT (SELECT count(*) FROM part) AS files_seen, (SELECT count(*) FROM part WHERE p_partkey % 12 <> 10) AS files_selected, count(*) FILTER (bucket = 'active') AS findings, count(*) FILTER (bucket = 'baselined') AS baselined_findings, count(*) FILTER (bucket = 'suppressed') AS suppressed_findings FROM b")
+def scan_counters(spark, d):
+    files = table(spark, d, "part").agg(F.count("*").alias("files_seen"), F.count_if(F.col("p_partkey") % 12 != 10).alias("files_selected"))
+    count = lambda b: F.count_if(F.col("bucket") == b)
+    return files.crossJoin(triage(spark, d).agg(count("active").alias("findings"), count("baselined").alias("baselined_findings"), count("suppressed").alias("suppressed_findings")))
+
+
+@query(f"WITH {_F}, u AS (SELECT id, max(seq) AS seq FROM i WHERE seq % 5 = 0 GROUP BY id) SELECT i.seq, CASE WHEN u.id IS NULL THEN 'untriaged' WHEN u.seq % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS triage_status, CASE WHEN u.seq % 3 = 0 THEN 'note ' || u.seq END AS triage_reason FROM i LEFT JOIN u USING (id)")
+def triage_updates(spark, d):
+    own = found(spark, d).withColumns({"triage_status": F.lit("untriaged"), "triage_reason": F.lit(None).cast("string"), "triage_note": F.lit(None).cast("string")})
+    new = own.where("seq % 5 = 0").select("id", "seq", F.when(F.col("seq") % 2 == 0, "accepted").otherwise("rejected").alias("triage_status"), F.when(F.col("seq") % 3 == 0, F.concat(F.lit(" note "), F.col("seq"), F.lit(" "))).otherwise(" ").alias("triage_reason"), F.lit("").alias("triage_note"))
+    return findings.triage_updated(own, new).select("seq", "triage_status", "triage_reason")
+
+
+@query(f"WITH {_F} SELECT path, count(*) AS n, CASE WHEN bool_or({_RANK} >= 3) THEN 'blocked' ELSE 'allowed' END AS decision FROM i GROUP BY path")
+def policy_by_branch(spark, d):
+    return findings.decision_over(found(spark, d), findings.threshold("critical", "release", {"release": "medium"}), "path")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE ['query', 'auth_context', 'route_param'][event_id % 4 + 1] END AS kind, event_id % 4 IN (0, 2) AS user_input FROM events")
+def user_input_kinds(spark, d):
+    kind = F.element_at(F.array(F.lit("query"), F.lit("auth_context"), F.lit("route_param"), F.lit(None).cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", kind.alias("kind")).withColumn("user_input", detect.is_user_input(F.col("kind")))
+
+
 # Paths and manifests
 
 _EXT = ["py", "js", "ts", "java", "kt", "php", "json", "toml", "xml", "txt", "bin", "TSX"]
@@ -295,10 +459,10 @@ def _flow(framework):
 
 
 for _f in ("express", "nextjs", "django"):
-    query(f"WITH {CODE_SQL} SELECT * FROM (SELECT file_id, line_no, {sql_first_of('line', flows.SOURCES[_f])} AS source_kind FROM code WHERE language = '{flows.LANGUAGES[_f]}') WHERE source_kind IS NOT NULL", f"flow_{_f}")(_flow(_f))
+    query(f"WITH {CODE_SQL} SELECT * FROM (SELECT file_id, line_no, {sql_first_of('line', flows.SOURCES[_f])} AS source_kind FROM code WHERE language IN ({', '.join(map(repr, flows.LANGUAGES[_f]))})) WHERE source_kind IS NOT NULL", f"flow_{_f}")(_flow(_f))
 
 
-@query(f"WITH {CODE_SQL}, c AS (SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM code WHERE language = 'java') SELECT * FROM (SELECT file_id, line_no, {sql_first_of('x', flows.SOURCES['spring'])} AS source_kind, {sql_first_of('x', flows.HANDLERS)} AS handler_kind, {sql_first_of('x', flows.ENTRIES)} AS entry_kind FROM c) WHERE coalesce(source_kind, handler_kind, entry_kind) IS NOT NULL")
+@query(f"WITH {CODE_SQL}, c AS (SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM code WHERE language IN ('java', 'kotlin')) SELECT * FROM (SELECT file_id, line_no, {sql_first_of('x', flows.SOURCES['spring'])} AS source_kind, {sql_first_of('x', flows.HANDLERS)} AS handler_kind, {sql_first_of('x', flows.ENTRIES)} AS entry_kind FROM c) WHERE coalesce(source_kind, handler_kind, entry_kind) IS NOT NULL")
 def flow_spring(spark, d):
     return flows.spring_flows(code(spark, d))
 
@@ -376,7 +540,7 @@ def android_manifests(spark, d):
 # Reports and counts
 
 
-@query(f"WITH {_F} SELECT seq, concat('[', upper(severity), '] ', rule_id, ' ', path, ':', start_line, ' ', title) AS summary FROM i")
+@query(f"WITH {_F} SELECT seq, concat(upper(severity), ' ', title, ' (', rule_id, ') at ', path, ':', start_line) AS summary FROM i")
 def report_text(spark, d):
     return found(spark, d).select("seq", reports.summary().alias("summary"))
 
@@ -389,9 +553,9 @@ def report_json(spark, d):
 _LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
 
 
-@query(f"WITH {_F} SELECT rule_id, arg_min({_LEVEL}, seq) AS level FROM i GROUP BY rule_id")
+@query(f"{_TRIAGE} SELECT rule_id, arg_min({_LEVEL}, seq) AS level FROM b WHERE bucket = 'active' GROUP BY rule_id")
 def sarif_rules(spark, d):
-    return reports.sarif_rules(found(spark, d))
+    return reports.sarif_rules(triage(spark, d).where("bucket = 'active'"))
 
 
 @query(f"{_TRIAGE} SELECT seq, rule_id, {_LEVEL} AS level, path AS uri, start_line FROM b WHERE bucket = 'active'")
@@ -404,9 +568,18 @@ def override_counts(spark, d):
     return triage(spark, d).where("override_seq IS NOT NULL").groupBy(F.when(F.col("bucket") == "suppressed", "suppressed").otherwise("active").alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS n_valid FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS n_valid, concat(count(*) FILTER (json_valid(props)), '/', count(*)) AS ratio FROM events GROUP BY event_type")
 def json_validity(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("n_valid"))
+    n, valid = F.count("*"), F.count_if(F.try_parse_json("props").isNotNull())
+    return table(spark, d, "events").groupBy("event_type").agg(n.alias("n"), valid.alias("n_valid"), F.concat_ws("/", valid.cast("string"), n.cast("string")).alias("ratio"))
+
+
+_NESTED = """concat('{"a": {"b": [', event_id, ', {"c": "x', event_id % 7, '"}, [', event_id % 3, ']], "e": [], "f": {}}, "p": ', props, ', "t": true}')"""
+
+
+@query(f"SELECT event_id, substr(t.fullkey, 3) AS path, json_extract_string(x, t.fullkey) AS value FROM (SELECT event_id, CAST({_NESTED} AS JSON) AS x FROM events), json_tree(x) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')")
+def json_leaf_paths(spark, d):
+    return leaves.leaves(table(spark, d, "events").selectExpr("event_id", f"{_NESTED} AS x"), "event_id", "x").select("event_id", "path", "value")
 
 
 @query("SELECT event_id, '$.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
