@@ -6,9 +6,11 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from wardenry.operators import dependencies, detect, findings, frameworks, manifest, secrets_scan, taint
+from wardenry.operators import classify, dependencies, detect, findings, flows, frameworks, leaves, manifest, reports, rules, secrets_scan, taint, taint_flow
 from wardenry.plans import registry
 from wardenry.sources import corpus
 
@@ -53,12 +55,36 @@ def test_orm_hit_ends_the_line(spark):
 
 
 def test_files(spark, tmp_path):
-    for path, data in {"a.py": b"x = 1\n", "pkg/node_modules/b.js": b"x", "node_modules/c.js": b"x", "d.png": b"x", "e.txt": b"", "f.txt": b"\0x", "g.txt": b"\xff\xfe"}.items():
+    made = {"a.py": b"x = 1\r\ny\rz", "pkg/node_modules/b.js": b"x", "node_modules/c.js": b"x", "d.png": b"x", "e.txt": b"", "f.txt": b"\0x", "g.txt": b"\xff\xfe", "h.txt": b"hello P\0x", "i.txt": b"hello a\0x", "b/a.txt": "é".encode() * 5000, "c.txt": b"x" + "é".encode() * 5000, "b-c.txt": b"1"}
+    for path, data in made.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
-    got = {r.relative_path: r.skip_reason for r in corpus.files(spark, str(tmp_path)).collect()}
-    got.pop("e.txt", None)  # whether Spark lists empty files depends on its settings; either way they are not selected
-    assert got == {"a.py": None, "pkg/node_modules/b.js": "excluded", "node_modules/c.js": None, "d.png": "binary", "f.txt": "binary", "g.txt": "binary"}
+    rows = {r.relative_path: r for r in corpus.files(spark, str(tmp_path)).collect()}
+    rows.pop("e.txt", None)  # whether Spark lists empty files depends on its settings; either way they are not selected
+    assert {p: r.skip_reason for p, r in rows.items()} == {"a.py": None, "pkg/node_modules/b.js": "excluded", "node_modules/c.js": None, "d.png": "binary", "f.txt": "binary", "g.txt": "binary", "h.txt": "binary", "i.txt": "binary", "b/a.txt": None, "c.txt": None, "b-c.txt": None}
+    assert rows["a.py"].text == "x = 1\ny\nz" and rows["c.txt"].text == "x" + "é" * 5000
+    one = corpus.files(spark, str(tmp_path / "a.py")).collect()
+    assert [(r.relative_path, r.skip_reason) for r in one] == [("a.py", None)]
+    listed = corpus.files(spark, str(tmp_path), include=("*.txt",), exclude=("b/*",))
+    assert {r.relative_path for r in listed.where("skip_reason IS NULL").collect()} == {"c.txt", "b-c.txt"}
+    assert [r.relative_path for r in corpus.in_path_order(corpus.files(spark, str(tmp_path)).where("skip_reason IS NULL")).collect()] == ["a.py", "b/a.txt", "b-c.txt", "c.txt", "node_modules/c.js"]
+    assert "excluded: b/a.txt" in {r.note for r in corpus.skip_notes(listed).collect()}
+
+
+@pytest.mark.parametrize("path", ["a.py", "src/a.py", "src/x/a.py", "node_modules/a.js", "p/node_modules/q/a.js", "a/b/c.txt", "ab.py", "x.PY", "dist/a", "a[1].py", "a1.py"])
+def test_globs_are_read_in_two_ways(spark, path):
+    import fnmatch
+    from pathlib import PurePosixPath
+
+    globs = ("*.py", "src/*", "**/node_modules/**", "a/*", "?.py", "b/*.txt", "a[0-9].py", "a[!b].py", "/a.py", "src/**/a.py", "x.py")
+    df = spark.createDataFrame([(path,)], "p string")
+    got = df.select(*(corpus.matches_any(F.col("p"), (g,)).alias(str(i)) for i, g in enumerate(globs))).first()
+    assert list(got) == [PurePosixPath(path).match(g) or fnmatch.fnmatchcase(path, g) for g in globs]
+
+
+def test_bytes_that_are_no_text_are_left_out(spark):
+    row = spark.createDataFrame([(bytearray(b"a\xffb\r\nc\xc3"), bytearray("é\r".encode()))], "x binary, y binary").select(corpus.decoded(F.col("x")).alias("x"), corpus.decoded(F.col("y")).alias("y")).first()
+    assert (row.x, row.y) == ("ab\nc", "é\n")
 
 
 def test_lock_file(spark):
@@ -102,10 +128,10 @@ def test_taint_alone_makes_findings(spark, tmp_path):
     web = detect.web_findings(taint.with_taint(code(spark, *lines))).collect()
     assert [(r.line_no, r.detector) for r in web] == [(2, "python_sqli"), (3, "python_orm")]
     # A customer with orders that stand for these lines, and one who only executes.
-    orders = spark.createDataFrame([(4, 0), (4, 4), (4, 8), (8, 8)], "o_custkey long, o_orderkey long")
+    orders = spark.createDataFrame([(6, 0), (6, 4), (6, 8), (12, 8)], "o_custkey long, o_orderkey long")
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     found = {n: sorted((r.file_id, r.line_no) for r in registry.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("python_orm", "python_orm_with_taint", "orm_kinds_with_taint")}
-    assert found == {"python_orm": [], "python_orm_with_taint": [(4, 3)], "orm_kinds_with_taint": [(4, 3)]}
+    assert found == {"python_orm": [], "python_orm_with_taint": [(6, 3)], "orm_kinds_with_taint": [(6, 3)]}
 
 
 def test_web_findings_have_templates_dom_writes_and_guards(spark):
@@ -117,3 +143,181 @@ def test_web_findings_have_templates_dom_writes_and_guards(spark):
     assert names(script) == [(1, "js_template", "WEB-TEMPLATE-001"), (2, "js_xss", "WEB-XSS-001"), (3, "js_template", "WEB-TEMPLATE-001"), (3, "js_xss", "WEB-XSS-001"), (4, "auth_guard", "WEB-AUTH-001"), (6, "ssrf", "WEB-SSRF-001")]
     open_route = of("x = 1", "router.get('/x', h)", "router.post('/y', h)", "res.json(req.query.a)", language="javascript")
     assert names(open_route) == [(2, "auth_missing", "WEB-AUTH-001")]
+    typed = of("el.innerHTML = x", "app.use(requireAuth())", language="typescript")
+    assert names(typed) == [(1, "js_xss", "WEB-XSS-001"), (2, "auth_guard", "WEB-AUTH-001")]
+    assert names(of('gson.fromJson(body)', language="kotlin")) == [(1, "spring_deserial", "WEB-DESERIAL-001")]
+
+
+def flowing(spark, *lines, language="python", framework=None, path="a.py"):
+    return taint_flow.with_flow(flows.with_context(code(spark, *lines, language=language).withColumn("framework", F.lit(framework).cast("string")).withColumn("path", F.lit(path))))
+
+
+def told(spark, *lines, **k):
+    """(line, detector): metadata without what taint says."""
+    found = detect.web_findings(flowing(spark, *lines, **k), flows.metadata()).collect()
+    return {(r.line_no, r.detector): {k: v for k, v in r.metadata.items() if not k.startswith("taint")} for r in found}
+
+
+def test_guards_are_told_in_order(spark):
+    rows = code(spark, "app.use(is_authenticated)", "@login_required", "if request.is_authenticated():", "if user.can('x'):", "if isAdministrator:", "authenticate(x)", "x = 1")
+    assert [r[0] for r in rows.orderBy("line_no").select(detect.guard_model(F.col("line"))).collect()] == ["middleware", "decorator", "predicate", "role_check", "role_check", "guard", None]
+    role = told(spark, "if user.hasRole('x'):")[1, "auth_guard"]
+    assert role == {"auth_guard": "true", "auth_guard_kind": "role_check", "auth_model": "role_check", "guard_kind": "role_check", "role_model": "rbac"}
+    assert told(spark, "app.use(requireAuth(x))", language="javascript")[1, "auth_guard"] == {"auth_guard": "true", "auth_model": "middleware", "middleware_kind": "auth"}
+
+
+def test_flows_of_frameworks(spark):
+    django = told(spark, "q = request.GET.get('q')", "requests.get(url, request.META)", "cursor.execute('x' + sql)", "open(filename)", framework="django")
+    assert django[2, "ssrf"] == {"framework_model": "django", "flow_model": "request_to_sink", "source_kind": "headers", "sink_kind": "network_request"}
+    assert django[3, "python_orm"] == {"flow_model": "user_input_to_orm_query", "sink_kind": "orm_query", "framework_model": "django", "orm_model": "django_orm", "query_kind": "raw_sql"}
+    assert django[4, "python_file"] == {"flow_model": "request_input_to_file_sink", "sink_kind": "file_access", "framework_model": "django", "source_kind": "request_input", "file_operation": "open"}
+    express = told(spark, "app.get('/x', fetch(url, req.params.u))", "document.write(req.query.a)", language="javascript", framework="express")
+    assert express[1, "ssrf"] == {"framework_model": "express", "flow_model": "request_to_sink", "source_kind": "route_param", "sink_kind": "network_request", "handler_kind": "route_handler"}
+    react = told(spark, "useEffect(() => { el.innerHTML = x })", "render(dangerouslySetInnerHTML)", language="javascript", framework="react")
+    assert react[1, "js_xss"] == {"framework_model": "react", "flow_model": "prop_to_dom_sink", "sink_kind": "dom_sink", "dom_sink": "innerhtml", "react_lifecycle": "hook"}
+    assert react[2, "js_xss"]["react_sink"] == "dangerouslySetInnerHTML" and react[2, "js_template"] == {"framework_model": "react", "template_model": "react", "flow_model": "context_to_template_sink", "sink_kind": "template_render", "template_sink": "render"}
+    spring = told(spark, "@PostMapping(\"/x\")", "void f(@RequestBody String body) {", "mapper.x(); new ObjectInputStream(in).readObject();", "yaml.load(body);", "kryo.readObject(x);", language="java")
+    assert spring[3, "spring_deserial"] == {"framework_model": "spring", "flow_model": "request_to_sink", "sink_kind": "deserialization", "source_kind": "body", "entry_kind": "controller", "handler_kind": "controller_method", "mapping_kind": "postmapping", "spring_parameter": "requestbody", "deserialization_kind": "java_serialization"}
+    assert spring[4, "spring_deserial"]["deserialization_kind"] == "yaml" and spring[5, "spring_deserial"]["deserialization_kind"] == "java_serialization"
+    laravel = told(spark, "Route::post('/x', function (Request $request) {", "exec($request->input('c'));", "return view('a', ['x' => request()->input('x')]);", "$p = popen($c);", language="php")
+    assert laravel[2, "php_process"] == {"framework_model": "laravel", "flow_model": "request_to_sink", "sink_kind": "process_execution", "source_kind": "query", "entry_kind": "route_definition", "route_kind": "post", "process_kind": "shell"}
+    assert laravel[3, "blade_template"]["template_sink"] == "view" and laravel[3, "blade_template"]["flow_model"] == "context_to_template_sink" and laravel[4, "php_process"]["process_kind"] == "spawn"
+    assert told(spark, "exec($c);", language="php")[1, "php_process"] == {}
+
+
+def test_escapes_and_guards_end_findings(spark):
+    found = lambda *lines, **k: sorted((r.line_no, r.detector) for r in detect.web_findings(flowing(spark, *lines, **k)).collect())
+    assert found("safe = html.escape(request.args.get('x'))", "render_template('a', safe)") == []
+    assert found("x = request.args.get('x')", "render_template('a', x)") == [(2, "python_template")]
+    assert found("u = request.args.get('u')", "if is_allowed_url(u):", "    requests.get(u)", "requests.get(u)") == [(4, "ssrf")]
+    assert found("$n = escapeHtml($request->input('n'));", "view('a', $n)", language="php") == []
+
+
+def lineages(spark, *lines):
+    return {(r.scope, r.variable, r.seq): r for r in taint_flow.followed(code(spark, *lines)).collect()}
+
+
+def test_lineages_name_their_source_and_way(spark):
+    lines = ["def wrap(v, w=1):", "    inner = v", "    if False:", "        return inner", "    return w", "a = request.args.get('a')", "b = wrap(a)", "out = [a]", "box['k'] = a", "c = box['k']", "self.f = a", "d = self.f"]
+    got = {}
+    for (scope, variable, _), r in sorted(lineages(spark, *lines).items(), key=lambda x: x[0][2]):
+        got.setdefault((scope, variable), []).append(r)
+    assert [r.propagation for r in got["variable", "b"]] == ["assignment", "return_value"] and got["variable", "b"][1].reachability == "unreachable"  # as the return is
+    assert got["variable", "b"][1].path == ["request.args.get('a')@6", "wrap@4", "b@7"] and got["variable", "b"][1].chain == ["a", "v", "inner", "wrap", "b"]
+    assert got["lines", "wrap"][0].reachability == "unreachable" and (got["lines", "v"][0].first, got["lines", "v"][0].last) == (2, 5)
+    assert [r.propagation for r in got["variable", "out"]] == ["assignment", "container"] and got["variable", "c"][0].path == [] and got["variable", "c"][0].chain == ["a", "box", "c"]
+    assert got["field", "self.f"][0].chain == ["a", "self.f"] and got["variable", "d"][-1].propagation == "field" and got["variable", "a"][0].origin_variable is None
+
+
+def test_the_newest_source_before_a_line_counts(spark):
+    rows = {r.line_no: r for r in taint_flow.line_uses(code(spark, "x = request.args.get('a')", "use(x)", "x = request.cookies.get('b')", "use(x)", "y = 'x'", "clean(1)")).collect()}
+    # Where a variable is set, its last lineage stands before the one that held then.
+    assert {n: r.source_kind for n, r in rows.items()} == {1: "cookies", 2: "query", 3: "cookies", 4: "cookies", 5: "cookies"}
+    assert rows[5].variables == ["y", "x"]
+    assert taint_flow.line_uses(code(spark, "a = 1", "b = a")).count() == 0
+
+
+def test_calls_and_arguments():
+    assert taint_flow.arguments("a, f(b, c), [d, e], 'x,y'") == ["a", "f(b, c)", "[d, e]", "'x", "y'"]
+    assert taint_flow.calls("t = Load(get(a, b), c) + load(d", {"load", "get"}) == [("load", ["get(a, b)", "c"]), ("get", ["a", "b"])]
+    assert taint_flow.parameters("a, b=1, $c, d: str, a, ") == ["a", "b", "c", "d: str"]
+    assert [taint_flow.assignment(x) for x in ("if a = 1", "a == b", "$Ab = c;", "const x = y", "a.b = c", "x = ")] == [None, None, ("ab", "c"), ("x", "y"), None, None]
+
+
+def test_shapes_of_blocks():
+    lines = ["if a:", "    b", "", "  else_ish", "function f(x) {", "}", "g", "function h(y) {", "  if (z) {", "    w", "  }", "}", "const k = (p) => {", "  q", "}"]
+    got = taint_flow.shapes_of(1, lines)
+    assert [(r[1], r[2], r[4], r[5], r[6]) for r in got] == [("indent", "if", 1, 2, 4), ("brace", "if", 9, 10, 12), ("function", "f", 5, 6, 5), ("function", "h", 8, 9, 11), ("function", "k", 13, 14, 15)]
+
+
+def test_emitted_findings_take_the_rest_from_their_rule(spark):
+    rows = spark.createDataFrame([("WEB-SSRF-001", "a.py", 3, "fetch(u): x", None, None, None), ("WEB-AUTH-001", "a.py", 4, "@login", "info", None, None), ("SCA-PACKAGE-001", "r.txt", 1, "flask==1", "high", "flask", None)], "rule_id string, path string, start_line int, evidence string, severity string, package string, version string")
+    got = {r.rule_id: r for r in rules.emitted(rows).collect()}
+    assert got["WEB-SSRF-001"].id == "WEB-SSRF-001:a.py:3:fetch(u)_ x" and (got["WEB-SSRF-001"].severity, got["WEB-SSRF-001"].cwe) == ("high", ["CWE-918"]) and got["WEB-SSRF-001"].metadata == {"relative_path": "a.py"}
+    assert (got["WEB-AUTH-001"].severity, got["WEB-AUTH-001"].confidence) == ("info", "low") and got["SCA-PACKAGE-001"].id == "SCA-PACKAGE-001:r.txt:1:flask:None:flask==1"
+    assert rules.rules(spark).count() == 17 and {r.strategy for r in rules.rules(spark).collect()} == {"pattern", "taint", "metadata", "sca"}
+    text = rules.emitted(rows).where("rule_id = 'WEB-SSRF-001'").select(reports.finding_json()).first()[0]
+    assert '"remediation":"Validate' in text and '"triage_note":null' in text and '"symbols":[]' in text
+
+
+def test_a_finding_of_several_detectors_stands_once(spark):
+    rows = registry.QUERIES["run_detectors"](spark, SF).collect()
+    assert len({r.id for r in rows}) == len(rows) and {r.rule_id.split("-")[0] for r in rows} == {"SEC", "WEB", "MOBILE", "SCA"}
+
+
+FINDING = "seq long, id string, rule_id string, path string, start_line int, fingerprint string"
+
+
+def test_entries_match_by_suffix_and_fingerprint(spark):
+    own = "a" * 64
+    found = spark.createDataFrame([(1, "x", "R", "./src/myapp.py", 3, own), (2, "y", "R", "other.py", 3, "b" * 64)], FINDING)
+    entry = "seq long, rule_id string, path string, start_line int, fingerprint string, reason string"
+    match = lambda *rows: [r.b and r.b.entry_seq for r in findings.first_matches(found, b=spark.createDataFrame([*rows], entry)).orderBy("seq").collect()]
+    assert match((1, "R", "app.py", 3, None, "r")) == [1, None] and match((1, "R", "app.py", 3, "short", "r")) == [1, None]
+    assert match((1, "R", "app.py", 3, "c" * 64, "r")) == [None, None]
+    assert match((1, "R", "app.py", 3, "c" * 64, "r"), (2, "R", "../myapp.py", 3, own, "r"), (3, "R", ".py", 3, None, "r")) == [2, 3] or match((1, "R", "app.py", 3, own.upper(), "r")) == [1, None]
+    assert match((5, "R", "app.py", 3, None, "r"), (2, "R", "app.py", 3, own, "r")) == [2, None] and match((1, "R", "app.py", 4, None, "r")) == [None, None] and match((1, "R", "", 3, None, "r")) == [1, 1]
+
+
+def test_audit_and_triage(spark):
+    found = spark.createDataFrame([(i, f"id{i}", "R", "a.py", i, None) for i in range(1, 6)], FINDING)
+    entry = "seq long, rule_id string, path string, start_line int, reason string, expires_at string, decision string, review_status string"
+    rows = lambda *r: spark.createDataFrame([*r], entry)
+    over = rows((1, "R", "a.py", 1, "o", None, "active", None), (2, "R", "a.py", 2, "o", "2000-01-01T00:00:00Z", "suppressed", None))
+    base, sup = rows((1, "R", "a.py", 1, "b", None, None, None), (2, "R", "a.py", 3, "b", None, None, None)), rows((1, "R", "a.py", 4, "s", None, None, "approved"), (2, "R", "a.py", 5, "s", None, None, "pending"))
+    got = findings.triaged(found, base, sup, over, F.lit("2025-01-01").cast("timestamp"))
+    assert [r.bucket for r in got.orderBy("seq").collect()] == ["active", "active", "baselined", "suppressed", "active"]
+    log = findings.audit(got).withColumn("s", reports.audit_summary()).orderBy("seq").collect()
+    assert [r.s for r in log] == ["manual_override finding:id1 decision=active reason=o", "baseline finding:id3 decision=baselined reason=b", "suppression finding:id4 decision=suppressed reason=s"]
+    assert log[2].metadata == {"rule_id": "R", "path": "a.py", "start_line": "4", "review_status": "approved"} and findings.overridden(got).count() == 1
+    assert findings.threshold("high", "main", {"main": "low"}) == "low" and findings.threshold("high", "main", {"main": "low"}, True) == "high" and findings.threshold(None, "x", {}) is None
+    with pytest.raises(ValueError):
+        findings.threshold("loud", None, {})
+
+
+def test_entry_files_are_checked(spark, tmp_path):
+    target = '"target": {"rule_id": "R", "path": "a", "start_line": 1}'
+    def read(kind, entry):
+        (tmp_path / "e.json").write_text(f'{{"schema_version": "1", "{kind}": [{entry}]}}')
+        return getattr(corpus, kind)(spark, str(tmp_path / "e.json")).collect()
+
+    assert read("suppressions", f'{{{target}, "reason": "ok"}}')[0].review_status == "approved" and read("overrides", f'{{{target}, "reason": "ok", "decision": "active"}}')[0].rule_id == "R"
+    for kind, entry in (("suppressions", f'{{{target}, "reason": " "}}'), ("suppressions", f'{{{target}}}'), ("suppressions", f'{{{target}, "reason": "x", "review_status": "maybe"}}'), ("suppressions", f'{{{target}, "reason": "x", "expires_at": "soon"}}'), ("suppressions", '{"reason": "x"}'), ("overrides", f'{{{target}, "reason": "x", "decision": "no"}}')):
+        with pytest.raises(PySparkException):
+            read(kind, entry)
+    (tmp_path / "e.json").write_text('{"entries": [{"rule_id": "R", "path": "a", "start_line": 1, "fingerprint": "f", "reason": null}]}')
+    assert corpus.baseline(spark, str(tmp_path / "e.json")).first().fingerprint == "f"
+
+
+def test_package_files_are_read_whole(spark):
+    texts = ['{"x": {"dependencies": {"next": "1"}}}', '{"dependencies": {"react": "1"}, "devDependencies": {"Express": 2}}', '{"dependencies": ["next"], "peerDependencies": {"react": {"a": 1}}}', '{"dependencies": {"next": "1"}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    k = frameworks.framework(F.lit("json"), F.lit("p/package.json"), F.col("t"))
+    assert [tuple(r[0]) for r in df.orderBy("i").select(k).collect()] == [(None, "medium", None), ("express", "high", "package-json:express"), ("react", "medium", "package-json:react"), (None, "medium", "json:invalid-package-json"), (None, "medium", "json:invalid-package-json")]
+    rows = [("toml", "pyproject.toml", "Flask"), ("toml", "django/pyproject.toml", ""), ("xml", "a/AndroidManifest.xml", ""), ("xml", "Info.plist", ""), ("xml", "x.xml", "<a/>")]
+    df = spark.createDataFrame(rows, "l string, p string, c string")
+    assert [r[0] for r in df.select(frameworks.framework(F.col("l"), F.col("p"), F.col("c"))["signal"]).collect()] == ["toml:flask", "toml:path-django", "xml:android", "xml:ios", None]
+
+
+def test_manifests_are_read_whole(spark):
+    ns = "http://schemas.android.com/apk/res/android"
+    text = f"""<?xml version="1.0"?><manifest xmlns:a="{ns}" package="p" sharedUserId="u"><uses-permission a:name="android.permission.CAMERA"/><uses-permission-sdk-m name="x"/><uses-feature a:name="f"/>
+    <application a:label="L" a:debuggable="TRUE" a:allowBackup="no"><service a:name=".S" a:exported="true"/><activity a:name=".A" a:permission="q"><intent-filter/><intent-filter/></activity><receiver exported="true"/></application></manifest>"""
+    files = spark.createDataFrame([(1, text), (2, "<other/>"), (3, "<manifest")], "file_id long, content string")
+    got = {r.file_id: r for r in manifest.manifests(files).collect()}
+    one = got[1]
+    assert (one.package, one.shared_user_id, one.permissions, one.features) == ("p", "u", ["android.permission.CAMERA", "x"], ["f"])
+    assert tuple(one.application) == ("L", True, False, None)
+    assert [tuple(c) for c in one.components] == [("activity", ".A", None, "q", 2), ("receiver", None, True, None, 0), ("service", ".S", True, None, 0)]
+    assert got[2].components is None and sorted((r.rule_id, r.evidence) for r in manifest.findings(files).collect()) == [("MOBILE-ANDROID-002", "<unknown>"), ("MOBILE-ANDROID-003", "CAMERA")]
+
+
+def test_leaves_of_deep_json(spark):
+    texts = spark.createDataFrame([(1, '{"a": [1, {"b": null}, []], "c": {"d": {"e": "x"}}, "f": true}'), (2, "5"), (3, "{"), (4, None), (5, "[[2]]")], "k long, t string")
+    assert {(r.k, r.path): r.value for r in leaves.leaves(texts, "k", "t").collect()} == {(1, "a[0]"): "1", (1, "a[1].b"): None, (1, "c.d.e"): "x", (1, "f"): "true", (2, ""): "5", (5, "[0][0]"): "2"}
+
+
+def test_secrets_of_sensitive_files(spark):
+    files = spark.createDataFrame([(1, "app/.env", "token='abcdefgh1' token='abcdefgh1'\nx"), (2, "a.py", "aws_secret_access_key = password: Zk3v9QmT7xLr2WbY")], "file_id long, path string, content string")
+    got = secrets_scan.secret_findings(files).collect()
+    assert sorted((r.file_id, r.line_no, r.metadata.get("priority")) for r in got) == [(1, 1, "high"), (2, 1, None), (2, 1, None)]

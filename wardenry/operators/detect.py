@@ -88,13 +88,13 @@ def guard_model(line: Column) -> Column:
     return F.when(has_any(line, "auth_guard") | has_any(line, "role_guard"), kinds)
 
 
-def web_findings(lines: DataFrame, metadata=None) -> DataFrame:
+def web_findings(lines: DataFrame, metadata: dict[str, Column] | None = None) -> DataFrame:
     """All detectors in one pass over the lines (file_id, line_no, language, line, tainted, and sanitized and guarded where they are known): flags become an array that is exploded.
     Routes of files without authentication come from one aggregate and a join.
 
     An ORM hit ends a Python line after file access; an escaped template or DOM write ends a line before what follows it.
     A guard has severity info and confidence high. Its middleware is the same finding as the guard, and has the last word on what it is called.
-    metadata(detector): the column of a finding's metadata, if it is wanted.
+    metadata: for each detector the column of its findings' metadata, if that is wanted.
     """
     line, tainted, language = F.col("line"), F.col("tainted"), F.col("language")
     sanitized, guarded = (F.col(c) if c in lines.columns else F.lit(False) for c in ("sanitized", "guarded"))
@@ -114,7 +114,7 @@ def web_findings(lines: DataFrame, metadata=None) -> DataFrame:
         flags[name] = (rule, language.isin(*languages) & hits(name, line, tainted, sanitized, guarded) & ~stop)
         if name == "js_template":
             flags["js_xss"] = ("WEB-XSS-001", xss & ~escaped)
-    of = lambda name: [metadata(name).alias("metadata")] if metadata else []
+    of = lambda name: [metadata[name].alias("metadata")] if metadata else []
     found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"), *of(name))) for i, (name, (rule, flag)) in enumerate(flags.items())]
     routes = missing_auth(lines).select("file_id", "line_no", F.lit(True).alias("unguarded"))
     more = [c for c in ("path", "language", "framework") if c in lines.columns]

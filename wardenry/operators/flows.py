@@ -124,8 +124,8 @@ def spring_flow(framework: Column, near: Column, sink: str) -> Entries:
     return _where(framework.eqNullSafe("spring") | has_any(near, "spring_framework"), own)
 
 
-def deserial_flow(framework: Column, line: Column, near: Column) -> Entries:
-    own = spring_flow(framework, near, "deserialization")
+def deserial_flow(own: Entries, line: Column, near: Column) -> Entries:
+    """own: the Spring flow."""
     kind = first_of(near, DESERIAL_NEAR, "generic")
     for name, pattern in reversed(DESERIAL_LINE):
         kind = F.when(F.lower(line).rlike(pattern), name).otherwise(kind)
@@ -141,13 +141,13 @@ def laravel_flow(framework: Column, near: Column, sink: str) -> Entries:
     return _where(framework.eqNullSafe("laravel") | has_any(near, "laravel_framework"), own)
 
 
-def process_flow(framework: Column, line: Column, near: Column) -> Entries:
-    own = laravel_flow(framework, near, "process_execution")
+def process_flow(own: Entries, line: Column) -> Entries:
+    """own: the Laravel flow."""
     return own | {"process_kind": F.when(own["framework_model"].isNotNull(), first_of(line, PROCESSES, "shell_command"))}
 
 
-def blade_flow(framework: Column, near: Column) -> Entries:
-    own = laravel_flow(framework, near, "template_render")
+def blade_flow(own: Entries, near: Column) -> Entries:
+    """own: the Laravel flow."""
     sink = first_of(near, (("blade_render", "blade_string"), ("view", "blade_view")), "render")
     kind = first_of(near, (("string_template", "blade_string"), ("view_template", "blade_view")), "template")
     return own | _where(own["framework_model"].isNotNull(), {"flow_model": F.lit("context_to_template_sink"), "template_model": F.lit("blade"), "template_sink": sink, "template_kind": kind})
@@ -181,38 +181,37 @@ def guard_flow(line: Column, language: Column) -> Entries:
     }
 
 
-def entries_of(detector: str) -> Entries:
-    """The detector's own metadata, over columns line, language, framework and near_5_0 and near_5_1 (the lower-case lines around)."""
-    line, language, framework, sink = F.col("line"), F.col("language"), F.col("framework"), SINKS.get(detector, "")
-    django = request_flow("django", framework, line, sink)
-    express, nextjs = request_flow("express", framework, line, sink, "express_handler"), request_flow("nextjs", framework, line, sink, "nextjs_handler")
-    if detector == "auth_missing":
-        return {"auth_guard": F.lit("false"), "auth_model": F.lit("route_without_middleware")}
-    if detector == "auth_guard":
-        return guard_flow(line, language)
-    if detector in ("python_file", "python_orm"):
-        return file_flow(framework, line) if detector == "python_file" else orm_flow(framework, line)
-    if detector in ("python_template", "js_template"):
-        return template_flow(framework, language, line)
-    if detector == "js_xss":
-        return _either(express, nextjs, react_flow(framework, line))
-    if detector in ("python_sqli", "ssrf", "path_traversal", "open_redirect"):
-        return _either(_where(language == "python", django), *(_where(language != "python", x) for x in (express, nextjs)))
-    if detector == "blade_template":
-        return blade_flow(framework, F.col("near_5_1"))
-    if detector.startswith("php_"):
-        return process_flow(framework, line, F.col("near_5_1")) if detector == "php_process" else laravel_flow(framework, F.col("near_5_1"), sink)
-    return deserial_flow(framework, line, F.col("near_5_0")) if detector == "spring_deserial" else spring_flow(framework, F.col("near_5_0"), sink)
-
-
-def metadata(detector: str) -> Column:
-    """A finding's metadata as a map. What its line's taint says fills the gaps, and names the source where the line itself doesn't."""
-    entries = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in entries_of(detector).items()))
-    own = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    if detector in ("auth_missing", "auth_guard", "spring_deserial"):
-        return own
-    source = F.when(~F.map_contains_key(own, F.lit("source_kind")) & F.col("taint").isNotNull(), F.create_map(F.lit("source_kind"), F.col("taint.source_kind"))).otherwise(F.create_map().cast("map<string,string>"))
-    return F.map_concat(own, taint_metadata(), source)
+def entries_of() -> dict[str, Entries]:
+    """Each detector's own metadata, over columns line, language, framework and near_5_0 and near_5_1 (the lower-case lines around). What detectors share is built once."""
+    line, language, framework, before, around = (F.col(c) for c in ("line", "language", "framework", "near_5_0", "near_5_1"))
+    django, express, nextjs = (request_flow(m, framework, line, "", h) for m, h in (("django", None), ("express", "express_handler"), ("nextjs", "nextjs_handler")))
+    requests = _either(_where(language == "python", django), *(_where(language != "python", x) for x in (express, nextjs)))
+    spring, laravel = spring_flow(framework, before, ""), laravel_flow(framework, around, "")
+    to = lambda own, detector: own | {"sink_kind": F.when(own["framework_model"].isNotNull(), SINKS[detector])}
+    template = template_flow(framework, language, line)
+    out = {
+        "auth_missing": {"auth_guard": F.lit("false"), "auth_model": F.lit("route_without_middleware")}, "auth_guard": guard_flow(line, language), "python_file": file_flow(framework, line), "python_orm": orm_flow(framework, line),
+        "python_template": template, "js_template": template, "js_xss": _either(to(_either(express, nextjs), "js_xss"), react_flow(framework, line)),
+    }
+    out |= {d: to(requests, d) for d in ("python_sqli", "ssrf", "path_traversal", "open_redirect")}
+    out |= {d: to(laravel, d) for d in ("php_ssrf", "php_redirect", "php_path", "php_file")} | {d: to(spring, d) for d in ("spring_sql", "spring_ssrf", "spring_redirect", "spring_path", "spring_file")}
+    out |= {"php_process": process_flow(to(laravel, "php_process"), line), "blade_template": blade_flow(to(laravel, "blade_template"), around), "spring_deserial": deserial_flow(to(spring, "spring_deserial"), line, before)}
+    return out
+
+
+def metadata() -> dict[str, Column]:
+    """Each detector's metadata as a map. What its line's taint says fills the gaps, and names the source where the line itself doesn't."""
+    taint, out = taint_metadata(), {}
+    none = F.create_map().cast("map<string,string>")
+    for detector, entries in entries_of().items():
+        listed = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in entries.items()))
+        own = F.map_from_entries(F.filter(listed, lambda e: e["value"].isNotNull()))
+        if detector not in ("auth_missing", "auth_guard", "spring_deserial"):
+            known = entries.get("source_kind", F.lit(None))
+            source = F.when(known.isNull() & F.col("taint").isNotNull(), F.create_map(F.lit("source_kind"), F.col("taint.source_kind"))).otherwise(none)
+            own = F.map_concat(own, taint, source)
+        out[detector] = own
+    return out
 
 
 def with_context(lines: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markers import FAMILIES, has_any
+from ..sources.corpus import materialised
 from .detect import ALLOWLIST, ESCAPED, SOURCE_FAMILIES
 from .taint import identifiers
 
@@ -303,14 +304,14 @@ class Flow:
         return [(file_id, k, scope, a, b, *x[:-2], list(x.path), list(x.chain)) for k, (scope, a, b, x) in enumerate(own)]
 
 
-def followed(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def followed(lines: DataFrame, found: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
     """The lineages of each file that names a source, from lines (file_id, line_no, line) numbered from 1 without gaps."""
     found = shapes(lines) if found is None else found
     source = has_any(F.col("line"), SOURCE_FAMILIES[0][1])
     for _, family in SOURCE_FAMILIES[1:]:
         source |= has_any(F.col("line"), family)
     some = lines.where(source).select("file_id").distinct()
-    own = lines.select("file_id", "line_no", "line").join(some, "file_id", "left_semi").join(branches(lines, found), ["file_id", "line_no"], "left")
+    own = lines.select("file_id", "line_no", "line").join(some, "file_id", "left_semi").join(branches(lines, found) if placed is None else placed, ["file_id", "line_no"], "left")
     functions = found.where("what = 'function'").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct((F.col("parameters").isNull()).alias("none"), "at", "kind", "parameters", "first", "last"))).alias("functions"))
     # Functions stand beside the first line only.
     own = own.join(functions.withColumn("line_no", F.lit(1).cast("long")), ["file_id", "line_no"], "left")
@@ -349,8 +350,10 @@ def uses(lines: DataFrame, lineages: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def line_uses(lines: DataFrame) -> DataFrame:
-    found = shapes(lines)
-    return uses(lines, followed(lines, found), branches(lines, found))
+    """uses() of lines alone. Each step is written once, for the next ones read it more than once."""
+    found = materialised(shapes(lines), "shapes")
+    placed = materialised(branches(lines, found), "branches")
+    return uses(lines, materialised(followed(lines, found, placed), "lineages"), placed)
 
 
 def with_flow(lines: DataFrame) -> DataFrame:

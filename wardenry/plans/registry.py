@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markers import has_any, sql_first_of, sql_has_any
 from ..operators import classify, dependencies, detect, findings, flows, frameworks, leaves, manifest, reports, rules, secrets_scan, taint, taint_flow
-from ..sources.corpus import CODE_SQL, FLOW_SQL, code_lines, flow_lines, normalised, table
+from ..sources.corpus import CODE_SQL, FLOW_SQL, code_lines, flow_lines, materialised, normalised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,19 +121,21 @@ for _name in detect.DETECTORS:
 
 def whole_code(spark, d):
     """The lines with path, framework, data flow and the lines around."""
+    lines = materialised(code(spark, d), "lines")
     files = code_files(spark, d).select("file_id", "path", frameworks.framework(F.col("language"), F.col("path"), F.col("content"))["framework"].alias("framework"))
-    return taint_flow.with_flow(flows.with_context(code(spark, d))).join(files, "file_id")
+    # Written once, for the detectors read it twice.
+    return materialised(flows.with_context(taint_flow.with_flow(lines)).join(files, "file_id"), "code")
 
 
 @query()
 def web_findings(spark, d):
-    found = detect.web_findings(whole_code(spark, d), flows.metadata)
+    found = detect.web_findings(whole_code(spark, d), flows.metadata())
     return found.withColumn("metadata", F.to_json("metadata"))
 
 
 def run(spark, d):
     """Findings of all detectors over code, manifests and dependencies, each id once: what the last says, where the first stood."""
-    web = detect.web_findings(whole_code(spark, d), flows.metadata).withColumns({"stage": F.lit(1), "start_line": F.col("line_no"), "evidence": F.trim("line"), "place": F.struct("file_id", F.lit(1).alias("stage"), "line_no", F.col("ordinal").cast("long").alias("k"))})
+    web = detect.web_findings(whole_code(spark, d), flows.metadata()).withColumns({"stage": F.lit(1), "start_line": F.col("line_no"), "evidence": F.trim("line"), "place": F.struct("file_id", F.lit(1).alias("stage"), "line_no", F.col("ordinal").cast("long").alias("k"))})
     texts = code_files(spark, d)
     secret = secrets_scan.secret_findings(texts).join(texts.select("file_id", "language"), "file_id").withColumns({"start_line": F.col("line_no"), "place": F.struct("file_id", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("line_no"), F.col("hit").alias("k"))})
     prefs = detect.shared_preferences(code(spark, d)).join(code(spark, d).select("file_id", "line_no", "line", "language"), ["file_id", "line_no"]).join(texts.select("file_id", "path"), "file_id")
