@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, public_vocabulary, table, written
+from .common import in_slices, public_vocabulary, spread, table, written
 
 #: The training sample: about so many rows of each language.
 SAMPLE_DOCS = 400
@@ -271,7 +271,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out()))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text")), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op1_language_id": op1_language_id}

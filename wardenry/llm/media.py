@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, table, written
+from .common import in_slices, spread, table, written
 
 WIDTH = 64
 TILE = 32
@@ -181,7 +181,7 @@ def media_features(media: DataFrame, with_tiles: bool = True) -> DataFrame:
 
 
 def op10_media_columns(spark, sf_dir: str) -> DataFrame:
-    return media_features(written(to_media(table(spark, sf_dir, "documents")), "media"))
+    return media_features(written(to_media(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "media"))
 
 
 QUERIES = {"op10_media_columns": op10_media_columns}

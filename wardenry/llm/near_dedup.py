@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, in_slices, join_hot, table, written
+from .common import hot_keys, in_slices, join_hot, spread, table, written
 
 REGISTERS, ROWS = 160, 5
 MANTISSA = 10
@@ -303,7 +303,7 @@ def labelled(members: DataFrame, components: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row."""
     spark: SparkSession = docs.sparkSession
-    signed = written(signatures(docs, shingle), "signatures")
+    signed = written(signatures(spread(docs.select("doc_id", "text")), shingle), "signatures")
     named = signed.where("doc_id IS NOT NULL AND print IS NOT NULL")
     # Every row of a class has the same registers; max() lets them be combined before the shuffle.
     classes = written(named.groupBy("print").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")), "classes")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import public_vocabulary, in_slices, table, token_bytes, written
+from .common import in_slices, public_vocabulary, spread, table, token_bytes, written
 
 SEQUENCE = 1024
 END_ID = 2
@@ -118,7 +118,7 @@ def packed_sequences(docs: DataFrame, vocabulary: str | None = None, length: int
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).drop("copy")
+    return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("copy")
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, spread, table
 
 #: Key words in either case; spelled out, for case folding differs between engines beyond ASCII.
 _KEY = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -195,7 +195,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
