@@ -65,7 +65,7 @@ def declared(content: Column) -> Column:
 
 def signals(language: Column, path: Column, content: Column) -> Column:
     """All that a file was told by: its language, then its framework."""
-    return F.array_compact(F.array(F.concat(F.lit("language:"), language), framework(language, path, content)["signal"]))
+    return F.array_compact(F.array(F.when(language != "unknown", F.concat(F.lit("extension:"), language)), framework(language, path, content)["signal"]))
 
 
 def framework_sql(what: str) -> str:

@@ -539,6 +539,37 @@ def android_manifests(spark, d):
     return manifest.findings(table(spark, d, "part").selectExpr("p_partkey AS file_id", f"{_XML} AS content"))
 
 
+@query("""SELECT p_partkey AS file_id, 'p' || p_partkey AS package, 'activity' AS kind, '.A' || p_size AS name, p_partkey % 3 = 0 AS exported, CAST(NULL AS VARCHAR) AS permission, 0 AS intent_filters FROM part UNION ALL SELECT p_partkey, 'p' || p_partkey, 'receiver', '.R', p_partkey % 5 = 0, NULL, 0 FROM part""")
+def manifest_components(spark, d):
+    return manifest.manifests(table(spark, d, "part").selectExpr("p_partkey AS file_id", f"{_XML} AS content")).select("file_id", "package", F.explode("components").alias("c")).select("file_id", "package", "c.*")
+
+
+_LOCK = """concat('{"packages": {"": {"version": "0"}, "node_modules/express": {"version": "4.', p_size, '"}, "node_modules/a/node_modules/', CASE WHEN p_partkey % 2 = 0 THEN 'lodash' ELSE 'b' END, '": {"version": "3"}}}')"""
+
+
+@query(f"SELECT p_partkey AS file_id, CAST(1 AS BIGINT) AS line, 'express' AS package, '4.' || p_size AS version, 'direct' AS scope, 'ADV-JS-0001' AS advisory_id, 'high' AS severity FROM part UNION ALL SELECT p_partkey, 1, 'lodash', '3', 'transitive', 'ADV-JS-0002', 'medium' FROM part WHERE p_partkey % 2 = 0")
+def sca_package_lock(spark, d):
+    files = table(spark, d, "part").selectExpr("p_partkey AS file_id", f"{_LOCK} AS content")
+    return dependencies.vulnerable(dependencies.package_lock(files)).select("file_id", "line", "package", "version", "scope", "advisory_id", "severity")
+
+
+_CONFIG = """CASE p_partkey % 6 WHEN 0 THEN 'name = "Django"' WHEN 1 THEN 'flask = "1"' WHEN 2 THEN '' WHEN 3 THEN '<a android:name="x"/>' WHEN 4 THEN '<dict>NSAppTransportSecurity</dict>' ELSE '<a/>' END AS content, CASE WHEN p_partkey % 6 < 3 THEN 'toml' ELSE 'xml' END AS language, CASE p_partkey % 6 WHEN 2 THEN 'django/pyproject.toml' WHEN 5 THEN 'b/Info.plist' ELSE 'a/b' END AS path"""
+
+
+@query("SELECT p_partkey AS file_id, ['django', 'flask', 'django', 'android', 'ios', 'ios'][p_partkey % 6 + 1] AS framework, ['medium', 'medium', 'low', 'high', 'high', 'high'][p_partkey % 6 + 1] AS confidence, ['toml:django', 'toml:flask', 'toml:path-django', 'xml:android', 'xml:ios', 'xml:ios'][p_partkey % 6 + 1] AS signal FROM part")
+def classify_config(spark, d):
+    files = spark.sql(f"SELECT p_partkey AS file_id, {_CONFIG} FROM {{rows}}", rows=table(spark, d, "part"))
+    return files.select("file_id", frameworks.framework(F.col("language"), F.col("path"), F.col("content")).alias("k")).select("file_id", "k.*")
+
+
+@query(f"WITH f AS ({_PATHS.replace('AS STRING', 'AS VARCHAR')}), c AS (SELECT path, {classify.language_sql('path')} AS language FROM f WHERE file_id % 3 <> 0) SELECT f.file_id, coalesce(c.language, 'unknown') AS language, CASE WHEN f.file_id % 4 = 3 THEN coalesce(c.language, 'unknown') <> 'json' ELSE true END AS syntax_valid FROM f LEFT JOIN c USING (path)")
+def parse_files(spark, d):
+    """Files with their classification, the last of a path and unknown without one; broken JSON is told."""
+    files = spark.sql(_PATHS.replace("FROM part", "FROM {rows}"), rows=table(spark, d, "part")).withColumn("content", F.when(F.col("file_id") % 4 == 3, "{").otherwise("{}"))
+    told = files.where("file_id % 3 <> 0").select("path", "file_id", classify.language(F.col("path")).alias("language"))
+    return classify.parsed(files, told.withColumnRenamed("file_id", "seq")).select("file_id", "language", "syntax_valid")
+
+
 # Reports and counts
 
 
