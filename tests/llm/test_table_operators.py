@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_text_operators import brute_contamination, brute_redacted
 
 import corpus_pipeline
-from wardenry.llm import chat, language_id, near_dedup, sharding, url_filter
+from wardenry.llm import chat, common, language_id, near_dedup, sharding, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string"
@@ -190,6 +190,16 @@ def test_url_list(spark):
     assert {r.verdict for r in url_filter.judge(captures, entries.limit(0)).collect()} == {"none"} and url_filter.judge(captures.limit(0), entries).count() == 0
 
 
+def test_hot_keys_and_broadcasts_change_nothing(spark, monkeypatch):
+    """Every key that comes twice is hot, and no ids are few enough to be broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    test_near_duplicates(spark, 2)
+    test_chat(spark)
+    test_chat_replies_of_derived_quotes(spark)
+    test_url_list(spark)
+
+
 def test_url_columns_that_clash(spark):
     entries = spark.createDataFrame([("url", "http://x.org/1", "block", datetime.date(2024, 1, 1))], "kind string, value string, action string, since date")
     captures = spark.createDataFrame([("http://x.org/1", datetime.date(2024, 1, 2), 1, 2, 3, 4)], "url string, fetched date, of_host int, of_url int, _e int, n int")
