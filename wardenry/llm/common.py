@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python task works on at once. Spark itself bounds what it sends by bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,7 +136,7 @@ class TokenBytes(dict):
     (tested against whole texts). Texts are encoded many at a time, so the library is asked once for all that is new.
     """
 
-    LIMIT = 120_000
+    LIMIT = 60_000
 
     def __init__(self, path: str, dtype: str = "<u4"):
         from tokenizers import Tokenizer

@@ -59,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word -> 64-bit hash, remembered within a task."""
 
-    LIMIT = 200_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -216,7 +216,8 @@ def sharing_rare(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle
             yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), [len(x) for x in own]), pa.int64()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["id", "shingle"])
 
     ids = written(open_.select("id"), "open-ids")
-    shingles = written(sets_of(ids, texts, shingle).mapInArrow(spread, "id long, shingle long"), "open-shingles")
+    # Written in between, so that a task has one Python worker at a time.
+    shingles = written(written(sets_of(ids, texts, shingle), "open-sets").mapInArrow(spread, "id long, shingle long"), "open-shingles")
     common = written(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "open-counts")
     # Shingles of one document only stand first and pair nobody; they just take up places. A document's own shingles are as bounded as its text.
     ranked = join_hot(shingles, common, ["shingle"], hot_keys(common, ["shingle"])).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
