@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, public_vocabulary, spread, table, written
+from .common import in_slices, public_vocabulary, small_batches, spread, table, written
 
 #: The training sample: about so many rows of each language.
 SAMPLE_DOCS = 400
@@ -233,6 +233,7 @@ class WordScores:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score; all other columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in docs.schema]
     at = names.index("text")
