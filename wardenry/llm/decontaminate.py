@@ -3,8 +3,8 @@
 Questions and answers are normalised to words (A-Z lowered; runs of digits, letters a-z and
 everything beyond ASCII), numbered by a vocabulary of the benchmark's own. Any window of 13 words of an item holds a whole one of the item's blocks of 7
 words (from its word 0, 7, 14 ..), so those blocks, and short items as a whole, go into one automaton: about a node for each word of the benchmark.
-A document is normalised the same way and scanned once, by the automaton's C code; where a block is met, the match is followed to both sides, and a
-run of 13 words or more is one that windows cover. A document that has any gets the runs' places in its original text.
+A document is normalised the same way and scanned once, by the automaton's C code; the windows around a block that is met are looked up, each place once, in
+a sorted table of window fingerprints and compared word by word, so a text's time is linear in its words, repeated ones too. A document that has any gets the runs' places in its original text.
 
 One task builds the automaton from the benchmark and writes it to the shared folder; each executor fetches that file, and a worker reads it once. Nothing of it
 passes through the driver. Documents are neither shuffled nor scanned again.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, scratch, spread, table
+from .common import in_slices, scratch, small_batches, spread, table
 
 WINDOW = 13
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -39,66 +39,97 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_PLAIN).split()
 
 
+def fingerprints(own: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of each window of `size` numbers."""
+    n = len(own) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out, own = np.full(n, seed, np.uint64), own.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = (out ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
 class Windows:
-    """The benchmark's windows of `size` words, told by an automaton over blocks."""
+    """The benchmark's windows of `size` words: an automaton over blocks tells where one may be, a sorted table of fingerprints which one it is."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         import ahocorasick
 
         self.size, self.numbers = size, {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        texts: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             if own := tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)):
-                owners.setdefault(own, set()).add(item)
-        self.texts, self.owners = list(owners), list(owners.values())
-        block = (size + 1) // 2
-        # Pattern: short texts that are it, and places (text, word) of texts that hold it as a block.
-        patterns: dict[tuple[int, ...], tuple[list[int], list[tuple[int, int]]]] = {}
-        for k, text in enumerate(self.texts):
+                texts.setdefault(own, set()).add(item)
+        self.items = [sorted(x) for x in texts.values()]
+        self.block = (size + 1) // 2
+        # Pattern: the number of the short text that it is, or -1 for a block.
+        patterns: dict[tuple[int, ...], int] = {}
+        for k, text in enumerate(texts):
             if len(text) < size:
-                patterns.setdefault(text, ([], []))[0].append(k)
+                patterns[text] = k
             else:
-                for at in range(0, len(text) - block + 1, block):
-                    patterns.setdefault(text[at : at + block], ([], []))[1].append((k, at))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for pattern, (whole, places) in patterns.items():
-            self.machine.add_word(pattern, (len(pattern), whole, places))
+                patterns.update((text[at : at + self.block], -1) for at in range(0, len(text) - self.block + 1, self.block) if text[at : at + self.block] not in patterns)
+        self.any, self.machine = bool(patterns), ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pattern in sorted(patterns):
+            self.machine.add_word(pattern, (len(pattern), patterns[pattern]))
         if patterns:
             self.machine.make_automaton()
-        self.any = bool(patterns)
+        self.table([(k, np.array(text, np.int32)) for k, text in enumerate(texts) if len(text) >= size])
+
+    def table(self, texts: list[tuple[int, np.ndarray]]) -> None:
+        """Of each distinct window: its fingerprint (sorted), a place where it stands, and the number of the set of texts that hold it."""
+        size, lengths = self.size, np.array([len(x) for _, x in texts], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.int32), *(x for _, x in texts)])
+        first = np.concatenate([np.zeros(0, np.int64), *(np.arange(n - size + 1) + at for n, at in zip(lengths, np.cumsum(lengths) - lengths, strict=True))])
+        owner = np.repeat(np.array([k for k, _ in texts], np.int64), lengths - size + 1)
+        for seed in range(1, 1000):
+            prints = np.concatenate([np.zeros(0, np.uint64), *(fingerprints(x, size, seed) for _, x in texts)])
+            self.prints, at, which = np.unique(prints, return_index=True, return_inverse=True)
+            # Windows of one fingerprint must be equal; else the next seed.
+            if all((self.words[first + i] == self.words[first[at][which] + i]).all() for i in range(size)):
+                break
+        self.seed, self.first = seed, first[at]
+        pairs = np.unique(np.stack([which.reshape(-1), owner], axis=1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
+        cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        sets: dict[tuple[int, ...], int] = {}
+        self.owner = np.array([sets.setdefault(tuple(x.tolist()), len(sets)) for x in np.split(pairs[:, 1], cuts[1:])] if len(pairs) else [], np.int64)
+        self.sets = list(sets)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
-        """Runs (start, end) of the words that windows cover, apart and in order, and the items whose windows they are, sorted."""
+        """Runs (start, end) of the words that windows cover, apart and in order, and the items whose windows they are, sorted. The text is scanned once, and each place is looked up at most once."""
         if not self.any or not words:
             return [], []
-        get = self.numbers.get
+        get, n, size = self.numbers.get, len(words), self.size
         own = tuple([get(w, 0) for w in words])
-        runs, met, done = [], set(), {}
-        for last, (n, whole, places) in self.machine.iter(own):
-            end = last + 1
-            if whole:
-                runs.append((end - n, end))
-                met.update(whole)
-            for k, at in places:
-                shift = end - n - at
-                if done.get((k, shift), -1) >= end:  # within the last run along this text
-                    continue
-                text, low, high = self.texts[k], at, at + n
-                while low and low + shift and text[low - 1] == own[low + shift - 1]:
-                    low -= 1
-                while high < len(text) and high + shift < len(own) and text[high] == own[high + shift]:
-                    high += 1
-                done[k, shift] = high + shift
-                if high - low >= self.size:
-                    runs.append((low + shift, high + shift))
-                    met.add(k)
-        joined: list[tuple[int, int]] = []
-        for a, b in sorted(runs):
-            if joined and a <= joined[-1][1]:
-                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        ends, met, edges = [], set(), np.zeros(n + 1, np.int64)
+        for last, (length, short) in self.machine.iter(own):
+            if short < 0:
+                ends.append(last + 1)
             else:
-                joined.append((a, b))
-        return joined, sorted(set().union(*(self.owners[k] for k in met)))
+                edges[last + 1 - length] += 1
+                edges[last + 1] -= 1
+                met.add(short)
+        if ends and n >= size:
+            # Windows around the blocks that were met.
+            near, ends = np.zeros(n + 1, np.int64), np.array(ends)
+            np.add.at(near, np.maximum(ends - size, 0), 1)
+            np.add.at(near, np.minimum(ends - self.block, n - size) + 1, -1)
+            starts, numbers = np.flatnonzero(np.cumsum(near)[: n - size + 1] > 0), np.array(own, np.int32)
+            asked = fingerprints(numbers, size, self.seed)[starts]
+            place = np.minimum(np.searchsorted(self.prints, asked), len(self.prints) - 1)
+            known = self.prints[place] == asked
+            for i in range(size):
+                known &= self.words[self.first[place] + i] == numbers[starts + i]
+            starts, place = starts[known], place[known]
+            np.add.at(edges, starts, 1)
+            np.add.at(edges, starts + size, -1)
+            met.update(k for x in np.unique(self.owner[place]).tolist() for k in self.sets[x])
+        covered = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
+        runs = list(zip(np.flatnonzero(covered > 0).tolist(), np.flatnonzero(covered < 0).tolist(), strict=True))
+        return runs, sorted(set().union(*(self.items[k] for k in met)))
 
 
 def windows_file(benchmark: DataFrame, size: int = WINDOW) -> str:
@@ -134,6 +165,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     own = [f.name for f in docs.schema]
     at, pair = own.index("text"), "array<struct<start:int,end:int>>"
     schema = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("runs", F.lit(None).cast(pair)).withColumn("items", F.lit(None).cast("array<string>")).withColumn("spans", F.lit(None).cast(pair)).schema
+    small_batches(docs.sparkSession)
     name, kind = windows_file(benchmark, window), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches):
