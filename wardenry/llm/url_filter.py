@@ -36,10 +36,11 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
-def domains_of(host: Column) -> Column:
-    """The host and all that follows one of its dots, by falling length."""
-    labels = F.split(host, "[.]")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def domains_of(host: Column, lengths: list[int]) -> Column:
+    """The host and all that follows one of its dots, where it is of one of these lengths: no others are made, for they would grow with the square of the labels."""
+    n = F.length(host)
+    of_length = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: (k == n) | (k < n) & (F.substr(host, n - k, F.lit(1)) == "."))
+    return F.transform(of_length, lambda k: F.substr(host, n - k + 1, k))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -57,7 +58,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     named = own.where("host IS NOT NULL AND fetched IS NOT NULL")
     # Captures of one host and day share what their host and domains say; URLs are asked apart. Only URLs that the list names can be met.
     hosts = written(named.groupBy("host", "fetched").agg(F.count("*").alias("n")), "hosts")
-    keys = F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))), F.transform(domains_of(F.col("host")), lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("value"))))
+    # The lengths of listed domains: distinct numbers, at most that of the longest.
+    lengths = sorted(r[0] for r in intervals.where("kind = 'domain' AND value <> ''").select(F.length("value")).distinct().collect())
+    keys = F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))), F.transform(domains_of(F.col("host"), lengths), lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("value"))))
     asked = hosts.select("host", "fetched", F.explode(keys).alias("k")).select("host", "fetched", "k.kind", "k.value")
     hot = hot_keys(asked.groupBy("kind", "value").agg(F.count("*").alias("n")), ["kind", "value"])
     active = "since <= fetched AND (until IS NULL OR fetched < until)"
