@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, media, near_dedup, packing, secrets, sharding, token_files, url_filter
+from . import chat, decontaminate, language_id, media, near_dedup, packing, quality, secrets, sharding, token_files, url_filter
 
-MODULES = (language_id, secrets, chat, decontaminate, url_filter, near_dedup, packing, sharding, token_files, media)
+MODULES = (language_id, secrets, chat, decontaminate, url_filter, near_dedup, packing, sharding, token_files, media, quality)
 
 
 def queries() -> dict:
