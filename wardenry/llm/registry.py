@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, lexical, media, near_dedup, packing, quality, secrets, sharding, token_files, url_filter
+from . import chat, decontaminate, language_id, lexical, media, near_dedup, packing, quality, secrets, sharding, token_files, url_filter, vector_codes
 
-MODULES = (language_id, secrets, chat, decontaminate, url_filter, near_dedup, packing, sharding, token_files, media, quality, lexical)
+MODULES = (language_id, secrets, chat, decontaminate, url_filter, near_dedup, packing, sharding, token_files, media, quality, lexical, vector_codes)
 
 
 def queries() -> dict:
