@@ -1,8 +1,8 @@
-"""Hardcoded secrets in whole texts, with line numbers and masked evidence; nothing unmasked leaves."""
+"""Hardcoded secrets in whole texts: the lines in which they begin, with every value masked."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markers import has_any
@@ -14,7 +14,12 @@ PATTERNS = (
     r"(?i)aws[_-]?secret[_-]?access[_-]?key\s*[:=]\s*['\"]?[^'\"]{8,}",
     r"(?i)-----begin [a-z ]*private key-----",
 )
-VALUE = r"[:=]\s*['\"]?([^'\"]{8,})"
+#: What a line assigns: up to the value's first two characters, and its last two.
+VALUE = r"([:=]\s*['\"]?[^'\"]{2})[^'\"]{4,}([^'\"]{2})"
+#: White space at a line's ends.
+ENDS = r"^[\t\x0B\x0C\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t\x0B\x0C\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+#: A noncharacter that marks where matches begin; one in the text itself reads as U+FFFD.
+MARK = "\ufdd0"
 
 
 #: Files whose secrets matter most.
@@ -25,59 +30,40 @@ def sensitive_file(path: Column) -> Column:
     return F.lower(path).rlike("(?:" + "|".join(x.replace(".", "[.]") for x in SENSITIVE) + ")$")
 
 
-def secret_findings(files: DataFrame) -> DataFrame:
-    """What secret_hits() finds in files (file_id, path, content), with the metadata that findings carry; hits of one line and evidence are one, told by the last pattern."""
-    hits = secret_hits(files.select(F.col("file_id").alias("doc_id"), F.col("content").alias("text")), every=True)
-    one = hits.groupBy("doc_id", "line_no", "evidence").agg(F.min("hit").alias("hit"), F.max("pattern").alias("pattern"))
-    high = sensitive_file(F.col("path"))
-    told = {"pattern": F.element_at(F.array(*map(F.lit, PATTERNS)), F.col("pattern") + 1), "masked": F.lit("true"), "cleartext_hint": F.lit("secret value masked in report"), "sensitive_file": F.when(high, "true"), "priority": F.when(high, "high")}
-    entries = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items()))
-    own = one.join(files.select(F.col("file_id").alias("doc_id"), "path"), "doc_id")
-    return own.select(F.col("doc_id").alias("file_id"), "path", "line_no", "hit", F.lit("SEC-SECRET-001").alias("rule_id"), "evidence", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metadata"))
+def masked(line: Column) -> Column:
+    """The line with every value of eight or more characters as its first and last two; without one it stays."""
+    return F.regexp_replace(line, VALUE, "$1***$2")
 
 
-def masked(line: Column) -> Column:
-    """The first value of eight or more characters as its first and last two; lines without one are all stars."""
-    value = F.regexp_extract(line, VALUE, 1)
-    return F.when(value != "", F.concat(F.substring(value, 1, 2), F.lit("***"), F.substring(value, -2, 2))).otherwise("***")
+def _hit_lines(text: Column, pattern: str) -> Column:
+    """Of a text (newlines of one kind): number and content, without white space at its ends, of each line in which a match begins and that hints at no dummy. A mark is put before each match, so a look at each line tells, however many matches there are."""
+    lines = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), pattern, f"{MARK}$0"), "\n", -1)
+    some = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"))), lambda x: x["line"].contains(MARK))
+    told = F.transform(some, lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_replace(F.replace(x["line"], F.lit(MARK), F.lit("")), ENDS, "").alias("line")))
+    return F.filter(told, lambda x: ~has_any(x["line"], "dummy_secret"))
 
 
 def secret_count(text: Column) -> Column:
     """How many hits secret_hits() has in one text, in the row itself."""
-    own, none = normalised(text), F.lit(0).cast("long")
-    real = lambda p: F.filter(F.regexp_extract_all(own, F.lit(p), F.lit(0)), lambda m: ~has_any(F.split(m, "\n", -1)[0], "dummy_secret"))
-    first = F.when(own.rlike(PATTERNS[0]), F.size(real(PATTERNS[0])).cast("long")).otherwise(none)
-    if_others = F.lit(False)
-    for pattern in PATTERNS[1:]:
-        if_others |= own.rlike(pattern)
-    # Hits of the later patterns count where no earlier one has their line and evidence.
-    lines = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"))))
-
-    def shown(k: int, pattern: str) -> Column:
-        gaps, hits = F.split(own, pattern, -1), F.regexp_extract_all(own, F.lit(pattern), F.lit(0))
-        found = F.transform(hits, lambda m, i: F.struct(F.lit(k).alias("k"), (lines(F.slice(gaps, F.lit(1), i + 1)) + lines(F.slice(hits, F.lit(1), i))).alias("line"), F.split(m, "\n", -1)[0].alias("first")))
-        return F.transform(F.filter(found, lambda m: ~has_any(m["first"], "dummy_secret")), lambda m: F.struct(m["k"].alias("k"), m["line"].alias("line"), masked(m["first"]).alias("evidence")))
-
-    placed = F.concat(*(shown(k, p) for k, p in enumerate(PATTERNS)))
-    every = F.filter(placed, lambda m: ~F.exists(placed, lambda o: (o["k"] < m["k"]) & (o["line"] == m["line"]) & (o["evidence"] == m["evidence"])))
-    return F.when(if_others, F.size(every).cast("long")).otherwise(first)
-
-
-def secret_hits(docs: DataFrame, every: bool = False) -> DataFrame:
-    """doc_id, hit (number within the text, pattern by pattern), line_no, evidence: of every match of any pattern whose line hints at no dummy. What an earlier pattern found with the same line and evidence counts for that one alone; matches of one pattern are all kept. every: keeps them all, with the number of the pattern."""
-    text, seen = normalised(F.col("text")), F.lit(0)
-    some, found = F.lit(False), []
-    for k, pattern in enumerate(PATTERNS):
-        some |= text.rlike(pattern)
-        found.append(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"), seen.alias("before"), F.lit(k).alias("pattern")))
-        seen = seen + F.regexp_count(text, F.lit(pattern))
-    own = docs.where(some).select("doc_id", F.explode(F.array(*found)).alias("f")).select("doc_id", "f.*")
-    newlines = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"))))
-    each = own.select("doc_id", "hits", "gaps", "before", "pattern", F.posexplode("hits").alias("nth", "match"))
-    line_no = 1 + newlines(F.slice("gaps", F.lit(1), F.col("nth") + 1)) + newlines(F.slice("hits", F.lit(1), F.col("nth")))
-    first = F.split(F.col("match"), "\n", -1)[0]
-    same = Window.partitionBy("doc_id", "line_no", "evidence")
-    real = each.where(~has_any(first, "dummy_secret")).select("doc_id", (F.col("before") + F.col("nth")).cast("long").alias("hit"), line_no.cast("long").alias("line_no"), masked(first).alias("evidence"), "pattern")
-    if every:
-        return real
-    return real.withColumn("earliest", F.min("pattern").over(same)).where("pattern = earliest").select("doc_id", "hit", "line_no", "evidence")
+    own = normalised(text)
+    lines = lambda p: F.when(own.rlike(p), F.transform(_hit_lines(own, p), lambda x: x["line_no"])).otherwise(F.array().cast("array<bigint>"))
+    return F.size(F.array_distinct(F.concat(*map(lines, PATTERNS)))).cast("long")
+
+
+def secret_hits(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, evidence (the line, masked), pattern and last_pattern (numbers of the first and last that matched): of every line in which a match of a pattern begins, unless the line hints at a dummy. Matches may span lines; those of one line are one hit."""
+    text = normalised(F.col("text"))
+    each = F.array_compact(F.array(*(F.when(text.rlike(p), F.struct(F.lit(k).alias("k"), _hit_lines(text, p).alias("lines"))) for k, p in enumerate(PATTERNS))))
+    found = docs.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.k", F.explode("f.lines").alias("x")).select("doc_id", "k", "x.line_no", masked(F.col("x.line")).alias("evidence"))
+    return found.groupBy("doc_id", "line_no", "evidence").agg(F.min("k").alias("pattern"), F.max("k").alias("last_pattern"))
+
+
+def secret_findings(files: DataFrame) -> DataFrame:
+    """What secret_hits() finds in files (file_id, path, content), with the metadata that findings carry, told by the last pattern. hit: their order within the file."""
+    one = secret_hits(files.select(F.col("file_id").alias("doc_id"), F.col("content").alias("text")))
+    high = sensitive_file(F.col("path"))
+    told = {"pattern": F.element_at(F.array(*map(F.lit, PATTERNS)), F.col("last_pattern") + 1), "masked": F.lit("true"), "cleartext_hint": F.lit("secret value masked in report"), "sensitive_file": F.when(high, "true"), "priority": F.when(high, "high")}
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items()))
+    own = one.join(files.select(F.col("file_id").alias("doc_id"), "path"), "doc_id")
+    hit = F.col("pattern").cast("long") * (1 << 40) + F.col("line_no")
+    return own.select(F.col("doc_id").alias("file_id"), "path", "line_no", hit.alias("hit"), F.lit("SEC-SECRET-001").alias("rule_id"), "evidence", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metadata"))
