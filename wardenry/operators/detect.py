@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markers import first_of, has_any, sql_has_any
+from . import scans
 
 # What shows that a query's values are bound, on the lower-case line.
 _BOUND = r"(?:%s|%\([a-z_]\w*\)s|\?|:[a-z_]\w*)"
@@ -159,12 +160,6 @@ def missing_auth(lines: DataFrame) -> DataFrame:
     return found.where("line_no IS NOT NULL AND asks AND NOT guarded").select("file_id", "line_no", F.lit("WEB-AUTH-001").alias("rule_id"))
 
 
-def context(lines: DataFrame, before: int, after: int) -> DataFrame:
-    """lines with context: the lower-case lines around each, joined by newlines. Files are short enough to sort; nothing but the frame is held."""
-    frame = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(-before, after)
-    return lines.withColumn("context", F.lower(F.array_join(F.collect_list("line").over(frame), "\n")))
-
-
 #: The key under which a value is put.
 PREFERENCE_KEY = r"(?i)put(?:string|charsequence)\(\s*[\"']([^\"']+)[\"']"
 
@@ -174,7 +169,7 @@ def shared_preferences(lines: DataFrame) -> DataFrame:
     low = F.lower("line")
     world = low.rlike("mode_world_readable|mode_world_writeable")
     plain = low.rlike(r"putstring\(|putcharsequence\(") & has_any(F.col("line"), "prefs_key")
-    near = context(lines.where(F.col("language").isin(*JVM)), 2, 2).where(has_any(F.col("context"), "prefs") & ~F.col("context").contains("encryptedsharedpreferences"))
+    near = scans.around(lines.where(F.col("language").isin(*JVM)), 2, 2).where(has_any(F.col("context"), "prefs") & ~F.col("context").contains("encryptedsharedpreferences"))
     risk = F.when(world, "world_accessible_mode").when(plain, "sensitive_value_in_plaintext")
     mode = F.when(world, F.when(low.contains("mode_world_readable"), "world_readable").otherwise("world_writeable"))
     key = F.when(~world & plain, F.nullif(F.regexp_extract("line", PREFERENCE_KEY, 1), F.lit("")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markers import FAMILIES, first_of, has_any
-from .detect import JVM, context, guard_model
+from .detect import JVM, guard_model
+from .scans import around
 from .taint_flow import taint_metadata
 
 # Fixed values: (kind, marker family), in the order in which they are tried.
@@ -35,7 +36,7 @@ def line_flows(lines: DataFrame, framework: str) -> DataFrame:
 
 def spring_flows(lines: DataFrame) -> DataFrame:
     """The same for Spring, told by a line and the five before it, with the kinds of handler and entry."""
-    near = context(lines.where(F.col("language").isin(*JVM)), 5, 0)
+    near = around(lines.where(F.col("language").isin(*JVM)), 5, 0)
     kinds = [first_of(F.col("context"), c).alias(n) for n, c in (("source_kind", SOURCES["spring"]), ("handler_kind", HANDLERS), ("entry_kind", ENTRIES))]
     return near.select("file_id", "line_no", *kinds).where("coalesce(source_kind, handler_kind, entry_kind) IS NOT NULL")
 
@@ -216,4 +217,4 @@ def metadata() -> dict[str, Column]:
 
 def with_context(lines: DataFrame) -> DataFrame:
     """lines with near_5_0 and near_5_1, the lower-case lines around each that Spring's and Laravel's flows are told by."""
-    return context(context(lines, 5, 0).withColumnRenamed("context", "near_5_0"), 5, 1).withColumnRenamed("context", "near_5_1")
+    return around(around(lines, 5, 0).withColumnRenamed("context", "near_5_0"), 5, 1).withColumnRenamed("context", "near_5_1")

@@ -1,11 +1,8 @@
 """Request data followed through a file: assignments, calls, returns, containers, fields, branches, escapes and guards.
 
-Work on Spark rows throughout, with two small per-file helpers where a scan needs a stack or an order: `shapes` finds where branches and functions
-begin and end, and `followed` folds a file's lines into lineages (which variable holds which source's data, how it came there). The rest are joins:
-spans are exploded to their lines (an interval join that no long file can square), a line's identifiers meet the lineages of their file and name, and of
-a variable's lineages the newest counts whose source stands at or before the line (as-of), else the last.
-
-Only files that name a source are folded, each as one group: a file is a unit of work, as it is for whoever wrote it.
+Where branches and functions begin and end, which branch a line lies in, and which lineages a line's identifiers mean, are scans along the lines of files of any
+length (operators/scans.py): questions to a tree of least values, running sums over blocks, an interval join by aligned stretches, and an as-of look-up as a merge. Only `followed`, which says which
+variable holds which source's data and how it came there, folds a file's lines in order: files that name a source, packed one a row, many in a batch. A function is summed up once for each parameter, whoever calls it.
 """
 
 from __future__ import annotations
@@ -13,13 +10,14 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markers import FAMILIES, has_any
 from ..sources.corpus import materialised
 from .detect import ALLOWLIST, ESCAPED, SOURCE_FAMILIES
+from . import scans
 from .taint import identifiers
 
 # How statements look.
@@ -34,10 +32,10 @@ _ITEM_READ = re.compile(rf"^\s*(?:{_TYPES})?\s*({_NAME})\s*=\s*({_NAME})\s*\[[^\
 _METHOD = re.compile(rf"^\s*({_NAME})\.(?:append|push|insert|extend)\((.*)\)\s*;?\s*$", re.I)
 _FIELD_WRITE = re.compile(rf"^\s*({_FIELD})\s*=\s*(.+?);?\s*$")
 _FIELD_READ = re.compile(rf"^\s*(?:{_TYPES})?\s*({_NAME})\s*=\s*({_FIELD})\s*;?\s*$", re.I)
-_PY_BRANCH = re.compile(r"^\s*(if|elif|else)\b.*:\s*$")
-_BRACE_BRANCH = re.compile(r"^\s*(if|else\s+if|else|switch|case)\b")
-_PY_FUNCTION = re.compile(r"^\s*def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*:\s*$")
-_BRACE_FUNCTION = re.compile(rf"^\s*(?:function\s+({_NAME})\s*\(([^)]*)\)\s*\{{|(?:const|let|var)\s+({_NAME})\s*=\s*(?:function\s*)?\(([^)]*)\)\s*=>?\s*\{{?)", re.I)
+PY_BRANCH = r"(?U)^\s*(if|elif|else)\b.*:\s*$"
+BRACE_BRANCH = r"(?U)^\s*(if|else\s+if|else|switch|case)\b"
+PY_FUNCTION = r"(?U)^\s*def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*:\s*$"
+BRACE_FUNCTION = rf"(?iU)^\s*(?:function\s+({_NAME})\s*\(([^)]*)\)\s*\{{|(?:const|let|var)\s+({_NAME})\s*=\s*(?:function\s*)?\(([^)]*)\)\s*=>?\s*\{{?)"
 _ESCAPE = re.compile(r"^((?:html|markupsafe|cgi|flask|django\.utils\.html)\.escape|escapeHtml|escape_html|lodash\.escape|_\.escape|he\.encode)\((.+)\)$", re.I)
 DEAD = r"(?i)^\s*if\s+false\s*:\s*$|^\s*(?:if|switch)\s*\(\s*(?:false|0)\s*\)\s*\{?\s*$"
 GUARD_CALL = r"(?i)((?:is_allowed_url|isAllowedUrl|is_safe_url|isSafeUrl|url_is_allowed|urlIsAllowed|allowed_url|allowlisted_url|is_trusted_url|isTrustedUrl)(?=\(.+\)))"
@@ -98,69 +96,91 @@ def calls(line: str, names) -> list[tuple[str, list[str]]]:
     return out
 
 
-def parameters(raw: str) -> list[str]:
+def parameters(raw: Column) -> Column:
     """Names without defaults; an annotation stays part of the name."""
-    return list(dict.fromkeys(plain(x.split("=", 1)[0].strip()) for x in raw.split(",") if x.split("=", 1)[0].strip(" $")))
-
-
-SHAPES = "file_id long, what string, kind string, parameters array<string>, at long, first long, last long"
+    name = lambda x: F.regexp_replace(F.split(x, "=", 2)[0], r"(?U)^\s+|\s+$", "")
+    own = F.filter(F.transform(F.split(raw, ","), name), lambda x: F.trim(F.lit(" $"), x) != "")
+    return F.array_distinct(F.transform(own, lambda x: F.ltrim(F.lower(x), F.lit("$"))))
 
 
-def shapes_of(file_id: int, lines: list[str]) -> list[tuple]:
-    """Branches (by indent, by braces) and functions of one file, with the lines they hold."""
-    out, n = [], len(lines)
-    indents = [len(x) - len(x.lstrip(" ")) for x in lines]
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
-    def body(i: int) -> int:
-        """The last line of the block that line i (from 0) opens, by indent."""
-        return next((j for j in range(i + 1, n) if lines[j].strip() and indents[j] <= indents[i]), n)
 
-    balance, opened = 0, []
-    for i, line in enumerate(lines):
-        if not line.strip():
-            continue
-        if found := _PY_BRANCH.match(line):
-            out.append((file_id, "indent", found[1], None, i + 1, i + 2, body(i)))
-        if found := _PY_FUNCTION.match(line):
-            out.append((file_id, "function", plain(found[1]), parameters(found[2]), i + 1, i + 2, body(i)))
-        if (found := _BRACE_BRANCH.match(line.strip())) and "{" in line:
-            opened.append((found[1].replace(" ", "_"), i + 1))
-        balance = max(0, balance + line.count("{") - line.count("}"))
-        if not balance:
-            out += [(file_id, "brace", kind, None, at, at + 1, i + 1) for kind, at in opened]
-            opened = []
-    out += [(file_id, "brace", kind, None, at, at + 1, n) for kind, at in opened]
-    for i, line in enumerate(lines):
-        if found := _BRACE_FUNCTION.match(line):
-            # Braces of the body's first line don't count; a body that is never closed has no lines.
-            depth, last = line.count("{") - line.count("}"), i + 1
-            for j in range(i + 2, n if depth > 0 else 0):
-                depth += lines[j].count("{") - lines[j].count("}")
-                if depth <= 0:
-                    last = j + 1
-                    break
-            out.append((file_id, "function", plain(found[1] or found[3]), parameters(found[2] or found[4] or ""), i + 1, i + 2, last))
-    return out
+def headers(lines: DataFrame) -> DataFrame:
+    """file_id, line_no, blank, indent, step (braces that the line opens, less those it closes), and what the line begins: a branch (by indent, by brace), a function (name, raw parameters; by indent, by brace)."""
+    line = F.col("line")
+    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c)))
+    return lines.select(
+        "file_id", "line_no", (~line.rlike(r"(?U)\S")).alias("blank"), (F.length(line) - F.length(F.ltrim(line))).alias("indent"), (count("{") - count("}")).cast("long").alias("step"), _found(line, PY_BRANCH).alias("branch"),
+        F.when(line.contains("{"), F.replace(_found(line, BRACE_BRANCH), F.lit(" "), F.lit("_"))).alias("brace_branch"), _found(line, PY_FUNCTION).alias("function"), F.regexp_extract(line, PY_FUNCTION, 2).alias("given"),
+        F.coalesce(_found(line, BRACE_FUNCTION, 1), _found(line, BRACE_FUNCTION, 3)).alias("brace_function"), F.coalesce(_found(line, BRACE_FUNCTION, 2), _found(line, BRACE_FUNCTION, 4), F.lit("")).alias("brace_given"),
+    )
 
 
 def shapes(lines: DataFrame) -> DataFrame:
-    """file_id, what (indent, brace or function), kind (of branch, or the function's name), parameters, at (its header), first, last."""
-    def scan(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        return pd.DataFrame(shapes_of(int(key[0]), rows["line"].tolist()), columns=[x.split()[0] for x in SHAPES.split(", ")])
-
-    marked = lines.where(F.col("line").rlike(r"(?i)^\s*(?:if|elif|else|switch|case|def|function|const|let|var)\b")).select("file_id").distinct()
-    return lines.select("file_id", "line_no", "line").join(marked, "file_id", "left_semi").groupBy("file_id").applyInPandas(scan, SHAPES)
+    """file_id, what (indent, brace or function), kind (of branch, or the function's name), parameters, at (its header), first, last: branches by indent and by braces, and functions, of lines numbered from 1 without gaps.
+
+    A body by indent goes up to the next line that is indented no deeper. A branch by braces goes up to the line that closes all braces; a function by braces up to the one that closes its own, where braces of the body's first line don't count, and one that is never closed has no lines.
+    Each is a question for the first later line with a value at most so large, so a file may be of any length.
+    """
+    begins = F.coalesce("branch", "brace_branch", "function", "brace_function").isNotNull()
+    every = headers(lines)
+    marked = every.where(begins).select("file_id").distinct()
+    rows = materialised(scans.balanced(every.join(marked, "file_id", "left_semi"), "step"), "headers")
+    has = lambda c: F.bool_or(F.expr(c))
+    most, indents, braces, owns = rows.agg(F.max("line_no"), has("branch IS NOT NULL OR function IS NOT NULL"), has("brace_branch IS NOT NULL"), has("brace_function IS NOT NULL AND step > 0")).first()
+    own, ends = rows.where(begins), rows.groupBy("file_id").agg(F.max("line_no").alias("n"))
+    at = F.col("line_no").alias("at")
+    ask = lambda df, start, bound: df.select("file_id", "line_no", F.expr(start).alias("start"), bound.cast("long").alias("bound"))
+    out = own.join(ends, "file_id")
+    # (its name, whether any header asks, the values, the questions)
+    second = rows.select("file_id", (F.col("line_no") - 1).alias("line_no"), F.col("total").alias("after"))
+    bodies = (
+        ("indent_end", indents, rows.where("NOT blank").select("file_id", at, F.col("indent").cast("long").alias("value")), lambda: ask(own.where("branch IS NOT NULL OR function IS NOT NULL"), "line_no + 1", F.col("indent"))),
+        ("brace_end", braces, rows.where("at_zero AND NOT blank").select("file_id", at, F.lit(0).cast("long").alias("value")), lambda: ask(own.where("brace_branch IS NOT NULL"), "line_no", F.lit(0))),
+        ("own_end", owns, rows.select("file_id", at, F.col("total").alias("value")), lambda: ask(own.where("brace_function IS NOT NULL AND step > 0").join(second, ["file_id", "line_no"]), "line_no + 2", F.col("after") - F.col("step"))),
+    )
+    for name, any_, values, asked in bodies:
+        if any_:
+            out = out.join(scans.first_at_most(values, asked(), most).select("file_id", "line_no", F.col("found").alias(name)), ["file_id", "line_no"], "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast("long"))
+    indent_end = F.coalesce(F.col("indent_end") - 1, "n")
+    none = F.lit(None).cast("array<string>")
+    one = lambda when, what, kind, names, last: F.when(when, F.struct(F.lit(what).alias("what"), kind.alias("kind"), names.alias("parameters"), last.alias("last")))
+    function = lambda c: F.ltrim(F.lower(c), F.lit("$"))
+    made = F.array(
+        one(F.col("branch").isNotNull(), "indent", F.col("branch"), none, indent_end), one(F.col("function").isNotNull(), "function", function("function"), parameters(F.col("given")), indent_end),
+        one(F.col("brace_branch").isNotNull(), "brace", F.col("brace_branch"), none, F.coalesce("brace_end", "n")), one(F.col("brace_function").isNotNull(), "function", function("brace_function"), parameters(F.col("brace_given")), F.coalesce("own_end", "line_no")),
+    )
+    return out.select("file_id", at, F.explode(F.array_compact(made)).alias("s")).select("file_id", "s.what", "s.kind", "s.parameters", "at", (F.col("at") + 1).alias("first"), "s.last")
 
 
 def branches(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """file_id, line_no, branch_kind, branch_line, dead, guard_call of lines within a branch: the innermost by indent, else by braces."""
-    found = shapes(lines) if found is None else found
-    inside = found.where("what <> 'function' AND first <= last").select("file_id", "what", "kind", "at", F.explode(F.sequence("first", "last")).alias("line_no"))
-    innermost = inside.groupBy("file_id", "line_no").agg(F.max(F.struct((F.col("what") == "indent").alias("by_indent"), "at", "kind")).alias("x"))
-    headers = lines.select("file_id", F.col("line_no").alias("at"), dead_branch(F.col("line")).alias("dead"), guard_call(F.col("line")).alias("guard_call"))
-    placed = innermost.select("file_id", "line_no", F.col("x.kind").alias("branch_kind"), F.col("x.at").alias("at")).join(headers, ["file_id", "at"])
-    return placed.join(lines.where("trim(line) <> ''").select("file_id", "line_no"), ["file_id", "line_no"], "left_semi").withColumnRenamed("at", "branch_line")
+    """file_id, line_no, branch_kind, branch_line, dead, guard_call of lines within a branch: the innermost by indent, else by braces.
+
+    Spans nest, so the innermost one of a line is the last header before it whose span reaches it: one question a line, however many spans hold it.
+    """
+    found = materialised(shapes(lines), "shapes") if found is None else found
+    spans = found.where("what <> 'function' AND first <= last")
+    most, *kinds = spans.agg(F.max("last"), *(F.bool_or(F.col("what") == x) for x in ("indent", "brace"))).first()
+    most = most or 0
+    some = lines.where("trim(line) <> ''").where(F.col("line_no") <= most).join(spans.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "line_no")
+    placed = some
+    for what, any_ in zip(("indent", "brace"), kinds, strict=True):
+        if not any_:
+            placed = placed.withColumn(what, F.lit(None).cast("long"))
+            continue
+        # Counted from the end, so that the last before a line is the first after it.
+        values = spans.where(F.col("what") == what).select("file_id", (F.lit(most) - F.col("at")).alias("at"), (-F.col("last")).alias("value"))
+        asked = some.select("file_id", "line_no", (F.lit(most) - F.col("line_no") + 1).alias("start"), (-F.col("line_no")).alias("bound"))
+        inner = scans.first_at_most(values, asked, most).select("file_id", "line_no", (F.lit(most) - F.col("found")).alias(what)).where(F.col(what).isNotNull())
+        placed = placed.join(inner, ["file_id", "line_no"], "left")
+    placed = placed.where("indent IS NOT NULL OR brace IS NOT NULL").select("file_id", "line_no", F.coalesce("indent", "brace").alias("at"), F.when(F.col("indent").isNotNull(), "indent").otherwise("brace").alias("what"))
+    heads = lines.select("file_id", F.col("line_no").alias("at"), dead_branch(F.col("line")).alias("dead"), guard_call(F.col("line")).alias("guard_call"))
+    told = spans.select("file_id", "at", "what", F.col("kind").alias("branch_kind")).join(heads, ["file_id", "at"])
+    return placed.join(told, ["file_id", "at", "what"]).select("file_id", "line_no", "branch_kind", F.col("at").alias("branch_line"), "dead", "guard_call")
 
 
 class Lineage(NamedTuple):
@@ -189,6 +209,7 @@ LINEAGE = (
 )
 #: scope: variable (all its history by seq), field, or lines first to last in which alone it holds.
 LINEAGES = f"file_id long, seq long, scope string, first long, last long, {LINEAGE}"
+LINEAGE_TYPES = [{"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[x.split()[1]] for x in LINEAGES.split(", ")]
 _KINDS = tuple((kind, re.compile("|".join(map(re.escape, FAMILIES[family])))) for kind, family in SOURCE_FAMILIES)
 _CONTAINER = tuple(FAMILIES["container_start"])
 
@@ -202,6 +223,7 @@ class Flow:
         self.fields: dict[str, Lineage] = {}
         self.scoped: dict[int, list[Lineage]] = {}
         self.history: list[tuple[int, Lineage]] = []
+        self.held: set[tuple[int, int, str]] = set()
         self.spans: list[tuple[int, int, Lineage]] = []
 
     def resolve(self, expression: str, line: int, known: dict[str, Lineage]) -> Lineage | None:
@@ -249,10 +271,13 @@ class Flow:
                 for parameter, argument in zip(names, given, strict=False):
                     if origin := self.resolve(argument, line, self.now):
                         own = self.derived(origin, parameter, line, "function_call", name)
-                        passed.append((line, name, first, last, own))
+                        passed.append((line, name, own))
                         self.hold(first, last, own)
-        for line, name, first, last, parameter in passed:
-            returned = self.returned(name, first, last, parameter)
+        summaries = {}
+        for line, name, parameter in passed:
+            if (key := (name, parameter.variable)) not in summaries:
+                summaries[key] = self.summary(*self.functions[name][1:], parameter.variable)
+            returned = self.returned(name, parameter, *summaries[key])
             if returned is None:
                 continue
             self.hold(line, line, returned)
@@ -261,22 +286,49 @@ class Flow:
                 self.record(own._replace(path=(*returned.path, f"{found[0]}@{line}")), line)
 
     def hold(self, first: int, last: int, lineage: Lineage) -> None:
+        """Of what holds under one name on the same lines, the first decides: later calls of a function add no lines."""
+        if (first, last, lineage.variable) in self.held:
+            return
+        self.held.add((first, last, lineage.variable))
         self.spans.append((first, last, lineage))
         for line in range(first, last + 1):
             self.scoped.setdefault(line, []).append(lineage)
 
-    def returned(self, name: str, first: int, last: int, parameter: Lineage) -> Lineage | None:
-        """What the body's first return of the parameter's data gives."""
-        local = {parameter.variable: parameter}
+    def summary(self, first: int, last: int, parameter: str) -> tuple[dict[tuple[str, int], tuple], list[tuple[int, str]]]:
+        """Of a function and a parameter, whoever calls it: where the body's variables take their data from (variable, line -> variable, line), and its returns up to the first that surely gives some."""
+        came: dict[tuple[str, int], tuple] = {}
+        now, returns = {parameter: (parameter, 0)}, []
         for line in range(first, last + 1):
             text = self.lines.get(line, "")
             if found := assignment(text):
-                if origin := next((local[t] for t in dict.fromkeys(re.findall("[a-z_][a-z0-9_]*", found[1].lower())) if t in local), None):
-                    local[found[0]] = self.derived(origin, found[0], line, "assignment")
-            if text.strip().startswith("return ") and (origin := self.resolve(text.strip()[7:].strip().rstrip(";"), line, local)):
+                if origin := next((now[t] for t in dict.fromkeys(re.findall("[a-z_][a-z0-9_]*", found[1].lower())) if t in now), None):
+                    came[found[0], line] = origin
+                    now[found[0]] = (found[0], line)
+            if text.strip().startswith("return "):
+                expression = text.strip()[7:].strip().rstrip(";")
+                tokens = set(re.findall("[a-z_][a-z0-9_]*", expression.lower()))
+                returns.append((line, expression, {t: now[t] for t in tokens if t in now}))
+                if returns[-1][2] or any(p.search(expression.lower()) for _, p in _KINDS):
+                    break
+        return came, returns
+
+    def returned(self, name: str, parameter: Lineage, came: dict, returns: list) -> Lineage | None:
+        """What the body's first return of the parameter's data gives."""
+        for line, expression, own in returns:
+            local = {t: self.along(parameter, came, place) for t, place in own.items()}
+            if origin := self.resolve(expression, line, local):
                 return self.derived(origin, name, line, "return_value", name)
         return None
 
+    def along(self, parameter: Lineage, came: dict, place: tuple[str, int]) -> Lineage:
+        steps = []
+        while place in came:
+            steps.append(place)
+            place = came[place]
+        for variable, line in reversed(steps):
+            parameter = self.derived(parameter, variable, line, "assignment")
+        return parameter
+
     def containers(self) -> None:
         """Literals, items and fields, in the order of lines."""
         for line, text in self.lines.items():
@@ -313,38 +365,52 @@ def followed(lines: DataFrame, found: DataFrame | None = None, placed: DataFrame
     some = lines.where(source).select("file_id").distinct()
     own = lines.select("file_id", "line_no", "line").join(some, "file_id", "left_semi").join(branches(lines, found) if placed is None else placed, ["file_id", "line_no"], "left")
     functions = found.where("what = 'function'").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct((F.col("parameters").isNull()).alias("none"), "at", "kind", "parameters", "first", "last"))).alias("functions"))
-    # Functions stand beside the first line only.
-    own = own.join(functions.withColumn("line_no", F.lit(1).cast("long")), ["file_id", "line_no"], "left")
+    # As many tasks as the session shuffles into: a fold is far more work than its bytes tell.
+    own = own.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    packed = own.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "branch_kind", "branch_line", "dead", "guard_call"))).alias("lines")).join(functions, "file_id", "left")
+
+    def fold(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                file_id, lines, functions = (batch.column(c)[at].as_py() for c in ("file_id", "lines", "functions"))
+                placed = {x["line_no"]: (x["branch_kind"], x["branch_line"], x["dead"], x["guard_call"]) for x in lines if x["branch_line"] is not None}
+                listed = {f["kind"]: (f["parameters"], f["first"], f["last"]) for f in functions or ()}
+                rows += Flow({x["line_no"]: x["line"] for x in lines}, placed, listed).rows(file_id)
+                if len(rows) > 5000:
+                    yield as_batch(rows)
+                    rows = []
+        if rows:
+            yield as_batch(rows)
+
+    return packed.mapInArrow(fold, LINEAGES)
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        lines = dict(zip(rows["line_no"].tolist(), rows["line"].tolist(), strict=True))
-        inside = rows[rows["branch_line"].notna()]
-        placed = {int(n): (k, int(at), bool(dead), guard) for n, k, at, dead, guard in zip(*(inside[c] for c in ("line_no", "branch_kind", "branch_line", "dead", "guard_call")), strict=True)}
-        listed = next((x for x in rows["functions"] if x is not None and len(x)), [])
-        functions = {f["kind"]: (list(f["parameters"]), f["first"], f["last"]) for f in listed}
-        return pd.DataFrame(Flow(lines, placed, functions).rows(int(key[0])), columns=[x.split()[0] for x in LINEAGES.split(", ")])
 
-    return own.groupBy("file_id").applyInPandas(fold, LINEAGES)
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LINEAGE_TYPES, strict=True)], names=[x.split()[0] for x in LINEAGES.split(", ")])
 
 
 def uses(lines: DataFrame, lineages: DataFrame, placed: DataFrame) -> DataFrame:
-    """file_id, line_no, variables (that hold a source's data on the line, in order), and what is known of the first; guard_call and guard_line also from the line's own branch. placed: branches()."""
+    """file_id, line_no, variables (that hold a source's data on the line, in order, each once), and what is known of the first; guard_call and guard_line also from the line's own branch. lineages: a written table; placed: branches()."""
     columns = [x.split()[0] for x in LINEAGE.split(", ")]
+    key = ["file_id", "what", "variable"]
     fields = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(f"({_FIELD})")), lambda f: F.array_join(F.transform(F.split(f, "[.]"), lambda p: F.ltrim(F.lower(p), F.lit("$"))), ".")))
     named = F.concat(F.transform(fields, lambda f: F.struct(F.lit("field").alias("what"), f.alias("name"))), F.transform(identifiers(F.col("line")), lambda t: F.struct(F.lit("variable").alias("what"), t.alias("name"))))
-    asked = lines.select("file_id", "line_no", F.posexplode(named).alias("place", "x")).select("file_id", "line_no", "place", "x.what", F.col("x.name").alias("variable"))
-    told = lineages.withColumn("known", F.struct(*columns))
-    of_name = asked.join(told.where("scope <> 'lines'").select("file_id", F.col("scope").alias("what"), "variable", "seq", "source_line", "known"), ["file_id", "what", "variable"])
+    asked = lines.join(lineages.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "line_no", F.posexplode(named).alias("place", "x")).select("file_id", "line_no", "place", "x.what", F.col("x.name").alias("variable"))
     # Of a variable's lineages the newest whose source stands at or before the line, else the last. A field has one.
-    as_of = of_name.groupBy("file_id", "line_no", "place").agg(F.coalesce(F.max(F.when(F.col("source_line") <= F.col("line_no"), F.struct("seq", "known"))), F.max(F.struct("seq", "known"))).alias("x"))
-    held = told.where("scope = 'lines' AND first <= last").select("file_id", F.explode(F.sequence("first", "last")).alias("line_no"), "variable", "seq", "known")
-    local = asked.where("what = 'variable'").join(held, ["file_id", "line_no", "variable"]).select("file_id", "line_no", "place", F.struct("seq", "known").alias("x"))
+    history = lineages.where("scope <> 'lines'").select("file_id", F.col("scope").alias("what"), "variable", "seq", F.col("source_line").alias("line_no"), F.lit(None).cast("int").alias("place"))
+    known = asked.join(history.groupBy(*key).agg(F.max("seq").alias("last")), key)
+    merged = scans.running_max(history.withColumn("last", F.lit(None).cast("long")).unionByName(known.withColumn("seq", F.lit(None).cast("long"))), "seq", key, "line_no", "place")
+    as_of = merged.where("place IS NOT NULL").select("file_id", "line_no", "place", "variable", F.lit(1).alias("rank"), F.coalesce("seq", "last").alias("seq"))
+    # What holds on some lines alone: of those alike the first.
+    held = lineages.where("scope = 'lines' AND first <= last").groupBy("file_id", "variable", "first", "last").agg(F.min("seq").alias("seq"))
+    points = asked.where("what = 'variable'").select("file_id", "line_no", "place", "variable").join(held.select("file_id", "variable").distinct(), ["file_id", "variable"], "left_semi")
+    local = scans.stabbed(points, held, ["file_id", "variable"], scans.longest(lines)).select("file_id", "line_no", "place", "variable", F.lit(0).alias("rank"), "seq")
     # On each place, what holds on the line alone comes first.
-    both = local.withColumn("rank", F.lit(0)).unionByName(as_of.withColumn("rank", F.lit(1)))
-    met = both.groupBy("file_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("place", "rank", F.col("x.seq").alias("seq"), F.col("x.known").alias("known")))).alias("met"))
-    met = met.select("file_id", "line_no", F.transform(F.array_distinct(F.transform("met", lambda m: m["known"])), lambda k: k["variable"]).alias("variables"), F.col("met")[0]["known"].alias("first"))
-    out = met.join(placed.where("guard_call IS NOT NULL").select("file_id", "line_no", F.col("guard_call").alias("own_call"), F.col("branch_line").alias("own_line")), ["file_id", "line_no"], "left")
+    met = as_of.unionByName(local).groupBy("file_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("place", "rank", "seq", "variable"))).alias("met"))
+    met = met.select("file_id", "line_no", F.array_distinct(F.transform("met", lambda m: m["variable"])).alias("variables"), F.col("met")[0]["seq"].alias("seq"))
+    out = met.join(lineages.select("file_id", "seq", F.struct(*columns).alias("first")), ["file_id", "seq"])
+    out = out.join(placed.where("guard_call IS NOT NULL").select("file_id", "line_no", F.col("guard_call").alias("own_call"), F.col("branch_line").alias("own_line")), ["file_id", "line_no"], "left")
     more = {"guard_call": F.coalesce("first.guard_call", "own_call"), "guard_line": F.coalesce("first.guard_line", "own_line"), "reachability": F.coalesce("first.reachability", F.lit("reachable"))}
     return out.select("file_id", "line_no", "variables", *(more.get(c, F.col(f"first.{c}")).alias(c) for c in columns if c != "variable"))
 

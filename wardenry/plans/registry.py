@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markers import has_any, sql_first_of, sql_has_any
-from ..operators import classify, dependencies, detect, findings, flows, frameworks, leaves, manifest, reports, rules, secrets_scan, taint, taint_flow
+from ..operators import classify, dependencies, detect, findings, flows, frameworks, leaves, manifest, reports, rules, scans, secrets_scan, taint, taint_flow
 from ..sources.corpus import CODE_SQL, FLOW_SQL, code_lines, flow_lines, materialised, normalised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,16 +35,15 @@ def docs(spark, d):
 
 
 _TEXT = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
-_HITS = f"""t AS (SELECT doc_id, {_TEXT} AS x FROM documents),
-h AS (SELECT doc_id, regexp_extract_all(x, '{secrets_scan.PATTERNS[0].replace("'", "''")}') AS m, string_split_regex(x, '{secrets_scan.PATTERNS[0].replace("'", "''")}') AS g FROM t),
-e AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM h),
-hits AS (SELECT doc_id, i - 1 AS hit, 1 + length(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], '')) - length(replace(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], ''), chr(10), '')) AS line_no, split_part(m[i], chr(10), 1) AS l FROM e),
-shown AS (SELECT doc_id, hit, line_no, CASE WHEN v = '' THEN '***' ELSE v[1:2] || '***' || v[-2:] END AS evidence FROM (SELECT *, regexp_extract(l, '{secrets_scan.VALUE.replace("'", "''")}', 1) AS v FROM hits WHERE NOT {sql_has_any("l", "dummy_secret")}))"""
+_MARKED = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, string_split(regexp_replace(x, '({p})', chr(64976) || '\\1', 'g'), chr(10)) AS l FROM t".replace(f"({p})", f"({p})".replace("'", "''")) for k, p in enumerate(secrets_scan.PATTERNS))
+_HITS = f"""t AS (SELECT doc_id, {_TEXT} AS x FROM documents), m AS ({_MARKED}),
+e AS (SELECT doc_id, k, line_no, regexp_replace(replace(l[line_no], chr(64976), ''), '{secrets_scan.ENDS}', '', 'g') AS line FROM (SELECT doc_id, k, l, unnest(range(1, len(l) + 1)) AS line_no FROM m) WHERE contains(l[line_no], chr(64976))),
+shown AS (SELECT doc_id, line_no, regexp_replace(line, '{secrets_scan.VALUE.replace("'", "''")}', '\\1***\\2', 'g') AS evidence, min(k) AS pattern FROM e WHERE NOT {sql_has_any("line", "dummy_secret")} GROUP BY ALL)"""
 
 
 @query(f"WITH {_HITS} SELECT * FROM shown")
 def secret_hits(spark, d):
-    return secrets_scan.secret_hits(docs(spark, d))
+    return secrets_scan.secret_hits(docs(spark, d)).drop("last_pattern")
 
 
 @query(f"WITH {_HITS} SELECT lang, count(*) AS n_hits, count(DISTINCT shown.doc_id) AS n_docs FROM shown JOIN documents USING (doc_id) GROUP BY lang")
@@ -213,11 +212,11 @@ def js_xss(spark, d):
 
 
 def _context(before, after):
-    return lambda spark, d: detect.context(code(spark, d).where("language IN ('php', 'java')"), before, after).select("file_id", "line_no", "context")
+    return lambda spark, d: scans.around(code(spark, d).where("language IN ('php', 'java', 'kotlin')"), before, after).select("file_id", "line_no", "context")
 
 
 for _n, _b, _a in (("context_spring", 5, 0), ("context_laravel", 5, 1), ("context_preferences", 2, 2)):
-    query(f"WITH {CODE_SQL} SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN {_b} PRECEDING AND {_a} FOLLOWING) AS context FROM code WHERE language IN ('php', 'java')", _n)(_context(_b, _a))
+    query(f"WITH {CODE_SQL} SELECT file_id, line_no, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN {_b} PRECEDING AND {_a} FOLLOWING) AS context FROM code WHERE language IN ('php', 'java', 'kotlin')", _n)(_context(_b, _a))
 
 
 @query(rf"""WITH {CODE_SQL}, c AS (SELECT *, lower(line) AS x, string_agg(lower(line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM code WHERE language IN ('java', 'kotlin'))
