@@ -1,7 +1,7 @@
 """Ranked lexical search by hashed max-sketches: bounds first, exact scores in falling order of bounds until the threshold.
 
 Score of a document for an item: over the item's distinct terms, weight * ((1e9 * tf) div (1000 * tf + 8 * m)), where m grows with the document's length. With m fixed
-this impact only grows with tf, so a sketch that folds the tf of all terms hashed to a coordinate to their maximum gives, at the coordinates
+this impact only grows with tf, so a sketch that folds the tf of all terms hashed to a coordinate into their maximum gives, at the coordinates
 of an item's terms, an upper bound of its score. A sketch has a power of two of coordinates, at least SPACE for each distinct term
 (LEAST_SIZE to MOST_SIZE), a byte each; 255 stands for any larger tf, whose impact is taken as 1e6, which none reaches.
 
@@ -16,18 +16,18 @@ documents that repeat are ranked each. Equal scores go by ascending doc_id, thos
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, small_batches, spread, table, written
 
 TOP, BLOCK_TERMS = 10, 100_000
-SPACE, LEAST_SIZE, MOST_SIZE, ANY = 4, 64, 65_536, 255
+SPACE, LEAST_SIZE, MOST_SIZE, ANY = 16, 64, 1 << 20, 255
 #: Documents looked up at once are so many that a matrix of bounds has about this many cells.
 CELLS = 1 << 20
 #: A-Z to a-z, other ASCII but digits and letters to blank.
@@ -40,7 +40,7 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 def hashes(terms: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+    return np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
 
 
 def size_of(distinct: int) -> int:
@@ -49,8 +49,12 @@ def size_of(distinct: int) -> int:
 
 def sketch(terms: list[bytes], tfs: np.ndarray) -> np.ndarray:
     size = size_of(len(terms))
-    out = np.zeros(size, np.uint8)
-    np.maximum.at(out, (hashes(terms) & np.uint64(size - 1)).astype(np.int64), np.minimum(tfs, ANY).astype(np.uint8))
+    out, at = np.zeros(size, np.uint8), hashes(terms) & (size - 1)
+    out[at] = 1
+    # The few larger ones in rising order, so that the greatest of a coordinate stays.
+    more = np.flatnonzero(tfs > 1)
+    more = more[np.argsort(tfs[more], kind="stable")]
+    out[at[more]] = np.minimum(tfs[more], ANY)
     return out
 
 
@@ -96,7 +100,7 @@ class Items:
     def bounds(self, sketches: list[bytes], m: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores: a row a document (of one size of sketch), a column an item."""
         cells = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-        tf = cells[:, (self.hashes & np.uint64(cells.shape[1] - 1)).astype(np.int64)].astype(np.int64)
+        tf = cells[:, self.hashes & (cells.shape[1] - 1)].astype(np.int64)
         impact = np.where(tf == ANY, 1_000_000, (1_000_000_000 * tf) // np.maximum(1, 1000 * tf + 8 * m[:, None]))
         return np.add.reduceat(impact[:, self.flat] * self.weights, self.first, axis=1)
 
@@ -109,9 +113,8 @@ class Best:
         self.heaps: list[list[tuple]] = [[] for _ in items.numbers]
         self.least = np.ones(len(items.numbers), np.int64)
 
-    def meet(self, sketches: list[bytes], m: np.ndarray, rows: list[tuple]) -> None:
-        """Documents of one size of sketch; rows: (number, doc_id, terms with their tf, made when asked)."""
-        bounds = self.items.bounds(sketches, m)
+    def meet(self, bounds: np.ndarray, m: np.ndarray, rows: list[tuple], tfs) -> None:
+        """Documents with their bounds, a row each; rows: (number, doc_id); tfs(i): what the i-th one's terms are and how often, asked for only where a bound is worth it."""
         worth = bounds >= self.least
         for k in np.flatnonzero(worth.any(axis=0)).tolist():
             column = bounds[:, k]
@@ -119,12 +122,11 @@ class Best:
             for i in some[np.argsort(-column[some], kind="stable")].tolist():
                 if column[i] < self.least[k]:
                     break
-                number, doc_id, tfs = rows[i]
-                get, own, score = tfs().get, 8 * int(m[i]), 0
+                get, own, score = tfs(i).get, 8 * int(m[i]), 0
                 for term, weight in self.items.each[k]:
                     if tf := get(term):
                         score += weight * ((1_000_000_000 * tf) // (1000 * tf + own))
-                self.offer(k, score, number, doc_id)
+                self.offer(k, score, *rows[i])
 
     def offer(self, k: int, score: int, number: int, doc_id: int | None) -> None:
         if score <= 0:
@@ -151,20 +153,22 @@ def top_of_block(index: DataFrame, items: Items, documents: int, terms: int, top
         for batch in in_slices(batches):
             numbers, ids, sketches = (batch.column(c).to_pylist() for c in ("number", "doc_id", "sketch"))
             m = 10 + (90 * batch.column("n").to_numpy() * documents) // terms
-            found: dict[int, dict[str, int]] = {}
+            asked, found = set(items.terms), {}
 
-            def tfs(i, batch=batch, found=found):
+            def tfs(i, batch=batch, found=found, asked=asked):
                 if i not in found:
-                    found[i] = dict(zip(batch.column("terms")[i].values.to_pylist(), batch.column("tfs")[i].values.to_pylist(), strict=True))
+                    found[i] = {t: n for t, n in zip(batch.column("terms")[i].values.to_pylist(), batch.column("tfs")[i].values.to_pylist(), strict=True) if t in asked}
                 return found[i]
 
             by_size: dict[int, list[int]] = {}
             for i, x in enumerate(sketches):
                 by_size.setdefault(len(x), []).append(i)
+            bounds = np.zeros((len(sketches), len(items.numbers)), np.int64)
             for own in by_size.values():
                 for at in range(0, len(own), step):
                     part = own[at : at + step]
-                    best.meet([sketches[i] for i in part], m[part], [(numbers[i], ids[i], lambda i=i: tfs(i)) for i in part])
+                    bounds[part] = items.bounds([sketches[i] for i in part], m[part])
+            best.meet(bounds, m, list(zip(numbers, ids, strict=True)), tfs)
         columns = list(zip(*best.rows(), strict=True)) or [[]] * 4
         yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=["item", "number", "doc_id", "score"])
 
