@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -852,7 +853,48 @@ def alternation(family: str) -> str:
     return "|".join(re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", m) for m in FAMILIES[family])
 
 
-def has_any(line: Column, family: str) -> Column:
+#: Families in the order of their bits: 62 to a number.
+NAMES = tuple(FAMILIES)
+BITS = 62
+
+
+class Marked(NamedTuple):
+    """A text with the families that it has, as bit sets made once: arrays of numbers."""
+
+    text: Column
+    bits: Column
+
+
+def _trie(markers: list[str]) -> str:
+    """The longest of the markers, as one pattern that looks at each character once."""
+    ends, after = "" in markers, {}
+    for m in markers:
+        if m:
+            after.setdefault(m[0], []).append(m[1:])
+    if not after:
+        return ""
+    parts = [re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", c) + _trie(own) for c, own in sorted(after.items())]
+    one = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return f"{one}?" if ends else one
+
+
+def marker_bits(line: Column) -> Column:
+    """Which families a line has: at each place the longest marker that begins there stands for all that begin it."""
+    markers = sorted({m for own in FAMILIES.values() for m in own})
+    sets = {}
+    for m in markers:
+        held = [i for i, name in enumerate(NAMES) if any(m.startswith(x) for x in FAMILIES[name])]
+        sets[m] = [sum(1 << (i % BITS) for i in held if i // BITS == k) for k in range(-(-len(NAMES) // BITS))]
+    found = F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(f"(?=({_trie(markers)}))"), F.lit(1)))
+    words = [F.create_map(*(F.lit(x) for m in markers if sets[m][k] for x in (m, sets[m][k]))) for k in range(-(-len(NAMES) // BITS))]
+    union = lambda w: F.aggregate(found, F.lit(0).cast("long"), lambda n, m: n.bitwiseOR(F.coalesce(F.try_element_at(w, m), F.lit(0)).cast("long")))
+    return F.array(*map(union, words))
+
+
+def has_any(line: Column | Marked, family: str) -> Column:
+    if isinstance(line, Marked):
+        i = NAMES.index(family)
+        return F.get(line.bits, F.lit(i // BITS)).bitwiseAND(F.lit(1 << (i % BITS)).cast("long")) != 0
     return F.lower(line).rlike(alternation(family))
 
 
@@ -861,7 +903,7 @@ def sql_has_any(line: str, family: str) -> str:
     return f"regexp_matches(lower({line}), '{alternation(family).replace(chr(39), chr(39) * 2)}')"
 
 
-def first_of(text: Column, cases: tuple[tuple[str, str], ...], default: str | None = None) -> Column:
+def first_of(text: Column | Marked, cases: tuple[tuple[str, str], ...], default: str | None = None) -> Column:
     """The value of the first (value, family) whose family is met."""
     out = F.lit(default).cast("string")
     for value, family in reversed(cases):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markers import first_of, has_any, sql_has_any
+from ..functions.markers import Marked, first_of, has_any, marker_bits, sql_has_any
 from . import scans
 
 # What shows that a query's values are bound, on the lower-case line.
@@ -60,21 +60,22 @@ def parameterised(line: Column) -> Column:
     return ~built & F.lower(line).rlike(PARAMETERISED)
 
 
-def hits(name: str, line: Column, tainted: Column, sanitized: Column | None = None, guarded: Column | None = None) -> Column:
+def hits(name: str, line: Column | Marked, tainted: Column, sanitized: Column | None = None, guarded: Column | None = None) -> Column:
     """Whether the detector's line test holds. sanitized, guarded: whether the line's tainted data was escaped, or its URL checked."""
     rule, languages, sink, source, lifted = DETECTORS[name]
+    text = line.text if isinstance(line, Marked) else line
     out = has_any(line, sink)
     if name in ("python_orm", "python_sqli"):
-        out &= has_any(line, source) | line.contains("+") | line.rlike("f[\"']") | F.lower(line).contains(".format(") | tainted
+        out &= has_any(line, source) | text.contains("+") | text.rlike("f[\"']") | F.lower(text).contains(".format(") | tainted
     elif source:
         out &= has_any(line, source) | tainted
     if name == "spring_deserial":
-        low = F.lower(line)
+        low = F.lower(text)
         out |= low.contains("objectinputstream") & (low.contains("readobject(") | low.contains("readunshared(")) | low.contains("objectmapper") & low.contains("readvalue(")
     no = F.lit(False)
-    safe = line.rlike(ESCAPED) | (no if sanitized is None else sanitized)
-    listed = F.lower(line).rlike(ALLOWLIST) | (no if guarded is None else guarded)
-    return out & {"bound": ~parameterised(line), "allowed": ~listed, "escaped": ~safe, None: F.lit(True)}[lifted]
+    safe = text.rlike(ESCAPED) | (no if sanitized is None else sanitized)
+    listed = F.lower(text).rlike(ALLOWLIST) | (no if guarded is None else guarded)
+    return out & {"bound": ~parameterised(text), "allowed": ~listed, "escaped": ~safe, None: F.lit(True)}[lifted]
 
 
 def detect(lines: DataFrame, name: str) -> DataFrame:
@@ -83,26 +84,28 @@ def detect(lines: DataFrame, name: str) -> DataFrame:
     return found.select("file_id", "line_no", F.lit(DETECTORS[name][0]).alias("rule_id"), "line")
 
 
-def guard_model(line: Column) -> Column:
+def guard_model(line: Column | Marked) -> Column:
     """What kind of guard a line is, in the order of trial; null: none. `guard` without a closer kind."""
     kinds = F.when(has_any(line, "auth_middleware"), "middleware").when(has_any(line, "auth_decorator"), "decorator").when(has_any(line, "auth_predicate"), "predicate").when(has_any(line, "role_guard"), "role_check").otherwise("guard")
     return F.when(has_any(line, "auth_guard") | has_any(line, "role_guard"), kinds)
 
 
-def web_findings(lines: DataFrame, metadata: dict[str, Column] | None = None) -> DataFrame:
-    """All detectors in one pass over the lines (file_id, line_no, language, line, tainted, and sanitized and guarded where they are known): flags become an array that is exploded.
+def web_findings(lines: DataFrame, metadata: Column | None = None) -> DataFrame:
+    """All detectors in one pass over the lines (file_id, line_no, language, line, tainted, bits (marker_bits(); made here if absent), and sanitized and guarded where they are known): flags become an array that is exploded.
     Routes of files without authentication come from one aggregate and a join.
 
     An ORM hit ends a Python line after file access; an escaped template or DOM write ends a line before what follows it.
     A guard has severity info and confidence high. Its middleware is the same finding as the guard, and has the last word on what it is called.
-    metadata: for each detector the column of its findings' metadata, if that is wanted.
+    metadata: the column of a finding's metadata (over its detector and its line), if that is wanted: made of lines that have a finding alone.
     """
-    line, tainted, language = F.col("line"), F.col("tainted"), F.col("language")
+    if "bits" not in lines.columns:
+        lines = lines.withColumn("bits", marker_bits(F.col("line")))
+    line, tainted, language = Marked(F.col("line"), F.col("bits")), F.col("tainted"), F.col("language")
     sanitized, guarded = (F.col(c) if c in lines.columns else F.lit(False) for c in ("sanitized", "guarded"))
     python, script, php = language.eqNullSafe("python"), F.coalesce(language.isin(*SCRIPTS), F.lit(False)), language.eqNullSafe("php")
     orm, xss = hits("python_orm", line, tainted), script & has_any(line, "js_xss")
     sink = python & has_any(line, "python_template") | script & has_any(line, "js_template") | xss | php & has_any(line, "blade_sink") & (has_any(line, "blade_source") | tainted)
-    escaped = (line.rlike(ESCAPED) | sanitized) & sink
+    escaped = (F.col("line").rlike(ESCAPED) | sanitized) & sink
     flags = {
         "auth_missing": ("WEB-AUTH-001", F.col("unguarded")),
         "auth_guard": ("WEB-AUTH-001", (python | script) & guard_model(line).isNotNull()),
@@ -115,13 +118,12 @@ def web_findings(lines: DataFrame, metadata: dict[str, Column] | None = None) ->
         flags[name] = (rule, language.isin(*languages) & hits(name, line, tainted, sanitized, guarded) & ~stop)
         if name == "js_template":
             flags["js_xss"] = ("WEB-XSS-001", xss & ~escaped)
-    of = lambda name: [metadata[name].alias("metadata")] if metadata else []
-    found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"), *of(name))) for i, (name, (rule, flag)) in enumerate(flags.items())]
+    found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"))) for i, (name, (rule, flag)) in enumerate(flags.items())]
     routes = missing_auth(lines).select("file_id", "line_no", F.lit(True).alias("unguarded"))
-    more = [c for c in ("path", "language", "framework") if c in lines.columns]
-    each = lines.join(routes, ["file_id", "line_no"], "left").select("file_id", "line_no", "line", *more, F.explode(F.array_compact(F.array(*found))).alias("f"))
-    info = F.col("f.detector") == "auth_guard"
-    return each.select("file_id", "line_no", "line", "f.ordinal", "f.detector", "f.rule_id", F.when(info, "info").alias("severity"), F.when(info, "high").alias("confidence"), *more, *(["f.metadata"] if metadata else []))
+    each = lines.join(routes, ["file_id", "line_no"], "left").withColumn("f", F.explode(F.array_compact(F.array(*found)))).select("*", "f.*")
+    more, info = [c for c in ("path", "language", "framework") if c in lines.columns], F.col("detector") == "auth_guard"
+    told = [] if metadata is None else [metadata.alias("metadata")]
+    return each.select("file_id", "line_no", "line", "ordinal", "detector", "rule_id", F.when(info, "info").alias("severity"), F.when(info, "high").alias("confidence"), *more, *told)
 
 
 def sql_of(name: str, tainted: str = "") -> str:
@@ -154,8 +156,9 @@ def is_user_input(kind: Column) -> Column:
 
 def missing_auth(lines: DataFrame) -> DataFrame:
     """Files with a route and request data but no authentication anywhere: file_id and the first route's line."""
-    flag = lambda family: F.bool_or(has_any(F.col("line"), family))
-    first = F.min(F.when(has_any(F.col("line"), "missing_auth_route"), F.col("line_no")))
+    line = Marked(F.col("line"), F.col("bits")) if "bits" in lines.columns else F.col("line")
+    flag = lambda family: F.bool_or(has_any(line, family))
+    first = F.min(F.when(has_any(line, "missing_auth_route"), F.col("line_no")))
     found = lines.where(F.col("language").isin("python", "javascript", "typescript")).groupBy("file_id").agg(first.alias("line_no"), flag("missing_auth_request").alias("asks"), (flag("auth_guard") | flag("role_guard") | flag("auth_context")).alias("guarded"))
     return found.where("line_no IS NOT NULL AND asks AND NOT guarded").select("file_id", "line_no", F.lit("WEB-AUTH-001").alias("rule_id"))
 

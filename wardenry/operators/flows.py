@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markers import FAMILIES, first_of, has_any
+from ..functions.markers import FAMILIES, Marked, first_of, has_any, marker_bits
 from .detect import JVM, guard_model
 from .scans import around
 from .taint_flow import taint_metadata
@@ -73,9 +73,9 @@ Entries = dict[str, Column]
 
 def first_marker(text: Column, family: str, strip: str) -> Column:
     """The first marker of the family, in the family's order, that the text has, without the given characters at its ends."""
-    out = F.lit(None).cast("string")
+    out, low = F.lit(None).cast("string"), F.lower(text.text if isinstance(text, Marked) else text)
     for marker in reversed(FAMILIES[family]):
-        out = F.when(F.lower(text).contains(marker), marker.strip(strip)).otherwise(out)
+        out = F.when(low.contains(marker), marker.strip(strip)).otherwise(out)
     return out
 
 
@@ -129,7 +129,7 @@ def deserial_flow(own: Entries, line: Column, near: Column) -> Entries:
     """own: the Spring flow."""
     kind = first_of(near, DESERIAL_NEAR, "generic")
     for name, pattern in reversed(DESERIAL_LINE):
-        kind = F.when(F.lower(line).rlike(pattern), name).otherwise(kind)
+        kind = F.when(F.lower(line.text if isinstance(line, Marked) else line).rlike(pattern), name).otherwise(kind)
     return own | {"deserialization_kind": F.when(own["framework_model"].isNotNull(), kind)}
 
 
@@ -182,39 +182,39 @@ def guard_flow(line: Column, language: Column) -> Entries:
     }
 
 
-def entries_of() -> dict[str, Entries]:
-    """Each detector's own metadata, over columns line, language, framework and near_5_0 and near_5_1 (the lower-case lines around). What detectors share is built once."""
-    line, language, framework, before, around = (F.col(c) for c in ("line", "language", "framework", "near_5_0", "near_5_1"))
+def entries_of() -> dict[tuple[str, ...], Entries]:
+    """The metadata of detectors that share its form, over columns line, language, framework, near_5_0 and near_5_1 (the lower-case lines around) and the bits of each. A sink's kind comes from the detector."""
+    language, framework, detector = F.col("language"), F.col("framework"), F.col("detector")
+    line, before, around = (Marked(F.col(c), F.col(b)) for c, b in (("line", "bits"), ("near_5_0", "bits_5_0"), ("near_5_1", "bits_5_1")))
+    sink = F.try_element_at(F.create_map(*(F.lit(x) for pair in SINKS.items() for x in pair)), detector)
     django, express, nextjs = (request_flow(m, framework, line, "", h) for m, h in (("django", None), ("express", "express_handler"), ("nextjs", "nextjs_handler")))
     requests = _either(_where(language == "python", django), *(_where(language != "python", x) for x in (express, nextjs)))
-    spring, laravel = spring_flow(framework, before, ""), laravel_flow(framework, around, "")
-    to = lambda own, detector: own | {"sink_kind": F.when(own["framework_model"].isNotNull(), SINKS[detector])}
-    template = template_flow(framework, language, line)
-    out = {
-        "auth_missing": {"auth_guard": F.lit("false"), "auth_model": F.lit("route_without_middleware")}, "auth_guard": guard_flow(line, language), "python_file": file_flow(framework, line), "python_orm": orm_flow(framework, line),
-        "python_template": template, "js_template": template, "js_xss": _either(to(_either(express, nextjs), "js_xss"), react_flow(framework, line)),
+    to = lambda own: own | {"sink_kind": F.when(own["framework_model"].isNotNull(), sink)}
+    spring, laravel = to(spring_flow(framework, before, "")), to(laravel_flow(framework, around, ""))
+    return {
+        ("auth_missing",): {"auth_guard": F.lit("false"), "auth_model": F.lit("route_without_middleware")}, ("auth_guard",): guard_flow(line, language), ("python_file",): file_flow(framework, line), ("python_orm",): orm_flow(framework, line),
+        ("python_template", "js_template"): template_flow(framework, language, line), ("js_xss",): _either(to(_either(express, nextjs)), react_flow(framework, line)), ("python_sqli", "ssrf", "path_traversal", "open_redirect"): to(requests),
+        ("php_ssrf", "php_redirect", "php_path", "php_file"): laravel, ("php_process",): process_flow(laravel, line), ("blade_template",): blade_flow(laravel, around),
+        ("spring_sql", "spring_ssrf", "spring_redirect", "spring_path", "spring_file"): spring, ("spring_deserial",): deserial_flow(spring, line, before),
     }
-    out |= {d: to(requests, d) for d in ("python_sqli", "ssrf", "path_traversal", "open_redirect")}
-    out |= {d: to(laravel, d) for d in ("php_ssrf", "php_redirect", "php_path", "php_file")} | {d: to(spring, d) for d in ("spring_sql", "spring_ssrf", "spring_redirect", "spring_path", "spring_file")}
-    out |= {"php_process": process_flow(to(laravel, "php_process"), line), "blade_template": blade_flow(to(laravel, "blade_template"), around), "spring_deserial": deserial_flow(to(spring, "spring_deserial"), line, before)}
-    return out
 
 
-def metadata() -> dict[str, Column]:
-    """Each detector's metadata as a map. What its line's taint says fills the gaps, and names the source where the line itself doesn't."""
-    taint, out = taint_metadata(), {}
+def metadata() -> Column:
+    """A finding's metadata as a map, by its detector. What its line's taint says fills the gaps, and names the source where the line itself doesn't."""
+    taint, out = taint_metadata(), F.lit(None).cast("map<string,string>")
     none = F.create_map().cast("map<string,string>")
-    for detector, entries in entries_of().items():
+    for detectors, entries in entries_of().items():
         listed = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in entries.items()))
         own = F.map_from_entries(F.filter(listed, lambda e: e["value"].isNotNull()))
-        if detector not in ("auth_missing", "auth_guard", "spring_deserial"):
+        if detectors[0] not in ("auth_missing", "auth_guard", "spring_deserial"):
             known = entries.get("source_kind", F.lit(None))
             source = F.when(known.isNull() & F.col("taint").isNotNull(), F.create_map(F.lit("source_kind"), F.col("taint.source_kind"))).otherwise(none)
             own = F.map_concat(own, taint, source)
-        out[detector] = own
+        out = F.when(F.col("detector").isin(*detectors), own).otherwise(out)
     return out
 
 
 def with_context(lines: DataFrame) -> DataFrame:
-    """lines with near_5_0 and near_5_1, the lower-case lines around each that Spring's and Laravel's flows are told by."""
-    return around(around(lines, 5, 0).withColumnRenamed("context", "near_5_0"), 5, 1).withColumnRenamed("context", "near_5_1")
+    """lines with near_5_0 and near_5_1, the lower-case lines around each that Spring's and Laravel's flows are told by, and which marker families each has (bits, bits_5_0, bits_5_1): found once a line; no marker spans lines, so those around are the union."""
+    marked = lines.withColumn("bits", marker_bits(F.col("line")))
+    return around(around(marked, 5, 0, "bits").withColumnsRenamed({"context": "near_5_0", "context_bits": "bits_5_0"}), 5, 1, "bits").withColumnsRenamed({"context": "near_5_1", "context_bits": "bits_5_1"})

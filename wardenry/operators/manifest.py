@@ -96,10 +96,10 @@ def manifests(files: DataFrame) -> DataFrame:
 
 
 def findings(files: DataFrame) -> DataFrame:
-    """file_id, rule_id, evidence, package of files (file_id, content). Broken XML gives none; a component without a name shows as <unknown>."""
+    """file_id, rule_id, evidence, package, place (the order within the file: permissions, then components) of files (file_id, content). Broken XML gives none; a component without a name shows as <unknown>."""
     told = manifests(files)
-    asked = told.select("file_id", "package", F.explode("permissions").alias("name")).where(F.col("name").isin(*DANGEROUS))
-    out = asked.select("file_id", F.lit("MOBILE-ANDROID-003").alias("rule_id"), F.substring_index("name", ".", -1).alias("evidence"), "package")
+    asked = told.select("file_id", "package", F.posexplode("permissions").alias("place", "name")).where(F.col("name").isin(*DANGEROUS))
+    out = asked.select("file_id", F.lit("MOBILE-ANDROID-003").alias("rule_id"), F.substring_index("name", ".", -1).alias("evidence"), "package", F.col("place").cast("long").alias("place"))
     rule = F.create_map(*(F.lit(x) for pair in EXPORTED.items() for x in pair))[F.col("c.kind")]
-    open_ = told.select("file_id", "package", F.explode("components").alias("c")).withColumn("rule_id", rule).where("c.exported AND rule_id IS NOT NULL")
-    return out.unionByName(open_.select("file_id", "rule_id", F.coalesce(F.nullif("c.name", F.lit("")), F.lit("<unknown>")).alias("evidence"), "package"))
+    open_ = told.select("file_id", "package", F.posexplode("components").alias("place", "c")).withColumn("rule_id", rule).where("c.exported AND rule_id IS NOT NULL")
+    return out.unionByName(open_.select("file_id", "rule_id", F.coalesce(F.nullif("c.name", F.lit("")), F.lit("<unknown>")).alias("evidence"), "package", (F.col("place") + (1 << 32)).alias("place")))

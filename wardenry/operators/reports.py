@@ -36,25 +36,26 @@ def json_rows(findings: DataFrame) -> DataFrame:
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """rule_id, level: each rule once, as its first finding has it."""
-    return findings.groupBy("rule_id").agg(F.min_by(sarif_level(F.col("severity")), "seq").alias("level"))
+    """rule_id, level: each rule once, as its first finding in report order (place) has it."""
+    return findings.groupBy("rule_id").agg(F.min_by(sarif_level(F.col("severity")), "place").alias("level"))
 
 
 def sarif_rule_objects(findings: DataFrame) -> DataFrame:
-    """rule_id, json: each rule once, with what its first finding (by seq) says."""
+    """rule_id, json: each rule once, with what its first finding in report order (place) says."""
     text = lambda c: F.struct(c.alias("text"))
     properties = F.struct("severity", "confidence", "category", "owasp", "cwe")
     own = F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), text(F.col("message")).alias("shortDescription"), text(F.col("message")).alias("fullDescription"), text(F.coalesce("remediation", "message")).alias("help"), properties.alias("properties"))
-    return findings.groupBy("rule_id").agg(F.to_json(F.min_by(own, "seq")).alias("json"))
+    return findings.groupBy("rule_id").agg(F.to_json(F.min_by(own, "place")).alias("json"))
 
 
 def sarif_result_objects(findings: DataFrame) -> DataFrame:
-    """seq, json."""
+    """place, json: with all keys, nulls included."""
     region = F.struct(F.col("start_line").alias("startLine"), F.lit(1).alias("startColumn"))
     where = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
-    properties = F.struct("id", "confidence", "status", "triage_status", "category")
+    text = lambda c: (F.col(c) if c in findings.columns else F.lit(None)).cast("string").alias(c)
+    properties = F.struct("id", "confidence", "status", "triage_status", text("triage_reason"), text("triage_note"), "category")
     own = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), where.alias("locations"), properties.alias("properties"))
-    return findings.select("seq", F.to_json(own).alias("json"))
+    return findings.select("place", F.to_json(own, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:

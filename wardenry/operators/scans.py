@@ -95,9 +95,16 @@ def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], most: int, lin
     return places.join(parts, [*keys, "stretch"]).drop("stretch")
 
 
-def around(lines: DataFrame, before: int, after: int) -> DataFrame:
-    """lines (numbered without gaps) with context: the lower-case lines around each, joined by newlines. Blocks overlap by what a frame reaches, so none needs its file."""
+def around(lines: DataFrame, before: int, after: int, bits: str | None = None) -> DataFrame:
+    """lines (numbered without gaps) with context: the lower-case lines around each, joined by newlines. Blocks overlap by what a frame reaches, so none needs its file.
+
+    bits: a column of bit sets (arrays of numbers of one size), whose union over the same lines becomes context_bits.
+    """
     reach = F.array_compact(F.array(block_of(), F.when(F.col("line_no") % BLOCK < after, block_of() - 1), F.when(F.col("line_no") % BLOCK >= BLOCK - before, block_of() + 1)))
     frame = Window.partitionBy("file_id", "block").orderBy("line_no").rangeBetween(-before, after)
-    every = lines.withColumn("block", F.explode(reach))
-    return every.withColumn("context", F.lower(F.array_join(F.collect_list("line").over(frame), "\n"))).where(F.col("block") == block_of()).drop("block")
+    every = lines.withColumn("block", F.explode(reach)).withColumn("context", F.lower(F.array_join(F.collect_list("line").over(frame), "\n")))
+    if bits:
+        # A frame has a few lines.
+        union = lambda x, y: F.zip_with(x, y, lambda a, b: F.coalesce(a, F.lit(0).cast("long")).bitwiseOR(b))
+        every = every.withColumn("context_bits", F.aggregate(F.collect_list(bits).over(frame), F.array().cast("array<long>"), union))
+    return every.where(F.col("block") == block_of()).drop("block")

@@ -99,7 +99,7 @@ def calls(line: str, names) -> list[tuple[str, list[str]]]:
 def parameters(raw: Column) -> Column:
     """Names without defaults; an annotation stays part of the name."""
     name = lambda x: F.regexp_replace(F.split(x, "=", 2)[0], r"(?U)^\s+|\s+$", "")
-    own = F.filter(F.transform(F.split(raw, ","), name), lambda x: F.trim(F.lit(" $"), x) != "")
+    own = F.filter(F.transform(F.split(raw, ","), name), lambda x: F.trim(x, F.lit(" $")) != "")
     return F.array_distinct(F.transform(own, lambda x: F.ltrim(F.lower(x), F.lit("$"))))
 
 

@@ -132,6 +132,13 @@ def web_findings(spark, d):
     return found.withColumn("metadata", F.to_json("metadata"))
 
 
+def packages_found(found, folder, name, ecosystem, stage):
+    """What the advisories say of the packages in files of one name."""
+    told = F.create_map(F.lit("advisory_id"), F.col("advisory_id"), F.lit("ecosystem"), F.lit(ecosystem), F.lit("dependency_scope"), F.col("scope") if "scope" in found.columns else F.lit("direct"))
+    place = F.struct("file_id", F.lit(stage).alias("stage"), F.col("line").alias("line_no"), F.lit(0).cast("long").alias("k"))
+    return found.withColumns({"path": F.concat(F.lit(f"{folder}/"), F.col("file_id").cast("string"), F.lit(f"/{name}")), "rule_id": F.lit("SCA-PACKAGE-001"), "start_line": F.col("line"), "evidence": F.concat("package", F.lit("=="), "version"), "metadata": told, "place": place})
+
+
 def run(spark, d):
     """Findings of all detectors over code, manifests and dependencies, each id once: what the last says, where the first stood."""
     web = detect.web_findings(whole_code(spark, d), flows.metadata()).withColumns({"stage": F.lit(1), "start_line": F.col("line_no"), "evidence": F.trim("line"), "place": F.struct("file_id", F.lit(1).alias("stage"), "line_no", F.col("ordinal").cast("long").alias("k"))})
@@ -140,11 +147,14 @@ def run(spark, d):
     prefs = detect.shared_preferences(code(spark, d)).join(code(spark, d).select("file_id", "line_no", "line", "language"), ["file_id", "line_no"]).join(texts.select("file_id", "path"), "file_id")
     told = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("storage_kind", F.lit("shared_preferences")), ("storage_risk", F.col("storage_risk")), ("shared_preferences_mode", F.col("storage_mode")), ("shared_preferences_key", F.col("storage_key")))))
     prefs = prefs.withColumns({"start_line": F.col("line_no"), "evidence": F.trim("line"), "metadata": F.map_from_entries(F.filter(told, lambda e: e["value"].isNotNull())), "place": F.struct("file_id", F.lit(3).alias("stage"), "line_no", F.lit(0).cast("long").alias("k"))})
-    xml = android_manifests(spark, d).withColumns({"path": F.concat(F.lit("app/"), F.col("file_id").cast("string"), F.lit("/AndroidManifest.xml")), "language": F.lit("xml"), "framework": F.lit("android"), "start_line": F.lit(1).cast("long"), "place": F.struct("file_id", F.lit(2).alias("stage"), F.lit(1).cast("long").alias("line_no"), F.xxhash64("rule_id", "evidence").alias("k"))}).drop("package")
-    pins = sca_requirements(spark, d).withColumns({"path": F.concat(F.lit("pins/"), F.col("file_id").cast("string"), F.lit("/requirements.txt")), "rule_id": F.lit("SCA-PACKAGE-001"), "start_line": F.col("line"), "evidence": F.concat("package", F.lit("=="), "version"), "metadata": F.create_map(F.lit("advisory_id"), F.col("advisory_id"), F.lit("ecosystem"), F.lit("pypi")), "place": F.struct("file_id", F.lit(4).alias("stage"), F.col("line").alias("line_no"), F.lit(0).cast("long").alias("k"))})
+    xml = android_files(spark, d).withColumns({"path": F.concat(F.lit("app/"), F.col("file_id").cast("string"), F.lit("/AndroidManifest.xml")), "language": F.lit("xml"), "framework": F.lit("android"), "start_line": F.lit(1).cast("long"), "place": F.struct("file_id", F.lit(2).alias("stage"), F.lit(1).cast("long").alias("line_no"), F.col("place").alias("k"))}).drop("package")
+    packages = [
+        packages_found(found, folder, name, ecosystem, stage)
+        for stage, (found, folder, name, ecosystem) in enumerate(((sca_requirements(spark, d), "pins", "requirements.txt", "pypi"), (sca_package_json(spark, d), "npm", "package.json", "javascript"), (sca_package_lock(spark, d), "npm", "package-lock.json", "javascript")), 4)
+    ]
     columns = {"rule_id": "string", "path": "string", "start_line": "long", "evidence": "string", "severity": "string", "confidence": "string", "package": "string", "version": "string", "language": "string", "framework": "string", "metadata": "map<string,string>"}
     all_ = None
-    for part in (secret, web, xml, prefs, pins):
+    for part in (secret, web, xml, prefs, *packages):
         one = part.select(*((F.col(c) if c in part.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()), F.struct(F.col("place.stage").alias("stage"), "place").alias("seq"))
         all_ = one if all_ is None else all_.unionByName(one)
     return findings.last_wins(rules.emitted(all_))
@@ -160,10 +170,33 @@ def report_findings(spark, d):
     return run(spark, d).select("id", reports.finding_json().alias("json"))
 
 
+#: Entries that triage meets in a scan: suppliers accept a file's first routes, customers ask for redirects to be left out, nations decide on their own file.
+_SCAN_ENTRIES = {
+    "baseline": "SELECT s_suppkey AS seq, 'WEB-AUTH-001' AS rule_id, concat(CAST(s_suppkey AS STRING), '/x') AS path, CAST(s_nationkey % 5 + 1 AS INT) AS start_line, CAST(NULL AS STRING) AS fingerprint, 'known' AS reason FROM {supplier}",
+    "suppressions": "SELECT c_custkey AS seq, 'WEB-REDIRECT-001' AS rule_id, concat(CAST(c_custkey AS STRING), '/pages/x') AS path, CAST(c_nationkey % 9 + 1 AS INT) AS start_line, CAST(NULL AS STRING) AS expires_at, 'approved' AS review_status, 'fine' AS reason FROM {customer}",
+    "overrides": "SELECT n_nationkey AS seq, 'WEB-TEMPLATE-001' AS rule_id, concat(CAST(n_nationkey AS STRING), '/x') AS path, CAST(n_nationkey % 7 + 1 AS INT) AS start_line, CAST(NULL AS STRING) AS expires_at, IF(n_nationkey % 2 = 0, 'suppressed', 'active') AS decision, 'seen' AS reason FROM {nation}",
+}
+
+
+def scan(spark, d):
+    """run(), through triage, with its place in the report's order: bucket says which findings are active."""
+    kinds = [spark.sql(q, **{x: table(spark, d, x) for x in ("supplier", "customer", "nation") if f"{{{x}}}" in q}) for q in _SCAN_ENTRIES.values()]
+    all_ = materialised(run(spark, d).withColumn("reachability", F.col("metadata")["taint_reachability"]), "scan")
+    triaged = findings.triaged(all_.withColumn("fingerprint", findings.fingerprint(F.col("rule_id"), F.col("path"), F.col("start_line"), F.col("snippet"))), *kinds, F.lit(_NOW).cast("timestamp"))
+    return findings.in_order(triaged)
+
+
+@query()
+def scan_findings(spark, d):
+    """Every finding of the scan: its place in the report, its bucket, and the entry that decided."""
+    return scan(spark, d).select("id", "rule_id", "severity", "path", "start_line", "place", "bucket", "baseline_seq", "suppression_seq", "override_seq")
+
+
 @query()
 def sarif_objects(spark, d):
-    found = run(spark, d)
-    return reports.sarif_rule_objects(found).select(F.lit("rule").alias("what"), F.col("rule_id").alias("id"), "json").unionByName(reports.sarif_result_objects(found.withColumn("seq", F.col("id"))).select(F.lit("result").alias("what"), F.col("seq").alias("id"), "json"))
+    active = materialised(scan(spark, d).where("bucket = 'active'"), "active")
+    results = reports.sarif_result_objects(active).join(active.select("place", "id"), "place")
+    return reports.sarif_rule_objects(active).select(F.lit("rule").alias("what"), F.col("rule_id").alias("id"), "json").unionByName(results.select(F.lit("result").alias("what"), "id", "json"))
 
 
 #: How many findings of each rule a scan of the events table's severities would start from: rules by hand.
@@ -316,9 +349,9 @@ def finding_order(spark, d):
     return findings.in_order(found(spark, d)).select("seq", "place")
 
 
-@query(f"WITH {_F}, s(severity, place) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('info', 4)), o AS (SELECT severity, seq, row_number() OVER (PARTITION BY severity ORDER BY path, start_line, rule_id, seq) AS k FROM i WHERE severity <> 'info') SELECT place, s.severity, count(seq) AS total, coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5), '') AS shown, greatest(count(seq) - 5, 0) AS more FROM s LEFT JOIN o USING (severity) GROUP BY ALL")
+@query(f"WITH {_F}, s(severity, place) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('info', 4)), o AS (SELECT severity, seq, row_number() OVER (PARTITION BY severity ORDER BY path, start_line, rule_id, seq) AS k FROM i) SELECT place, s.severity, count(seq) AS total, coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5), '') AS shown, greatest(count(seq) - 5, 0) AS more FROM s LEFT JOIN o USING (severity) GROUP BY ALL")
 def severity_buckets(spark, d):
-    return findings.top_with_rest(found(spark, d).where("severity <> 'info'")).withColumn("shown", F.array_join(F.col("shown").cast("array<string>"), ","))
+    return findings.top_with_rest(found(spark, d)).withColumn("shown", F.array_join(F.col("shown").cast("array<string>"), ","))
 
 
 @query(f"WITH {_F} SELECT path, bool_or({_RANK} >= 4) AS blocked, count(*) AS n, CASE WHEN bool_or({_RANK} >= 4) THEN 'blocked' ELSE 'allowed' END AS decision FROM i GROUP BY path")
@@ -535,6 +568,10 @@ _XML = """concat('<manifest xmlns:android="http://schemas.android.com/apk/res/an
 @query("""SELECT p_partkey AS file_id, 'MOBILE-ANDROID-003' AS rule_id, 'CAMERA' AS evidence, 'p' || p_partkey AS package FROM part WHERE p_partkey % 2 = 0 UNION ALL
 SELECT p_partkey, 'MOBILE-ANDROID-001', '.A' || p_size, 'p' || p_partkey FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'MOBILE-ANDROID-002', '.R', 'p' || p_partkey FROM part WHERE p_partkey % 5 = 0""")
 def android_manifests(spark, d):
+    return android_files(spark, d).drop("place")
+
+
+def android_files(spark, d):
     return manifest.findings(table(spark, d, "part").selectExpr("p_partkey AS file_id", f"{_XML} AS content"))
 
 
@@ -585,9 +622,9 @@ def report_json(spark, d):
 _LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
 
 
-@query(f"{_TRIAGE} SELECT rule_id, arg_min({_LEVEL}, seq) AS level FROM b WHERE bucket = 'active' GROUP BY rule_id")
+@query(f"{_TRIAGE} SELECT rule_id, arg_min({_LEVEL}, place) AS level FROM (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, {_REACH}, path, start_line, rule_id, seq) AS place FROM b) WHERE bucket = 'active' GROUP BY rule_id")
 def sarif_rules(spark, d):
-    return reports.sarif_rules(triage(spark, d).where("bucket = 'active'"))
+    return reports.sarif_rules(findings.in_order(triage(spark, d)).where("bucket = 'active'"))
 
 
 @query(f"{_TRIAGE} SELECT seq, rule_id, {_LEVEL} AS level, path AS uri, start_line FROM b WHERE bucket = 'active'")
