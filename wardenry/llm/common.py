@@ -22,7 +22,6 @@ BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
