@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.markers import has_any, sql_first_of, sql_has_any
 from ..operators import classify, dependencies, detect, findings, flows, frameworks, leaves, manifest, reports, rules, scans, secrets_scan, taint, taint_flow
-from ..sources.corpus import CODE_SQL, FLOW_SQL, code_lines, flow_lines, materialised, normalised, table
+from ..sources import tree
+from ..sources.corpus import CODE_SQL, FLOW_SQL, code_lines, flow_lines, materialised, normalised, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +60,40 @@ def document_summary(spark, d):
     return docs(spark, d).select("doc_id", lines.cast("long").alias("line_count"), F.length(text).cast("long").alias("char_count"), n_secrets.alias("n_secrets"), F.when(n_secrets > 0, "blocked").otherwise("allowed").alias("decision"))
 
 
+# Documents as files
+
+#: Where a document's file lies and what it holds besides the text, by key: a third of all lie in one folder.
+_FILE_OF = """SELECT doc_id, doc_id % 16 AS kind, concat(CASE WHEN doc_id % 3 = 0 THEN 'all/' ELSE concat('d', CAST(doc_id % 97 AS STRING), '/') END, CASE doc_id % 16 WHEN 1 THEN 'node_modules/' ELSE '' END,
+CAST(doc_id AS STRING), CASE doc_id % 16 WHEN 0 THEN '.PNG' WHEN 5 THEN '.log' WHEN 7 THEN '.md' ELSE '.txt' END) AS relative_path, coalesce(text, '') AS x FROM documents"""
+_INCLUDE = ("*.txt", "*.PNG", "*.log")
+_SCANNED = f"""own AS ({_FILE_OF.replace("AS STRING", "AS VARCHAR")}),
+whole AS (SELECT kind, relative_path, CAST(CASE WHEN kind = 6 THEN 0 WHEN kind IN (3, 5) THEN strlen(x) + 1 ELSE strlen(x) END AS BIGINT) AS size, x, false AS link FROM own UNION ALL SELECT kind, concat(relative_path, '.txt'), NULL, NULL, true FROM own WHERE kind = 4),
+scanned AS (SELECT relative_path, size, x, CASE WHEN link THEN 'symlink' WHEN kind = 7 THEN 'not included' WHEN kind = 1 THEN 'excluded' WHEN size = 0 THEN 'empty' WHEN kind IN (0, 3, 5) THEN 'binary' END AS skip_reason FROM whole)"""
+
+
+def document_files(spark, d):
+    """The documents written out as files, scanned: some are binary, empty, linked, or lie where they are left out."""
+    own = spark.sql(_FILE_OF.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    before = F.expr("CASE kind WHEN 3 THEN X'00' WHEN 5 THEN X'FF' ELSE X'' END")
+    none = F.lit(None).cast("string")
+    files = own.select("relative_path", F.when(F.col("kind") != 6, F.concat(before, F.col("x").cast("binary"))).alias("content"), none.alias("link"))
+    links = own.where("kind = 4").select(F.concat("relative_path", F.lit(".txt")).alias("relative_path"), F.lit(None).cast("binary").alias("content"), F.substring_index("relative_path", "/", -1).alias("link"))
+    return tree.scanned(spark, tree.written(files.unionByName(links), "documents"), _INCLUDE)
+
+
+@query(f"WITH {_SCANNED} SELECT relative_path, size, skip_reason, CASE WHEN skip_reason IS NULL THEN md5({_TEXT.replace('text', 'x')}) END AS text_md5 FROM scanned")
+def file_scan(spark, d):
+    return document_files(spark, d).select("relative_path", "size", "skip_reason", F.md5("text").alias("text_md5"))
+
+
+_NOTE = "concat(CASE skip_reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tree.NOTES.items()) + " END, relative_path)"
+
+
+@query(f"WITH {_SCANNED} SELECT relative_path, {_NOTE} AS note FROM scanned WHERE skip_reason IS NOT NULL")
+def file_notes(spark, d):
+    return tree.notes(document_files(spark, d), all_=True)
+
+
 # Code lines
 
 
@@ -425,11 +460,10 @@ def overridden_findings(spark, d):
     return findings.overridden(triage(spark, d)).select("seq", "bucket", "decision")
 
 
-@query(f"{_TRIAGE} SELECT (SELECT count(*) FROM part) AS files_seen, (SELECT count(*) FROM part WHERE p_partkey % 12 <> 10) AS files_selected, count(*) FILTER (bucket = 'active') AS findings, count(*) FILTER (bucket = 'baselined') AS baselined_findings, count(*) FILTER (bucket = 'suppressed') AS suppressed_findings FROM b")
+@query(f"{_TRIAGE}, {_SCANNED} SELECT (SELECT count(*) FROM scanned) AS files_seen, (SELECT count(*) FROM scanned WHERE skip_reason IS NULL) AS files_selected, count(*) FILTER (bucket = 'active') AS findings, count(*) FILTER (bucket = 'baselined') AS baselined_findings, count(*) FILTER (bucket = 'suppressed') AS suppressed_findings FROM b")
 def scan_counters(spark, d):
-    files = table(spark, d, "part").agg(F.count("*").alias("files_seen"), F.count_if(F.col("p_partkey") % 12 != 10).alias("files_selected"))
     count = lambda b: F.count_if(F.col("bucket") == b)
-    return files.crossJoin(triage(spark, d).agg(count("active").alias("findings"), count("baselined").alias("baselined_findings"), count("suppressed").alias("suppressed_findings")))
+    return tree.counters(document_files(spark, d)).crossJoin(triage(spark, d).agg(count("active").alias("findings"), count("baselined").alias("baselined_findings"), count("suppressed").alias("suppressed_findings")))
 
 
 @query(f"WITH {_F}, u AS (SELECT id, max(seq) AS seq FROM i WHERE seq % 5 = 0 GROUP BY id) SELECT i.seq, CASE WHEN u.id IS NULL THEN 'untriaged' WHEN u.seq % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS triage_status, CASE WHEN u.seq % 3 = 0 THEN 'note ' || u.seq END AS triage_reason FROM i LEFT JOIN u USING (id)")
@@ -660,3 +694,44 @@ def json_leaves(spark, d):
 @query(f"WITH {_F} SELECT severity, count(*) AS n_total, count(*) FILTER (contains(lower(path), 'app1')) AS n_visible FROM i GROUP BY severity")
 def filter_summary(spark, d):
     return found(spark, d).groupBy("severity").agg(F.count("*").alias("n_total"), F.count_if(F.contains(F.lower("path"), F.lit("app1"))).alias("n_visible"))
+
+
+#: What the reports below say of their scan.
+_SCAN_TOLD = {"root": "documents", "tool_version": "1", "policy_branch": "release", "policy_threshold": "critical", "policy_effective_threshold": "medium"}
+
+
+def event_report(spark, d):
+    """A report of the events' findings, after triage, and of the documents' files."""
+    files = materialised(document_files(spark, d).drop("text"), "files")
+    triaged = materialised(triage(spark, d), "triaged")
+    ordered = findings.in_order(triaged)
+    return reports.report(ordered.withColumn("json", reports.finding_json(ordered.columns)), findings.audit(triaged), tree.notes(files), _SCAN_TOLD | tree.counters(files).first().asDict())
+
+
+def parts_written(spark, report, name):
+    """A report's three forms, each in a folder of its own, and the folder that holds them."""
+    at = shared_folder(spark, name)
+    reports.write_parts(spark, reports.json_pieces(report), f"{at}/json")
+    reports.write_parts(spark, reports.sarif_pieces(report, "wardenry", "1"), f"{at}/sarif")
+    reports.write_parts(spark, reports.text_pieces(report), f"{at}/text", "")
+    return at
+
+
+_IN_JSON = """to_json({'id': id, 'rule_id': rule_id, 'title': title, 'message': NULL, 'severity': severity, 'confidence': NULL, 'location': {'path': path, 'start_line': start_line, 'start_column': 1, 'end_line': NULL, 'end_column': NULL}, 'category': NULL, 'language': NULL, 'framework': NULL, 'owasp': NULL, 'cwe': NULL,
+'evidence': {'snippet': NULL, 'start_line': start_line, 'end_line': start_line}, 'remediation': NULL, 'status': NULL, 'triage_status': NULL, 'triage_reason': NULL, 'triage_note': NULL, 'tags': NULL, 'symbols': [], 'metadata': NULL})"""
+_IN_SARIF = f"""to_json({{'ruleId': rule_id, 'level': {_LEVEL}, 'message': {{'text': NULL}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': path}}, 'region': {{'startLine': start_line, 'startColumn': 1}}}}}}],
+'properties': {{'id': id, 'confidence': NULL, 'status': NULL, 'triage_status': NULL, 'triage_reason': NULL, 'triage_note': NULL, 'category': NULL}}}})"""
+_COMMA = "CASE WHEN row_number() OVER (PARTITION BY bucket ORDER BY place) = 1 THEN '' ELSE ',' END"
+
+
+@query(f"""{_TRIAGE}, p AS (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, {_REACH}, path, start_line, rule_id, seq) AS place FROM b)
+SELECT 'json' AS form, concat({_COMMA}, {_IN_JSON}) AS line FROM p UNION ALL SELECT 'sarif', concat({_COMMA}, {_IN_SARIF}) FROM p WHERE bucket = 'active' UNION ALL SELECT 'text', concat('- ', upper(severity), ' ', title, ' (', rule_id, ') at ', path, ':', start_line) FROM p WHERE bucket = 'active'""")
+def report_files(spark, d):
+    """The lines of findings in the three forms of a report, read back from the parts."""
+    at = parts_written(spark, event_report(spark, d), "reports")
+    tells = {"json": "^,?\\{\"id\":", "sarif": "^,?\\{\"ruleId\":", "text": "^- (?:INFO|LOW|MEDIUM|HIGH|CRITICAL) "}
+    out = None
+    for form, pattern in tells.items():
+        one = spark.read.text(f"{at}/{form}").where(F.col("value").rlike(pattern)).select(F.lit(form).alias("form"), F.col("value").alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
