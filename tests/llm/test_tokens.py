@@ -36,8 +36,9 @@ def test_ids_are_the_librarys(monkeypatch, limit, characters):
         assert tokens.of_all(pa.array(["before", *texts], pa.string()).slice(1)) == want
 
 
-def test_words_of_many_batches_are_encoded_once():
-    tokens = common.TokenBytes(VOCABULARY, "<u2")
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])  # of op9 and op7
+def test_words_of_many_batches_are_encoded_once(dtype):
+    tokens = common.TokenBytes(VOCABULARY, dtype)
     tokens.encoder = counting = Counting(tokens.encoder)
     batches = [pa.array([" ".join(f"w{i}" for i in range(k, k + 50_000))]) for k in range(0, 300_000, 50_000)]
     first = [tokens.of_all(b) for b in batches]
