@@ -57,3 +57,10 @@ def test_what_is_kept_is_bounded(monkeypatch):
     counting.words = 0
     tokens.of_all(pa.array(["x often met"]))
     assert counting.words == 0
+
+
+def test_one_text_of_very_many_words(monkeypatch):
+    monkeypatch.setattr(common.TokenBytes, "LIMIT", 200_000)
+    tokens = common.TokenBytes(VOCABULARY)
+    tokens.of_all(pa.array([" ".join(f"w{i}" for i in range(50_000))]))
+    assert 0 < tokens.old.costs().sum() <= 200_000

@@ -250,8 +250,9 @@ class TokenBytes:
     def remember(self, new: Known) -> None:
         """New chunks gather in a small table, so that the large one is seldom sorted."""
         self.fresh = self.fresh.plus(new.only(pc.utf8_length(new.words).to_numpy() <= self.LONGEST))
-        if self.fresh.costs().sum() > self.LIMIT // 8:
-            self.old, self.fresh = self.old.plus(self.fresh).within(self.LIMIT), Known.none(self.dtype)
+        if (size := int(self.fresh.costs().sum())) > self.LIMIT // 8:
+            self.old = self.old.within(self.LIMIT - size)
+            self.old, self.fresh = self.old.plus(self.fresh.within(self.LIMIT)), Known.none(self.dtype)
 
     def ids_of(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct chunks: where the ids of each begin in an array, how many there are, and the array."""
