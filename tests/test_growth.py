@@ -15,3 +15,21 @@ def test_scans_send_no_rows_through_the_driver(spark, name):
     """Written tables look small enough for a broadcast here, and do so at a hundred times the size too."""
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
     assert "Broadcast" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whose_data_a_variable_holds_without_the_rest(spark):
+    lines = registry.materialised(registry.flow(spark, SF).select("file_id", "line_no", "line"), "lines")
+    key = ("file_id", "seq", "scope", "variable")
+    few = taint_flow.followed(lines, columns=key)
+    assert set(few.columns) == set(key) and "branch" not in few._jdf.queryExecution().executedPlan().toString()
+    whole = taint_flow.followed(lines).select(*key)
+    assert sorted(map(tuple, few.select(*key).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str) and few.count() > 1000
+
+
+def test_many_functions_in_a_file():
+    """A line is looked at once, not once for each function."""
+    n = 3000
+    lines = {k: f"x{k} = f{k}(request.args.get('a'))" if k % 2 else f"y{k} = {k}" for k in range(1, n + 1)}
+    began = time.time()
+    rows = taint_flow.Flow(lines, {}, {f"f{k}": (["a"], k + 1, k + 1) for k in range(1, n, 2)}).rows(1)
+    assert time.time() - began < 2 and sum(r[2] == "variable" for r in rows) == n // 2

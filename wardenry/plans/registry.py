@@ -347,7 +347,8 @@ def taint_functions(spark, d):
 ('python', 4, 1, 'variable'), ('python', 4, 3, 'variable'), ('python', 5, 1, 'variable'), ('javascript', 0, 1, 'variable'), ('javascript', 1, 5, 'variable'), ('javascript', 2, 1, 'variable'), ('javascript', 2, 4, 'variable'), ('javascript', 3, 2, 'variable'), ('javascript', 3, 3, 'variable'))
 SELECT file_id, kind AS scope, count(*) AS n FROM flow JOIN e USING (language, snippet, part) GROUP BY file_id, kind""")
 def taint_scopes(spark, d):
-    return taint_flow.followed(flow(spark, d)).where("scope <> 'lines'").groupBy("file_id", "scope").agg(F.count_distinct("variable").alias("n"))
+    lines = materialised(flow(spark, d).select("file_id", "line_no", "line"), "lines")
+    return taint_flow.followed(lines, columns=("file_id", "scope", "variable")).where("scope <> 'lines'").groupBy("file_id", "scope").agg(F.count_distinct("variable").alias("n"))
 
 
 # Findings
