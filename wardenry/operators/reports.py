@@ -59,14 +59,14 @@ def sarif_rule_objects(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.to_json(F.min_by(own, "place")).alias("json"))
 
 
-def sarif_result_objects(findings: DataFrame) -> DataFrame:
-    """place, json: with all keys, nulls included."""
+def sarif_result_objects(findings: DataFrame, *more: str) -> DataFrame:
+    """place, json: with all keys, nulls included; and more of the findings' columns."""
     region = F.struct(F.col("start_line").alias("startLine"), F.lit(1).alias("startColumn"))
     where = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     text = lambda c: (F.col(c) if c in findings.columns else F.lit(None)).cast("string").alias(c)
     properties = F.struct("id", *map(text, ("confidence", "status", "triage_status", "triage_reason", "triage_note", "category")))
     own = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(text("message").alias("text")).alias("message"), where.alias("locations"), properties.alias("properties"))
-    return findings.select("place", F.to_json(own, {"ignoreNullFields": "false"}).alias("json"))
+    return findings.select("place", *more, F.to_json(own, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
