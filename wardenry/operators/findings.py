@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import materialised
+from .scans import shuffled
 
 # Fixed values.
 SEVERITIES = ("info", "low", "medium", "high", "critical")
@@ -96,13 +97,13 @@ def first_matches(findings: DataFrame, **kinds: DataFrame) -> DataFrame:
     # Entries without a mark, for each distinct place.
     places = findings.select("rule_id", "start_line", "path").distinct().withColumn("_own", normalised_path(F.col("path")))
     cut = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_own")), lambda n: F.when(n > 0, F.right("_own", n)).otherwise(""))
-    met = places.select("rule_id", "start_line", "path", F.explode(F.array_distinct(cut)).alias("suffix")).join(least.where("mark IS NULL"), ["rule_id", "start_line", "suffix"])
+    met = places.select("rule_id", "start_line", "path", F.explode(F.array_distinct(cut)).alias("suffix")).join(shuffled(least.where("mark IS NULL")), ["rule_id", "start_line", "suffix"])
     plain = met.groupBy("rule_id", "start_line", "path").agg(*(first(k) for k in kinds))
     out = findings.join(plain, ["rule_id", "start_line", "path"], "left")
     marked = least.where("mark IS NOT NULL")
     if "fingerprint" not in findings.columns or not marked.first():
         return out
-    told = findings.select("seq", "rule_id", "start_line", F.lower("fingerprint").alias("mark"), normalised_path(F.col("path")).alias("_own")).join(marked, ["rule_id", "start_line", "mark"]).where(F.endswith("_own", F.col("suffix")))
+    told = findings.select("seq", "rule_id", "start_line", F.lower("fingerprint").alias("mark"), normalised_path(F.col("path")).alias("_own")).join(shuffled(marked), ["rule_id", "start_line", "mark"]).where(F.endswith("_own", F.col("suffix")))
     of_mark = told.groupBy("seq").agg(*(first(k) for k in kinds)).withColumnsRenamed({k: f"_{k}" for k in kinds})
     both = out.join(of_mark, "seq", "left")
     sooner = lambda k: F.when(F.coalesce(F.col(f"_{k}.entry_seq") < F.col(f"{k}.entry_seq"), F.col(k).isNull()), F.col(f"_{k}")).otherwise(F.col(k))
