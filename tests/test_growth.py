@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from wardenry.operators import taint_flow
+from wardenry.operators import reports, taint_flow
 from wardenry.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ def test_whose_data_a_variable_holds_without_the_rest(spark):
     lines = registry.materialised(registry.flow(spark, SF).select("file_id", "line_no", "line"), "lines")
     key = ("file_id", "seq", "scope", "variable")
     few = taint_flow.followed(lines, columns=key)
-    assert set(few.columns) == set(key) and "branch" not in few._jdf.queryExecution().executedPlan().toString()
+    assert set(few.columns) == set(key) and "placed" not in few._jdf.queryExecution().executedPlan().toString()
     whole = taint_flow.followed(lines).select(*key)
     assert sorted(map(tuple, few.select(*key).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str) and few.count() > 1000
 
@@ -33,3 +33,23 @@ def test_many_functions_in_a_file():
     began = time.time()
     rows = taint_flow.Flow(lines, {}, {f"f{k}": (["a"], k + 1, k + 1) for k in range(1, n, 2)}).rows(1)
     assert time.time() - began < 2 and sum(r[2] == "variable" for r in rows) == n // 2
+
+
+def broadcasts(df):
+    """The first table below each broadcast in the plan."""
+    pieces = df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[1:]
+    return [next(x for x in p.splitlines() if "Scan" in x or "ReusedExchange" in x) for p in pieces]
+
+
+def test_web_findings_and_triage_send_no_rows_through_the_driver(spark):
+    assert broadcasts(registry.web_findings(spark, SF)) == []
+    assert broadcasts(registry.triage(spark, SF)) == []
+
+
+def test_all_detectors_broadcast_the_rules_alone(spark):
+    assert not [x for x in broadcasts(registry.run(spark, SF)) if "parquet" in x]
+
+
+def test_sarif_results_keep_what_is_asked_of_them(spark):
+    made = spark.createDataFrame([(1, "a", "R", "high", "p", 3)], "place long, id string, rule_id string, severity string, path string, start_line int")
+    assert reports.sarif_result_objects(made, "id").columns == ["place", "id", "json"]

@@ -91,8 +91,8 @@ def guard_model(line: Column | Marked) -> Column:
 
 
 def web_findings(lines: DataFrame, metadata: Column | None = None) -> DataFrame:
-    """All detectors in one pass over the lines (file_id, line_no, language, line, tainted, bits (marker_bits(); made here if absent), and sanitized and guarded where they are known): flags become an array that is exploded.
-    Routes of files without authentication come from one aggregate and a join.
+    """All detectors in one pass over the lines (file_id, line_no, language, line, tainted, bits (marker_bits(); made here if absent), and sanitized, guarded and route (where the file's missing_auth() stands) where they are known): flags become an array that is exploded.
+    Without route, routes of files without authentication come from one aggregate and a join.
 
     An ORM hit ends a Python line after file access; an escaped template or DOM write ends a line before what follows it.
     A guard has severity info and confidence high. Its middleware is the same finding as the guard, and has the last word on what it is called.
@@ -119,8 +119,12 @@ def web_findings(lines: DataFrame, metadata: Column | None = None) -> DataFrame:
         if name == "js_template":
             flags["js_xss"] = ("WEB-XSS-001", xss & ~escaped)
     found = [F.when(flag, F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"))) for i, (name, (rule, flag)) in enumerate(flags.items())]
-    routes = missing_auth(lines).select("file_id", "line_no", F.lit(True).alias("unguarded"))
-    each = lines.join(routes, ["file_id", "line_no"], "left").withColumn("f", F.explode(F.array_compact(F.array(*found)))).select("*", "f.*")
+    if "route" in lines.columns:
+        known = lines.withColumn("unguarded", F.col("line_no").eqNullSafe(F.col("route")))
+    else:
+        routes = missing_auth(lines).select("file_id", "line_no", F.lit(True).alias("unguarded"))
+        known = lines.join(scans.shuffled(routes), ["file_id", "line_no"], "left")
+    each = known.withColumn("f", F.explode(F.array_compact(F.array(*found)))).select("*", "f.*")
     more, info = [c for c in ("path", "language", "framework") if c in lines.columns], F.col("detector") == "auth_guard"
     told = [] if metadata is None else [metadata.alias("metadata")]
     return each.select("file_id", "line_no", "line", "ordinal", "detector", "rule_id", F.when(info, "info").alias("severity"), F.when(info, "high").alias("confidence"), *more, *told)

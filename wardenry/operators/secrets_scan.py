@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markers import has_any
 from ..sources.corpus import normalised
+from .scans import shuffled
 
 # Fixed values.
 PATTERNS = (
@@ -64,6 +65,6 @@ def secret_findings(files: DataFrame) -> DataFrame:
     high = sensitive_file(F.col("path"))
     told = {"pattern": F.element_at(F.array(*map(F.lit, PATTERNS)), F.col("last_pattern") + 1), "masked": F.lit("true"), "cleartext_hint": F.lit("secret value masked in report"), "sensitive_file": F.when(high, "true"), "priority": F.when(high, "high")}
     entries = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items()))
-    own = one.join(files.select(F.col("file_id").alias("doc_id"), "path"), "doc_id")
+    own = one.join(shuffled(files.select(F.col("file_id").alias("doc_id"), "path")), "doc_id")
     hit = F.col("pattern").cast("long") * (1 << 40) + F.col("line_no")
     return own.select(F.col("doc_id").alias("file_id"), "path", "line_no", hit.alias("hit"), F.lit("SEC-SECRET-001").alias("rule_id"), "evidence", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metadata"))

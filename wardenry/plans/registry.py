@@ -153,17 +153,23 @@ for _name in detect.DETECTORS:
         _detector_with_taint(_name)
 
 
-def whole_code(spark, d):
-    """The lines with path, framework, data flow and the lines around."""
+def code_tables(spark, d):
+    """The lines and the files that they make, each written once."""
     lines = materialised(code(spark, d), "lines")
-    files = code_files(spark, d).select("file_id", "path", frameworks.framework(F.col("language"), F.col("path"), F.col("content"))["framework"].alias("framework"))
-    # Written once, for the detectors read it twice.
-    return materialised(flows.with_context(taint_flow.with_flow(lines)).join(files, "file_id"), "code")
+    return lines, materialised(files_of(lines), "files")
+
+
+def whole_code(lines, texts):
+    """The lines with path, framework, the file's first unguarded route, data flow and the lines around. What is known of files is joined before the wide columns are there."""
+    routes = detect.missing_auth(lines).select("file_id", F.col("line_no").alias("route"))
+    files = texts.select("file_id", "path", frameworks.framework(F.col("language"), F.col("path"), F.col("content"))["framework"].alias("framework")).join(scans.shuffled(routes), "file_id", "left")
+    # Written, for one plan of this and the detectors is a lot for the driver.
+    return materialised(flows.with_context(taint_flow.with_flow(lines).join(scans.shuffled(files), "file_id")), "code")
 
 
 @query()
 def web_findings(spark, d):
-    found = detect.web_findings(whole_code(spark, d), flows.metadata())
+    found = detect.web_findings(whole_code(*code_tables(spark, d)), flows.metadata())
     return found.withColumn("metadata", F.to_json("metadata"))
 
 
@@ -176,10 +182,10 @@ def packages_found(found, folder, name, ecosystem, stage):
 
 def run(spark, d):
     """Findings of all detectors over code, manifests and dependencies, each id once: what the last says, where the first stood."""
-    web = detect.web_findings(whole_code(spark, d), flows.metadata()).withColumns({"stage": F.lit(1), "start_line": F.col("line_no"), "evidence": F.trim("line"), "place": F.struct("file_id", F.lit(1).alias("stage"), "line_no", F.col("ordinal").cast("long").alias("k"))})
-    texts = code_files(spark, d)
-    secret = secrets_scan.secret_findings(texts).join(texts.select("file_id", "language"), "file_id").withColumns({"start_line": F.col("line_no"), "place": F.struct("file_id", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("line_no"), F.col("hit").alias("k"))})
-    prefs = detect.shared_preferences(code(spark, d)).join(code(spark, d).select("file_id", "line_no", "line", "language"), ["file_id", "line_no"]).join(texts.select("file_id", "path"), "file_id")
+    lines, texts = code_tables(spark, d)
+    web = detect.web_findings(whole_code(lines, texts), flows.metadata()).withColumns({"stage": F.lit(1), "start_line": F.col("line_no"), "evidence": F.trim("line"), "place": F.struct("file_id", F.lit(1).alias("stage"), "line_no", F.col("ordinal").cast("long").alias("k"))})
+    secret = secrets_scan.secret_findings(texts).join(scans.shuffled(texts.select("file_id", "language")), "file_id").withColumns({"start_line": F.col("line_no"), "place": F.struct("file_id", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("line_no"), F.col("hit").alias("k"))})
+    prefs = detect.shared_preferences(lines).join(scans.shuffled(lines.select("file_id", "line_no", "line", "language")), ["file_id", "line_no"]).join(scans.shuffled(texts.select("file_id", "path")), "file_id")
     told = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("storage_kind", F.lit("shared_preferences")), ("storage_risk", F.col("storage_risk")), ("shared_preferences_mode", F.col("storage_mode")), ("shared_preferences_key", F.col("storage_key")))))
     prefs = prefs.withColumns({"start_line": F.col("line_no"), "evidence": F.trim("line"), "metadata": F.map_from_entries(F.filter(told, lambda e: e["value"].isNotNull())), "place": F.struct("file_id", F.lit(3).alias("stage"), "line_no", F.lit(0).cast("long").alias("k"))})
     xml = android_files(spark, d).withColumns({"path": F.concat(F.lit("app/"), F.col("file_id").cast("string"), F.lit("/AndroidManifest.xml")), "language": F.lit("xml"), "framework": F.lit("android"), "start_line": F.lit(1).cast("long"), "place": F.struct("file_id", F.lit(2).alias("stage"), F.lit(1).cast("long").alias("line_no"), F.col("place").alias("k"))}).drop("package")
@@ -230,7 +236,7 @@ def scan_findings(spark, d):
 @query()
 def sarif_objects(spark, d):
     active = materialised(scan(spark, d).where("bucket = 'active'"), "active")
-    results = reports.sarif_result_objects(active).join(active.select("place", "id"), "place")
+    results = reports.sarif_result_objects(active, "id")
     return reports.sarif_rule_objects(active).select(F.lit("rule").alias("what"), F.col("rule_id").alias("id"), "json").unionByName(results.select(F.lit("result").alias("what"), "id", "json"))
 
 
@@ -574,7 +580,11 @@ _FRAMEWORK = ", ".join(f"{frameworks.framework_sql(x)} AS {x}" for x in ("framew
 
 def code_files(spark, d):
     """file_id, language, path, content: the synthetic lines as files. A file is one customer's orders, so a group stays small."""
-    lines = code(spark, d).groupBy("file_id", "language").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return files_of(code(spark, d))
+
+
+def files_of(lines):
+    lines = lines.groupBy("file_id", "language").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     tail = F.when(F.col("file_id") % 5 == 0, "/settings.py").when(F.col("file_id") % 5 == 1, "/pages/x").when(F.col("file_id") % 5 == 2, "/src/main/java/x").otherwise("/x")
     return lines.select("file_id", "language", F.concat(F.lit("src/"), F.col("file_id").cast("string"), tail).alias("path"), F.array_join("l.line", "\n").alias("content"))
 
