@@ -1,5 +1,9 @@
 """What grows with the input stays out of the driver, and off the disk twice."""
 
+import glob
+import gzip
+import json
+import os
 import time
 
 import pytest
@@ -53,3 +57,15 @@ def test_all_detectors_broadcast_the_rules_alone(spark):
 def test_sarif_results_keep_what_is_asked_of_them(spark):
     made = spark.createDataFrame([(1, "a", "R", "high", "p", 3)], "place long, id string, rule_id string, severity string, path string, start_line int")
     assert reports.sarif_result_objects(made, "id").columns == ["place", "id", "json"]
+
+
+def test_reports_lie_on_disk_once_and_compressed(spark):
+    folder = registry.shared_folder(spark, "x").removeprefix("file://").rsplit("/", 1)[0]
+    known = {*os.listdir(folder)}
+    n = registry.report_files(spark, SF).where("form = 'json'").count()
+    new = {*os.listdir(folder)} - known
+    assert not [x for x in new if x.startswith(("triaged-", "report-rows-", "report-findings-"))]
+    (at,) = (x for x in new if x.startswith("reports-"))
+    parts = sorted(glob.glob(f"{folder}/{at}/json/part-*"))
+    whole = json.loads(gzip.decompress(b"".join(open(x, "rb").read() for x in parts)))
+    assert sum(len(whole[x]) for x in ("findings", "baselined_findings", "suppressed_findings")) == n == spark.read.parquet(f"{SF}/events.parquet").count()

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.corpus import materialised
 from .findings import decision_over, sarif_level
 
 
@@ -95,15 +94,14 @@ class Report:
 
 
 def report(findings: DataFrame, audit: DataFrame, notes: DataFrame, told: dict, files: DataFrame | None = None, documents: DataFrame | None = None, packs: list[dict] | None = None) -> Report:
-    """A Report of findings.in_order(triaged()), findings.audit(), notes (relative_path, note), and the rest as Report has it. Findings are written once; of them the driver sees counts alone.
+    """A Report of findings.in_order(triaged()), findings.audit(), notes (relative_path, note), and the rest as Report has it. in_order() has written the findings, so they are not written again with their json, which is made when a form asks for it; of them the driver sees counts alone.
 
     The audit's last row says what the policy decides, the last notes what was found.
     """
-    found = materialised(findings, "report-findings")
     of = lambda bucket: F.count_if(F.col("bucket") == bucket)
-    counts = found.agg(of("active").alias("findings"), of("baselined").alias("baselined_findings"), of("suppressed").alias("suppressed_findings")).first().asDict()
+    counts = findings.agg(of("active").alias("findings"), of("baselined").alias("baselined_findings"), of("suppressed").alias("suppressed_findings")).first().asDict()
     limit = told.get("policy_effective_threshold")
-    decision = decision_over(found.where("bucket = 'active'"), limit).first()["decision"]
+    decision = decision_over(findings.where("bucket = 'active'"), limit).first()["decision"]
     last = {"policy_threshold": told.get("policy_threshold"), "policy_effective_threshold": limit, "branch": told.get("policy_branch")}
     entry = {"action": "policy", "subject_type": "scan", "subject_id": told.get("root"), "decision": decision, "reason": f"threshold={limit or 'none'}", "actor": "scanner", "created_at": told.get("finished_at"), "metadata": last}
     spark = findings.sparkSession
@@ -119,7 +117,7 @@ def report(findings: DataFrame, audit: DataFrame, notes: DataFrame, told: dict,
     own = notes.select(F.lit(0).cast("long").alias("place"), F.split("relative_path", "/").alias("by"), "note")
     for k, note in enumerate(after, 1):
         own = own.unionByName(spark.range(0, 1, 1, 1).select(F.lit(k).cast("long").alias("place"), F.array().cast("array<string>").alias("by"), F.lit(note).alias("note")))
-    return Report(found, rows, own, told, files, documents, packs or [], stats, decision)
+    return Report(findings, rows, own, told, files, documents, packs or [], stats, decision)
 
 
 def _items(df: DataFrame, line: Column | str) -> DataFrame:
@@ -185,10 +183,9 @@ def laid_out(spark: SparkSession, pieces: list, separator: str) -> DataFrame:
     return out
 
 
-def write_parts(spark: SparkSession, pieces: list, folder: str, separator: str = ",") -> None:
-    """The pieces as text files part-00000..., joined in order of their names one file. Rows are sorted by ranges, so no task holds more than its share and the driver none.
+def write_parts(spark: SparkSession, pieces: list, folder: str, separator: str = ",", compression: str = "none") -> None:
+    """The pieces as text files part-00000..., joined in order of their names one file (with gzip too, whose files may be joined). Rows are sorted by ranges, so no task holds more than its share and the driver none.
 
-    They are written as a table first: sorting by ranges would make each of them twice.
+    Sorting by ranges makes each of them twice, which takes less than a table of all of them beside the text.
     """
-    rows = materialised(laid_out(spark, pieces, separator), "report-rows")
-    rows.orderBy("section", "place", "by").select("line").write.text(folder)
+    laid_out(spark, pieces, separator).orderBy("section", "place", "by").select("line").write.text(folder, compression=compression)

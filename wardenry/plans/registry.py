@@ -715,17 +715,16 @@ _SCAN_TOLD = {"root": "documents", "tool_version": "1", "policy_branch": "releas
 def event_report(spark, d):
     """A report of the events' findings, after triage, and of the documents' files."""
     files = materialised(document_files(spark, d).drop("text"), "files")
-    triaged = materialised(triage(spark, d), "triaged")
-    ordered = findings.in_order(triaged)
-    return reports.report(ordered.withColumn("json", reports.finding_json(ordered.columns)), findings.audit(triaged), tree.notes(files), _SCAN_TOLD | tree.counters(files).first().asDict())
+    ordered = findings.in_order(triage(spark, d))
+    return reports.report(ordered.withColumn("json", reports.finding_json(ordered.columns)), findings.audit(ordered), tree.notes(files), _SCAN_TOLD | tree.counters(files).first().asDict())
 
 
-def parts_written(spark, report, name):
+def parts_written(spark, report, name, compression="none"):
     """A report's three forms, each in a folder of its own, and the folder that holds them."""
     at = shared_folder(spark, name)
-    reports.write_parts(spark, reports.json_pieces(report), f"{at}/json")
-    reports.write_parts(spark, reports.sarif_pieces(report, "wardenry", "1"), f"{at}/sarif")
-    reports.write_parts(spark, reports.text_pieces(report), f"{at}/text", "")
+    reports.write_parts(spark, reports.json_pieces(report), f"{at}/json", compression=compression)
+    reports.write_parts(spark, reports.sarif_pieces(report, "wardenry", "1"), f"{at}/sarif", compression=compression)
+    reports.write_parts(spark, reports.text_pieces(report), f"{at}/text", "", compression)
     return at
 
 
@@ -739,8 +738,8 @@ _COMMA = "CASE WHEN row_number() OVER (PARTITION BY bucket ORDER BY place) = 1 T
 @query(f"""{_TRIAGE}, p AS (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, {_REACH}, path, start_line, rule_id, seq) AS place FROM b)
 SELECT 'json' AS form, concat({_COMMA}, {_IN_JSON}) AS line FROM p UNION ALL SELECT 'sarif', concat({_COMMA}, {_IN_SARIF}) FROM p WHERE bucket = 'active' UNION ALL SELECT 'text', concat('- ', upper(severity), ' ', title, ' (', rule_id, ') at ', path, ':', start_line) FROM p WHERE bucket = 'active'""")
 def report_files(spark, d):
-    """The lines of findings in the three forms of a report, read back from the parts."""
-    at = parts_written(spark, event_report(spark, d), "reports")
+    """The lines of findings in the three forms of a report, read back from the parts, which are gzip: as plain text they are many times the size of the events."""
+    at = parts_written(spark, event_report(spark, d), "reports", "gzip")
     tells = {"json": "^,?\\{\"id\":", "sarif": "^,?\\{\"ruleId\":", "text": "^- (?:INFO|LOW|MEDIUM|HIGH|CRITICAL) "}
     out = None
     for form, pattern in tells.items():
